@@ -53,7 +53,8 @@ def keys(fingerprint: Column, flips: int = 0) -> Column:
     """Block numbers and values in one integer each, with all flips of so many bits at most."""
     masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(BLOCK), n)]
     blocks = [F.shiftrightunsigned(fingerprint, BLOCK * k).bitwiseAND((1 << BLOCK) - 1).cast("int") + (k << BLOCK) for k in range(64 // BLOCK)]
-    return F.flatten(F.array(*[F.transform(F.array(*[F.lit(m) for m in masks]), lambda m, b=b: b.bitwiseXOR(m)) for b in blocks])) if flips else F.array(*blocks)
+    flipped = lambda block: F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: block.bitwiseXOR(m))
+    return F.flatten(F.array(*[flipped(b) for b in blocks])) if flips else F.array(*blocks)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
