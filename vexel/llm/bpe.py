@@ -3,7 +3,8 @@
 Each distinct pretoken is first cut greedily into the longest tokens. The cut is the encoding if each token encodes to itself and
 every adjacent pair is compatible: merges within both tokens run to their ends before any merge across the border would be due.
 All pairs of a batch are tested at once, walking up the tokens' inner borders in numpy. Only pretokens that fail are merged
-exactly, in the order of merge ranks. Results of pretokens are kept in a dictionary of bounded size.
+exactly, in the order of merge ranks. Results of pretokens are kept in two dictionaries of bounded size: once the newer is full it
+becomes the older, and what is asked for again moves up.
 
 Defined results: a null text counts as empty and has no tokens; texts are encoded whole; repeated rows are encoded each;
 columns other than doc_id and text are ignored. The special token's string in a text becomes the special token.
@@ -27,7 +28,8 @@ from vexel.llm.text import small_batches
 #: The split of byte-level BPE into pretokens, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.iinfo(np.int64).max
-REMEMBERED = 200_000
+#: Pretokens in a dictionary of results; characters of text that are cut and learned at once (one text at least); bytes up to which a pretoken is merged by scanning.
+REMEMBERED, AT_ONCE, SHORT = 200_000, 1_000_000, 64
 
 
 def letters() -> dict[str, int]:
@@ -49,7 +51,11 @@ class Codec:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.id = {self.bytes[i]: i for i in vocab.values()}
-        self.longest = max(map(len, self.id))
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.id:
+            if len(token) > 2:
+                lengths.setdefault(token[:3], set()).add(len(token))
+        self.lengths = {start: sorted(n, reverse=True) for start, n in lengths.items()}
         self.single = np.array([self.id[bytes([b])] for b in range(256)])
         pairs = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
         self.size, self.rank, self.made = size, {}, {}
@@ -66,7 +72,9 @@ class Codec:
         self.last, self.last_rank = self._edges(right, rank)
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.byte_ranks = {bytes([x, y]): r for x in range(256) for y in range(256) if (r := self.rank.get((int(self.single[x]), int(self.single[y])))) is not None}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.sound = np.zeros(size, bool)
         for token, i in self.id.items():
             self.sound[i] = len(token) == 1 or rank[i] >= 0 and self._self_encodes(i, left, right, rank)
@@ -106,7 +114,23 @@ class Codec:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact encoding of one pretoken: the merge of least rank first, and of equals the leftmost."""
-        ids = [int(self.single[c]) for c in word]
+        ids = self.single[np.frombuffer(word, np.uint8)].tolist()
+        return self._merge_short(word, ids) if len(word) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, word: bytes, ids: list[int]) -> list[int]:
+        get, made = self.rank.get, self.made
+        ranks = [self.byte_ranks.get(word[k : k + 2], NEVER) for k in range(len(word) - 1)]
+        while ranks and (least := min(ranks)) < NEVER:
+            k = ranks.index(least)
+            new = ids[k] = made[ids[k], ids[k + 1]]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], new), NEVER)
+            if k < len(ranks):
+                ranks[k] = get((new, ids[k + 1]), NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         due = [(r, k, ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (r := self.rank.get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(due)
@@ -124,12 +148,12 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def greedy(self, word: bytes) -> list[int]:
-        found, k, n, get = [], 0, len(word), self.id.get
+        found, k, n, get, lengths = [], 0, len(word), self.id.get, self.lengths.get
         while k < n:
-            for e in range(min(n, k + self.longest), k, -1):
-                if (t := get(word[k:e])) is not None:
+            for m in (*lengths(word[k : k + 3], ()), 2, 1):
+                if m <= n - k and (t := get(word[k : k + m])) is not None:
                     found.append(t)
-                    k = e
+                    k += m
                     break
         return found
 
@@ -152,26 +176,39 @@ class Codec:
         for w, c in zip(names, cuts, strict=True):
             self.known[w] = np.array(c, "<u4").tobytes()
 
+    def cut(self, text: str) -> tuple[list[str], bool]:
+        """Pretokens in order, and whether special tokens' strings are among them."""
+        if self.specials is None or not any(s in text for s in self.special):
+            return self.split.findall(text), False
+        parts, k = [], 0
+        for m in self.specials.finditer(text):
+            parts += [*self.split.findall(text[k : m.start()]), m[0]]
+            k = m.end()
+        return parts + self.split.findall(text[k:]), True
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out = []
+        out: list[bytes] = []
+        held: list[tuple[list[str], bool]] = []
+        size = 0
         for text in texts:
-            parts, rest = [], text or ""
-            if self.specials is not None and any(s in rest for s in self.special):
-                k = 0
-                for m in self.specials.finditer(rest):
-                    parts += [*self.split.findall(rest[k : m.start()]), self.special[m[0]]]
-                    k = m.end()
-                rest = rest[k:]
-            parts += self.split.findall(rest)
-            self.learn({p for p in parts if p not in self.known and isinstance(p, str)})
-            known = self.known
-            out.append(b"".join([known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in parts]))
-            if len(known) > 2 * REMEMBERED:
-                known.clear()
-        return out
+            held.append(self.cut(text or ""))
+            size += len(text or "")
+            if size >= AT_ONCE:
+                out += self._join(held)
+                held, size = [], 0
+        return out + self._join(held)
+
+    def _join(self, held: list[tuple[list[str], bool]]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        asked = set().union(*[parts for parts, _ in held]).difference(known, self.special)
+        again = asked.intersection(older)
+        known.update((w, older[w]) for w in again)
+        self.learn(asked - again)
+        special = {s: i.to_bytes(4, "little") for s, i in self.special.items()}
+        return [b"".join([special[p] if p in special else known[p] for p in parts] if marked else map(known.__getitem__, parts)) for parts, marked in held]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
