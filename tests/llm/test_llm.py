@@ -215,7 +215,7 @@ def test_tiles_and_components(spark):
     assert groups(one) == groups(two)
 
 
-def test_bpe(docs):
+def test_bpe(docs, monkeypatch):
     from tokenizers import Tokenizer
 
     t, c, rng = Tokenizer.from_file(bpe.default_path()), bpe.codec(bpe.default_path()), random.Random(5)
@@ -224,6 +224,10 @@ def test_bpe(docs):
     for text, ids in zip(texts, c.encode_batch(texts), strict=True):
         own = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == own and c.decode(ids) == t.decode(own, skip_special_tokens=False)
+    long = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (1, 2, 63, 64, 65, 66, 2000)]
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)  # results move between the two dictionaries
+    monkeypatch.setattr(bpe, "AT_ONCE", 100)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in c.encode_batch(long * 3)] == [t.encode(x).ids for x in long] * 3
     word = "thetionandtheir"
     assert c.merge(word.encode()) == t.encode(word).ids
     for r in bpe.digests(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect():
