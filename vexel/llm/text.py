@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from vexel.plans.storage import ship
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def words(text: Column) -> Column:
     """Maximal runs of [^\\x20\\x09-\\x0D], in order; null counts as empty."""
@@ -20,10 +18,6 @@ def count_of(text: Column, chars: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def ascii_words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8 with A-Z lower-cased; bytes.split() knows the same six space characters."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
