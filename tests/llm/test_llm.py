@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -206,13 +207,28 @@ def test_tiles_and_components(spark):
     least = [find(i) for i in range(len(prints))]
     assert (simhash.tiled(prints, tile=64) == least).all()
     df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")
-    found = {r["a"]: r["b"] for r in simhash.connected(simhash.links(df)).collect()}
     groups = lambda of: {frozenset(v) for v in of.values()}
-    one, two = {}, {}
-    for i, p in enumerate(prints.view(np.int64).tolist()):
-        one.setdefault(least[i], []).append(p)
-        two.setdefault(found.get(p, p), []).append(p)
-    assert groups(one) == groups(two)
+    for most in (simhash.MOST, 5):  # buckets of the second level lose no link
+        found = {r["a"]: r["b"] for r in simhash.connected(simhash.links(df, most)).collect()}
+        one, two = {}, {}
+        for i, p in enumerate(prints.view(np.int64).tolist()):
+            one.setdefault(least[i], []).append(p)
+            two.setdefault(found.get(p, p), []).append(p)
+        assert groups(one) == groups(two)
+
+
+def test_split_buckets_keep_close_pairs():
+    rng = random.Random(6)
+    for n, blocks in enumerate(combinations(simhash.BLOCKS, 2)):
+        free = [b for b in range(64) if not any(s <= b < s + w for s, w in blocks)]
+        for _ in range(20):
+            a = rng.getrandbits(64)
+            b = a
+            for k in rng.sample(free, 3):
+                b ^= 1 << k
+            keys, prints = simhash._split(n << 26, np.array([a, b], np.uint64))
+            mine = [set(keys[prints.view(np.uint64) == np.uint64(x)].tolist()) for x in (a, b)]
+            assert mine[0] & mine[1] and len(keys) == 20 and (keys >= 0).all()
 
 
 def test_bpe(docs, monkeypatch):

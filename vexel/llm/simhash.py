@@ -3,8 +3,10 @@
 Equal fingerprints are one class from the start. Of five blocks of 13 or 12 bits, two at least agree between fingerprints that
 differ in three bits or fewer, so each fingerprint goes to ten buckets, one for each pair of blocks, and every close pair meets
 in one. A bucket's fingerprints, sorted by population count, are cut into tiles; two tiles are compared with exclusive-or and
-bit counts in numpy, unless their population counts differ by more than the radius. A bucket hands on a star, each member linked
-to the least of its group, so links grow with members and not with pairs. Components are then found by the large-star and
+bit counts in numpy, unless their population counts differ by more than the radius. A bucket of more than ``MOST`` fingerprints
+isn't held: it flows through its task and is split by its remaining bits in the same way, into five blocks of which two agree,
+so that a bucket of the second level shares 40 bits and holds 2**24 fingerprints at most. A bucket hands on a star, each member
+linked to the least of its group, so links grow with members and not with pairs. Components are then found by the large-star and
 small-star rounds of Kiveris et al. (2014), with each round's links in a table in the shared folder.
 
 Defined results: null and blank texts have fingerprint zero and are linked like others; a null doc_id never names a
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from vexel.llm.text import ascii_words, small_batches
 from vexel.plans.storage import materialize
 
-RADIUS, SEED, TILE, STEP = 3, 42, 1024, 1 << 15
+RADIUS, SEED, TILE, STEP, MOST = 3, 42, 1024, 1 << 15, 1 << 16
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: The same for the 39 bits at most that the blocks of a bucket leave.
+FINER = [(0, 8), (8, 8), (16, 8), (24, 8), (32, 7)]
 
 
 def fingerprint(text: str | None) -> int:
@@ -112,29 +116,53 @@ def _links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return prints[member], prints[root[member]]
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """a and b: linked fingerprints, a star for each bucket, from the distinct fingerprints in the column print."""
+def _split(key: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the second level and fingerprints, ten for each fingerprint of a bucket of the first."""
+    shared = list(combinations(range(5), 2))[key >> 26]
+    bits = lambda x, block: x >> np.uint64(block[0]) & np.uint64((1 << block[1]) - 1)
+    rest, filled = np.zeros(len(prints), np.uint64), 0
+    for k in set(range(5)) - set(shared):
+        rest |= bits(prints, BLOCKS[k]) << np.uint64(filled)
+        filled += BLOCKS[k][1]
+    keys = [bits(rest, FINER[i]) << np.uint64(8) | bits(rest, FINER[j]) | np.uint64(n << 16 | key << 20) for n, (i, j) in enumerate(combinations(range(5), 2))]
+    return np.concatenate(keys).view(np.int64), np.tile(prints, len(keys)).view(np.int64)
+
+
+def _within(keyed: DataFrame, most: int | None) -> DataFrame:
+    """a, b and more: links within the buckets of key and print; where more is set, a is a fingerprint and b its bucket of the second level."""
+    def told(a: np.ndarray, b: np.ndarray, more: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), more))], ["a", "b", "more"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        rows, large = np.zeros((2, 0), np.int64), None
         for batch in _and_end(batches):
             if batch is not None:
-                held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
-            if not held:
-                continue
-            rows = np.concatenate(held, axis=1)
-            cut = rows.shape[1] if batch is None else int(np.searchsorted(rows[0], rows[0, -1]))
-            if not cut:
-                continue
-            held = [rows[:, cut:]]
-            a, b = _links(rows[0, :cut], rows[1, :cut].view(np.uint64))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-            if batch is None:
-                return
-
-    keyed = classes.select(F.explode(buckets(F.col("print"))).alias("key"), "print")
+                rows = np.concatenate([rows, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
+            if large is not None and rows.shape[1]:  # the bucket that is being split goes on
+                n = int(np.searchsorted(rows[0], large, side="right"))
+                keys, prints = _split(large, rows[1, :n].view(np.uint64))
+                yield told(prints, keys, True)
+                rows, large = rows[:, n:], large if n == rows.shape[1] else None
+            cut = rows.shape[1] if batch is None else int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+            if cut:
+                a, b = _links(rows[0, :cut], rows[1, :cut].view(np.uint64))
+                yield told(a.view(np.int64), b.view(np.int64), False)
+                rows = rows[:, cut:]
+            if most is not None and rows.shape[1] > most:
+                large = int(rows[0, 0])
+                keys, prints = _split(large, rows[1].view(np.uint64))
+                yield told(prints, keys, True)
+                rows = rows[:, :0]
+
     dealt = keyed.repartition("key").sortWithinPartitions("key", F.bit_count("print"), "print").select("key", "print")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
+
+
+def links(classes: DataFrame, most: int = MOST) -> DataFrame:
+    """a and b: linked fingerprints, a star for each bucket, from the distinct fingerprints in the column print."""
+    first = materialize(_within(classes.select(F.explode(buckets(F.col("print"))).alias("key"), "print"), most), "links")
+    second = _within(first.where("more").select(F.col("b").alias("key"), F.col("a").alias("print")), None)
+    return first.where("NOT more").select("a", "b").union(second.select("a", "b"))
 
 
 def _and_end(batches):
