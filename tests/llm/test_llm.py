@@ -86,6 +86,40 @@ def test_decontamination(spark, docs):
     assert decontam.matches(rows.where("false"), bench).count() == 0 and decontam.matches(rows, bench.where("false")).count() == 0
 
 
+def test_decontamination_by_brute_force(spark):
+    """Every window of each item's size, by exact similarity, on passages with edits at their ends and inside."""
+    rng = random.Random(7)
+    prose = lambda n: [rng.choice("abcdefgh") + rng.choice("mnop") + str(rng.randrange(12)) for _ in range(n)]
+    items, texts = [prose(n) for n in (1, 4, 5, 6, 9, 16, 25, 40, 58, 59, 134)], []
+    for k in range(150):
+        w = list(items[k % len(items)])
+        for _ in range(rng.randrange(4)):
+            i = rng.choice((0, len(w) // 2, len(w) - 1, rng.randrange(len(w))))
+            w[i : i + rng.randrange(2)] = prose(rng.randrange(1, 3))
+        texts.append(prose(rng.randrange(30)) + w + prose(rng.randrange(30)))
+    for item, ends, gap in ((items[8], 1, 2), (items[10], 5, 6)):  # the best window begins between the passage's two parts
+        mid = len(item) // 2
+        texts.append(prose(20) + ["x"] * ends + item[ends:mid] + ["y"] * gap + item[mid:-ends] + ["z"] * ends + prose(20))
+
+    def grams(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    expected = {}
+    for d, w in enumerate(texts):
+        for i, item in enumerate(items):
+            own = grams(item)
+            for at in range(max(1, len(w) - len(item) + 1)) if len(item) > 4 or len(w) <= len(item) else ():
+                other = grams(w[at : at + len(item)])
+                same = sum((own & other).values()) / sum((own | other).values())
+                if same >= 0.8:
+                    expected[d, i] = max(same, expected.get((d, i), 0))
+    docs_ = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.matches(docs_, bench).collect()}
+    assert len(expected) > 60 and (150, 8) in expected and (151, 10) in expected
+    assert found == pytest.approx(expected)
+
+
 def test_blocks_find_all_within_radius(spark):
     rng = random.Random(2)
     pairs = []

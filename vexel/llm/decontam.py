@@ -2,8 +2,9 @@
 
 Texts become lower-case words of letters and digits, and these shingles of five words (an item of fewer words is one shingle).
 A benchmark item of n words is compared with windows of n words. A window that shares no shingle with the item has similarity
-zero, so the windows that are fingerprinted are those that line up with the item at the beginning or the end of a run of equal
-shingles. Their 64-bit SimHashes meet the items' in eight blocks of eight bits: a pair within radius 23 has a block that
+zero, and as a window slides, its similarity can only stop growing where a run of equal shingles is wholly inside, or begin to
+fall where the window begins with a run; so the windows that are fingerprinted are those that begin with a run, end with one,
+or line up with the item at one. Their 64-bit SimHashes meet the items' in eight blocks of eight bits: a pair within radius 23 has a block that
 differs in two bits at most, so equal keys after all such flips of the item's blocks find every pair within the radius. What meets is
 verified by the exact weighted Jaccard similarity of the shingles, weights being their counts.
 
@@ -74,9 +75,12 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "item_id", "n", "q", "h", F.size("item_hashes").alias("m"), F.get("item_hashes", F.col("q") - 1).alias("h_before"), F.get("item_hashes", F.col("q") + 1).alias("h_after"))
     hashed = docs.select("row", tokens(F.col("text")).alias("w")).select("row", F.size("w").alias("doc_words"), shingles(F.col("w")).alias("hashes"))
     each = hashed.select("row", "doc_words", "hashes", F.posexplode_outer("hashes").alias("p", "h"))  # outer: no filter on the size of hashes, which would be pushed below and compute them twice
-    run = ~F.coalesce(F.get("hashes", F.col("p") - 1) == F.col("h_before"), F.lit(False)) | ~F.coalesce(F.get("hashes", F.col("p") + 1) == F.col("h_after"), F.lit(False))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("doc_words") - F.col("n")))
-    windows = each.join(spots, "h").where(run).select("row", F.col("n").alias("size"), start.alias("window_start"), F.slice("hashes", start + 1, F.col("m")).alias("window_hashes")).distinct()
+    begins = ~F.coalesce(F.get("hashes", F.col("p") - 1) == F.col("h_before"), F.lit(False))
+    ends = ~F.coalesce(F.get("hashes", F.col("p") + 1) == F.col("h_after"), F.lit(False))
+    fitted = lambda at: F.greatest(F.lit(0), F.least(at, F.col("doc_words") - F.col("n")))
+    starts = F.array_distinct(F.array_compact(F.array(fitted(F.col("p") - F.col("q")), F.when(begins, fitted(F.col("p"))), F.when(ends, fitted(F.col("p") - F.col("m") + 1)))))
+    placed = each.join(spots, "h").where(begins | ends).select("row", F.col("n").alias("size"), "m", "hashes", F.explode(starts).alias("window_start"))
+    windows = placed.select("row", "size", "window_start", F.slice("hashes", F.col("window_start") + 1, F.col("m")).alias("window_hashes")).distinct()
     printed = materialize(windows, "windows").select("*", simhash(F.col("window_hashes")).alias("window_print"))
     left = materialize(printed, "windows").select("*", F.explode_outer(keys(F.col("window_print"))).alias("key"))
     right = items.select("item_id", F.col("n").alias("size"), "item_hashes", "item_print", F.explode_outer(keys(F.col("item_print"), FLIPS)).alias("key"))
