@@ -244,8 +244,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             ids = c.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids]),
-                pa.array([sha(c.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]),
+                batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()),
+                pa.array([sha(c.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids], pa.string()),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return small_batches(docs, 500).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -99,7 +99,7 @@ def _count_parts(sample: DataFrame) -> DataFrame:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update(_parts(text))
             for k in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen[k])), pa.array([k] * len(seen[k]), pa.int32()), pa.array(list(seen[k].values()), pa.int64())], ["part", "toxic", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen[k]), pa.string()), pa.array([k] * len(seen[k]), pa.int32()), pa.array(list(seen[k].values()), pa.int64())], ["part", "toxic", "n"])
 
     rows = small_batches(sample, 500).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "part string, toxic int, n long")
     return rows.groupBy("part").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
