@@ -1,9 +1,9 @@
 """Quality rules: robust multivariate outliers among the statistics of texts.
 
 Each text becomes a vector of transformed statistics. For every language and source a minimum-covariance-determinant
-estimate gives the location and scatter of the central three quarters of the texts, and texts whose Mahalanobis distance
-lies far out are rejected. The estimate starts from medians and median deviations and takes concentration steps: distances,
-the h-th smallest of them from a histogram, then the moments of the rows below it. Vectors are fixed-point integers and their
+estimate gives the location and scatter of the central half of the texts, (n + d + 1) / 2 of them, and texts whose Mahalanobis
+distance lies far out are rejected. The estimate starts from medians and median deviations and takes concentration steps: distances,
+the h-th smallest of them from a histogram, then the moments of the rows below it, until no group's determinant changes. Vectors are fixed-point integers and their
 sums are exact decimals, so the result doesn't depend on how rows were dealt out. All of it is DataFrame expressions; a
 group's sums are combined on the map side, and only one row per group and histogram bin is shuffled.
 
@@ -28,8 +28,8 @@ SYMBOLS = "#*$%&|<>"
 UNIT = 4096
 #: Names of the transformed statistics, and the least standard deviation of each (a floor for statistics that are mostly constant).
 FEATURES = {"word_length": 0.12, "symbols": 0.12, "dup_lines": 0.25, "repeats": 0.20, "upper": 0.10, "marks": 0.15}
-#: Share of rows in the central subset; concentration steps; bins to a factor e of squared distance.
-CORE, STEPS, BINS = 0.75, 3, 32
+#: Concentration steps end when no group's log determinant changes by more than SETTLED, or after STEPS; bins to a factor e of squared distance.
+SETTLED, STEPS, BINS = 0.01, 40, 32
 #: A text is rejected beyond this squared distance, scaled so that the median is that of a chi-square with 6 degrees.
 CUTOFF, MEDIAN = 100.0, 5.348
 MIN_GROUP = 60
@@ -113,11 +113,11 @@ def _measured(rows: DataFrame, fit: DataFrame, d: int) -> DataFrame:
     return rows.join(fit, "g").select("g", *[f"x{i}" for i in range(d)], _distance(d).alias("d2"))
 
 
-def _quantile(rows: DataFrame, value: Column, share: float, name: str) -> DataFrame:
-    """Per group g: the upper end of the logarithmic bin that holds the given share of rows."""
+def _quantile(rows: DataFrame, value: Column, extra: int, name: str) -> DataFrame:
+    """Per group g of n rows: the upper end of the logarithmic bin that holds the (n + extra) / 2 th value."""
     bins = rows.select("g", F.floor(F.ln(value + 1e-6) * BINS).cast("long").alias("bin")).groupBy("g", "bin").agg(F.count("*").alias("n"))
     summed = bins.withColumn("below", F.sum("n").over(_by("g").orderBy("bin"))).withColumn("all", F.sum("n").over(_by("g")))
-    return summed.where(F.col("below") >= share * F.col("all")).groupBy("g").agg(F.exp((F.min("bin") + 1) / BINS).alias(name))
+    return summed.where(F.col("below") >= F.least((F.col("all") + extra) / 2, F.col("all"))).groupBy("g").agg(F.exp((F.min("bin") + 1) / BINS).alias(name))
 
 
 def _by(*cols: str):
@@ -138,7 +138,7 @@ def _moments(rows: DataFrame, d: int) -> DataFrame:
 
 
 def _cholesky(fit: DataFrame, d: int, floors: list[float]) -> DataFrame:
-    """Means and the inverse covariance, by the Cholesky factor and its inverse written out; fit has a row per group."""
+    """Log determinant, means and the inverse covariance, by the Cholesky factor and its inverse written out; fit has a row per group."""
     def rest(i: int, j: int) -> Column:
         v = F.col(f"p{j}_{i}") - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
         for k in range(j):
@@ -158,7 +158,8 @@ def _cholesky(fit: DataFrame, d: int, floors: list[float]) -> DataFrame:
     for i in range(d):
         fit = fit.withColumns({f"r{i}_{j}": inverse(i, j) for j in range(i + 1)})
     square = lambda i, j: sum((F.col(f"r{k}_{i}") * F.col(f"r{k}_{j}") for k in range(i + 1, d)), F.col(f"r{i}_{i}") * F.col(f"r{i}_{j}"))
-    return fit.select("g", *[f"m{i}" for i in range(d)], *[square(i, j).alias(f"a{i}_{j}") for i in range(d) for j in range(i + 1)])
+    log_det = sum((F.ln(F.col(f"l{i}_{i}")) for i in range(1, d)), F.ln("l0_0"))
+    return fit.select("g", (2 * log_det).alias("log_det"), *[f"m{i}" for i in range(d)], *[square(i, j).alias(f"a{i}_{j}") for i in range(d) for j in range(i + 1)])
 
 
 def _start(rows: DataFrame, d: int) -> DataFrame:
@@ -184,12 +185,15 @@ def _start(rows: DataFrame, d: int) -> DataFrame:
 def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """One row per group g: location, inverse covariance and the scale that brings the median distance to that of a chi-square."""
     d = len(FEATURES)
-    fit = materialize(_start(rows, d), "quality-fit")
+    fit = materialize(_start(rows, d).withColumn("log_det", F.lit(float("inf"))), "quality-fit")
     for _ in range(steps):
         measured = _measured(rows, fit, d)
-        cut = materialize(_quantile(measured, F.col("d2"), CORE, "cut"), "quality-cut")
-        fit = materialize(_moments(measured.join(cut, "g").where(F.col("d2") <= F.col("cut")), d), "quality-fit")
-    scale = _quantile(_measured(rows, fit, d), F.col("d2"), 0.5, "middle")
+        cut = _quantile(measured, F.col("d2"), d + 1, "cut")
+        before, fit = fit, materialize(_moments(measured.join(cut, "g").where(F.col("d2") <= F.col("cut")), d), "quality-fit")
+        moved = fit.join(before.select("g", F.col("log_det").alias("before")), "g").where(F.abs(F.col("log_det") - F.col("before")) > SETTLED)
+        if moved.isEmpty():
+            break
+    scale = _quantile(_measured(rows, fit, d), F.col("d2"), 0, "middle")
     return materialize(fit.join(scale, "g"), "quality-fit")
 
 
