@@ -28,3 +28,11 @@ def test_clustered_junk(spark, share):
     n = round(400 * share)
     got = kept(spark, [("good", "en", "a", made(rng, 400 - n)), ("junk", "en", "a", made(rng, n, 40.0, 0.5))])
     assert got == {"good": 1, "junk": 0}
+
+
+def test_small_groups_are_judged_with_all_rows(spark):
+    rng = np.random.default_rng(4)
+    parts = [("good", lang, source, made(rng, 150)) for lang in ("en", "de") for source in ("a", "b", None)]
+    parts += [("junk", "en", "c", made(rng, 55, 40.0, 0.5)), ("junk", "en", "d", made(rng, 20, 40.0, 0.5)), ("junk", "fr", "a", made(rng, 59, 40.0, 0.5)), ("junk", "it", None, made(rng, 2, 40.0))]
+    parts += [("lone", "en", "e", made(rng, 1)), ("lone", None, None, made(rng, 1))]
+    assert kept(spark, parts) == {"good": 1, "junk": 0, "lone": 1}

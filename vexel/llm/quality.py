@@ -8,8 +8,8 @@ sums are exact decimals, so the result doesn't depend on how rows were dealt out
 group's sums are combined on the map side, and only one row per group and histogram bin is shuffled.
 
 Defined results: a null text counts as empty and fails the base rule; null languages and sources are groups like others;
-repeated rows are judged each; groups of fewer than ``min_group`` texts are judged with the whole language, or, if that is
-small too, with all texts; in an even smaller corpus nothing but the base rule rejects. Columns of the input other than
+repeated rows are judged each; groups of fewer than ``min_group`` texts are judged with the estimate of the whole language, or, if
+that is small too, of all texts, large groups included; in an even smaller corpus nothing but the base rule rejects. Columns of the input other than
 those named are ignored by ``judge`` and kept by ``keep_good``, whatever their names.
 """
 
@@ -85,16 +85,22 @@ def statistics(docs: DataFrame, extra: list[Column] | None = None) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, min_group: int) -> DataFrame:
-    """Rows with level and glang, gsource: the group each is judged with; level 3 is none."""
+    """Rows with level and g, the group each is judged with (level 3 is none), and feeds, the groups whose estimates it enters."""
     sized = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    lang = sized.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    total = sized.agg(F.sum("n").alias("n_all"))
+    lang = sized.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    total = lang.agg(F.sum("n_lang").alias("n_all"), F.min("n_lang").alias("least_lang"))
     level = F.when(F.col("n") >= min_group, 0).when(F.col("n_lang") >= min_group, 1).when(F.col("n_all") >= min_group, 2).otherwise(3)
-    plan = sized.join(lang, sized["lang"].eqNullSafe(lang["lang"])).drop(lang["lang"]).join(F.broadcast(total)).select("lang", "source", level.alias("level"))  # total is one row
-    plan = materialize(plan, "quality-groups")
-    plan = plan.select(F.col("lang").alias("l"), F.col("source").alias("s"), "level")
-    joined = rows.join(plan, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
-    return joined.withColumn("g", F.when(F.col("level") == 0, F.to_json(F.struct("lang", "source"))).when(F.col("level") == 1, F.to_json(F.struct("lang"))).otherwise(F.lit("all")))
+    key = lambda *of: F.to_json(F.struct(*of), {"ignoreNullFields": "false"})
+    feeds = F.array_compact(F.array(
+        F.when(F.col("n") >= min_group, key("lang", "source")),
+        F.when((F.col("least") < min_group) & (F.col("n_lang") >= min_group), key("lang")),
+        F.when((F.col("least_lang") < min_group) & (F.col("n_all") >= min_group), F.lit("all")),
+    ))
+    plan = sized.join(lang, sized["lang"].eqNullSafe(lang["lang"])).drop(lang["lang"]).join(F.broadcast(total))  # total is one row
+    g = F.when(F.col("level") == 0, key("lang", "source")).when(F.col("level") == 1, key("lang")).otherwise(F.lit("all"))
+    plan = plan.select("lang", "source", level.alias("level"), feeds.alias("feeds")).withColumn("g", g)
+    plan = materialize(plan, "quality-groups").select(F.col("lang").alias("l"), F.col("source").alias("s"), "level", "feeds", "g")
+    return rows.join(plan, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
 
 
 def _distance(d: int) -> Column:
@@ -200,7 +206,7 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 def judge_rows(stats: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of statistics() with d2 (null if the base rule rejects them or there is no group) and kept."""
     passed = _grouped(stats.where(~F.col("base_failed")), min_group)
-    core = materialize(passed.where(F.col("level") < 3).select("g", *[f"x{k}" for k in range(len(FEATURES))]), "quality-vectors")
+    core = materialize(passed.select(F.explode("feeds").alias("g"), *[f"x{k}" for k in range(len(FEATURES))]), "quality-vectors")
     fit = estimate(core)
     scaled = _distance(len(FEATURES)) * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN / 2))
     near = passed.join(fit, "g", "left").select(*stats.columns, scaled.alias("d2")).select("*", F.coalesce(F.col("d2") <= cutoff, F.lit(True)).alias("kept"))
