@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexel.llm.text import ascii_words, small_batches
@@ -49,14 +49,15 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(words) - 2).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id and print, the fingerprint as a signed long; if hashed, also h, a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, print long")
+    more = [F.xxhash64("text").alias("h")] if hashed else []
+    return small_batches(docs).select("doc_id", "text", *more).mapInArrow(run, "doc_id long, print long" + (", h long" if hashed else ""))
 
 
 def hex_of(fingerprint: Column) -> Column:
@@ -189,24 +190,31 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, print and component_id (the least doc_id that links reach) for each row."""
-    prints = materialize(fingerprints(docs), "prints")
+def _components(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """fingerprints() with root, the fingerprint that stands for the component, and component_id."""
+    prints = materialize(fingerprints(docs, hashed), "prints")
     classes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least_id")), "classes")
     roots = connected(links(classes)).select(F.col("a").alias("print"), F.col("b").alias("root"))
     rooted = classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = materialize(rooted.join(named, "root").select("print", "component_id"), "components")
-    return prints.join(by_print, "print").select("doc_id", "print", "component_id")
+    by_print = materialize(rooted.join(named, "root").select("print", "root", "component_id"), "components")
+    return prints.join(by_print, "print")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, print and component_id (the least doc_id that links reach) for each row."""
+    return _components(docs).select("doc_id", "print", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the least doc_id, and of rows that repeat it the first by text."""
-    found = components(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count_distinct("print").alias("prints"), F.count("*").alias("rows"))
+    """One row of each component: that with the least doc_id (null if all are), and of rows that share it the first by text."""
+    found = _components(docs.select("doc_id", "text"), hashed=True)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).agg(F.count("*").alias("rows"))
     kept = materialize(kept, "kept")
-    once, more = kept.where("rows = 1").select("doc_id"), kept.where("rows > 1").select(F.col("doc_id").alias("kept_id"))
-    single = docs.join(once, "doc_id", "left_semi")
-    repeated = docs.join(more, docs["doc_id"].eqNullSafe(more["kept_id"]), "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    first = Window.partitionBy("row.doc_id").orderBy("row.text", F.to_json("row"))
-    return single.unionByName(repeated.withColumn("k", F.row_number().over(first)).where("k = 1").select("row.*"))
+    each = materialize(kept.join(kept.groupBy("root").agg(F.sum("rows").alias("all")), "root").select(F.col("root").alias("kept_root"), "kept_id", "kept_h", "all"), "kept")
+    once, more = each.where("all = 1"), each.where("all > 1")
+    same = lambda k: docs["doc_id"].eqNullSafe(k["kept_id"]) & (F.xxhash64(docs["text"]) == k["kept_h"])
+    single = docs.join(once, same(once), "left_semi")
+    repeated = docs.join(more, same(more)).select(more["kept_root"].alias("root"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    first = repeated.groupBy("root").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row"))
+    return single.unionByName(first.select("row.*"))
