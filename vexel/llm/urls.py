@@ -1,8 +1,8 @@
 """URL filter: listed rules first, then naive Bayes over segmented host words and path words.
 
-Names in a host are split into words by a unigram Viterbi search. Word counts come from the names' own hyphenated parts in all
-urls and from a seed list; naive Bayes learns from the urls themselves: hosts with a seed word are examples to block,
-others to allow. Counts are over all rows; what a worker is given is bounded by ``MOST_WORDS`` words.
+Names in a host are split into words by a unigram Viterbi search. Words are the parts of the hosts of all rows and a seed list.
+Naive Bayes learns from the urls themselves: hosts with a seed word are examples to block, others to allow. All words, features
+and their odds are kept in tables and joined; only the ``HOT`` commonest keys go to every task, so that no frequent key is shuffled.
 
 Defined results: a null url, or one without "://", has empty host and path, no rule, and is allowed; rows that repeat are judged
 each; an empty table gives an empty result; other columns are ignored.
@@ -11,21 +11,21 @@ each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexel.llm.text import small_batches
+from vexel.plans.storage import materialize
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Words of hosts to block, a fixed list.
 SEEDS = ("ads", "adult", "bet", "bets", "bonus", "buy", "casino", "cheap", "click", "crack", "dating", "deals", "discount", "escort", "free", "jackpot", "loan", "loans", "lottery", "pharma", "pill", "pills", "poker", "porn", "prize", "promo", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "winner", "xxx")
 STRONG = ("ads", "adult", "bets", "casino", "escort", "jackpot", "lottery", "pills", "poker", "porn", "replica", "slots", "spam", "viagra", "warez", "xxx")
-MOST_WORDS, LONGEST, LEAST_STRONG = 50_000, 24, 8.0
+HOT, LONGEST, LEAST_STRONG = 20_000, 24, 8.0
+#: Steps to a unit of log odds, so that sums are exact.
+UNIT = 10**9
 
 
 def host(url: Column) -> Column:
@@ -60,86 +60,100 @@ def split_words(name: str, cost: dict[str, float], total: float) -> list[str]:
     return words[::-1]
 
 
-def parts(text: str | None) -> list[str]:
-    return re.findall(r"[a-z]+", (text or "").lower())
+def parts(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), "[^a-z]+"), "")
 
 
 class Judge:
+    """Costs of words by their counts; the seeds count fifty times more."""
+
     def __init__(self, counts: dict[str, int]):
         for w in SEEDS:
             counts[w] = counts.get(w, 0) + 50
         self.total = math.log(sum(counts.values()) + len(counts))
         self.cost = {w: self.total - math.log(c + 1) for w, c in counts.items()}
-        self.odds: dict[str, float] = {}
-        self.prior = 0.0
-        self.host_words = lru_cache(100_000)(self._host_words)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "host_words"}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.host_words = lru_cache(100_000)(self._host_words)
+def _seeds(df: DataFrame, *values) -> DataFrame:
+    return df.sparkSession.createDataFrame([(w, *values) for w in SEEDS], df.schema)
 
-    def _host_words(self, host_: str) -> list[str]:
-        return [w for p in parts(host_) for w in split_words(p, self.cost, self.total)]
 
-    def features(self, host_: str, path_: str) -> list[str]:
-        return [f"h:{w}" for w in self.host_words(host_)] + [f"p:{w}" for w in parts(path_)]
+def _names(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns in keep with label (a host's part between dots), name (a run of letters in it) and own: whether the label has more than one."""
+    labels = rows.select(*keep, F.explode(F.split("host", "\\.")).alias("label")).select(*keep, "label", parts(F.col("label")).alias("w"))
+    return labels.select(*keep, "label", (F.size("w") > 1).alias("own"), F.explode("w").alias("name"))
 
-    def score(self, host_: str, path_: str) -> float:
-        if not host_:
-            return -1.0
-        return self.prior + sum(self.odds.get(f, 0.0) for f in self.features(host_, path_))
 
+def words(rows: DataFrame) -> DataFrame:
+    """w and c of all words, from the column host and path."""
+    each = _names(rows).select(F.col("name").alias("w")).where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("c"))
+    return materialize(each.union(_seeds(each, 50)).groupBy("w").agg(F.sum("c").alias("c")), "url-words")
 
-def _words(urls: DataFrame) -> dict[str, int]:
-    """The commonest parts of host names and their counts, at most MOST_WORDS."""
-    each = urls.select(F.explode(F.split(F.lower("host"), "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
-    top = each.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
-    return {r["w"]: r["n"] for r in top.collect()}
 
+def segments(names: DataFrame, known: DataFrame) -> DataFrame:
+    """name, own, n and words: the likeliest split of each distinct name."""
+    total = math.log(known.agg(F.sum("c") + F.count("*")).first()[0])
 
-def learn(pages: DataFrame) -> Judge:
-    urls = pages.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    judge = Judge(_words(small_batches(urls, 10_000)))
+    @F.pandas_udf("array<string>")
+    def split(name: pd.Series, own: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for n, pairs in zip(name, found, strict=True):
+            counts = {x["w"]: x["c"] for x in pairs}
+            out.append(split_words(n, {w: total - math.log(c + 1) for w, c in counts.items() if c}, total))
+        return pd.Series(out, dtype=object)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for h, p in zip(frame["host"], frame["path"], strict=True):
-                f = judge.features(h, p)
-                label = int(any(x in _STRONG for x in f))
-                rows += [(x, label, 1) for x in [*f, "n:"]]
-            yield pd.DataFrame(rows, columns=["f", "label", "n"]).groupby(["f", "label"], as_index=False)["n"].sum() if rows else pd.DataFrame({"f": [], "label": [], "n": []})
+    starts = F.sequence(F.lit(1), F.length("name"))
+    each = names.select("*", F.explode(starts).alias("at")).select("name", "own", "n", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("at") + 1))).alias("len"))
+    each = each.select("name", "own", "n", F.substring("name", F.col("at"), F.col("len")).alias("w")).distinct()
+    short = known.where(F.length("w") <= 3)  # 18,252 words at most, and in most names
+    one = each.where(F.length("w") <= 3).join(F.broadcast(short), "w", "left")
+    two = each.where(F.length("w") > 3).join(known.where(F.length("w") > 3), "w")
+    both = one.select("name", "own", "n", "w", "c").union(two.select("name", "own", "n", "w", "c"))
+    found = both.groupBy("name", "own", "n").agg(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("w", "c"))).alias("found"))
+    return materialize(small_batches(found).select("name", "own", "n", split("name", "own", "found").alias("words")), "url-segments")
 
-    seen = urls.where("host <> ''").mapInPandas(count, "f string, label int, n long").groupBy("f").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
-    top = seen.orderBy(F.desc(F.col("bad") + F.col("good")), "f").limit(MOST_WORDS).collect()
-    table = {r["f"]: (r["bad"], r["good"]) for r in top}
-    docs = table.pop("n:", (0, 0))
-    for w in SEEDS:
-        b, g = table.get(f"h:{w}", (0, 0))
-        table[f"h:{w}"] = (b + 5 + docs[0] // 50, g)
-    bad, good, size = sum(v[0] for v in table.values()), sum(v[1] for v in table.values()), len(table)
-    judge.odds = {f: math.log((b + 0.5) / (bad + 0.5 * size)) - math.log((g + 0.5) / (good + 0.5 * size)) for f, (b, g) in table.items()}
-    for w in STRONG:  # a strong word decides, however few hosts have it
-        judge.odds[f"h:{w}"] = max(judge.odds[f"h:{w}"], LEAST_STRONG)
-    judge.prior = math.log((docs[0] + 1) / (docs[1] + 1))
-    return judge
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The columns of rows and the value of table, which has all keys once; its HOT rows of most n go to each task, the others are joined."""
+    hot = materialize(table.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys, value), "url-hot")
+    most = materialize(rows.join(F.broadcast(hot), keys, "left"), "url-rows")
+    rest = most.where(F.col(value).isNull()).drop(value).join(table.select(*keys, value), keys)
+    return most.where(F.col(value).isNotNull()).unionByName(rest)
 
-_STRONG = {f"h:{w}" for w in STRONG}
 
+def features(rows: DataFrame) -> DataFrame:
+    """row and f: h: with each word of a host, and p: with each word of a path, as often as they occur."""
+    named = materialize(_names(rows, "row").select("row", "name", "own"), "url-names")
+    split = segments(named.groupBy("name", "own").agg(F.count("*").alias("n")), words(rows))
+    hosts = _looked_up(named, split, ["name", "own"], "words").select("row", F.explode("words").alias("w"))
+    paths = rows.select("row", F.explode(parts(F.col("path"))).alias("w"))
+    return materialize(hosts.select("row", F.concat(F.lit("h:"), "w").alias("f")).union(paths.select("row", F.concat(F.lit("p:"), "w").alias("f"))), "url-features")
 
-def verdicts(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, score (log odds of blocking) and verdict for each row."""
-    judge = learn(pages)
 
-    @F.pandas_udf("double")
-    def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([judge.score(h, p) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
+def learn(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, float]:
+    """f, n and odds (fixed-point) of all features, and the prior log odds."""
+    strong = found.where(F.col("f").isin([f"h:{w}" for w in STRONG])).select("row", F.lit(1).alias("label")).distinct()
+    strong = materialize(strong, "url-strong")
+    bad = strong.count()
+    good = rows.count() - bad
+    is_bad = F.col("label").isNotNull().cast("long")
+    seen = found.join(strong, "row", "left").groupBy("f").agg(F.sum(is_bad).alias("bad"), F.sum(1 - is_bad).alias("good"))
+    more = _seeds(seen, 5 + bad // 50, 0).withColumn("f", F.concat(F.lit("h:"), "f"))
+    seen = materialize(seen.union(more).groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "url-seen")
+    b, g, size = seen.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
+    odds = F.ln((F.col("bad") + 0.5) / (b + 0.5 * size)) - F.ln((F.col("good") + 0.5) / (g + 0.5 * size))
+    odds = F.when(F.col("f").isin([f"h:{w}" for w in STRONG]), F.greatest(odds, F.lit(LEAST_STRONG))).otherwise(odds)  # a strong word decides, however few hosts have it
+    return materialize(seen.select("f", (F.col("bad") + F.col("good")).alias("n"), F.round(odds * UNIT).cast("long").alias("odds")), "url-odds"), math.log((bad + 1) / (good + 1))
 
-    base = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    scored = base.select("*", rule(F.col("host"), F.col("path")).alias("rule"), score("host", "path").alias("score"))
+
+def verdicts(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, score (log odds of blocking) and verdict for each row."""
+    base = materialize(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), "urls")
+    rows = base.where("host <> ''").select("row", "host", "path")
+    found = features(rows)
+    odds, prior = learn(rows, found)
+    sums = _looked_up(found, odds, ["f"], "odds").groupBy("row").agg(F.sum("odds").alias("odds"))
+    score = F.when(F.col("host") == "", F.lit(-1.0)).otherwise(F.lit(prior) + F.coalesce(F.col("odds"), F.lit(0)) / UNIT)
+    scored = base.join(sums, "row", "left").select("page_id", "host", "path", rule(F.col("host"), F.col("path")).alias("rule"), score.alias("score"))
     by_rule = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])
     return scored.select("page_id", "host", "path", "rule", "score", F.coalesce(F.element_at(by_rule, F.col("rule")), F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
