@@ -1,4 +1,7 @@
-"""Tables larger than what goes to each task."""
+"""Names that are several words in one, through verdicts(), and tables larger than what goes to each task."""
+
+import pytest
+from pyspark.sql import functions as F
 
 from vexel.llm import urls
 
@@ -7,9 +10,25 @@ def table(spark, found):
     return spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
 
 
+def test_concatenated_names_that_repeat(spark):
+    bad = ["cheappills", "casinowin", "freepoker", "adultdating"]
+    rows = table(spark, [f"http://{n}.com/item/{k}" for n in bad for k in range(50)] + [f"http://garden{k % 3}.org/notes/{k}" for k in range(300)])
+    got = {(r["host"], r["verdict"]) for r in urls.verdicts(rows).select("host", "verdict").distinct().collect()}
+    assert got == {(f"{n}.com", "block") for n in bad} | {(f"garden{k}.org", "allow") for k in range(3)}
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     rows = table(spark, [f"http://{a}{b}-{b}{k}.com/{a}/{b}" for k, (a, b) in enumerate((a, b) for a in ("river", "casino", "stone") for b in ("pills", "garden", "tree"))] * 3 + [None, "http:///x"])
     result = lambda: sorted((r["page_id"], round(r["score"], 6), r["verdict"]) for r in urls.verdicts(rows).collect())
     all_hot = result()
     monkeypatch.setattr(urls, "HOT", 2)
     assert result() == all_hot and len(all_hot) == 29 and {v for _, _, v in all_hot} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("own, split", [(False, ["cheap", "pills"]), (True, ["cheap", "pills"])])
+def test_own_count_is_left_out(spark, own, split):
+    known = urls.words(table(spark, []).select(F.lit("").alias("host"), F.lit("").alias("path")))
+    if own:
+        known = known.union(spark.createDataFrame([("cheappills", 1)], known.schema))
+    names = spark.createDataFrame([("cheappills", own, 1)], "name string, own boolean, n long")
+    assert urls.segments(names, known).first()["words"] == split

@@ -1,6 +1,8 @@
 """URL filter: listed rules first, then naive Bayes over segmented host words and path words.
 
-Names in a host are split into words by a unigram Viterbi search. Words are the parts of the hosts of all rows and a seed list.
+Names in a host are split into words by a unigram Viterbi search. Words are the parts of names that a hyphen or digit divides,
+counted once for each such name, the words of paths, counted once for each host whose names don't have them, and a seed list;
+a part is judged without its own name's count. A name that nothing divides is thus no evidence for itself, however many rows it has.
 Naive Bayes learns from the urls themselves: hosts with a seed word are examples to block, others to allow. All words, features
 and their odds are kept in tables and joined; only the ``HOT`` commonest keys go to every task, so that no frequent key is shuffled.
 
@@ -86,7 +88,9 @@ def _names(rows: DataFrame, *keep: str) -> DataFrame:
 
 def words(rows: DataFrame) -> DataFrame:
     """w and c of all words, from the column host and path."""
-    each = _names(rows).select(F.col("name").alias("w")).where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("c"))
+    divided = _names(rows).where("own").select("label", F.col("name").alias("w")).distinct().select("w")
+    paths = rows.select("host", F.explode(F.array_except(parts(F.col("path")), parts(F.col("host")))).alias("w")).distinct().select("w")
+    each = divided.union(paths).where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("c"))
     return materialize(each.union(_seeds(each, 50)).groupBy("w").agg(F.sum("c").alias("c")), "url-words")
 
 
@@ -97,8 +101,8 @@ def segments(names: DataFrame, known: DataFrame) -> DataFrame:
     @F.pandas_udf("array<string>")
     def split(name: pd.Series, own: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for n, pairs in zip(name, found, strict=True):
-            counts = {x["w"]: x["c"] for x in pairs}
+        for n, o, pairs in zip(name, own, found, strict=True):
+            counts = {x["w"]: x["c"] - int(o and x["w"] == n) for x in pairs}
             out.append(split_words(n, {w: total - math.log(c + 1) for w, c in counts.items() if c}, total))
         return pd.Series(out, dtype=object)
 
