@@ -10,7 +10,7 @@ verified by the exact weighted Jaccard similarity of the shingles, weights being
 
 Only shingles that occur in an item leave a row's own task. The items' tables go by Spark's own size check: broadcast if small, else joined by a shuffle.
 
-Defined results: a null text or item counts as empty and matches nothing; a document shorter than the item is compared
+Defined results: an item of fewer than five words matches whole texts only, not windows; a null text or item counts as empty and matches nothing; a document shorter than the item is compared
 whole; repeated documents are matched each; columns other than those named are ignored by ``matches`` and kept by
 ``remove_matched``. All of it is DataFrame expressions.
 """
