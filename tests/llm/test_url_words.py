@@ -1,7 +1,10 @@
-"""Names that are several words in one, through verdicts(), and tables larger than what goes to each task."""
+"""Segmentation and naive Bayes of the URL filter against brute force, and tables larger than what goes to each task."""
+
+import math
+import re
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from vexel.llm import urls
 
@@ -10,8 +13,78 @@ def table(spark, found):
     return spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
 
 
+def split_all(name):
+    """Every way to cut a name."""
+    if not name:
+        yield []
+    for k in range(1, len(name) + 1):
+        for rest in split_all(name[k:]):
+            yield [name[:k], *rest]
+
+
+def brute(found):
+    """Scores by the docstring, without Spark: every cut of every name, then one step of expectation maximisation."""
+    letters = lambda t: [w for w in re.split("[^a-z]+", t.lower()) if w]
+    pages = [(m[1].lower(), m[2]) for m in (re.match(r"[^:]*://([^/?#]*)([^?#]*)", u) for u in found)]
+    hosts = sorted({h for h, _ in pages})
+    named = {(h, x, len(letters(x)) > 1, n) for h in hosts for x in h.split(".") for n in letters(x)}
+    known = Counter(urls.lexicon())
+    known.update(w for w in (n for _, n in {(x, n) for _, x, own, n in named if own}) if len(w) > 1)
+    known.update(w for h, w in {(h, w) for h, p in pages for w in letters(p)} if w not in {n for g, _, _, n in named if g == h} and len(w) > 1)
+    total = math.log(sum(known.values()) + len(known))
+
+    def cut(name, own):
+        cost = lambda w: total - math.log(known[w] - (own and w == name) + 1) if known[w] - (own and w == name) else total + 2.5 * len(w)
+        return min(split_all(name), key=lambda ws: sum(map(cost, ws)))
+
+    at = {h: [f"h:{w}" for x in h.split(".") for n in letters(x) for w in cut(n, len(letters(x)) > 1)] for h in hosts}
+    docs = {h: set(at[h]) | {f"p:{w}" for g, p in pages if g == h for w in letters(p)} for h in hosts}
+    prior = math.log(urls.PRIOR / (1 - urls.PRIOR))
+
+    def odds(seen):
+        more = urls.ALPHA * urls.PRIOR, urls.ALPHA * (1 - urls.PRIOR)
+        b, g = (sum(v[k] for v in seen.values()) + more[k] * len(seen) for k in (0, 1))
+        return {f: math.log((v[0] + more[0]) / b) - math.log((v[1] + more[1]) / g) for f, v in seen.items()}
+
+    listed = urls.examples()
+    first = odds(listed)
+    post = {h: 1 / (1 + math.exp(-prior - sum(first.get(f, 0) for f in fs))) for h, fs in docs.items()}
+    weight = min(1, urls.MOST_WEIGHT * sum(map(sum, listed.values())) / sum(map(len, docs.values())))
+    seen = {f: list(listed.get(f, (0, 0))) for f in set(listed) | set().union(*docs.values())}
+    for h, fs in docs.items():
+        for f in fs:
+            seen[f][0] += weight * post[h]
+            seen[f][1] += weight * (1 - post[h])
+    final = odds(seen)
+    return [prior + sum(final[f] for f in at[h]) + sum(final[f"p:{w}"] for w in letters(p)) for h, p in pages], at
+
+
+FOUND = [f"http://{h}{p}" for h in ("cheappills.com", "casinowin.com", "gardennotes.org", "www.river-trail.com", "freesoftware.org", "quiet.com", "m.casino-guide.com", "1.2.3.4")
+         for p in ("/item/1", "/jackpot/bonus?x=1", "/books/catalog.html", "", "/river/river")]
+
+
+def test_brute_force(spark):
+    expected, at = brute(FOUND)
+    got = {r["page_id"]: r for r in urls.verdicts(table(spark, FOUND)).collect()}
+    assert [got[k]["score"] for k in range(len(FOUND))] == pytest.approx(expected, abs=1e-6)
+    assert [got[k]["verdict"] for k in range(len(FOUND))] == ["block" if x > 0 else "allow" for x in expected]
+    assert at["cheappills.com"][:2] == ["h:cheap", "h:pills"] and at["gardennotes.org"][:2] == ["h:garden", "h:notes"]
+
+
+def test_paths_alone_change_a_verdict(spark):
+    rows = [f"http://quiet{k}.com/item/{k}" for k in range(20)] + ["http://quiet20.com/jackpot/bonus", "http://quiet20.com/books/catalog.html"]
+    got = [r["verdict"] for r in urls.verdicts(table(spark, rows)).orderBy("page_id").collect()]
+    assert got == ["allow"] * 20 + ["block", "allow"]
+
+
+def test_no_word_decides_alone(spark):
+    """A name with a blocked example's word is allowed where the other words speak against it."""
+    rows = table(spark, ["http://casino-library.com/books/catalog", "http://casinolibrary.com/students/papers", "http://casino-jackpot.com/slots"])
+    assert [r["verdict"] for r in urls.verdicts(rows).orderBy("page_id").collect()] == ["allow", "allow", "block"]
+
+
 def test_concatenated_names_that_repeat(spark):
-    bad = ["cheappills", "casinowin", "freepoker", "adultdating"]
+    bad = ["cheappills", "casinowin", "freepoker", "adultdating", "freecasinobonus"]
     rows = table(spark, [f"http://{n}.com/item/{k}" for n in bad for k in range(50)] + [f"http://garden{k % 3}.org/notes/{k}" for k in range(300)])
     got = {(r["host"], r["verdict"]) for r in urls.verdicts(rows).select("host", "verdict").distinct().collect()}
     assert got == {(f"{n}.com", "block") for n in bad} | {(f"garden{k}.org", "allow") for k in range(3)}
@@ -25,10 +98,16 @@ def test_rare_words_are_joined(spark, monkeypatch):
     assert result() == all_hot and len(all_hot) == 29 and {v for _, _, v in all_hot} == {"allow", "block"}
 
 
-@pytest.mark.parametrize("own, split", [(False, ["cheap", "pills"]), (True, ["cheap", "pills"])])
-def test_own_count_is_left_out(spark, own, split):
-    known = urls.words(table(spark, []).select(F.lit("").alias("host"), F.lit("").alias("path")))
-    if own:
-        known = known.union(spark.createDataFrame([("cheappills", 1)], known.schema))
+def test_odd_rows(spark):
+    long = "http://" + "casinowin" * 40 + ".com/" + "pills/" * 300
+    rows = table(spark, [None, "", "no scheme", "http://", "http://1.2.3.4/5", long, long, "HTTP://ÄÖ.com/ß"])
+    got = urls.verdicts(rows).orderBy("page_id").collect()
+    assert len(got) == 8 and [r["verdict"] for r in got[:4]] == ["allow"] * 4 and got[5]["score"] == got[6]["score"] > 0
+    assert urls.verdicts(rows.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_own_count_is_left_out(spark, own):
+    known = spark.createDataFrame([*urls.lexicon().items(), *([("cheappills", 1)] if own else [])], "w string, c long")
     names = spark.createDataFrame([("cheappills", own, 1)], "name string, own boolean, n long")
-    assert urls.segments(names, known).first()["words"] == split
+    assert urls.segments(names, known).first()["words"] == ["cheap", "pills"]

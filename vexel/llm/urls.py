@@ -1,18 +1,26 @@
 """URL filter: listed rules first, then naive Bayes over segmented host words and path words.
 
-Names in a host are split into words by a unigram Viterbi search. Words are the parts of names that a hyphen or digit divides,
-counted once for each such name, the words of paths, counted once for each host whose names don't have them, and a seed list;
-a part is judged without its own name's count. A name that nothing divides is thus no evidence for itself, however many rows it has.
-Naive Bayes learns from the urls themselves: hosts with a seed word are examples to block, others to allow. All words, features
+Names in a host are split into words by a unigram Viterbi search. Its words and their counts come from a lexicon, the words that
+two public tokenizers' vocabularies share with counts by Zipf's rule from their rank, and from the table: the parts of names that
+a hyphen or digit divides, counted once for each such name, and the words of paths, counted once for each host whose names
+don't have them. A part is judged without its own name's count, so a name that nothing divides is no evidence for itself.
+
+There are no labels for pages. Multinomial naive Bayes starts from the labelled example urls below and takes one step of
+expectation maximisation over the table: each host, with its words and the different words of its paths, counts for both classes
+by its posterior under the examples. No word decides alone; a verdict is the sign of the summed log odds. All words, features
 and their odds are kept in tables and joined; only the ``HOT`` commonest keys go to every task, so that no frequent key is shuffled.
 
 Defined results: a null url, or one without "://", has empty host and path, no rule, and is allowed; rows that repeat are judged
-each; an empty table gives an empty result; other columns are ignored.
+each, and a host counts once in learning, however many rows it has; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
+from functools import cache
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,11 +30,26 @@ from vexel.llm.text import small_batches
 from vexel.plans.storage import materialize
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Words of hosts to block, a fixed list.
-SEEDS = ("ads", "adult", "bet", "bets", "bonus", "buy", "casino", "cheap", "click", "crack", "dating", "deals", "discount", "escort", "free", "jackpot", "loan", "loans", "lottery", "pharma", "pill", "pills", "poker", "porn", "prize", "promo", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "winner", "xxx")
-STRONG = ("ads", "adult", "bets", "casino", "escort", "jackpot", "lottery", "pills", "poker", "porn", "replica", "slots", "spam", "viagra", "warez", "xxx")
-HOT, LONGEST, LEAST_STRONG = 20_000, 24, 8.0
-#: Steps to a unit of log odds, so that sums are exact.
+#: Labelled example urls (host words, then path words), a parameter of the learner.
+BLOCKED = (
+    "adult dating / singles xxx", "adult video / porn free", "hot adult chat / sex cam", "porn tube / xxx free", "escort girls / adult sex",
+    "casino win / slots bonus", "online casino / jackpot spin", "poker room / casino bonus", "free bets / odds win", "sport bets / bonus free bets", "lottery winner / claim prize", "lucky slots / win jackpot",
+    "cheap pills / buy viagra", "discount pharma / pills order", "cheap viagra / buy now", "weight loss pills / cheap order", "replica watches / cheap buy", "replica bags / discount deals",
+    "ads track / click banner", "ad tracker / pixel click", "ads server / banner track", "click ads / popup track", "spam farm / links seo", "link farm / spam backlinks", "spam mail / bulk send",
+    "payday loans / fast cash", "cash loan / instant approve", "get rich / money fast", "free prize / claim winner", "warez crack / keygen serial", "cracked software / free warez", "promo deals / discount coupon",
+)
+ALLOWED = (
+    "city library / books catalog", "public school / students news", "garden notes / plants soil", "open science / papers review", "daily news / article politics", "weather report / forecast rain", "music lessons / piano scales",
+    "history museum / exhibits visit", "travel guide / city walks", "family recipes / bread soup", "health clinic / doctors visit", "university press / books journal", "river hikers / trail map", "football club / match report",
+    "local council / services tax", "software docs / guide install", "code blog / tutorial python", "photo journal / mountains lake", "car repair / manual engine", "bird watch / species list", "film review / actors cinema",
+    "chess club / games openings", "law office / family contract", "house design / kitchen windows", "bank help / account card", "train times / station map", "art gallery / painting artists", "math forum / algebra proof",
+    "farm market / milk apples", "free software / source license", "win tracker / release notes", "wildlife trust / forest project",
+)
+#: Share of hosts to block before any evidence, pseudo-count of a feature, and the most that a table's hosts weigh against the examples.
+PRIOR, ALPHA, MOST_WEIGHT = 0.1, 0.2, 4.0
+#: The longest word looked up, as a part of a name has at most 63 octets in the domain name system.
+HOT, LONGEST = 20_000, 63
+#: Steps to a unit of log odds or of a posterior, so that sums are exact.
 UNIT = 10**9
 
 
@@ -66,32 +89,45 @@ def parts(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z]+"), "")
 
 
+@cache
+def lexicon(longest_first: int = 1_000_000) -> dict[str, int]:
+    """Words that are both a beginning in one public vocabulary and an ending in another, and so whole; counts fall as one over the rank."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as b:
+        begins, ends = (json.load(f)["model"]["vocab"] for f in (a, b))
+    whole = sorted((i, w[:-4]) for w, i in ends.items() if w.endswith("</w>") and "\u0120" + w[:-4] in begins)
+    rank = count(1)
+    return {w: longest_first // next(rank) for _, w in whole if len(w) > 1 and w.isascii() and w.isalpha()}
+
+
 class Judge:
-    """Costs of words by their counts; the seeds count fifty times more."""
+    """Costs of words by their counts."""
 
     def __init__(self, counts: dict[str, int]):
-        for w in SEEDS:
-            counts[w] = counts.get(w, 0) + 50
         self.total = math.log(sum(counts.values()) + len(counts))
         self.cost = {w: self.total - math.log(c + 1) for w, c in counts.items()}
 
 
-def _seeds(df: DataFrame, *values) -> DataFrame:
-    return df.sparkSession.createDataFrame([(w, *values) for w in SEEDS], df.schema)
+def examples() -> dict[str, tuple[float, float]]:
+    """How often each feature occurs in the blocked and the allowed examples, each class weighed by its share, so that words of both are no evidence."""
+    seen = [Counter(f for e in kind for side, part in zip("hp", e.split(" / "), strict=True) for f in (f"{side}:{w}" for w in part.split())) for kind in (BLOCKED, ALLOWED)]
+    return {f: (2 * PRIOR * seen[0][f], 2 * (1 - PRIOR) * seen[1][f]) for f in seen[0] | seen[1]}
 
 
-def _names(rows: DataFrame, *keep: str) -> DataFrame:
-    """The columns in keep with label (a host's part between dots), name (a run of letters in it) and own: whether the label has more than one."""
-    labels = rows.select(*keep, F.explode(F.split("host", "\\.")).alias("label")).select(*keep, "label", parts(F.col("label")).alias("w"))
-    return labels.select(*keep, "label", (F.size("w") > 1).alias("own"), F.explode("w").alias("name"))
+def _names(hosts: DataFrame) -> DataFrame:
+    """host, label (its part between dots), name (a run of letters in it) and own: whether the label has more than one."""
+    labels = hosts.select("host", F.explode(F.split("host", "\\.")).alias("label")).select("host", "label", parts(F.col("label")).alias("w"))
+    return labels.select("host", "label", (F.size("w") > 1).alias("own"), F.explode("w").alias("name"))
 
 
-def words(rows: DataFrame) -> DataFrame:
-    """w and c of all words, from the column host and path."""
-    divided = _names(rows).where("own").select("label", F.col("name").alias("w")).distinct().select("w")
-    paths = rows.select("host", F.explode(F.array_except(parts(F.col("path")), parts(F.col("host")))).alias("w")).distinct().select("w")
-    each = divided.union(paths).where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("c"))
-    return materialize(each.union(_seeds(each, 50)).groupBy("w").agg(F.sum("c").alias("c")), "url-words")
+def words(named: DataFrame, paths: DataFrame, known: dict[str, int] | None = None) -> DataFrame:
+    """w and c of all words: the lexicon's, those of divided names, and those of paths, given as host and w."""
+    divided = named.where("own").select("label", F.col("name").alias("w")).distinct().select("w")
+    other = paths.distinct().join(named.select("host", F.col("name").alias("w")).distinct(), ["host", "w"], "left_anti").select("w")
+    each = divided.union(other).where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("c"))
+    listed = named.sparkSession.createDataFrame(list((lexicon() if known is None else known).items()), "w string, c long")
+    return materialize(each.union(listed).groupBy("w").agg(F.sum("c").alias("c")), "url-words")
 
 
 def segments(names: DataFrame, known: DataFrame) -> DataFrame:
@@ -125,39 +161,48 @@ def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -
     return most.where(F.col(value).isNotNull()).unionByName(rest)
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """row and f: h: with each word of a host, and p: with each word of a path, as often as they occur."""
-    named = materialize(_names(rows, "row").select("row", "name", "own"), "url-names")
-    split = segments(named.groupBy("name", "own").agg(F.count("*").alias("n")), words(rows))
-    hosts = _looked_up(named, split, ["name", "own"], "words").select("row", F.explode("words").alias("w"))
-    paths = rows.select("row", F.explode(parts(F.col("path"))).alias("w"))
-    return materialize(hosts.select("row", F.concat(F.lit("h:"), "w").alias("f")).union(paths.select("row", F.concat(F.lit("p:"), "w").alias("f"))), "url-features")
+def _odds(seen: DataFrame, bad: str, good: str) -> DataFrame:
+    """f, n and odds (fixed-point) from the weights of each feature in both classes."""
+    b, g, size = seen.agg(F.coalesce(F.sum(bad), F.lit(0.0)), F.coalesce(F.sum(good), F.lit(0.0)), F.count("*")).first()
+    a, z = ALPHA * PRIOR, ALPHA * (1 - PRIOR)
+    odds = F.ln((F.col(bad) + a) / (b + a * size)) - F.ln((F.col(good) + z) / (g + z * size))
+    return seen.select("f", "n", F.round(odds * UNIT).cast("long").alias("odds"))
 
 
-def learn(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, float]:
-    """f, n and odds (fixed-point) of all features, and the prior log odds."""
-    strong = found.where(F.col("f").isin([f"h:{w}" for w in STRONG])).select("row", F.lit(1).alias("label")).distinct()
-    strong = materialize(strong, "url-strong")
-    bad = strong.count()
-    good = rows.count() - bad
-    is_bad = F.col("label").isNotNull().cast("long")
-    seen = found.join(strong, "row", "left").groupBy("f").agg(F.sum(is_bad).alias("bad"), F.sum(1 - is_bad).alias("good"))
-    more = _seeds(seen, 5 + bad // 50, 0).withColumn("f", F.concat(F.lit("h:"), "f"))
-    seen = materialize(seen.union(more).groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "url-seen")
-    b, g, size = seen.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
-    odds = F.ln((F.col("bad") + 0.5) / (b + 0.5 * size)) - F.ln((F.col("good") + 0.5) / (g + 0.5 * size))
-    odds = F.when(F.col("f").isin([f"h:{w}" for w in STRONG]), F.greatest(odds, F.lit(LEAST_STRONG))).otherwise(odds)  # a strong word decides, however few hosts have it
-    return materialize(seen.select("f", (F.col("bad") + F.col("good")).alias("n"), F.round(odds * UNIT).cast("long").alias("odds")), "url-odds"), math.log((bad + 1) / (good + 1))
+def learn(found: DataFrame) -> DataFrame:
+    """f, n (hosts) and odds (fixed-point log odds of blocking) of all features, from host and f, each pair once."""
+    listed = found.sparkSession.createDataFrame([(f, 0, *both) for f, both in examples().items()], "f string, n long, bad double, good double")
+    first = F.broadcast(_odds(listed, "bad", "good"))  # no more rows than the examples have words
+    sums = found.join(first.select("f", "odds"), "f", "left").groupBy("host").agg(F.coalesce(F.sum("odds"), F.lit(0)).alias("odds"))
+    posterior = 1 / (1 + F.exp(-(F.col("odds") / UNIT + math.log(PRIOR / (1 - PRIOR)))))
+    believed = materialize(sums.select("host", F.round(posterior * UNIT).cast("long").alias("bad")), "url-posteriors")
+    soft = found.join(believed, "host").groupBy("f").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum(F.lit(UNIT) - F.col("bad")).alias("good"))
+    soft = materialize(soft, "url-soft")
+    mass = soft.agg(F.sum("n")).first()[0] or 1
+    weight = min(1.0, MOST_WEIGHT * sum(b + g for b, g in examples().values()) / mass) / UNIT
+    both = soft.select("f", "n", (F.col("bad") * weight).alias("bad"), (F.col("good") * weight).alias("good")).union(listed)
+    seen = materialize(both.groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")), "url-seen")
+    return materialize(_odds(seen, "bad", "good"), "url-odds")
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, score (log odds of blocking) and verdict for each row."""
     base = materialize(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), "urls")
-    rows = base.where("host <> ''").select("row", "host", "path")
-    found = features(rows)
-    odds, prior = learn(rows, found)
-    sums = _looked_up(found, odds, ["f"], "odds").groupBy("row").agg(F.sum("odds").alias("odds"))
-    score = F.when(F.col("host") == "", F.lit(-1.0)).otherwise(F.lit(prior) + F.coalesce(F.col("odds"), F.lit(0)) / UNIT)
-    scored = base.join(sums, "row", "left").select("page_id", "host", "path", rule(F.col("host"), F.col("path")).alias("rule"), score.alias("score"))
+    usable = base.where("host <> ''")
+    hosts = materialize(usable.groupBy("host").agg(F.count("*").alias("n")), "url-hosts")
+    named = materialize(_names(hosts), "url-names")
+    paths = materialize(usable.select("row", "host", F.explode(parts(F.col("path"))).alias("w")), "url-paths")
+    split = segments(named.groupBy("name", "own").agg(F.count("*").alias("n")), words(named, paths.select("host", "w")))
+    of_hosts = materialize(_looked_up(named, split, ["name", "own"], "words").select("host", F.explode("words").alias("w")).select("host", F.concat(F.lit("h:"), "w").alias("f")), "url-features")
+    of_paths = paths.select("row", "host", F.concat(F.lit("p:"), "w").alias("f"))
+    odds = learn(of_hosts.union(of_paths.select("host", "f")).distinct())
+    total = F.coalesce(F.sum("odds"), F.lit(0))
+    by_host = hosts.join(_looked_up(of_hosts, odds, ["f"], "odds").groupBy("host").agg(total.alias("odds")), "host", "left")
+    by_host = materialize(by_host.select("host", "n", F.coalesce("odds", F.lit(0)).alias("host_odds")), "url-hosts")
+    by_path = _looked_up(of_paths.select("row", "f"), odds, ["f"], "odds").groupBy("row").agg(total.alias("path_odds"))
+    each = _looked_up(usable, by_host, ["host"], "host_odds").join(by_path, "row", "left")
+    score = F.lit(math.log(PRIOR / (1 - PRIOR))) + (F.col("host_odds") + F.coalesce(F.col("path_odds"), F.lit(0))) / UNIT
+    scored = each.select("page_id", "host", "path", score.alias("score")).unionByName(base.where("host = ''").select("page_id", "host", "path", F.lit(-1.0).alias("score")))
     by_rule = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])
-    return scored.select("page_id", "host", "path", "rule", "score", F.coalesce(F.element_at(by_rule, F.col("rule")), F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
+    ruled = scored.select("page_id", "host", "path", rule(F.col("host"), F.col("path")).alias("rule"), "score")
+    return ruled.select("*", F.coalesce(F.element_at(by_rule, F.col("rule")), F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
