@@ -71,18 +71,40 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("page_id", "header", "payload", F.concat(F.encode("header", "UTF-8"), body, F.encode(F.lit(END + END), "UTF-8")).alias("record"))
 
 
-def field(name: str) -> Column:
-    """A named field of the column header."""
-    return F.regexp_extract("header", f"\\r\\n{name}: ([^\\r]*)", 1)
+def field(name: str, of: str = "header") -> Column:
+    """A named field of a column of headers."""
+    return F.regexp_extract(F.concat(F.lit(END), of, F.lit(END)), f"\\r\\n{name}: ([^\\r]*)", 1)
+
+
+def _cut(bytes_: str, head: str) -> Column:
+    """What follows the column head and an empty line in a column of bytes."""
+    return F.substring(bytes_, F.octet_length(head) + len(END + END) + 1, F.octet_length(bytes_))
 
 
 def describe(restored: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to, from the restored records' headers and payloads."""
-    digest = base32_of_hex(F.sha1("payload"))
-    checked = F.when(F.concat(F.lit("sha1:"), digest) == field("WARC-Payload-Digest"), digest).otherwise(F.raise_error(F.lit("the header names another digest")))
-    return restored.select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), checked.alias("payload_digest"), field("WARC-Type").alias("record_type"),
-        F.nullif(F.regexp_extract(field("WARC-Refers-To"), "x-page:(-?\\d+)", 1), F.lit("")).cast("long").alias("refers_to"),
+    """page_id, payload_bytes, payload_digest, record_type and refers_to, parsed from the bytes of each restored record.
+
+    A record is its WARC headers, an empty line, a block and two line ends; the block is the HTTP headers, an empty line and the body.
+    Lengths of block and body and the body's digest must be those that the headers state; a revisit has no body, and its payload,
+    which the join brought, must be what its headers state.
+    """
+    head = lambda c: F.substring_index(F.col(c).cast("string"), END + END, 1)
+    one = restored.select("page_id", "record", "payload", head("record").alias("warc"))
+    two = one.select("page_id", "payload", "warc", _cut("record", "warc").alias("rest"))
+    two = two.select("page_id", "payload", "warc", F.substring("rest", F.lit(1), F.octet_length("rest") - len(END + END)).alias("block"), F.substring("rest", F.octet_length("rest") - len(END + END) + 1, F.lit(len(END + END))).alias("end"))
+    three = two.select("*", head("block").alias("http"), field("WARC-Type", "warc").alias("record_type"))
+    four = three.select("*", _cut("block", "http").alias("body"), field("Content-Length", "http").cast("long").alias("size"))
+    whole = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("body"))
+    five = four.select("page_id", "warc", "record_type", "size", whole.alias("whole"), (
+        (field("Content-Length", "warc").cast("long") == F.octet_length("block")) & (F.col("end") == F.encode(F.lit(END + END), "UTF-8"))
+        & (F.octet_length("body") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("size")))
+    ).alias("framed"))
+    six = five.select("*", base32_of_hex(F.sha1("whole")).alias("digest"))
+    right = F.col("framed") & (F.octet_length("whole") == F.col("size")) & (F.concat(F.lit("sha1:"), F.col("digest")) == field("WARC-Payload-Digest", "warc"))
+    checked = F.when(right, F.col("digest")).otherwise(F.raise_error(F.lit("the record is not what its headers state")))
+    return six.select(
+        "page_id", F.col("size").alias("payload_bytes"), checked.alias("payload_digest"), "record_type",
+        F.nullif(F.regexp_extract(field("WARC-Refers-To", "warc"), "x-page:(-?\\d+)", 1), F.lit("")).cast("long").alias("refers_to"),
     )
 
 
