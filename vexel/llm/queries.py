@@ -34,7 +34,7 @@ def op5_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     odd = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{said}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{said}'")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
-    return chat.read_back(chat.transcripts(rows))
+    return chat.read_back(materialize(chat.transcripts(rows), "chat"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +42,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five batches: all documents under both tokenizer versions; German ones revised to the second version's counts under the first's name; those of fewer than 50 words deleted from the first; that batch once more."""
+    """Five batches: all documents under both tokenizer versions; German ones revised to the second version's counts under the first's name; those of fewer than 50 words deleted from the first; that batch once more. Three batches make a base, so the last comes on top of it."""
     docs = table(spark, sf_dir, "documents")
     counts = materialize(docs.select("source", "lang", *[rollups.count_tokens(F.col("text"), v).alias(f"n{k}") for k, v in enumerate(rollups.VERSIONS)]), "token-counts")
     one, two = rollups.VERSIONS
     event = lambda df, op, version, now, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), now.alias("tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens"))
     german = F.col("lang").eqNullSafe(F.lit("de"))
-    ledger = rollups.Ledger(spark, storage.new_path(spark, "ledger"))
+    ledger = rollups.Ledger(spark, storage.new_path(spark, "ledger"), fold_after=3)
     ledger.commit(1, event(counts, "insert", one, F.col("n0")))
     ledger.commit(2, event(counts, "insert", two, F.col("n1")))
     ledger.commit(3, event(counts.where(german), "revise", one, F.col("n1"), F.col("n0")))
