@@ -4,9 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
-from itertools import combinations
 
 import numpy as np
 import pytest
@@ -72,6 +72,26 @@ def test_warc(spark):
     assert warc.roundtrip(pages.where("false")).count() == 0
 
 
+def test_warc_odd_rows_and_damage(spark):
+    rows = [(None, "http://a", "same page"), (1, "http://b", "same page"), (1, "http://c", "same page"), (2, "http://ü/\r\n\r\nx", "\r\n\r\n"), (3, None, "x"), (4, None, "x"), (5, "u", "y" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.roundtrip(pages, least=2).collect()
+    kinds = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got)
+    assert kinds == sorted([(0, "revisit", 1, 9), (1, "response", None, 9), (1, "response", None, 9), (2, "response", None, 4), (3, "response", None, 1), (4, "response", None, 1), (5, "response", None, 300_000)], key=lambda k: k[:1] + k[1:2])
+    path = storage.new_path(spark, "warc")
+    warc.write(pages, path)
+    back = warc.restore(spark, path)
+    changed = F.encode(F.replace(F.col("record").cast("string"), F.lit("same page"), F.lit("Same page")), "UTF-8")
+    with pytest.raises(Exception, match="not what its headers state"):  # the digests are those of the record's own bytes
+        warc.describe(back.withColumn("record", changed)).collect()
+    with pytest.raises(Exception, match="not what its headers state"):
+        warc.describe(back.withColumn("record", F.concat("record", F.encode(F.lit("x"), "UTF-8")))).collect()
+    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.encode(F.lit("other"), "UTF-8")).write.parquet(f"{path}/bad/payloads")
+    spark.read.parquet(f"{path}/records").write.parquet(f"{path}/bad/records")
+    with pytest.raises(Exception, match="payload does not match"):
+        warc.restore(spark, f"{path}/bad").collect()
+
+
 def test_decontamination(spark, docs):
     item = " ".join(f"q{i}" for i in range(30))
     near = item.split()
@@ -172,6 +192,25 @@ def test_chat(spark):
     assert chat.read_back(chat.transcripts(df.where("false"))).count() == 0
 
 
+def test_chat_examples_carry_the_result(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>"), (1, 1, "assistant", "<|im_end|>"), (None, 0, "a\x00\\\nb<\\|", "t"), (None, 1, "assistant", "ü\\"), (4, 0, "assistant", None), (5, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("target", F.lit("clash"))
+    made = chat.transcripts(df)
+    by = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    for c in (1, None, 4, 5):
+        mine = [r for r in rows if r[0] == c]
+        loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        assert by[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest()
+        assert (by[c]["n_turns"], by[c]["loss_sha256"], by[c]["loss_chars"]) == (len(mine), hashlib.sha256(loss.encode()).hexdigest(), len(loss))
+    for r in chat.expand(made).collect():
+        assert r["formatted"][r["context_chars"] :].startswith(r["target"] + "<|im_end|>") and r["formatted"][: r["context_chars"]].endswith("<|im_start|>assistant\n")
+    moved = made.withColumn("examples", F.transform("examples", lambda e: e.withField("context_chars", e["context_chars"] + 1)))
+    with pytest.raises(Exception, match="no assistant's text"):
+        chat.read_back(moved).collect()
+    none = made.withColumn("examples", F.slice("examples", 1, 0))
+    assert {r["loss_chars"] for r in chat.read_back(none).collect()} == {0}  # the loss text is that of the exploded rows
+
+
 def test_urls(spark):
     cases = {"https://a.example.net/en/1": "example.net/en/", "http://x.net/q": "net/", "http://X.NET": None, "http://a.org/fr/x?y": "org/fr/", "http://example.com/de/": "example.com/de/", "http://badexample.com/de/": None, "nothing": None, None: None, "http://casino-win.example.com/": None, "http://quiet.example.com/x#y": None}
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string").withColumn("host", F.lit("clash"))
@@ -192,6 +231,25 @@ def test_rollups(spark):
     ledger.commit(2, event([("delete", "a", "en", "v", 5, None), ("revise", "a", "en", "v", 9, 7)]))
     ledger.commit(3, first.where("false"))
     assert {(r["source"], r["docs"], r["tokens"]) for r in ledger.totals().collect()} == {("a", 1, 9), (None, 1, 0)}
+    with pytest.raises(Exception, match="op must be"):
+        ledger.commit(4, event([("upsert", "a", "en", "v", 5, None)]))
+    assert not ledger.committed(4) and ledger.commit(4, first)  # a commit that broke off is done again
+
+
+def test_rollups_are_folded(spark):
+    """Totals are a base and the batches since; folded batches count once, also where a fold broke off."""
+    path = storage.new_path(spark, "ledger")
+    ledger = rollups.Ledger(spark, path, fold_after=2)
+    one = spark.createDataFrame([("insert", "a", "en", "v", 5, None)], "op string, source string, lang string, version string, tokens long, old_tokens long")
+    total = lambda: tuple(ledger.totals().select("docs", "tokens").first())
+    for k in (7, 3, 9, 1, 2):
+        assert ledger.commit(k, one) and not ledger.commit(k, one)
+    assert total() == (5, 25) and ledger._base() == 2 and ledger._numbers("batch") == [2]
+    rollups.deltas(one).write.parquet(f"{path}/batch=3")  # a folder that a broken-off fold left behind
+    spark.createDataFrame([("a", "en", "v", 99, 99)], rollups.SCHEMA).write.parquet(f"{path}/base=8/totals")  # a base without its ids
+    assert total() == (5, 25) and all(not ledger.commit(k, one) for k in (7, 3, 9, 1, 2))
+    ledger.fold()
+    assert total() == (5, 25) and ledger._base() == 9 and ledger._numbers("base") == [9]
 
 
 def test_toxicity(spark):
@@ -207,10 +265,34 @@ def test_toxicity(spark):
     assert scores == {1: 0, 2: 0, None: 1, 4: 0}
     assert toxicity.keep_clean(odd.withColumn("score", F.lit(1)), model).columns == ["doc_id", "text", "score"]
     assert not toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic").where("false")).weights
+    many = toxicity.Model({" trash": 5.0, " sore": 1.0}, ("trash can", "can sore"), slopes=(1.0, 0, 0), base=-1)
+    began = time.time()
+    assert many.features("trash can sore " * 30_000, many.matcher())[0] == 0 and time.time() - began < 5
+    assert many.features("trash can " * 5 + "trash", many.matcher())[0] > 0
     m = toxicity.Model({" trash": 5.0}, slopes=(1.0, 0, 0), base=-1)
     assert m.features("a trash can", m.matcher())[0] == 0 and m.features("trash", m.matcher())[0] > 0
 
 
+def test_exceptions_are_learned(spark):
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice(["lo", "mi", "ra", "tu"]) + rng.choice(["ne", "so", "pa"]) + rng.choice(["x", "y", "z"]) for _ in range(30))
+    texts = [(i, plain() + (f" you zorgle {plain()}" if i % 4 == 0 else " zorgle fish " if i % 8 == 1 else " "), int(i % 4 == 0)) for i in range(600)]
+    df = spark.createDataFrame([*texts, (0, texts[0][1], 1)], "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "zorgle fish " in model.exceptions
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
+    assert sum(got[i] == t for i, _, t in texts) >= 590
+
+
+def test_repeated_ids_in_decontamination(spark):
+    items = [" ".join(f"{c}{i}" for i in range(20)) for c in "pq"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = spark.createDataFrame([(1, items[0]), (1, items[1]), (1, items[1]), (1, "clean words " * 9), (None, items[0] + " x " * 20), (None, "also clean " * 9), (2, None), (3, "far " * 60_000 + items[1])], "doc_id long, text string")
+    found = sorted(((r["doc_id"] or 0), r["item_id"], r["window_start"]) for r in decontam.matches(rows, bench).collect())
+    assert found == [(0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 0), (3, 1, 60_000)]
+    assert sorted((r["text"] or "")[:5] for r in decontam.remove_matched(rows, bench).collect()) == ["", "also ", "clean"]
+
+
 def test_simhash(docs):
     def plain(text):
         w = (text or "").encode().lower().split()
@@ -254,16 +336,32 @@ def test_tiles_and_components(spark):
 
 def test_split_buckets_keep_close_pairs():
     rng = random.Random(6)
-    for n, blocks in enumerate(combinations(simhash.BLOCKS, 2)):
-        free = [b for b in range(64) if not any(s <= b < s + w for s, w in blocks)]
+    for n in range(simhash.BLOCKS):
+        free = [b for b in range(64) if not simhash.WIDTH * n <= b < simhash.WIDTH * (n + 1)]
         for _ in range(20):
             a = rng.getrandbits(64)
             b = a
             for k in rng.sample(free, 3):
                 b ^= 1 << k
-            keys, prints = simhash._split(n << 26, np.array([a, b], np.uint64))
+            keys, prints = simhash._split(n << simhash.WIDTH | 5, np.array([a, b], np.uint64))
             mine = [set(keys[prints.view(np.uint64) == np.uint64(x)].tolist()) for x in (a, b)]
-            assert mine[0] & mine[1] and len(keys) == 20 and (keys >= 0).all()
+            assert mine[0] & mine[1] and len(keys) == 8 and (keys >= 0).all()
+
+
+def test_tiles_find_the_links(spark, monkeypatch):
+    """Without the comparison of tiles there is no link, however small the table; buckets of any number of bits lose none."""
+    rng = random.Random(9)
+    seeds = [rng.getrandbits(64) for _ in range(20)]
+    prints = sorted({s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for s in seeds for _ in range(6)} | set(seeds))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print long")
+    found = lambda: simhash.connected(simhash.links(df)).count()
+    close = found()
+    assert close >= len(prints) - 20
+    for bits in (3, 9, 16):
+        monkeypatch.setattr(simhash, "bits_for", lambda n, bits=bits: bits)
+        assert found() == close
+    monkeypatch.setattr(simhash, "tiled", lambda p: np.arange(len(p)))
+    assert not len(simhash._links(np.zeros(3, np.int64), np.array([1, 2, 3], np.uint64))[0])
 
 
 def test_bpe(docs, monkeypatch):

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vexel.llm.text import small_batches
+from vexel.llm.text import cut, shipped
 
 #: The split of byte-level BPE into pretokens, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -230,22 +230,22 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit integers) and decoded (their text) for each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or default_path())
-        for batch in batches:
+        for batch in cut(batches):
             ids = c.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return small_batches(docs, 500).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, each row encoded and decoded in its worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path or default_path()), hashlib.sha256
-        for batch in batches:
+        for batch in cut(batches):
             ids = c.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()),
                 pa.array([sha(c.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids], pa.string()),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small_batches(docs, 500).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return shipped(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,8 +11,8 @@ verified by the exact weighted Jaccard similarity of the shingles, weights being
 Only shingles that occur in an item leave a row's own task. The items' tables go by Spark's own size check: broadcast if small, else joined by a shuffle.
 
 Defined results: an item of fewer than five words matches whole texts only, not windows; a null text or item counts as empty and matches nothing; a document shorter than the item is compared
-whole; repeated documents are matched each; columns other than those named are ignored by ``matches`` and kept by
-``remove_matched``. All of it is DataFrame expressions.
+whole; rows are matched each, those that repeat an id or a whole row too; columns other than those named are ignored by ``matches`` and
+kept by ``remove_matched``, which drops the rows whose id and text (by its 64-bit hash and length) matched, nulls included. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, window_start and window_words (in words), hamming and similarity: the best window of each pair that is similar enough."""
-    return _found(docs.select(F.struct("doc_id").alias("row"), "text"), benchmark).select("row.doc_id", "item_id", "window_start", "window_words", "hamming", "similarity")
+    return _found(docs.select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), "text"), benchmark).select("row.doc_id", "item_id", "window_start", "window_words", "hamming", "similarity")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -93,8 +93,9 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in no match; rows that share an id fall together, and those with a null id are judged by their text."""
-    bad = _found(docs.select(F.struct(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t")).alias("row"), "text"), benchmark)
-    bad = bad.select(F.col("row.doc_id").alias("bad_id"), F.col("row.t").alias("bad_text")).distinct()
-    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).eqNullSafe(bad["bad_text"])
+    """The rows of docs that have no match."""
+    key = lambda id_, text: F.struct(id_.alias("doc_id"), F.xxhash64(text).alias("h"), F.char_length(text).alias("n"))
+    bad = _found(docs.select(key(F.col("doc_id"), F.col("text")).alias("row"), "text"), benchmark).select(F.col("row").alias("bad")).distinct()
+    mine = key(docs["doc_id"], docs["text"])
+    same = mine["doc_id"].eqNullSafe(bad["bad.doc_id"]) & (mine["h"] == bad["bad.h"]) & (mine["n"] == bad["bad.n"])  # a text that matched isn't null
     return docs.join(bad, same, "left_anti")

@@ -1,19 +1,23 @@
 """A hashed maximum-entropy language model beside a unigram base.
 
-The model predicts a token's class from its two predecessors and then the token within its class. Features are the previous
-token, the one before it (a skip) and the pair (an n-gram), hashed into two tables of fixed size; classes and tokens start
-from their unigram log probabilities. Training visits every training text once, in ``ROUNDS`` rounds: each task takes
-gradient steps over its texts from the shared tables and hands on its change of each row it met, block by block; the changes
-are averaged by how often each task met the row. Scoring is in numpy, once for each distinct context of a batch.
+The model predicts a token through a tree of ``LEVELS`` softmaxes: its class, classes within that, and itself among the rest. Classes
+are learned: words go together by the kind of text they are commonest in (kinds are found by spectral clustering of the frequent
+words' co-occurrence in texts), and by frequency within a kind. Features of each softmax are the previous token, the one before
+it (a skip) and the pair (an n-gram), whole tokens hashed with the class reached into a table of rows; a row holds a weight for
+each branch. Branches start from their unigram log probabilities.
 
-Tokens outside the model's ``VOCAB`` commonest are one event of the model, spelled by their unigram share of what the vocabulary
-leaves. Counts cover all training tokens; a task combines them up to ``HELD`` different tokens at a time. The ``HOT`` commonest
-counts go with the scoring function; the rest are joined by token, so that no frequent token is shuffled row by row and what a
-worker holds is bounded.
+The tree, its branching and the tables grow with the number of distinct words, up to ``HOT`` words in it, a bound on what a worker
+and the driver hold. Rarer words are ``TAILS`` events of the tree by their last bytes, and within one a word has its unigram
+share, from counts that are joined and have no bound; as contexts they are told apart by their hash.
+
+Training visits texts in ``ROUNDS`` shards by a hash of their id, one diagonal Newton step on the gradient after each. A task sums
+observed and expected counts of each row and branch as integers (probabilities in fixed point), so that sums, and with them the
+model and all scores, are the same however rows were dealt out. Texts are cut into words once for counting and once for
+encoding; training and scoring read numbers. Scoring is in numpy, by blocks of tokens.
 
 Defined results: a null text is one end token; null ids hash as no text and are held out; repeated rows are scored each and
-learned from each; with no training rows N and V are 0, nothing is known and every token's score is the same; other columns
-are ignored.
+learned from each; ties of counts go by the token; with no training rows N and V are 0, nothing is known and every token's base
+score is the same; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from itertools import compress, repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -31,14 +36,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.text import small_batches
+from vexel.llm.text import cut, shipped
+from vexel.plans import storage
 from vexel.plans.storage import materialize
 
-CLASSES, IN_CLASS = 32, 32
-VOCAB = CLASSES * IN_CLASS
-HOT, HELD, ROUNDS, RATE = 100_000, 300_000, 2, 0.5
-CLASS_ROWS, WORD_ROWS, BLOCK_ROWS = 1 << 13, 1 << 14, 256
-UNKNOWN, END, BATCH = 0, 1, 1 << 15
+END, TAILS = 0, 64
+HOT = (1 << 18) - 1 - TAILS
+#: Softmaxes to a token; different tokens that a counting task holds; shards of training; tokens in a block; tokens of a training task and round.
+LEVELS, HELD, ROUNDS, BLOCK, TASK = 4, 300_000, 6, 1 << 14, 1 << 24
+#: Frequent words that tell kinds of text apart, and the number of kinds.
+MARKERS, KINDS = 128, 8
+#: Fixed-point steps to a probability; rows to a message; strength of the pull towards zero; the most a weight moves in a step, and its bound.
+FINE, BLOCK_ROWS, PULL, STRIDE, BOUND = 1 << 20, 256, 4.0, 1.5, 8.0
+#: Steps to a unit of log10, so that joined sums are exact.
+UNIT = 10**12
+RARE = np.uint32(1 << 31)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,226 +79,342 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     def told(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
 
-    train = small_batches(docs, 500).where(~held_out(F.col("doc_id"))).select("text")
-    return materialize(train.mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "lm-counts")
+    usable = shipped(docs).where(~held_out(F.col("doc_id"))).select("text")
+    return materialize(usable.mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "lm-counts")
 
 
 @dataclass
-class Model:
-    hot: dict[bytes, int]  # the commonest tokens' numbers, 1 for the first; 0 is any other token, and the one after the last is the end
-    seen: np.ndarray  # counts by number
+class Words:
+    """The events: END, the classes of rarer words, and the commonest words from the most frequent on."""
+
+    hot: dict[bytes, int]
+    seen: np.ndarray  # training counts of the events
+    spread: np.ndarray  # distinct words of the events
     total: int
     distinct: int
-    class_bias: np.ndarray
-    word_bias: np.ndarray
-    class_rows: np.ndarray  # last column: summed squared gradients
-    word_rows: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return self.total + self.distinct + 1
 
     @property
-    def places(self) -> np.ndarray:
-        """The place in the vocabulary of each number."""
-        n = np.arange(len(self.seen))
-        return np.where(n == len(n) - 1, END, np.where((n > 0) & (n < VOCAB - 1), n + 1, UNKNOWN))
+    def log_size(self) -> float:
+        return math.log10(self.total + self.distinct + 1)
 
 
-def start(counts: DataFrame) -> Model:
-    """Unigram model; hot tokens are collected, at most HOT of them."""
+def words_of(counts: DataFrame, hot: int | None = None) -> Words:
+    """The commonest words are collected, so many at most, and sums of the rest."""
+    hot = HOT if hot is None else hot
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where("token <> ''").withColumn("bin", F.floor(F.log2("c") * 32))
-    left, least = HOT, 0
+    left, least = hot, 0
     for bin_, n in words.groupBy("bin").agg(F.count("*")).orderBy(F.desc("bin")).collect():  # 32 bins for each doubling of a count
         left, least = left - n, bin_
         if left <= 0:
             break
-    top = words.where(F.col("bin") >= least).orderBy(F.desc("c"), "token").limit(HOT).collect()  # so that partitions send few rows in vain
+    top = words.where(F.col("bin") >= least).orderBy(F.desc("c"), "token").limit(hot).select("token", "c").toArrow()  # so that partitions send few rows in vain
+    names = [x.as_py() for x in top.column(0).cast(pa.binary())]
+    often = top.column(1).to_numpy().astype(np.int64)
     ends = counts.where("token = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hot = {r["token"].encode("utf-8", "surrogatepass"): k for k, r in enumerate(top, 1)}
-    seen = np.array([0, *[r["c"] for r in top], ends], np.int64)
-    mass = np.full(VOCAB, 0.5)
-    mass[END] += ends
-    in_vocabulary = seen[1:-1][: VOCAB - 2]
-    mass[2 : 2 + len(in_vocabulary)] += in_vocabulary
-    mass[UNKNOWN] += total - (mass.sum() - 0.5 * VOCAB)
-    grid = mass.reshape(CLASSES, IN_CLASS)
-    bias = np.log(grid / grid.sum(axis=1, keepdims=True))
-    return Model(hot, seen, total, distinct, np.log(grid.sum(axis=1) / grid.sum()).astype(np.float32), bias.astype(np.float32), np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, IN_CLASS + 1), np.float32))
-
-
-class Batch:
-    """Contexts, logits and places of a run of tokens."""
-
-    def __init__(self, m: Model, ids: np.ndarray, one: np.ndarray, two: np.ndarray):
-        self.m, self.cls, self.inner = m, ids // IN_CLASS, ids % IN_CLASS
-        pair, self.at = np.unique(two * VOCAB + one, return_inverse=True)
-        one, two = pair % VOCAB, pair // VOCAB
-        mixed = (pair * 0x9E3779B1 >> 7) % (CLASS_ROWS - 2 * VOCAB) + 2 * VOCAB
-        self.rows = np.stack([one, two + VOCAB, mixed])
-        self.logits = m.class_bias + sum(m.class_rows[r, :-1] for r in self.rows)
-        inner, self.at_inner = np.unique(self.at * CLASSES + self.cls, return_inverse=True)
-        ctx, cls = inner // CLASSES, inner % CLASSES
-        self.inner_rows = ((self.rows[:, ctx] * CLASSES + cls) * 0x85EBCA6B >> 5) % WORD_ROWS
-        self.inner_logits = m.word_bias[cls] + sum(m.word_rows[r, :-1] for r in self.inner_rows)
-        for x in (self.logits, self.inner_logits):
-            x -= x.max(axis=1, keepdims=True)
-            x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-    def scores(self) -> np.ndarray:
-        """Natural log probability of each token."""
-        return self.logits[self.at, self.cls].astype(float) + self.inner_logits[self.at_inner, self.inner]
-
-    def learn(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """A step on both tables; returns the rows met in each, and how often."""
-        m = self.m
-        return (
-            self._step(m.class_rows, self.rows, self.logits, self.at, self.cls, CLASSES),
-            self._step(m.word_rows, self.inner_rows, self.inner_logits, self.at_inner, self.inner, IN_CLASS),
-        )
-
-    @staticmethod
-    def _step(table: np.ndarray, rows: np.ndarray, logits: np.ndarray, at: np.ndarray, target: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        seen = np.bincount(at * width + target, minlength=len(logits) * width).reshape(-1, width)
-        times = seen.sum(axis=1)
-        slope = (np.exp(logits) * times[:, None] - seen).astype(np.float32)
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
-        summed = np.add.reduceat(slope[order % len(logits)], first, axis=0)
-        met = flat[order[first]]
-        table[met, -1] += (summed**2).sum(axis=1)
-        table[met, :-1] -= RATE * summed / np.sqrt(table[met, -1:] + 1)
-        return met, np.add.reduceat(times[order % len(logits)], first)
+    seen, spread = np.zeros(1 + TAILS, np.int64), np.zeros(1 + TAILS, np.int64)
+    seen[END], spread[END] = ends, 1
+    if names:
+        last, least_c = names[-1].decode("utf-8"), int(often[-1])
+        rest = words.where((F.col("c") < least_c) | ((F.col("c") == least_c) & (F.col("token") > last)))
+        ending = F.substring(F.encode("token", "UTF-8"), -3, 3)
+        for t, n, k in rest.groupBy(F.crc32(ending) % TAILS).agg(F.sum("c"), F.count("*")).collect():
+            seen[1 + t], spread[1 + t] = n, k
+    return Words({w: k for k, w in enumerate(names, 1 + TAILS)}, np.r_[seen, often], np.r_[spread, np.ones(len(names), np.int64)], total, distinct)
 
 
-@dataclass
-class Run:
-    """So many texts that they fill a batch: their words, and the numbers, ids and predecessors of their tokens on end."""
-
-    words: list[list[bytes]]
-    numbers: np.ndarray
-    starts: np.ndarray
-    ids: np.ndarray
-    one: np.ndarray
-    two: np.ndarray
-
-    def batches(self, m: Model) -> Iterator[Batch]:
-        bounds = np.linspace(0, len(self.ids), max(1, round(len(self.ids) / BATCH)) + 1).astype(int)
-        for a, b in zip(bounds, bounds[1:]):
-            yield Batch(m, self.ids[a:b], self.one[a:b], self.two[a:b])
-
-
-def _runs(m: Model, texts: Iterator[list[bytes]]) -> Iterator[Run]:
-    places, held, n = m.places, [], 0
-    for words in texts:
-        held.append(words)
-        n += len(words) + 1
-        if n >= BATCH:
-            yield _joined(m, places, held)
-            held, n = [], 0
-    if held:
-        yield _joined(m, places, held)
-
-
-def _joined(m: Model, places: np.ndarray, held: list[list[bytes]]) -> Run:
-    end = [len(places) - 1]
-    numbers = np.fromiter((x for words in held for part in (map(m.hot.get, words, repeat(0)), end) for x in part), np.int64)
-    lens = np.array([len(x) + 1 for x in held])
-    starts = np.cumsum(lens) - lens
-    ids = places[numbers]
-    one, two = np.r_[END, ids[:-1]], np.r_[END, END, ids[:-2]][: len(ids)]
-    one[starts], two[starts] = END, END
-    two[starts[lens > 1] + 1] = END
-    return Run(held, numbers, starts, ids, one, two)
-
-
-def train(docs: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
-    spark = docs.sparkSession
-    usable = small_batches(docs, 500).where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    shards = max(32, 4 * spark.sparkContext.defaultParallelism)
-    width = max(CLASSES, IN_CLASS) + 1
-    few = {w: n for w, n in m.hot.items() if n < VOCAB - 1}
-    small = replace(m, hot=few, seen=np.r_[m.seen[: len(few) + 1], m.seen[-1]])  # training needs the vocabulary's words only
-
-    def gather(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = replace(small, class_rows=small.class_rows.copy(), word_rows=small.word_rows.copy())
-        often = [np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
-        for run in _runs(own, (words for b in frames for words in _tokens(b.column(0)))):
-            for batch in run.batches(own):
-                for table, (met, times) in zip(often, batch.learn(), strict=True):
-                    table[met] += times
-        for name, (old, new, times) in enumerate(((small.class_rows, own.class_rows, often[0]), (small.word_rows, own.word_rows, often[1]))):
-            change = ((new - old) * times[:, None]).astype(np.float32)
-            for k in range(0, len(times), BLOCK_ROWS):
-                if times[k : k + BLOCK_ROWS].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([k], pa.int32()), pa.array([change[k : k + BLOCK_ROWS].tobytes()]), pa.array([times[k : k + BLOCK_ROWS].tobytes()])], ["name", "block", "change", "times"])
-
-    def average(frame: pd.DataFrame) -> pd.DataFrame:
-        change, times = np.zeros((BLOCK_ROWS, width), np.float64), np.zeros(BLOCK_ROWS)
-        for c, t in zip(frame["change"], frame["times"], strict=True):
-            change += np.frombuffer(c, np.float32).reshape(BLOCK_ROWS, width)
-            times += np.frombuffer(t, np.float32)
-        change /= np.maximum(times, 1)[:, None]
-        return pd.DataFrame({"name": [frame["name"].iloc[0]], "block": [frame["block"].iloc[0]], "change": [change.astype(np.float32).tobytes()]})
+def _rare(word: bytes) -> int:
+    """What stands for a word that isn't listed: a mark, bits of its hash, and its class."""
+    return int(RARE) | (crc32(word) & 0x1FFFFFF) << 6 | crc32(word[-3:]) % TAILS
 
-    for k in range(rounds):
-        part = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text").coalesce(shards)
-        sums = part.mapInArrow(gather, "name int, block int, change binary, times binary").groupBy("name", "block").applyInPandas(average, "name int, block int, change binary")
-        for r in sums.collect():  # at most the two tables
-            table = m.word_rows if r["name"] else m.class_rows
-            table[r["block"] : r["block"] + BLOCK_ROWS] += np.frombuffer(r["change"], np.float32).reshape(BLOCK_ROWS, width)
-    return m
 
+def event(numbers: np.ndarray) -> np.ndarray:
+    return np.where(numbers & RARE, (numbers & np.uint32(TAILS - 1)) + np.uint32(1), numbers)
 
-def score(docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row."""
-    places = m.places
-    logs = np.log10(m.seen + 1) - math.log10(m.size)
-    listed = np.flatnonzero(places > END)
-    log_left = math.log10(max(1 - float((10.0 ** logs[listed]).sum()), 1e-9))
-    base_of = np.r_[0.0, logs[1:]]  # the counts of number 0 are joined
-    spelling = np.where(places == UNKNOWN, base_of - log_left, 0.0)
-    known_of = (m.seen > 0).astype(np.int64)
-    log_size = math.log10(m.size)
+
+def encode(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> DataFrame:
+    """A row per document: row, doc_id, part (its training shard, -1 if held out), n_tokens, n_known and base (both without rare words), ids (a number a token, end last) and rare (words that aren't listed, and how often)."""
+    logs = np.log10(words.seen + 1) - words.log_size
+    known = (words.seen > 0).astype(np.int64)
+    listed = words.hot
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 40
-        for frame in frames:
-            base, known, sizes, model, rare_words, rare_times, ends = [], [], [], [], [], [], [0]
-            for r in _runs(m, _tokens(frame.column(1))):
-                total = lambda of: np.add.reduceat(of, r.starts)  # noqa: B023, E731
-                base.append(total(base_of[r.numbers]))
-                known.append(total(known_of[r.numbers]))
-                sizes.append(np.diff(np.r_[r.starts, len(r.ids)]))
-                model.append(total(np.concatenate([b.scores() for b in r.batches(m)])) / math.log(10) + total(spelling[r.numbers]))
-                other = r.numbers == 0
-                for words, at in zip(r.words, r.starts.tolist(), strict=True):
-                    rest = Counter(compress(words, other[at : at + len(words)].tolist()))
-                    rare_words += rest.keys()
-                    rare_times += rest.values()
-                    ends.append(len(rare_words))
+        for frame in cut(frames):
+            ids, sizes, knowns, bases, rare_words, rare_times, ends = [], [], [], [], [], [], [0]
+            for words_ in _tokens(frame.column(2)):
+                numbers = np.fromiter(map(listed.get, words_, repeat(0)), np.uint32, len(words_))
+                missing = numbers == 0
+                own = numbers[~missing]
+                knowns.append(int(known[own].sum()) + int(known[END]))
+                bases.append(float(logs[own].sum()) + float(logs[END]))
+                rest = Counter(compress(words_, missing.tolist()))
+                if rest:
+                    code = {w: _rare(w) for w in rest}
+                    numbers[missing] = [code[w] for w in compress(words_, missing.tolist())]
+                rare_words += rest.keys()
+                rare_times += rest.values()
+                ends.append(len(rare_words))
+                sizes.append(len(words_) + 1)
+                ids.append(numbers.tobytes() + bytes(4))
             n = frame.num_rows
             flat = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_times, pa.int64())], ["token", "tf"])
-            joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(n) + task), frame.column(0), joined(sizes, pa.int64()), joined(known, pa.int64()), joined(base, pa.float64()), joined(model, pa.float64()),
+                pa.array(np.arange(n) + task), frame.column(0), frame.column(1), pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases, pa.float64()), pa.array(ids, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
-            ], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
+            ], ["row", "doc_id", "part", "n_tokens", "n_known", "base", "ids", "rare"])
             task += n
 
-    scored = materialize(small_batches(docs, 500).select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<struct<token:string,tf:long>>"), "lm-scored")
-    each = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf").join(counts, "token", "left")
-    spelled = F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - log_size))
-    more = each.groupBy("row").agg(spelled.alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"))
+    part = F.when(held_out(F.col("doc_id")), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(rounds))).cast("int")
+    schema = "row long, doc_id long, part int, n_tokens long, n_known long, base double, ids binary, rare array<struct<token:string,tf:long>>"
+    made = shipped(docs).select("doc_id", part.alias("part"), "text").mapInArrow(run, schema)
+    path = storage.new_path(docs.sparkSession, "lm-encoded")
+    made.write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the texts of a column on end, and where each begins."""
+    raw = [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    return np.concatenate(raw) if raw else np.zeros(0, np.uint32), np.cumsum(sizes) - sizes
+
+
+def kinds(encoded: DataFrame, words: Words) -> np.ndarray:
+    """The kind of text that each event is commonest in, by its share of the kind's tokens, over all training texts."""
+    size, n = len(words.seen), min(MARKERS, max(len(words.seen) - 1 - TAILS, 0))
+    if not n:
+        return np.zeros(size, np.int64)
+    train_ = encoded.where("part >= 0").select("ids")
+
+    def presence(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers, starts = _numbers(column)
+        text = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(numbers)]))
+        at = numbers - np.uint32(1 + TAILS)  # smaller numbers wrap round
+        mark = at < n
+        return np.bincount(text[mark] * n + at[mark], minlength=len(starts) * n).reshape(-1, n), numbers, text
+
+    def together(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((n, n))
+        for frame in cut(frames):
+            there = (presence(frame.column(0))[0] > 0).astype(np.float64)
+            both += there.T @ there
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(list(both.astype(np.int64)), pa.list_(pa.int64()))], ["marker", "both"])
+
+    sums = shipped(train_).mapInArrow(together, "marker int, both array<long>").select("marker", F.posexplode("both").alias("other", "c")).groupBy("marker", "other").agg(F.sum("c").alias("c"))
+    both = np.zeros((n, n))
+    for r in sums.collect():  # MARKERS squared at most
+        both[r["marker"], r["other"]] = r["c"]
+    group = _clusters(both)
+
+    def vote(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros((KINDS, size), np.int64)
+        of = np.eye(KINDS, dtype=np.int64)[group]
+        for frame in cut(frames):
+            counted, numbers, text = presence(frame.column(0))
+            mine = (counted @ of).argmax(axis=1)
+            often += np.bincount(mine[text] * size + event(numbers), minlength=KINDS * size).reshape(KINDS, size)
+        kind, which = np.nonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(often[kind, which])], ["event", "kind", "c"])
+
+    tasks = max(train_.sparkSession.sparkContext.defaultParallelism, int(words.total // TASK))
+    votes = materialize(shipped(train_).coalesce(tasks).mapInArrow(vote, "event int, kind int, c long").groupBy("event", "kind").agg(F.sum("c").alias("c")), "lm-kinds")
+    share = [0.0] * KINDS
+    for r in votes.groupBy("kind").agg(F.sum("c").alias("c")).collect():
+        share[r["kind"]] = 1.0 / r["c"]
+    best = votes.groupBy("event").agg(F.max_by("kind", F.struct(F.col("c") * F.get(F.array(*map(F.lit, share)), F.col("kind")), -F.col("kind"))).alias("kind")).toArrow()  # a row an event
+    out = np.zeros(size, np.int64)
+    out[best.column(0).to_numpy()] = best.column(1).to_numpy()
+    return out
+
+
+def _clusters(both: np.ndarray) -> np.ndarray:
+    """A group for each marker: k-means on the leading eigenvectors of the normalised co-occurrence, from the farthest points on."""
+    often = np.maximum(np.diag(both), 1)
+    values, vectors = np.linalg.eigh(both / np.sqrt(np.outer(often, often)))
+    x = vectors[:, -KINDS:] * np.sqrt(np.maximum(values[-KINDS:], 0))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[:1]
+    while len(centres) < min(KINDS, len(x)):
+        centres = np.vstack([centres, x[((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1).argmax()]])
+    for _ in range(20):
+        group = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[group == k].mean(axis=0) if (group == k).any() else centres[k] for k in range(len(centres))])
+    return group
+
+
+@dataclass
+class Model:
+    place: np.ndarray  # of each event in the order of the tree's leaves
+    width: int
+    rows: int
+    bias: list[np.ndarray] = field(default_factory=list)  # log share of each branch, by the node above
+    tables: list[np.ndarray] = field(default_factory=list)
+
+    def digits(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level the node above and the branch taken to these places."""
+        steps = [at // self.width**k for k in range(LEVELS, -1, -1)]
+        return [(above, step - above * self.width) for above, step in zip(steps, steps[1:])]
+
+    def contexts(self, level: int, node: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        """Rows of the three features."""
+        salt = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)
+
+        def mixed(x: np.ndarray, size: int) -> np.ndarray:
+            h = (x.astype(np.uint64) + salt) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+            return (h >> np.uint64(40)).astype(np.int64) & (size - 1)
+
+        pair = one.astype(np.uint64) << np.uint64(32) | two
+        return [mixed(x, size) + low for x, (low, size) in zip((one, two, pair), self.ranges(), strict=True)]
+
+    def ranges(self) -> list[tuple[int, int]]:
+        """First row and number of rows of each feature: a quarter of the table for the previous token and for the one before, half of it for pairs."""
+        return [(0, self.rows // 4), (self.rows // 4, self.rows // 4), (self.rows // 2, self.rows // 2)]
+
+    def shares(self, level: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Unnormalised probabilities of the branches; weights are bounded, so that no exponent overflows."""
+        table = self.tables[level]
+        x = self.bias[level].take(node, axis=0)
+        for r in rows:
+            x += table.take(r, axis=0)
+        return np.exp(x, out=x)
+
+
+def start(words: Words, kind: np.ndarray) -> Model:
+    """The tree over events by kind and frequency, with unigram shares and no weights."""
+    size = len(words.seen)
+    order = np.lexsort((np.arange(size), -words.seen, kind))
+    place = np.empty(size, np.int64)
+    place[order] = np.arange(size)
+    width = 2
+    while width**LEVELS < size:
+        width += 1
+    rows = 1 << max(8, (size // 16).bit_length() - 1)
+    mass = np.full(width**LEVELS, 1e-3)
+    mass[place] = words.seen + 0.5
+    bias = []
+    for level in range(LEVELS):
+        summed = mass.reshape(width ** (level + 1), -1).sum(axis=1).reshape(-1, width)
+        bias.append(np.log(summed / summed.sum(axis=1, keepdims=True)).astype(np.float32))
+    return Model(place, width, rows, bias, [np.zeros((rows, width), np.float32) for _ in range(LEVELS)])
+
+
+def _blocks(numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the tokens with their numbers, the number before and the one before that; END stands before a text."""
+    one, two = np.r_[np.uint32(END), numbers[:-1]], np.r_[np.uint32(END), np.uint32(END), numbers[:-2]][: len(numbers)]
+    one[starts], two[starts] = END, END
+    second = starts[np.diff(np.r_[starts, len(numbers)]) > 1] + 1
+    two[second] = END
+    for k in range(0, len(numbers), BLOCK):
+        s = slice(k, k + BLOCK)
+        yield s, numbers[s], one[s], two[s]
+
+
+def token_scores(m: Model, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token's event."""
+    out = np.zeros(len(numbers))
+    for s, now, one, two in _blocks(numbers, starts):
+        for level, (node, branch) in enumerate(m.digits(m.place[event(now)])):
+            x = m.shares(level, node, m.contexts(level, node, one, two))
+            out[s] += np.log(x[np.arange(len(now)), branch].astype(np.float64)) - np.log(x.sum(axis=1, dtype=np.float64))
+    return out
+
+
+def gather(m: Model, columns: Iterator[pa.Array]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each level, observed counts and expected ones (fixed-point, whole numbers that a double holds exactly) of each row and branch."""
+    seen = [np.zeros((m.rows, m.width), np.int64) for _ in range(LEVELS)]
+    due = [np.zeros((m.width, m.rows)) for _ in range(LEVELS)]
+    for column in columns:
+        for _, now, one, two in _blocks(*_numbers(column)):
+            for level, (node, branch) in enumerate(m.digits(m.place[event(now)])):
+                rows = m.contexts(level, node, one, two)
+                x = m.shares(level, node, rows)
+                fixed = x.T.astype(np.float64, order="C")
+                fixed *= FINE / x.sum(axis=1, dtype=np.float64)
+                np.rint(fixed, out=fixed)
+                for r, (low, size) in zip(rows, m.ranges(), strict=True):
+                    np.add.at(seen[level].reshape(-1), r * m.width + branch, 1)
+                    within = r - low
+                    for k in range(m.width):
+                        due[level][k, low : low + size] += np.bincount(within, fixed[k], size)
+    return seen, [x.T for x in due]
+
+
+def moved(weights: np.ndarray, seen: np.ndarray, due: np.ndarray) -> np.ndarray:
+    """A step of a block's weights: the gradient over a diagonal bound of the curvature (three features are active in each softmax)."""
+    expected = due / FINE
+    step = (seen - expected - PULL * weights) / (3 * expected + PULL)
+    return np.clip(weights + np.clip(step, -STRIDE, STRIDE), -BOUND, BOUND).astype(np.float32)
+
+
+def _round(now: Model):
+    """Functions that sum a task's counts by block of rows, and that add blocks up and move their weights."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, due = gather(now, (f.column(0) for f in cut(frames)))
+        for level in range(LEVELS):
+            for b in range(0, now.rows, BLOCK_ROWS):
+                if seen[level][b : b + BLOCK_ROWS].any():
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([level], pa.int32()), pa.array([b], pa.int32()),
+                        pa.array([seen[level][b : b + BLOCK_ROWS].astype(np.uint32).tobytes()]), pa.array([due[level][b : b + BLOCK_ROWS].astype(np.int64).tobytes()]),
+                    ], ["level", "block", "seen", "due"])
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
+        level, b = int(frame["level"].iloc[0]), int(frame["block"].iloc[0])
+        seen = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in frame["seen"])
+        due = sum(np.frombuffer(x, np.int64) for x in frame["due"])
+        new = moved(now.tables[level][b : b + BLOCK_ROWS], seen.reshape(-1, now.width), due.reshape(-1, now.width))
+        return pd.DataFrame({"level": [level], "block": [b], "new": [new.tobytes()]})
+
+    return run, step
+
+
+def train(encoded: DataFrame, m: Model, total: int, rounds: int = ROUNDS) -> Model:
+    tasks = max(encoded.sparkSession.sparkContext.defaultParallelism, int(total // rounds // TASK))
+    for k in range(rounds):
+        run, step = _round(m)
+        sums = shipped(encoded).where(F.col("part") == k).select("ids").coalesce(tasks).mapInArrow(run, "level int, block int, seen binary, due binary")
+        tables = [t.copy() for t in m.tables]
+        for r in sums.groupBy("level", "block").applyInPandas(step, "level int, block int, new binary").collect():  # at most the tables
+            tables[r["level"]][r["block"] : r["block"] + BLOCK_ROWS] = np.frombuffer(r["new"], np.float32).reshape(-1, m.width)
+        m = replace(m, tables=tables)
+    return m
+
+
+def score(encoded: DataFrame, words: Words, m: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row."""
+    share = -np.log10(words.seen[1 : 1 + TAILS] + words.spread[1 : 1 + TAILS] + 1)  # of a class's words; joined counts add their part
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in cut(frames):
+            numbers, starts = _numbers(frame.column(5))
+            each = token_scores(m, numbers, starts) / math.log(10)
+            rare = numbers >= RARE
+            each[rare] += share[numbers[rare] & np.uint32(TAILS - 1)]
+            yield pa.RecordBatch.from_arrays([*frame.columns[:5], pa.array(np.add.reduceat(each, starts) if len(starts) else each)], ["row", "doc_id", "n_tokens", "n_known", "base", "score"])
+
+    told = shipped(encoded).select("row", "doc_id", "n_tokens", "n_known", "base", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double")
+    scored = materialize(told, "lm-scored")
+    each = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.tf").join(counts, "token", "left")
+    log = F.round(F.log10(F.coalesce("c", F.lit(0)) + 1) * UNIT).cast("long")
+    more = each.groupBy("row").agg(F.sum(F.col("tf") * log).alias("logs"), F.sum("tf").alias("tf"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.drop("rare").join(more, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(m.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("more")).alias("base_score"), (F.col("score") + zero("more")).alias("score"),
+    logs = zero(F.col("logs")) / UNIT
+    return scored.join(more, "row", "left").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
+        (F.col("base") + logs - zero(F.col("tf")) * words.log_size).alias("base_score"), (F.col("score") + logs).alias("score"),
     )
 
 
-def learn_and_score(docs: DataFrame) -> DataFrame:
+def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Words, Model]:
+    """The token counts, the encoded table, the events and the trained model."""
     counts = count_tokens(docs)
-    return score(docs, train(docs, start(counts)), counts)
+    words = words_of(counts)
+    encoded = encode(docs, words)
+    return counts, encoded, words, train(encoded, start(words, kinds(encoded, words)), words.total)
+
+
+def learn_and_score(docs: DataFrame) -> DataFrame:
+    counts, encoded, words, m = learn(docs)
+    return score(encoded, words, m, counts)

@@ -1,12 +1,13 @@
 """Near-duplicates by SimHash: every pair of fingerprints within three bits, without comparing all pairs.
 
-Equal fingerprints are one class from the start. Of five blocks of 13 or 12 bits, two at least agree between fingerprints that
-differ in three bits or fewer, so each fingerprint goes to ten buckets, one for each pair of blocks, and every close pair meets
-in one. A bucket's fingerprints, sorted by population count, are cut into tiles; two tiles are compared with exclusive-or and
-bit counts in numpy, unless their population counts differ by more than the radius. A bucket of more than ``MOST`` fingerprints
-isn't held: it flows through its task and is split by its remaining bits in the same way, into five blocks of which two agree,
-so that a bucket of the second level shares 40 bits and holds 2**24 fingerprints at most. A bucket hands on a star, each member
-linked to the least of its group, so links grow with members and not with pairs. Components are then found by the large-star and
+Equal fingerprints are one class from the start. The distinct ones, sorted by population count, are cut into tiles; two tiles are
+compared exactly with exclusive-or and bit counts in numpy, unless their population counts differ by more than the radius. So
+that this doesn't grow with the square of the table, a tile meets only tiles of its own bucket: of four blocks of 16 bits one at
+least agrees between fingerprints that differ in three bits or fewer, so each fingerprint goes to four buckets, one for each
+block's first bits, and every close pair meets in one. So many bits are taken that a bucket has about ``SHARE`` fingerprints; a
+table of no more is one bucket, compared whole. A bucket of more than ``MOST`` isn't held: it flows through its task and is split
+by its other 48 bits in the same way, into four blocks of 12. A bucket hands on a star, each member linked to the least of its
+group, so links grow with members and not with pairs. Components are then found by the large-star and
 small-star rounds of Kiveris et al. (2014), with each round's links in a table in the shared folder.
 
 Defined results: null and blank texts have fingerprint zero and are linked like others; a null doc_id never names a
@@ -16,8 +17,8 @@ one row of each component, with all columns; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.text import ascii_words, small_batches
+from vexel.llm.text import ascii_words, cut, shipped
 from vexel.plans.storage import materialize
 
-RADIUS, SEED, TILE, STEP, MOST = 3, 42, 1024, 1 << 15, 1 << 16
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-#: The same for the 39 bits at most that the blocks of a bucket leave.
-FINER = [(0, 8), (8, 8), (16, 8), (24, 8), (32, 7)]
+RADIUS, SEED, TILE, STEP, SHARE, MOST = 3, 42, 512, 1 << 15, 1 << 12, 1 << 16
+BLOCKS, WIDTH, FINER = 4, 16, 12
 
 
 def fingerprint(text: str | None) -> int:
@@ -52,22 +51,28 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
     """doc_id and print, the fingerprint as a signed long; if hashed, also h, a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 1000):
             made = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
 
     more = [F.xxhash64("text").alias("h")] if hashed else []
-    return small_batches(docs).select("doc_id", "text", *more).mapInArrow(run, "doc_id long, print long" + (", h long" if hashed else ""))
+    return shipped(docs).select("doc_id", "text", *more).mapInArrow(run, "doc_id long, print long" + (", h long" if hashed else ""))
 
 
 def hex_of(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def buckets(prints: Column) -> Column:
-    """The ten keys of a fingerprint: number of the pair of blocks, and their bits."""
-    bits = lambda k: F.shiftrightunsigned(prints, BLOCKS[k][0]).bitwiseAND((1 << BLOCKS[k][1]) - 1)
-    return F.array(*[F.shiftleft(bits(i), 13).bitwiseOR(bits(j)) + (n << 26) for n, (i, j) in enumerate(combinations(range(5), 2))])
+def buckets(prints: Column, bits: int = WIDTH) -> Column:
+    """The keys of a fingerprint: a block's number and its first bits; a single one where bits is 0."""
+    if not bits:
+        return F.array(F.lit(0).cast("long"))
+    return F.array(*[F.shiftrightunsigned(prints, WIDTH * k).bitwiseAND((1 << bits) - 1) + (k << WIDTH) for k in range(BLOCKS)])
+
+
+def bits_for(distinct: int) -> int:
+    """So many bits of a block that a bucket has about SHARE of so many fingerprints; all 16 at most."""
+    return min(WIDTH, max(0, math.ceil(math.log2(max(distinct, 1) / SHARE))))
 
 
 def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -104,28 +109,17 @@ def _links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Stars over whole buckets, given sorted by key and population count."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes, root = np.diff(np.r_[starts, len(keys)]), np.arange(len(keys))
-    for s, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+    for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
         root[s : s + n] = tiled(prints[s : s + n]) + s
-    few = np.repeat(sizes <= 64, sizes)
-    for shift in range(1, int(min(64, sizes.max()))):  # buckets that are one small tile are compared side by side
-        i = np.flatnonzero((keys[shift:] == keys[:-shift]) & few[shift:])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(prints[i] ^ prints[i + shift]) <= RADIUS]
-        _unite(root, i, i + shift)
     member = np.flatnonzero(root != np.arange(len(keys)))
     return prints[member], prints[root[member]]
 
 
 def _split(key: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the second level and fingerprints, ten for each fingerprint of a bucket of the first."""
-    shared = list(combinations(range(5), 2))[key >> 26]
-    bits = lambda x, block: x >> np.uint64(block[0]) & np.uint64((1 << block[1]) - 1)
-    rest, filled = np.zeros(len(prints), np.uint64), 0
-    for k in set(range(5)) - set(shared):
-        rest |= bits(prints, BLOCKS[k]) << np.uint64(filled)
-        filled += BLOCKS[k][1]
-    keys = [bits(rest, FINER[i]) << np.uint64(8) | bits(rest, FINER[j]) | np.uint64(n << 16 | key << 20) for n, (i, j) in enumerate(combinations(range(5), 2))]
+    """Keys of the second level and fingerprints, four for each fingerprint of a bucket of the first; the shared block is turned out of the way."""
+    shared = np.uint64(WIDTH * (key >> WIDTH) + WIDTH & 63)
+    rest = prints >> shared | prints << (np.uint64(64) - shared & np.uint64(63))
+    keys = [rest >> np.uint64(FINER * n) & np.uint64((1 << FINER) - 1) | np.uint64(n << FINER | key << FINER + 2) for n in range(BLOCKS)]
     return np.concatenate(keys).view(np.int64), np.tile(prints, len(keys)).view(np.int64)
 
 
@@ -161,7 +155,8 @@ def _within(keyed: DataFrame, most: int | None) -> DataFrame:
 
 def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     """a and b: linked fingerprints, a star for each bucket, from the distinct fingerprints in the column print."""
-    first = materialize(_within(classes.select(F.explode(buckets(F.col("print"))).alias("key"), "print"), most), "links")
+    bits = bits_for(classes.count())
+    first = materialize(_within(classes.select(F.explode(buckets(F.col("print"), bits)).alias("key"), "print"), most), "links")
     second = _within(first.where("more").select(F.col("b").alias("key"), F.col("a").alias("print")), None)
     return first.where("NOT more").select("a", "b").union(second.select("a", "b"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,14 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """For operators that run Python: hand workers this package and so many rows at a time, so that long texts stay within an executor's memory."""
+def shipped(df: DataFrame) -> DataFrame:
+    """For operators that run Python: hand workers this package."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def cut(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches of so many at most, so that what is made of long texts stays within a worker's memory."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

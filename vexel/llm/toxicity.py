@@ -2,11 +2,12 @@
 
 Folding lower-cases a text, turns letters of other scripts that look Latin, digits and signs that stand for letters into those
 letters, and other signs into spaces. The lexicon holds words and beginnings of words, learned with weights from labelled texts;
-exception phrases cover words within them. A text's score is a logistic function of its matched weight, in all and by length.
+exception phrases, two words of which one is in the lexicon, cover words within them: those that labelled texts use without harm. A text's score is a logistic function of its matched weight, in all and by length.
 
 Learning takes a bounded sample: at most ``PER_CLASS`` labelled rows of each class, those with the smallest hash of their id; rows
-whose crc32(doc_id as text) mod 5 is 0 are never learned from. The lexicon has at most ``MOST_WORDS`` entries. Every
-text is scored whole.
+whose crc32(doc_id as text) mod 5 is 0 are never learned from. The lexicon holds all parts of words that the sample shows
+to be toxic (a log-likelihood ratio of ``LEAST_G2``), the exceptions all phrases that ``LEAST_PLAIN`` of its harmless texts have
+and no toxic one, beside those given. Every text is scored whole.
 
 Defined results: null, empty and blank texts get the score of a text without matches; rows with a null doc_id are scored, and held
 out; repeated rows are scored each; without labelled rows of both classes every score is 0.
@@ -14,9 +15,10 @@ out; repeated rows are scored each; without labelled rows of both classes every
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import ahocorasick
 import numpy as np
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.text import small_batches
+from vexel.llm.text import cut, shipped
 
-PER_CLASS, MOST_WORDS, LEAST_TOXIC, LEAST_G2 = 3000, 4000, 5, 24.0
+PER_CLASS, LEAST_TOXIC, LEAST_G2, LEAST_PLAIN = 3000, 5, 24.0, 5
 #: What looks like or stands for a Latin letter.
 LOOKS = dict(zip("аеорсухіјѕԁһкмтвнαορτυνκιεß", "aeopcyxijsdhkmtbhaoptuvkieß", strict=True))
 DIGITS = dict(zip("0134578@$", "oieastbas", strict=True))
-#: Phrases whose words are meant otherwise.
+#: Phrases whose words are meant otherwise, beside those learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser cup", "white clown fish")
 FOLD = {ord(c): " " for c in "\t\n\r\x0b\x0c!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~269«»„“”’…"} | {ord(k): v for k, v in (LOOKS | DIGITS).items()}
 
@@ -72,7 +74,7 @@ class Model:
                 covered.append((start, end))
             elif v > best.get(start, 0.0):
                 best[start] = v
-        values = [v for s, v in best.items() if not any(a <= s < b for a, b in covered)] if covered else list(best.values())
+        values = [v for s, v in best.items() if not _inside(s, *merged)] if (merged := _merge(covered))[0] else list(best.values())
         if not values:
             return 0.0, 0.0, 0.0
         total = sum(values)
@@ -82,6 +84,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.base + x @ np.array(self.slopes), -30, 30)))
 
 
+def _merge(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the unions of overlapping spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _inside(at: int, starts: list[int], ends: list[int]) -> bool:
+    k = bisect_right(starts, at) - 1
+    return k >= 0 and at < ends[k]
+
+
 def _parts(text: str | None) -> set[str]:
     """Words and beginnings of words, after a space; a whole word ends with one."""
     found: set[str] = set()
@@ -94,14 +114,14 @@ def _parts(text: str | None) -> set[str]:
 
 def _count_parts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             seen = Counter(), Counter()
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update(_parts(text))
             for k in (0, 1):
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen[k]), pa.string()), pa.array([k] * len(seen[k]), pa.int32()), pa.array(list(seen[k].values()), pa.int64())], ["part", "toxic", "n"])
 
-    rows = small_batches(sample, 500).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "part string, toxic int, n long")
+    rows = shipped(sample).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "part string, toxic int, n long")
     return rows.groupBy("part").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
 
 
@@ -112,7 +132,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return docs.select("doc_id", "text").join(F.broadcast(by_hash(0).union(by_hash(1))), "doc_id").select("toxic", "text")  # at most 2 * per_class ids
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     sample = sample_of(docs, labels, per_class)
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -125,20 +145,37 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     g2 = 2 * (term(n, all_ * share) + term(m, all_ * (1 - share)))
     weight = F.ln((n + 0.25) / (bad + 0.5)) - F.ln((m + 0.25) / (good + 0.5))
     ranked = _count_parts(sample).where((n >= LEAST_TOXIC) & (n * good > 3 * m * bad)).select("part", weight.alias("w"), g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
-    top = ranked.orderBy(F.desc("g2"), "part").limit(MOST_WORDS).collect()
-    model = Model({r["part"]: float(r["w"]) for r in top})
-    return _calibrate(model, sample)
+    top = ranked.orderBy(F.desc("g2"), "part").collect()  # parts of at least LEAST_TOXIC of at most per_class texts
+    model = Model({r["part"]: float(r["w"]) for r in top}, exceptions)
+    return _calibrate(replace(model, exceptions=(*exceptions, *_plain_phrases(sample, model))), sample)
+
+
+def _plain_phrases(sample: DataFrame, model: Model) -> list[str]:
+    """Pairs of neighbouring words, one of them in the lexicon, that harmless texts of the sample have and toxic ones don't."""
+    def phrases(text: str | None) -> set[str]:
+        words = fold(text).split()
+        listed = [f" {w} " in model.weights or any(f" {w[:k]}" in model.weights for k in range(3, min(len(w), 9))) for w in words]
+        return {f"{words[k]} {words[k + 1]} " for k in range(len(words) - 1) if listed[k] or listed[k + 1]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches):
+            seen = Counter((p, t) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in phrases(x))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["phrase", "toxic", "n"])
+
+    told = shipped(sample).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "phrase string, toxic int, n long")
+    sums = told.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"))
+    return [r["phrase"] for r in sums.where((F.col("bad") == 0) & (F.col("good") >= LEAST_PLAIN)).orderBy("phrase").collect()]
 
 
 def _features(frame: DataFrame, model: Model) -> DataFrame:
     """toxic and the features of each sampled row; at most 2 * per_class rows of four numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.matcher()
-        for batch in batches:
+        for batch in cut(batches):
             x = np.array([model.features(t, a) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(3)]], ["toxic", "x0", "x1", "x2"])
 
-    return small_batches(frame, 500).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, x0 double, x1 double, x2 double")
+    return shipped(frame).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, x0 double, x1 double, x2 double")
 
 
 def _calibrate(model: Model, sample: DataFrame) -> Model:
@@ -166,10 +203,10 @@ def score_column(model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for each row."""
-    scored = small_batches(docs, 500).select("doc_id", score_column(model)("text").alias("score"))
+    scored = shipped(docs).select("doc_id", score_column(model)("text").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    return small_batches(docs, 500).where(score_column(model)(docs["text"]) < 0.5)
+    return shipped(docs).where(score_column(model)(docs["text"]) < 0.5)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.text import small_batches
+from vexel.llm.text import shipped
 from vexel.plans.storage import materialize
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -150,7 +150,7 @@ def segments(names: DataFrame, known: DataFrame) -> DataFrame:
     two = each.where(F.length("w") > 3).join(known.where(F.length("w") > 3), "w")
     both = one.select("name", "own", "n", "w", "c").union(two.select("name", "own", "n", "w", "c"))
     found = both.groupBy("name", "own", "n").agg(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("w", "c"))).alias("found"))
-    return materialize(small_batches(found).select("name", "own", "n", split("name", "own", "found").alias("words")), "url-segments")
+    return materialize(shipped(found).select("name", "own", "n", split("name", "own", "found").alias("words")), "url-segments")
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
