@@ -2,8 +2,10 @@
 
 Each text becomes a vector of transformed statistics. For every language and source a minimum-covariance-determinant
 estimate gives the location and scatter of the central half of the texts, (n + d + 1) / 2 of them, and texts whose Mahalanobis
-distance lies far out are rejected. The estimate starts from medians and median deviations and takes concentration steps: distances,
-the h-th smallest of them from a histogram, then the moments of the rows below it, until no group's determinant changes. Vectors are fixed-point integers and their
+distance lies far out are rejected. The estimate has three starts in each group and takes concentration steps: distances, the h-th
+smallest of them from a histogram (to 1/32 of its logarithm), then the moments of the rows below it; after two steps the start of
+least determinant goes on, until no group's determinant changes. The diagonal of a scatter is raised by a floor for each
+statistic, as many are constant in clean text. Vectors are fixed-point integers and their
 sums are exact decimals, so the result doesn't depend on how rows were dealt out. All of it is DataFrame expressions; a
 group's sums are combined on the map side, and only one row per group and histogram bin is shuffled.
 
@@ -30,6 +32,8 @@ UNIT = 4096
 FEATURES = {"word_length": 0.12, "symbols": 0.12, "dup_lines": 0.25, "repeats": 0.20, "upper": 0.10, "marks": 0.15}
 #: Concentration steps end when no group's log determinant changes by more than SETTLED, or after STEPS; bins to a factor e of squared distance.
 SETTLED, STEPS, BINS = 0.01, 40, 32
+#: Half the side of the box of the third start, in floored median deviations.
+BOX = 2.5
 #: A text is rejected beyond this squared distance, scaled so that the median is that of a chi-square with 6 degrees.
 CUTOFF, MEDIAN = 100.0, 5.348
 MIN_GROUP = 60
@@ -116,14 +120,15 @@ def _distance(d: int) -> Column:
 
 
 def _measured(rows: DataFrame, fit: DataFrame, d: int) -> DataFrame:
-    return rows.join(fit, "g").select("g", *[f"x{i}" for i in range(d)], _distance(d).alias("d2"))
+    return rows.join(fit, "g").select("g", "start", *[f"x{i}" for i in range(d)], _distance(d).alias("d2"))
 
 
 def _quantile(rows: DataFrame, value: Column, extra: int, name: str) -> DataFrame:
-    """Per group g of n rows: the upper end of the logarithmic bin that holds the (n + extra) / 2 th value."""
-    bins = rows.select("g", F.floor(F.ln(value + 1e-6) * BINS).cast("long").alias("bin")).groupBy("g", "bin").agg(F.count("*").alias("n"))
-    summed = bins.withColumn("below", F.sum("n").over(_by("g").orderBy("bin"))).withColumn("all", F.sum("n").over(_by("g")))
-    return summed.where(F.col("below") >= F.least((F.col("all") + extra) / 2, F.col("all"))).groupBy("g").agg(F.exp((F.min("bin") + 1) / BINS).alias(name))
+    """Per group g of n rows and start: the upper end of the logarithmic bin that holds the (n + extra) / 2 th value."""
+    key = ["g", "start"]
+    bins = rows.select(*key, F.floor(F.ln(value + 1e-6) * BINS).cast("long").alias("bin")).groupBy(*key, "bin").agg(F.count("*").alias("n"))
+    summed = bins.withColumn("below", F.sum("n").over(_by(*key).orderBy("bin"))).withColumn("all", F.sum("n").over(_by(*key)))
+    return summed.where(F.col("below") >= F.least((F.col("all") + extra) / 2, F.col("all"))).groupBy(*key).agg(F.exp((F.min("bin") + 1) / BINS).alias(name))
 
 
 def _by(*cols: str):
@@ -133,12 +138,12 @@ def _by(*cols: str):
 
 
 def _moments(rows: DataFrame, d: int) -> DataFrame:
-    """Per group: mean and inverse covariance, its diagonal raised by the floors; sums are exact decimals."""
+    """Per group and start: mean and inverse covariance, its diagonal raised by the floors; sums are exact decimals."""
     exact = lambda c: F.sum(c.cast("decimal(19,0)"))
     pairs = list(combinations_with_replacement(range(d), 2))
-    sums = rows.groupBy("g").agg(F.count("*").alias("n"), *[exact(F.col(f"x{i}")).alias(f"s{i}") for i in range(d)], *[exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs])
+    sums = rows.groupBy("g", "start").agg(F.count("*").alias("n"), *[exact(F.col(f"x{i}")).alias(f"s{i}") for i in range(d)], *[exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs])
     n = F.col("n").cast("double")
-    fit = sums.select("g", n.alias("n"), *[(F.col(f"s{i}").cast("double") / n / UNIT).alias(f"m{i}") for i in range(d)], *[(F.col(f"p{i}_{j}").cast("double") / n / UNIT / UNIT).alias(f"p{i}_{j}") for i, j in pairs])
+    fit = sums.select("g", "start", n.alias("n"), *[(F.col(f"s{i}").cast("double") / n / UNIT).alias(f"m{i}") for i in range(d)], *[(F.col(f"p{i}_{j}").cast("double") / n / UNIT / UNIT).alias(f"p{i}_{j}") for i, j in pairs])
     floors = list(FEATURES.values())
     return _cholesky(fit, d, floors)
 
@@ -165,7 +170,7 @@ def _cholesky(fit: DataFrame, d: int, floors: list[float]) -> DataFrame:
         fit = fit.withColumns({f"r{i}_{j}": inverse(i, j) for j in range(i + 1)})
     square = lambda i, j: sum((F.col(f"r{k}_{i}") * F.col(f"r{k}_{j}") for k in range(i + 1, d)), F.col(f"r{i}_{i}") * F.col(f"r{i}_{j}"))
     log_det = sum((F.ln(F.col(f"l{i}_{i}")) for i in range(1, d)), F.ln("l0_0"))
-    return fit.select("g", (2 * log_det).alias("log_det"), *[f"m{i}" for i in range(d)], *[square(i, j).alias(f"a{i}_{j}") for i in range(d) for j in range(i + 1)])
+    return fit.select("g", "start", (2 * log_det).alias("log_det"), *[f"m{i}" for i in range(d)], *[square(i, j).alias(f"a{i}_{j}") for i in range(d) for j in range(i + 1)])
 
 
 def _start(rows: DataFrame, d: int) -> DataFrame:
@@ -185,22 +190,43 @@ def _start(rows: DataFrame, d: int) -> DataFrame:
     one = mad.select("g", "k", ((F.col("med") + 0.5) / 64).alias("m"), F.greatest(1.4826 * (F.col("mad") + 0.5) / 64, F.get(floors, F.col("k"))).alias("s"))
     cell = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     wide = one.groupBy("g").agg(*[cell("m", k).alias(f"m{k}") for k in range(d)], *[cell("s", k).alias(f"l{k}_{k}") for k in range(d)])
-    return wide.select("g", *[f"m{i}" for i in range(d)], *[(1 / F.pow(F.col(f"l{i}_{i}"), 2) if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i in range(d) for j in range(i + 1)])
+    wide = materialize(wide, "quality-medians")
+    diagonal = [(1 / F.pow(F.col(f"l{i}_{i}"), 2) if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i in range(d) for j in range(i + 1)]
+    medians = wide.select("g", F.lit(0).alias("start"), F.lit(float("inf")).alias("log_det"), *[f"m{i}" for i in range(d)], *diagonal)
+    boxed = rows.join(wide, "g")
+    for i in range(d):
+        boxed = boxed.where(F.abs(F.col(f"x{i}") / UNIT - F.col(f"m{i}")) <= BOX * F.col(f"l{i}_{i}"))
+    boxed = boxed.select("g", F.lit(2).alias("start"), *[f"x{i}" for i in range(d)])
+    return medians.union(_moments(rows.withColumn("start", F.lit(1)).unionByName(boxed), d))
+
+
+def _step(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """Moments of the (n + d + 1) / 2 rows that are nearest by the estimate, for each group and start."""
+    d = len(FEATURES)
+    measured = _measured(rows, fit, d)
+    cut = _quantile(measured, F.col("d2"), d + 1, "cut")
+    return materialize(_moments(measured.join(cut, ["g", "start"]).where(F.col("d2") <= F.col("cut")), d), "quality-fit")
 
 
 def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """One row per group g: location, inverse covariance and the scale that brings the median distance to that of a chi-square."""
+    """One row per group g: location, inverse covariance and the scale that brings the median distance to that of a chi-square.
+
+    Each group has three starts: medians and deviations, the moments of all rows, and those of the rows in a box about the
+    medians. After two steps the one with the least determinant goes on until the determinants settle.
+    """
     d = len(FEATURES)
-    fit = materialize(_start(rows, d).withColumn("log_det", F.lit(float("inf"))), "quality-fit")
+    fit = materialize(_start(rows, d), "quality-fit")
+    for _ in range(2):
+        fit = _step(rows, fit)
+    fit = fit.groupBy("g").agg(F.min_by(F.struct(*[c for c in fit.columns if c != "g"]), F.struct("log_det", "start")).alias("best")).select("g", "best.*")
+    fit = materialize(fit, "quality-fit")
     for _ in range(steps):
-        measured = _measured(rows, fit, d)
-        cut = _quantile(measured, F.col("d2"), d + 1, "cut")
-        before, fit = fit, materialize(_moments(measured.join(cut, "g").where(F.col("d2") <= F.col("cut")), d), "quality-fit")
+        before, fit = fit, _step(rows, fit)
         moved = fit.join(before.select("g", F.col("log_det").alias("before")), "g").where(F.abs(F.col("log_det") - F.col("before")) > SETTLED)
         if moved.isEmpty():
             break
     scale = _quantile(_measured(rows, fit, d), F.col("d2"), 0, "middle")
-    return materialize(fit.join(scale, "g"), "quality-fit")
+    return materialize(fit.join(scale, ["g", "start"]), "quality-fit")
 
 
 def judge_rows(stats: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
