@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.functions.kernels import matrix
-from vexel.plans.storage import ship
+from vexel.plans.storage import materialize, ship
 
 PER_CENTROID, EPS = 256, 1 / 1024
 
@@ -138,10 +138,18 @@ def compute_centroids(assigned: DataFrame) -> DataFrame:
 
 
 def bucket_start(vectors: DataFrame, k: int) -> np.ndarray:
-    """Rows i * floor(n / k) by id, as deterministic centroids."""
-    n = vectors.count()
-    ranked = vectors.withColumn("r", F.row_number().over(Window.orderBy("id")) - 1)
-    picked = ranked.where((F.col("r") % (n // k) == 0) & (F.col("r") < k * (n // k))).orderBy("r").select("vec").collect()
+    """Rows i * floor(n / k) by id, as deterministic centroids.
+
+    Ids are sorted over partitions and stored with their place in one; the driver gets the partitions' sizes and k vectors.
+    """
+    places = materialize(vectors.select("id").orderBy("id").select("id", F.monotonically_increasing_id().alias("at")), "places")
+    part = F.shiftright("at", 33)
+    sizes = places.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    ends = np.cumsum([r["n"] for r in sizes])
+    ranks = np.arange(k) * (int(ends[-1]) // k)
+    block = np.searchsorted(ends, ranks, side="right")
+    wanted = [(sizes[b]["part"] << 33) + int(r - (ends[b - 1] if b else 0)) for b, r in zip(block.tolist(), ranks, strict=True)]
+    picked = vectors.join(F.broadcast(places.where(F.col("at").isin(wanted))), "id").orderBy("at").select("vec").collect()  # k rows
     return np.array([r["vec"] for r in picked], np.float64)
 
 

@@ -64,6 +64,10 @@ def build(x: np.ndarray, m: int, ef: int) -> list[list[int]]:
     return links
 
 
+#: Vectors of a shard: a graph is built and searched in one task.
+PER_SHARD = 50_000
+
+
 @dataclass
 class GraphIndex:
     """nodes: shard, id, vec, neighbors (ids within the shard) and entry (whether a search starts there)."""
@@ -72,8 +76,10 @@ class GraphIndex:
     metric: str = "l2"
 
     @staticmethod
-    def build(base: DataFrame, shards: int = 4, m: int = 12, ef: int = 48, entries: int = 8, metric: str = "l2") -> GraphIndex:
+    def build(base: DataFrame, shards: int | None = None, m: int = 12, ef: int = 48, entries: int = 8, metric: str = "l2") -> GraphIndex:
+        """A graph for each shard; without a number of shards, one for each ``PER_SHARD`` vectors, four at least."""
         ship(base.sparkSession)
+        shards = shards or max(4, -(-base.count() // PER_SHARD))
 
         def make(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("id")
@@ -109,7 +115,7 @@ class GraphIndex:
 
         for names, block in query_blocks(queries):
             parts.append(self.nodes.groupBy("shard").applyInPandas(searcher(names, block), FOUND))
-        out = parts[0]
+        out = parts[0] if parts else queries.sparkSession.createDataFrame([], FOUND)
         for p in parts[1:]:
             out = out.unionByName(p)
         return best(out, k, metric == "ip")

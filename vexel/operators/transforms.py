@@ -96,19 +96,25 @@ def itq(x: np.ndarray, rounds: int = 50, seed: int = 123) -> np.ndarray:
     return r
 
 
-def opq(x: np.ndarray, m: int, rounds: int = 20, bits: int = 4, seed: int = 1) -> Linear:
-    """A rotation for product quantization, by turns of quantizing and Procrustes."""
+def opq(x: np.ndarray, m: int, rounds: int = 20, bits: int = 4, seed: int = 1, out: int | None = None) -> Linear:
+    """A rotation for product quantization, or with out a projection to so many dimensions, by turns of quantizing and Procrustes."""
     from vexel.operators.quantizers import Product
 
-    r = random_rotation(x.shape[1], x.shape[1], seed).a
+    out = out or x.shape[1]
+    r = random_rotation(x.shape[1], x.shape[1], seed).a[:out]
     for _ in range(rounds):
         y = x @ r.T
         q = Product(m, bits, rounds=4).fit(y)
-        u, _, v = np.linalg.svd(q.decode(q.encode(y)).T @ x)
+        u, _, v = np.linalg.svd(q.decode(q.encode(y)).T @ x, full_matrices=False)
         r = u @ v
     return Linear(r, np.zeros(len(r)))
 
 
+def pad(vectors: DataFrame, d: int) -> DataFrame:
+    """Zeros up to d coordinates."""
+    return vectors.withColumn("vec", F.when(F.col("vec").isNotNull(), F.concat("vec", F.array_repeat(F.lit(0.0).cast(vectors.schema["vec"].dataType.elementType), F.greatest(F.lit(0), d - F.size("vec"))))))
+
+
 def center(vectors: DataFrame) -> DataFrame:
     """Vectors minus their mean; the mean is one row."""
     mean = vectors.select(F.posexplode("vec").alias("p", "x")).groupBy("p").agg(F.avg(F.col("x").cast("double")).alias("m")).agg(F.sort_array(F.collect_list(F.struct("p", "m")))["m"].alias("mean"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from vexel.plans.storage import materialize
+
 
 @dataclass(frozen=True)
 class Node:
@@ -69,7 +71,7 @@ def _tokens(tokens: list[str], whole: str) -> Node:
         return Node("idmap", head, (), (_tokens(rest, whole),))
     if last in ("IDMap", "IDMap2") and len(tokens) > 1:
         return Node("idmap", last, (), (_tokens(tokens[:-1], whole),))
-    if rest and (t := _match(head, TRANSFORMS)) and not (len(rest) == 1 and rest[0].startswith("SH") and t[0] in ("PCA", "ITQ") and False):
+    if rest and (t := _match(head, TRANSFORMS)):
         return Node("transform", t[0], t[1], (_tokens(rest, whole),))
     if head.startswith("(") and head.endswith(")"):
         return parse(head[1:-1]) if not rest else _fail(whole)
@@ -125,8 +127,8 @@ def code_size(node: Node, d: int) -> int:
 
 
 def build(text: str, base, metric: str = "l2"):
-    """An index over base (id, vec): an object with search(queries, k, ...)."""
-    from vexel.operators import flat, graph, ivf, quantizers, transforms
+    """An index over base (id, vec): an object with search(queries, k, ...). Rows have ids of their own, which IDMap keeps; what has no builder raises NotImplementedError."""
+    from vexel.operators import coded, flat, graph, ivf, quantizers, transforms
 
     node = parse(text)
 
@@ -134,6 +136,23 @@ def build(text: str, base, metric: str = "l2"):
         def __init__(self, f):
             self.search = f
 
+    def code_of(n: Node):
+        """What encodes and decodes for a leaf."""
+        if n.name == "SQ" and n.args[0] != "fp16":
+            return coded.Scalar(n.args[0])
+        if n.name in ("PQ", "PQfs"):
+            return coded.Learned(quantizers.Product(n.args[0], 4 if n.name == "PQfs" else n.args[1] or 8))
+        if n.name in ("RQ", "LSQ"):
+            m, bits = (n.args[1], n.args[2]) if n.name == "LSQ" else map(int, str(n.args[1]).split("x"))
+            return coded.Learned((quantizers.LocalSearch if n.name == "LSQ" else quantizers.Residual)(m, bits))
+        raise NotImplementedError(f"{n.name} parses, but has no builder here")
+
+    def bits_below(n: Node) -> int:
+        """Bits of the product codes that a rotation is fitted for."""
+        while n.children:
+            n = n.children[-1]
+        return (n.args[1] or 8) if n.name == "PQ" else 4
+
     def make(n: Node, rows):
         if n.kind == "idmap":
             return make(n.children[0], rows)
@@ -143,8 +162,13 @@ def build(text: str, base, metric: str = "l2"):
             x = transforms.sample_matrix(rows)
             t = {
                 "PCA": lambda: transforms.pca(rows, n.args[2], -0.5 if n.args[0] else 0.0, bool(n.args[1])), "RR": lambda: transforms.random_rotation(x.shape[1], n.args[0] or x.shape[1]),
-                "OPQ": lambda: transforms.opq(x, n.args[0], rounds=5), "ITQ": lambda: transforms.Linear(transforms.itq(x), x.mean(0) * 0),
+                "OPQ": lambda: transforms.opq(x, n.args[0], rounds=5, bits=bits_below(n), out=n.args[1]), "ITQ": lambda: transforms.Linear(transforms.itq(x), x.mean(0) * 0),
             }.get(n.name)
+            if n.name == "ITQ" and n.args[0] and n.args[0] != x.shape[1]:
+                raise NotImplementedError("ITQ to fewer dimensions")
+            if t is None and n.name == "Pad":
+                inner = make(n.children[0], transforms.pad(rows, n.args[0]))
+                return Searcher(lambda q, k, **o: inner.search(transforms.pad(q, n.args[0]), k, **o))
             if t is None and n.name == "L2norm":
                 inner = make(n.children[0], transforms.normalize(rows))
                 return Searcher(lambda q, k, **o: inner.search(transforms.normalize(q.withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id"), k, **o))
@@ -154,23 +178,28 @@ def build(text: str, base, metric: str = "l2"):
             inner = make(n.children[0], fitted.apply(rows))
             return Searcher(lambda q, k, **o: inner.search(fitted.apply(q.withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id"), k, **o))
         if n.kind == "refine":
-            inner = make(n.children[0], rows)
-            return Searcher(lambda q, k, k_factor=4, **o: quantizers.refine(inner.search(q, k * k_factor, **o), rows, q, k, metric))
-        if n.kind == "ivf" and n.name == "IVF" and n.children[-1].name == "Flat":
+            inner, by = make(n.children[0], rows), n.children[1]
+            if by.kind == "flat":
+                finer = rows
+            else:
+                codec = code_of(by).learn(rows)
+                finer = codec.decode(materialize(codec.encode(rows), "codes"))
+            return Searcher(lambda q, k, k_factor=4, **o: quantizers.refine(inner.search(q, k * k_factor, **o), finer, q, k, metric))
+        if n.kind == "ivf" and (n.name != "IVF" or len(n.children) > 1 or any(n.args[1:])):
+            raise NotImplementedError(f"the coarse quantizer of {describe(n)}")
+        if n.kind == "ivf" and n.children[-1].name == "Flat":
             return ivf.IvfIndex.build(rows, n.args[0], metric)
+        if n.kind == "ivf":
+            return coded.CodedIvf.build(rows, n.args[0], code_of(n.children[-1]), metric)
         if n.kind == "graph" and n.children[0].name == "Flat":
             return graph.GraphIndex.build(rows, m=n.args[0], metric=metric)
+        if n.kind == "codec" and n.name == "SQ":
+            return Searcher(coded.flat_codes(rows, code_of(n), metric))
         if n.kind == "codec" and n.name in ("PQ", "PQfs", "RQ", "LSQ"):
-            x = transforms.sample_matrix(rows)
-            if n.name == "PQ":
-                codec = quantizers.Product(n.args[0], n.args[1] or 8)
-            elif n.name == "PQfs":
-                codec = quantizers.Product(n.args[0], 4)
-            else:
-                m, bits = (n.args[1], n.args[2]) if n.name == "LSQ" else map(int, str(n.args[1]).split("x"))
-                codec = (quantizers.LocalSearch if n.name == "LSQ" else quantizers.Residual)(m, bits)
-            codec.fit(x)
-            codes = quantizers.encode(rows, codec)
+            codec = code_of(n).learn(rows).codec
+            if n.name == "PQ" and not (len(n.args) > 2 and n.args[2]):
+                codec.order_codes()  # so that Hamming distances of codes follow their own
+            codes = materialize(quantizers.encode(rows, codec), "codes")
             return Searcher(lambda q, k, **o: quantizers.search_codes(codes, codec, q, k, metric, **o))
         raise NotImplementedError(f"{n.name} parses, but has no builder here")
 

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):  # one machine and one process
         return f"file://{tempfile.gettempdir()}/vexel-shared"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/vexel-shared"
 
