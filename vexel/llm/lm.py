@@ -43,11 +43,11 @@ from vexel.plans.storage import materialize
 END, TAILS = 0, 64
 HOT = (1 << 18) - 1 - TAILS
 #: Softmaxes to a token; different tokens that a counting task holds; shards of training; tokens in a block; tokens of a training task and round.
-LEVELS, HELD, ROUNDS, BLOCK, TASK = 4, 300_000, 6, 1 << 14, 1 << 24
+LEVELS, HELD, ROUNDS, BLOCK, TASK = 4, 300_000, 6, 1 << 14, 1 << 22
 #: Frequent words that tell kinds of text apart, and the number of kinds.
 MARKERS, KINDS = 128, 8
 #: Fixed-point steps to a probability; rows to a message; strength of the pull towards zero; the most a weight moves in a step, and its bound.
-FINE, BLOCK_ROWS, PULL, STRIDE, BOUND = 1 << 20, 256, 4.0, 1.5, 8.0
+FINE, BLOCK_ROWS, PULL, STRIDE, BOUND = 1 << 20, 1024, 4.0, 1.5, 8.0
 #: Steps to a unit of log10, so that joined sums are exact.
 UNIT = 10**12
 RARE = np.uint32(1 << 31)
@@ -217,7 +217,7 @@ def kinds(encoded: DataFrame, words: Words) -> np.ndarray:
         kind, which = np.nonzero(often)
         yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(often[kind, which])], ["event", "kind", "c"])
 
-    tasks = max(train_.sparkSession.sparkContext.defaultParallelism, int(words.total // TASK))
+    tasks = max(1, int(words.total // TASK))
     votes = materialize(shipped(train_).coalesce(tasks).mapInArrow(vote, "event int, kind int, c long").groupBy("event", "kind").agg(F.sum("c").alias("c")), "lm-kinds")
     share = [0.0] * KINDS
     for r in votes.groupBy("kind").agg(F.sum("c").alias("c")).collect():
@@ -348,6 +348,15 @@ def moved(weights: np.ndarray, seen: np.ndarray, due: np.ndarray) -> np.ndarray:
     return np.clip(weights + np.clip(step, -STRIDE, STRIDE), -BOUND, BOUND).astype(np.float32)
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers, all first bytes, then all second ones and so on, compressed."""
+    return pa.compress(numbers.astype("<i8", order="C").reshape(-1, 1).view(np.uint8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, n * 8, codec="zstd"), np.uint8).reshape(8, n).T).view("<i8").ravel()
+
+
 def _round(now: Model):
     """Functions that sum a task's counts by block of rows, and that add blocks up and move their weights."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,23 +364,21 @@ def _round(now: Model):
         for level in range(LEVELS):
             for b in range(0, now.rows, BLOCK_ROWS):
                 if seen[level][b : b + BLOCK_ROWS].any():
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([level], pa.int32()), pa.array([b], pa.int32()),
-                        pa.array([seen[level][b : b + BLOCK_ROWS].astype(np.uint32).tobytes()]), pa.array([due[level][b : b + BLOCK_ROWS].astype(np.int64).tobytes()]),
-                    ], ["level", "block", "seen", "due"])
+                    packed = [pa.array([_pack(x[level][b : b + BLOCK_ROWS])], pa.binary()) for x in (seen, due)]
+                    yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([b], pa.int32()), *packed], ["level", "block", "seen", "due"])
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         level, b = int(frame["level"].iloc[0]), int(frame["block"].iloc[0])
-        seen = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in frame["seen"])
-        due = sum(np.frombuffer(x, np.int64) for x in frame["due"])
-        new = moved(now.tables[level][b : b + BLOCK_ROWS], seen.reshape(-1, now.width), due.reshape(-1, now.width))
+        old = now.tables[level][b : b + BLOCK_ROWS]
+        seen, due = (sum(_unpack(x, old.size) for x in frame[c]).reshape(old.shape) for c in ("seen", "due"))
+        new = moved(old, seen, due)
         return pd.DataFrame({"level": [level], "block": [b], "new": [new.tobytes()]})
 
     return run, step
 
 
 def train(encoded: DataFrame, m: Model, total: int, rounds: int = ROUNDS) -> Model:
-    tasks = max(encoded.sparkSession.sparkContext.defaultParallelism, int(total // rounds // TASK))
+    tasks = max(1, int(total // rounds // TASK))
     for k in range(rounds):
         run, step = _round(m)
         sums = shipped(encoded).where(F.col("part") == k).select("ids").coalesce(tasks).mapInArrow(run, "level int, block int, seen binary, due binary")
