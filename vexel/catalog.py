@@ -269,9 +269,9 @@ def two_level(spark, sf_dir):
 PLAIN = {
     "knn_l2": _knn("l2"), "knn_ip": _knn("ip"), "knn_l1": _knn("l1"), "knn_linf": _knn("linf"), "knn_cosine": _knn("cosine"), "knn_lp": _knn("lp"), "knn_canberra": _knn("canberra"),
     "knn_braycurtis": _knn("braycurtis", True), "knn_jensenshannon": _knn("jensenshannon", True), "knn_jaccard": _knn("jaccard", True),
-    "index_graph": _built("HNSW12,Flat"), "index_pq": _built("PQ8x4"), "index_pq_polysemous": _built("PQ8x4", ht=20), "index_rq_refine": _built("RQ3x4,RFlat"), "index_lsq": _built("LSQ3x4"),
-    "index_opq": _built("OPQ8_32,PQ8x4"), "index_pca_ivf": _built("PCA32,IVF8,Flat", nprobe=3), "index_itq": _built("ITQ,Flat"),
-    "index_ivf_sq8": _built("IVF8,SQ8", nprobe=8), "index_ivf_pq": _built("IVF8,PQ16x8", nprobe=8), "index_ivf_pq_refined": _built("IVF8,PQ16x8,RFlat", nprobe=8), "index_sq8": _built("SQ8"), "index_pad": _built("Pad80,Flat"), "index_refine_codes": _built("PQ8x4,Refine(SQ8)", k_factor=20),
+    "index_graph": _built("HNSW12,Flat"), "index_pq": _built("PQ32x8,RFlat"), "index_pq_polysemous": _built("PQ32x8,RFlat", ht=160, k_factor=10), "index_rq_refine": _built("RQ8x6,RFlat", k_factor=10), "index_lsq": _built("LSQ8x6,RFlat", k_factor=10),
+    "index_opq": _built("OPQ16_32,PQ16x8,RFlat", k_factor=15), "index_pca_ivf": _built("PCA32,IVF8,Flat,RFlat", nprobe=8, k_factor=15), "index_itq": _built("ITQ,Flat"),
+    "index_ivf_sq8": _built("IVF8,SQ8", nprobe=8), "index_ivf_pq": _built("IVF8,PQ32x8", nprobe=8), "index_ivf_pq_refined": _built("IVF8,PQ16x8,RFlat", nprobe=8), "index_sq8": _built("SQ8"), "index_pad": _built("Pad80,Flat"), "index_refine_codes": _built("PQ8x4,Refine(SQ8)", k_factor=20),
 }
 NAMED = (knn_columns, knn_filtered, range_l2, range_ip, assign, distance_subset, residuals, nearest_1d, binary_knn, binary_range, binary_hash, scalar_codes, row_minmax, ivf_search, ivf_max_codes, ivf_range, ivf_list_sizes, ivf_upkeep, ivf_dedup, find_duplicates, list_tools, sliding, sharded, split_vectors, kmeans_step, kmeans_arrow_step, imbalance, centered, normalized, matrix_stats, evaluation, operating_points, max_results, event_windows, nn_descent, nsg_neighbors, two_level)
 
