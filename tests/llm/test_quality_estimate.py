@@ -22,6 +22,17 @@ def exact(x, floors, starts, rng):
     return best
 
 
+def core(x, floors, start):
+    """The log determinant where concentration steps from the rows of start end, infinite without any."""
+    n, d = x.shape
+    chosen, log_det = start, np.inf
+    for _ in range(60 if len(start) else 0):
+        m, c = x[chosen].mean(axis=0), np.cov(x[chosen].T, bias=True) + np.diag(floors**2)
+        log_det = np.linalg.slogdet(c)[1] if len(chosen) == (n + d + 1) // 2 else np.inf
+        chosen = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), kind="stable")[: (n + d + 1) // 2]
+    return log_det, chosen
+
+
 @pytest.fixture(scope="module")
 def groups():
     rng, d = np.random.default_rng(5), len(quality.FEATURES)
@@ -46,9 +57,11 @@ def test_least_determinant(spark, groups):
         log_det, m, _ = exact(x / quality.UNIT, floors, 200, np.random.default_rng(6))
         assert found[g]["log_det"] == pytest.approx(log_det, abs=0.7)  # three starts end near the least of 200, and a bin of distances holds some more rows than h
         assert [found[g][f"m{i}"] for i in range(d)] == pytest.approx(list(m), abs=0.3)
-        assert sum(far[(g, *map(int, v))] > quality.CUTOFF for v in x[bad:]) == 0
-        if not all(far[(g, *map(int, v))] > quality.CUTOFF for v in x[:bad]):
-            pytest.xfail("clustered junk of this fixture is not wholly beyond CUTOFF; open, see README")
+        clean, held = (core(x / quality.UNIT, floors, part) for part in (np.arange(bad, len(x)), np.arange(bad)))
+        if clean[0] < held[0]:  # the core of least determinant is one of good rows: all junk and nothing else lies beyond the cutoff
+            assert [far[(g, *map(int, v))] > quality.CUTOFF for v in x] == [k < bad for k in range(len(x))]
+        else:  # tight junk of 45 %: a core of all of it and a few good rows has a lesser determinant, and the random starts end in one like it
+            assert g == "g2" and log_det < clean[0] - 5
 
 
 def test_repeated_vectors_and_empty_tables(spark):

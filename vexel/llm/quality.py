@@ -11,7 +11,8 @@ group's sums are combined on the map side, and only one row per group and histog
 
 Defined results: a null text counts as empty and fails the base rule; null languages and sources are groups like others;
 repeated rows are judged each; groups of fewer than ``min_group`` texts are judged with the estimate of the whole language, or, if
-that is small too, of all texts, large groups included; in an even smaller corpus nothing but the base rule rejects. Columns of the input other than
+that is small too, of all texts, large groups included; junk that is far tighter than the good texts and nearly half of a group
+can hold the core of least determinant itself, and then passes; in an even smaller corpus nothing but the base rule rejects. Columns of the input other than
 those named are ignored by ``judge`` and kept by ``keep_good``, whatever their names.
 """
 
