@@ -241,6 +241,47 @@ def max_results(spark, sf_dir):
     return _round(evaluate.radius_for(flat.range_search(rows, asked(rows), 4.0), 50))
 
 
+def binary_ivf(spark, sf_dir):
+    """Words in lists around the words of the rows i * floor(n / 8), three probed."""
+    rows, index = _index(spark, sf_dir)
+    centres = [r["word"] for r in cluster_table(spark, index).select("list_no", D.sign_bits(F.col("vec")).alias("word")).orderBy("list_no").collect()]
+    words = _words(rows)
+    return binary.WordLists.build(words, centres).search(_word_queries(words), K, nprobe=3)
+
+
+def binary_counts(spark, sf_dir):
+    words = _words(base(spark, sf_dir))
+    return binary.count_within(words, _word_queries(words), 28)
+
+
+def lsh_medians(spark, sf_dir):
+    rows = base(spark, sf_dir)
+    words = binary.lsh_words(rows, materialize(binary.medians(rows), "medians"))
+    return binary.knn(words, _word_queries(words), K)
+
+
+def ivf_spectral(spark, sf_dir):
+    rows, index = _index(spark, sf_dir)
+    return binary.spectral_search(index.lists, cluster_table(spark, index), asked(rows), index.probes(asked(rows), 3), K, 0.5)
+
+
+def ivf_reconstruct(spark, sf_dir):
+    """Every fiftieth row read back from its list; ids that aren't stored give nothing."""
+    rows, index = _index(spark, sf_dir)
+    ids = rows.where("id % 50 = 0").select("id").union(rows.select(F.col("id") + 1_000_000))
+    return index.reconstruct(ids).select("list_no", "id", F.round(D.ip(F.col("vec"), F.col("vec")), PLACES).alias("norm2"))
+
+
+def id_map(spark, sf_dir):
+    rows = base(spark, sf_dir)
+    return _round(meta.translate(flat.knn(rows, asked(rows), K), rows.select("id", (F.col("id") * 10 + 7).alias("user_id"))))
+
+
+def knn_selectors(spark, sf_dir):
+    rows = base(spark, sf_dir)
+    return _round(flat.knn(rows, asked(rows), K, where=meta.xor(meta.id_range(20, 150), F.col("label") == 1) & ~meta.id_set([30, 31, 32])))
+
+
 def event_windows(spark, sf_dir):
     return tumbling_counts(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
@@ -273,7 +314,7 @@ PLAIN = {
     "index_opq": _built("OPQ16_32,PQ16x8,RFlat", k_factor=15), "index_pca_ivf": _built("PCA32,IVF8,Flat,RFlat", nprobe=8, k_factor=15), "index_itq": _built("ITQ,Flat"),
     "index_ivf_sq8": _built("IVF8,SQ8", nprobe=8), "index_ivf_pq": _built("IVF8,PQ32x8", nprobe=8), "index_ivf_pq_refined": _built("IVF8,PQ16x8,RFlat", nprobe=8), "index_sq8": _built("SQ8"), "index_pad": _built("Pad80,Flat"), "index_refine_codes": _built("PQ8x4,Refine(SQ8)", k_factor=20),
 }
-NAMED = (knn_columns, knn_filtered, range_l2, range_ip, assign, distance_subset, residuals, nearest_1d, binary_knn, binary_range, binary_hash, scalar_codes, row_minmax, ivf_search, ivf_max_codes, ivf_range, ivf_list_sizes, ivf_upkeep, ivf_dedup, find_duplicates, list_tools, sliding, sharded, split_vectors, kmeans_step, kmeans_arrow_step, imbalance, centered, normalized, matrix_stats, evaluation, operating_points, max_results, event_windows, nn_descent, nsg_neighbors, two_level)
+NAMED = (binary_ivf, binary_counts, lsh_medians, ivf_spectral, ivf_reconstruct, id_map, knn_selectors, knn_columns, knn_filtered, range_l2, range_ip, assign, distance_subset, residuals, nearest_1d, binary_knn, binary_range, binary_hash, scalar_codes, row_minmax, ivf_search, ivf_max_codes, ivf_range, ivf_list_sizes, ivf_upkeep, ivf_dedup, find_duplicates, list_tools, sliding, sharded, split_vectors, kmeans_step, kmeans_arrow_step, imbalance, centered, normalized, matrix_stats, evaluation, operating_points, max_results, event_windows, nn_descent, nsg_neighbors, two_level)
 
 
 def queries() -> dict:
@@ -332,6 +373,18 @@ def oracle_sql() -> dict[str, str]:
     sql["binary_range"] = f"{b} SELECT * FROM ({bits}) WHERE distance < 24"
     near = "list_sum(list_transform(list_zip(x.s[{0}:{1}], y.s[{0}:{1}]), lambda t: abs(t[1] - t[2]))) <= 1"
     sql["binary_hash"] = f"{b} {_top(bits + ' AND (' + near.format(1, 8) + ' OR ' + near.format(9, 16) + ')')}".replace("round(distance, 6)", "distance")
+    sql["binary_counts"] = f"{b} SELECT query_id, count(*) AS n FROM ({bits}) WHERE distance < 28 GROUP BY query_id"
+    words = f"{bl}, s AS {BITS}, cs AS (SELECT list_no, list_transform(w, lambda e: CASE WHEN e >= 0 THEN 1 ELSE 0 END) AS s FROM c), near AS (SELECT id, list_no, row_number() OVER (PARTITION BY id ORDER BY {HAMMING}, list_no) AS k FROM s x, cs y)"
+    sql["binary_ivf"] = f"{words} {_top(bits + ' AND EXISTS (SELECT 1 FROM near m JOIN near o USING (list_no) WHERE m.id = x.id AND m.k = 1 AND o.id = y.id AND o.k <= 3)')}".replace("round(distance, 6)", "distance")
+    above = "(SELECT id, list_transform(list_zip(v, m), lambda t: CASE WHEN t[1] >= t[2] THEN 1 ELSE 0 END) AS s FROM b, m)"
+    middle = "m AS (SELECT list(t ORDER BY p) AS m FROM (SELECT p, quantile_disc(e, 0.5) AS t FROM (SELECT unnest(range(0, 64)) AS p, unnest(v) AS e FROM b) GROUP BY p))"
+    sql["lsh_medians"] = f"{b}, {middle} {_top(bits.replace(BITS, above))}".replace("round(distance, 6)", "distance")
+    code = "list_transform(list_zip({0}, c.w), lambda t: abs(floor((t[1] - t[2]) * 2.0 / 0.5) % 2))"
+    sql["ivf_spectral"] = f"""{bl}, x AS (SELECT list_no, id, {code.format('l.v')} AS s FROM l JOIN c USING (list_no)), y AS (SELECT list_no, query_id, {code.format('q.w')} AS s FROM p JOIN q USING (query_id) JOIN c USING (list_no) WHERE probe <= 3)
+{_top(f'SELECT query_id, id, CAST({HAMMING} AS INT) AS distance FROM x JOIN y USING (list_no)')}""".replace("round(distance, 6)", "distance")
+    sql["ivf_reconstruct"] = f"{bl} SELECT list_no, id, round(list_sum(list_transform(v, lambda e: e * e)), 6) AS norm2 FROM l WHERE id % 50 = 0"
+    sql["id_map"] = f"SELECT query_id, id * 10 + 7 AS id, distance, rank FROM ({sql['knn_l2']})"
+    sql["knn_selectors"] = _sql_knn("l2", where="((id >= 20 AND id < 150) <> (label = 1)) AND id NOT IN (30, 31, 32)")
     sql["scalar_codes"] = f"""{b}, x AS (SELECT id, unnest(range(1, 65)) AS p, unnest(v) AS e FROM b), s AS (SELECT p, min(e) AS a, max(e) AS z FROM x GROUP BY p)
 SELECT id, CAST(sum(CASE WHEN z > a THEN floor(least(1.0, greatest(0.0, (e - a) / (z - a))) * 255) ELSE 0 END) AS BIGINT) AS total FROM x JOIN s USING (p) GROUP BY id"""
     sql["row_minmax"] = f"""{b}, m AS (SELECT id, v, list_min(v) AS a, list_max(v) AS z FROM b)

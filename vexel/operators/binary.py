@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.functions.distance import hamming
+from vexel.functions.distance import hamming, sign_bits, subtract
 from vexel.operators.flat import best
 
 
@@ -40,6 +41,68 @@ def hash_search(base: DataFrame, queries: DataFrame, k: int, bits: int = 16, nfl
     return best(met, k)
 
 
-def spectral_bits(vec: Column, frequency: float, shift: float = 0.0) -> Column:
-    """Bit of each coordinate: floor((x - shift) * frequency) mod 2."""
-    return F.transform(vec, lambda x: F.pmod(F.floor((x.cast("double") - shift) * frequency), F.lit(2)).cast("int"))
+def count_within(base: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """query_id and n, the number of rows at a distance strictly below the radius; queries without any are left out."""
+    return range_search(base, queries, radius).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@dataclass
+class WordLists:
+    """Inverted lists of words: centre words (at most a few thousand, held in the plan) and lists (list_no, id, word)."""
+
+    centres: list[int]
+    lists: DataFrame
+
+    @staticmethod
+    def build(base: DataFrame, centres: list[int]) -> WordLists:
+        """Each row goes to the nearest centre, the first of equals; null words are left out."""
+        rows = base.where("word IS NOT NULL").select("id", "word")
+        return WordLists(centres, rows.select(F.array_min(_ranked(F.col("word"), centres))["i"].alias("list_no"), "id", "word"))
+
+    @staticmethod
+    def train(base: DataFrame, nlist: int, rounds: int = 5) -> list[int]:
+        """Centres by majority of bits; starts from distinct words of least hash. An empty list keeps its centre."""
+        chosen = base.where("word IS NOT NULL").select("word").distinct().orderBy(F.xxhash64("word"), "word").limit(nlist)
+        centres = [r["word"] for r in chosen.collect()]
+        bit = lambda i: F.when(2 * F.sum(F.shiftright("word", i).bitwiseAND(1)) >= F.count("*"), F.lit(1)).otherwise(F.lit(0))
+        for _ in range(rounds if centres else 0):
+            votes = WordLists.build(base, centres).lists.groupBy("list_no").agg(*[bit(i).alias(f"b{i}") for i in range(64)]).collect()
+            for r in votes:  # one row a list
+                word = sum(r[f"b{i}"] << i for i in range(64))
+                centres[r["list_no"]] = word - (1 << 64) if word >> 63 else word
+        return centres
+
+    def search(self, queries: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
+        asked = queries.select("query_id", F.col("word").alias("query_word"), F.explode(F.slice(F.sort_array(_ranked(F.col("word"), self.centres)), 1, nprobe)["i"]).alias("list_no"))
+        met = self.lists.join(asked, "list_no").select("query_id", "id", hamming(F.col("word"), F.col("query_word")).alias("distance"))
+        return best(met, k)
+
+
+def _ranked(word: Column, centres: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(c).cast("long") for c in centres]), lambda c, i: F.struct(hamming(word, c).alias("d"), i.alias("i")))
+
+
+def medians(base: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """One row: thresholds, each coordinate's median (to one part in accuracy of the ranks), as an array."""
+    long = base.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.percentile_approx("x", 0.5, accuracy).alias("t"))
+    return long.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]).alias("thresholds"))  # one row a coordinate
+
+
+def lsh_words(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """id and word: a bit for each of up to 64 coordinates, one at or above its threshold."""
+    return rows.join(F.broadcast(thresholds)).select("id", sign_bits(subtract(F.col("vec"), F.col("thresholds"))).alias("word"))  # thresholds are one row
+
+
+def spectral_word(vec: Column, shift: Column, period: float) -> Column:
+    """Up to 64 bits: floor(2 * (x - shift) / period) mod 2 of each coordinate."""
+    odd = F.zip_with(vec, shift, lambda x, c: F.pmod(F.floor((x.cast("double") - c) * 2.0 / period), F.lit(2)) == 1)
+    return sign_bits(F.transform(odd, lambda b: F.when(b, 1).otherwise(-1)))
+
+
+def spectral_search(lists: DataFrame, centres: DataFrame, queries: DataFrame, probes: DataFrame, k: int, period: float) -> DataFrame:
+    """Codes of residuals to the centre of each list (list_no, id, vec; centres: list_no, vec), compared with the query's code in that list."""
+    c = centres.select("list_no", F.col("vec").alias("centre"))
+    stored = lists.join(c, "list_no").select("list_no", "id", spectral_word(F.col("vec"), F.col("centre"), period).alias("word"))
+    asked = probes.select("query_id", "list_no").join(queries, "query_id").join(c, "list_no")
+    asked = asked.select("list_no", "query_id", spectral_word(F.col("vec"), F.col("centre"), period).alias("query_word"))
+    return best(stored.join(asked, "list_no").select("query_id", "id", hamming(F.col("word"), F.col("query_word")).alias("distance")), k)

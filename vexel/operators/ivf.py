@@ -78,6 +78,14 @@ class IvfIndex:
         rule = {"id_range": F.col("id").between(a, b - 1), "id_mod": F.col("id") % a == b, "list_range": F.col("list_no").between(a, b - 1)}[kind]
         return IvfIndex(self.centroids, self.lists.where(rule), self.metric)
 
+    def reconstruct(self, ids: DataFrame) -> DataFrame:
+        """list_no, id and vec of the ids that are stored."""
+        return self.lists.join(ids.select("id").distinct(), "id", "left_semi").select("list_no", "id", "vec")
+
+    def reset(self) -> IvfIndex:
+        """The same centroids and no rows."""
+        return IvfIndex(self.centroids, self.lists.limit(0), self.metric)
+
     def list_sizes(self) -> DataFrame:
         return self.lists.groupBy("list_no").agg(F.count("*").alias("n"))
 
