@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vexel.operators import binary
+from vexel.operators import binary, evaluate, flat, quantizers
 from vexel.operators.ivf import IvfIndex
+from vexel.plans import factory
 
 
 def words(spark, values, name="id"):
@@ -62,3 +63,23 @@ def test_reset_and_reconstruct(spark):
     ids = spark.createDataFrame([(2,), (2,), (9,)], "id long")
     assert [tuple(r) for r in index.reconstruct(ids).collect()] == [(1, 2, [5.0, 1.0])]
     assert index.reset().lists.count() == 0 and index.reset().add(rows).lists.count() == 2
+
+
+def test_half_and_lsh_strings(spark):
+    x = np.random.default_rng(3).normal(0, 1, (120, 70))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    asked = rows.where("id % 20 = 0").selectExpr("id AS query_id", "vec")
+    for text, options in (("SQfp16", {}), ("IVF4,SQfp16", {"nprobe": 4})):
+        found = factory.build(text, rows).search(asked, 10, **options)
+        assert evaluate.intersection_at(found, flat.knn(rows, asked, 10), 10).first()[0] >= 0.9
+    for text, t in (("LSH", 0.0), ("LSHt", np.sort(x, axis=0)[59])):
+        bits = x >= t
+        got = {(r["query_id"], r["id"], r["distance"]) for r in factory.build(text, rows).search(asked, 5).collect()}
+        far = {q: sorted((int((bits[q] != b).sum()), i) for i, b in enumerate(bits))[:5] for q in range(0, 120, 20)}
+        assert got == {(q, i, d) for q, best in far.items() for d, i in best}
+    assert factory.build("LSHrt", rows).search(asked, 5).where("rank = 1 AND id = query_id AND distance = 0").count() == 6
+
+
+def test_half_is_clipped():
+    half = quantizers.Half()
+    assert half.decode(half.encode(np.array([[1e9, -1e9, 0.5, 0.0]]))).tolist() == [[65504.0, -65504.0, 0.5, 0.0]]

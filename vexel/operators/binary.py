@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.functions.distance import hamming, sign_bits, subtract
+from vexel.functions.distance import hamming, hamming_words, sign_bits, subtract
 from vexel.operators.flat import best
 
 
@@ -93,6 +93,17 @@ def lsh_words(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(thresholds)).select("id", sign_bits(subtract(F.col("vec"), F.col("thresholds"))).alias("word"))  # thresholds are one row
 
 
+def lsh_search(rows: DataFrame, d: int, queries: DataFrame, k: int, thresholds: DataFrame | None = None) -> DataFrame:
+    """The k rows whose codes differ least from the query's; codes have a bit for each of d coordinates, in words of 64."""
+    def coded(t: DataFrame) -> DataFrame:
+        t = t.where("vec IS NOT NULL")
+        t = t.withColumn("x", F.col("vec")) if thresholds is None else t.join(F.broadcast(thresholds)).withColumn("x", subtract(F.col("vec"), F.col("thresholds")))
+        return t.withColumn("words", F.array(*[sign_bits(F.slice("x", i + 1, min(64, d - i))) for i in range(0, d, 64)]))
+
+    pairs = coded(rows).select("id", "words").crossJoin(coded(queries).select("query_id", F.col("words").alias("query_words")))
+    return best(pairs.select("query_id", "id", hamming_words(F.col("words"), F.col("query_words")).alias("distance")), k)
+
+
 def spectral_word(vec: Column, shift: Column, period: float) -> Column:
     """Up to 64 bits: floor(2 * (x - shift) / period) mod 2 of each coordinate."""
     odd = F.zip_with(vec, shift, lambda x, c: F.pmod(F.floor((x.cast("double") - c) * 2.0 / period), F.lit(2)) == 1)

@@ -121,7 +121,7 @@ def flat_codes(base: DataFrame, codec: Scalar | Learned, metric: str):
     return lambda queries, k, **options: knn(codec.decode(codes), queries, k, metric, **options)
 
 
-CODECS = {c.__name__: c for c in (quantizers.Product, quantizers.Residual, quantizers.LocalSearch)}
+CODECS = {c.__name__: c for c in (quantizers.Product, quantizers.Residual, quantizers.LocalSearch, quantizers.Half)}
 
 
 def save(index: IvfIndex | CodedIvf, path: str) -> None:

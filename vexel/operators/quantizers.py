@@ -152,6 +152,21 @@ class ProductAdditive:
         return np.concatenate([p.decode(c) for p, c in zip(self.parts, np.split(codes, self.slices, axis=1), strict=True)], axis=1)
 
 
+@dataclass
+class Half:
+    """Coordinates as half-precision floats, a code the 16 bits of one; values out of range become the largest finite one."""
+
+    def fit(self, x: np.ndarray) -> Half:
+        return self
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        most = float(np.finfo(np.float16).max)
+        return np.clip(x, -most, most).astype(np.float16).view(np.uint16).astype(np.int32)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return codes.astype(np.uint16).view(np.float16).astype(np.float64)
+
+
 def encode(vectors: DataFrame, codec) -> DataFrame:
     """id and code, an array of sub-codes."""
     ship(vectors.sparkSession)

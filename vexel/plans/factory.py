@@ -128,7 +128,7 @@ def code_size(node: Node, d: int) -> int:
 
 def build(text: str, base, metric: str = "l2"):
     """An index over base (id, vec): an object with search(queries, k, ...). Rows have ids of their own, which IDMap keeps; what has no builder raises NotImplementedError."""
-    from vexel.operators import coded, flat, graph, ivf, quantizers, transforms
+    from vexel.operators import binary, coded, flat, graph, ivf, quantizers, transforms
 
     node = parse(text)
 
@@ -138,8 +138,8 @@ def build(text: str, base, metric: str = "l2"):
 
     def code_of(n: Node):
         """What encodes and decodes for a leaf."""
-        if n.name == "SQ" and n.args[0] != "fp16":
-            return coded.Scalar(n.args[0])
+        if n.name == "SQ":
+            return coded.Learned(quantizers.Half()) if n.args[0] == "fp16" else coded.Scalar(n.args[0])
         if n.name in ("PQ", "PQfs"):
             return coded.Learned(quantizers.Product(n.args[0], 4 if n.name == "PQfs" else n.args[1] or 8))
         if n.name in ("RQ", "LSQ"):
@@ -195,6 +195,15 @@ def build(text: str, base, metric: str = "l2"):
             return graph.GraphIndex.build(rows, m=n.args[0], metric=metric)
         if n.kind == "codec" and n.name == "SQ":
             return Searcher(coded.flat_codes(rows, code_of(n), metric))
+        if n.name == "LSH":
+            turn, middle = n.args
+            d = transforms.sample_matrix(rows).shape[1]
+            a = transforms.random_rotation(d, d).a
+            turned = (lambda t: transforms.map_vectors(t, lambda x: (x @ a.T).astype("float32"))) if turn else lambda t: t  # products differ in the last bits between batches; rounded, the same vector has the same code
+            kept = materialize(turned(rows.select("id", "vec")), "turned") if turn else rows
+            asked = lambda q: turned(q.selectExpr("query_id AS id", "vec")).withColumnRenamed("id", "query_id")
+            thresholds = materialize(binary.medians(kept), "medians") if middle else None
+            return Searcher(lambda q, k, **o: binary.lsh_search(kept, d, asked(q), k, thresholds, **o))
         if n.kind == "codec" and n.name in ("PQ", "PQfs", "RQ", "LSQ"):
             codec = code_of(n).learn(rows).codec
             if n.name == "PQ" and not (len(n.args) > 2 and n.args[2]):
