@@ -10,7 +10,8 @@ to be toxic (a log-likelihood ratio of ``LEAST_G2``), the exceptions all phrases
 and no toxic one, beside those given. Every text is scored whole.
 
 Defined results: null, empty and blank texts get the score of a text without matches; rows with a null doc_id are scored, and held
-out; repeated rows are scored each; without labelled rows of both classes every score is 0.
+out; repeated rows are scored each; without labelled rows of both classes every score is 0; where the sample shows no lexicon, all
+scores are the share of toxic labels, or ``NO_MATCH`` if that is less.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vexel.llm.text import cut, shipped
 
-PER_CLASS, LEAST_TOXIC, LEAST_G2, LEAST_PLAIN = 3000, 5, 24.0, 5
+PER_CLASS, LEAST_TOXIC, LEAST_G2, LEAST_PLAIN, NO_MATCH = 3000, 5, 24.0, 5, 0.49
 #: What looks like or stands for a Latin letter.
 LOOKS = dict(zip("аеорсухіјѕԁһкмтвнαορτυνκιεß", "aeopcyxijsdhkmtbhaoptuvkieß", strict=True))
 DIGITS = dict(zip("0134578@$", "oieastbas", strict=True))
@@ -125,10 +126,21 @@ def _count_parts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("part").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labels that may be learned from."""
+    return labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+
+
+def weights_of(labels: DataFrame, per_class: int = PER_CLASS) -> tuple[float, float]:
+    """For a row of the sample, plain or toxic: how many learnable labels it stands for."""
+    n = {r[0]: r[1] for r in usable(labels).groupBy("toxic").count().collect()}  # two rows
+    return tuple(max(1.0, n.get(t, 0) / per_class) for t in (0, 1))
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """toxic and text of at most so many learnable rows of each class; ids are chosen before texts are read."""
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
-    by_hash = lambda t: usable.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    all_ = usable(labels)
+    by_hash = lambda t: all_.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return docs.select("doc_id", "text").join(F.broadcast(by_hash(0).union(by_hash(1))), "doc_id").select("toxic", "text")  # at most 2 * per_class ids
 
 
@@ -147,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, except
     ranked = _count_parts(sample).where((n >= LEAST_TOXIC) & (n * good > 3 * m * bad)).select("part", weight.alias("w"), g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
     top = ranked.orderBy(F.desc("g2"), "part").collect()  # parts of at least LEAST_TOXIC of at most per_class texts
     model = Model({r["part"]: float(r["w"]) for r in top}, exceptions)
-    return _calibrate(replace(model, exceptions=(*exceptions, *_plain_phrases(sample, model))), sample)
+    return _calibrate(replace(model, exceptions=(*exceptions, *_plain_phrases(sample, model))), sample, weights_of(labels, per_class))
 
 
 def _plain_phrases(sample: DataFrame, model: Model) -> list[str]:
@@ -178,16 +190,18 @@ def _features(frame: DataFrame, model: Model) -> DataFrame:
     return shipped(frame).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, x0 double, x1 double, x2 double")
 
 
-def _calibrate(model: Model, sample: DataFrame) -> Model:
-    """Logistic regression by Newton's method with a small ridge."""
+def _calibrate(model: Model, sample: DataFrame, stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Logistic regression by Newton's method with a small ridge; a row of each class counts as many as it stands for, so the share of toxic texts is that of all labels."""
     got = _features(sample, model).toPandas()
     x = np.c_[np.ones(len(got)), got[["x0", "x1", "x2"]].to_numpy()]
     y, w = got["toxic"].to_numpy(float), np.zeros(4)
+    times = np.where(y == 1, stands_for[1], stands_for[0])
+    times *= len(y) / times.sum()
     ridge = np.diag([0.01, 0.3, 0.3, 0.3])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-    return Model(model.weights, model.exceptions, tuple(w[1:]), float(w[0]))
+        w += np.linalg.solve((x * (times * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (times * (y - p)) - ridge @ w)
+    return Model(model.weights, model.exceptions, tuple(w[1:]), min(float(w[0]), float(np.log(NO_MATCH / (1 - NO_MATCH)))))
 
 
 def score_column(model: Model):
