@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import bpe, chat, decontam, lm, quality, rollups, simhash, toxicity, urls, warc
+from vexel.llm import bpe, chat, decontam, lm, quality, rollups, simhash, spelling, toxicity, urls, warc
 from vexel.plans import storage
 from vexel.plans.storage import materialize
 
@@ -72,8 +72,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_warc_archive, op3_decontaminate, op4_lm_scores, op5_chat_examples, op6_url_filter, op7_token_rollups, op8_toxicity, op9_simhash_components, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_warc_archive, op3_decontaminate, op4_lm_scores, op5_chat_examples, op6_url_filter, op7_token_rollups, op8_toxicity, op9_simhash_components, op10_bpe, op13_spelling_variants)}
 
 
 WARC_SQL = """
