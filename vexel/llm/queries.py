@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import bpe, chat, decontam, lm, quality, rollups, simhash, spelling, toxicity, urls, warc
+from vexel.llm import bpe, chat, decontam, lm, phrases, quality, rollups, simhash, spelling, toxicity, urls, warc
 from vexel.plans import storage
 from vexel.plans.storage import materialize
 
@@ -72,12 +72,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_warc_archive, op3_decontaminate, op4_lm_scores, op5_chat_examples, op6_url_filter, op7_token_rollups, op8_toxicity, op9_simhash_components, op10_bpe, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_warc_archive, op3_decontaminate, op4_lm_scores, op5_chat_examples, op6_url_filter, op7_token_rollups, op8_toxicity, op9_simhash_components, op10_bpe, op11_collocations, op13_spelling_variants)}
 
 
 WARC_SQL = """
@@ -112,5 +116,24 @@ UNION ALL SELECT source, lang, 'pieces-2', CAST(count(*) AS BIGINT), CAST(sum(n1
 """
 
 
+PHRASE_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS words FROM p, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, words, count(*) AS f FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 30),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, words, f AS a FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.words, c.a, x.f AS l, y.f AS r, x.k AS cut, CAST((2000000::HUGEINT * c.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM c, f AS x, f AS y WHERE x.lang = c.lang AND y.lang = c.lang AND x.k < c.k AND y.k = c.k - x.k AND x.words = list_slice(c.words, 1, x.k) AND y.words = list_slice(c.words, x.k + 1, c.k)),
+b AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, a, unnest(list_concat(list_transform(range(1, k - 1 + 1), lambda i: list_slice(words, i, i + 1)), list_transform(range(1, k - 2 + 1), lambda i: list_slice(words, i, i + 2)))) AS words, k FROM c),
+longer AS (SELECT lang, words, max(a) AS a FROM inner_ WHERE len(words) < k GROUP BY lang, words),
+kept AS (SELECT b.* FROM b LEFT JOIN longer AS o ON o.lang = b.lang AND o.words = b.words WHERE o.a IS NULL OR 100 * o.a < 80 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM (SELECT *, array_to_string(words, ' ') AS phrase FROM kept)) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": WARC_SQL, "op5_chat_examples": CHAT_SQL, "op7_token_rollups": ROLLUP_SQL}
+    return {"op2_warc_archive": WARC_SQL, "op5_chat_examples": CHAT_SQL, "op7_token_rollups": ROLLUP_SQL, "op11_collocations": PHRASE_SQL}
