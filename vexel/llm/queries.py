@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import bpe, chat, decontam, lm, phrases, quality, rollups, simhash, spelling, toxicity, urls, warc
+from vexel.llm import bpe, chat, decontam, lm, phrases, quality, repeats, rollups, simhash, spelling, toxicity, urls, warc
 from vexel.plans import storage
 from vexel.plans.storage import materialize
 
@@ -76,12 +76,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_warc_archive, op3_decontaminate, op4_lm_scores, op5_chat_examples, op6_url_filter, op7_token_rollups, op8_toxicity, op9_simhash_components, op10_bpe, op11_collocations, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_warc_archive, op3_decontaminate, op4_lm_scores, op5_chat_examples, op6_url_filter, op7_token_rollups, op8_toxicity, op9_simhash_components, op10_bpe, op11_collocations, op12_repeated_bytes, op13_spelling_variants)}
 
 
 WARC_SQL = """
