@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.functions import distance as D
-from vexel.operators import binary, cluster, evaluate, flat, graph, ivf, meta, quantizers, transforms
+from vexel.operators import binary, cluster, coarse, codes, evaluate, flat, graph, ivf, meta, quantizers, transforms
 from vexel.plans import factory
 from vexel.plans.storage import materialize
 from vexel.streaming.window import tumbling_counts
@@ -294,6 +294,69 @@ def _built(text: str, **options):
     return query
 
 
+def _multi(spark, sf_dir) -> tuple[DataFrame, ivf.IvfIndex]:
+    """A multi-index of 16 x 16 lists; its books are the halves of the rows i * floor(n / 16)."""
+    rows = base(spark, sf_dir).select("id", "vec")
+    start = cluster.bucket_start(rows, 16)
+    return rows, ivf.IvfIndex.around(coarse.MultiIndex([start[:, :32], start[:, 32:]], 4), rows)
+
+
+def imi_cells(spark, sf_dir):
+    """The 24 nearest of 256 lists of each query, in order."""
+    rows, index = _multi(spark, sf_dir)
+    return index.probes(asked(rows), 24)
+
+
+def imi_search(spark, sf_dir):
+    rows, index = _multi(spark, sf_dir)
+    return _round(index.search(asked(rows), K, nprobe=64))
+
+
+def foreign(rows: DataFrame) -> DataFrame:
+    """Queries from another distribution than the rows: every hundredth vector backwards, longer and shifted."""
+    return asked(rows).withColumn("vec", F.transform(F.reverse("vec"), lambda v: 1.5 * v + 0.05))
+
+
+def two_level_graph(spark, sf_dir):
+    """A walk of layer 0 from the four nearest of a shard's representatives of second-level centroids."""
+    rows = base(spark, sf_dir).select("id", "vec")
+    doors = cluster.two_level(rows, 8, 64)[1].select(F.col("rep_id").alias("id"))
+    return _round(graph.GraphIndex.build(rows, entries=doors).search(foreign(rows), K, ef=32, start="entries", nprobe=4))
+
+
+def graph_layers(spark, sf_dir):
+    """How many rows each layer of a graph holds."""
+    rows = base(spark, sf_dir).select("id", "vec")
+    return graph.GraphIndex.build(rows).layers().groupBy("layer").agg(F.countDistinct("src").alias("n"))
+
+
+def graph_removed(spark, sf_dir):
+    """A search after a third of the rows is gone and those that were linked to them are linked again."""
+    rows = base(spark, sf_dir).select("id", "vec")
+    return _round(graph.GraphIndex.build(rows).remove(rows.where("id % 3 = 1")).search(asked(rows), K))
+
+
+def nsg_reachable(spark, sf_dir):
+    """Rows of a navigating graph, and those that a walk along links reaches from the navigating rows."""
+    nodes = graph.GraphIndex.build(base(spark, sf_dir).select("id", "vec"), kind="nsg")
+    reached = graph.reachable(nodes.edges(), nodes.nodes.where("entry").select("id"))
+    return nodes.nodes.agg(F.count("*").alias("nodes")).crossJoin(reached.agg(F.count("*").alias("reached")))  # a row each
+
+
+def code_bytes(spark, sf_dir):
+    """Bytes of each stored code and how many there are."""
+    rows, out = base(spark, sf_dir).select("id", "vec"), None
+    for text in CODES:
+        stored = factory.build(text, rows).codes.groupBy(F.octet_length("code").cast("long").alias("bytes")).agg(F.count("*").alias("n"))
+        one = stored.select(F.lit(text).alias("code"), "bytes", "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+#: Strings and the bytes of a code of 64 dimensions.
+CODES = {"PQ8x4": 4, "PQ16x5np": 10, "SQ4": 32, "SQ6": 48, "SQ8": 64, "SQfp16": 128, "RQ3x4_2x5": 3, "RQ4x4_Nqint8": 3, "LSQ3x4_Nfloat": 6, "PRQ2x3x4": 3, "MinMaxFP16,SQ4": 36}
+
+
 def nn_descent(spark, sf_dir):
     return _round(graph.nn_descent(base(spark, sf_dir), 8))
 
@@ -310,11 +373,11 @@ def two_level(spark, sf_dir):
 PLAIN = {
     "knn_l2": _knn("l2"), "knn_ip": _knn("ip"), "knn_l1": _knn("l1"), "knn_linf": _knn("linf"), "knn_cosine": _knn("cosine"), "knn_lp": _knn("lp"), "knn_canberra": _knn("canberra"),
     "knn_braycurtis": _knn("braycurtis", True), "knn_jensenshannon": _knn("jensenshannon", True), "knn_jaccard": _knn("jaccard", True),
-    "index_graph": _built("HNSW12,Flat"), "index_pq": _built("PQ32x8,RFlat"), "index_pq_polysemous": _built("PQ32x8,RFlat", ht=160, k_factor=10), "index_rq_refine": _built("RQ8x6,RFlat", k_factor=10), "index_lsq": _built("LSQ8x6,RFlat", k_factor=10),
-    "index_opq": _built("OPQ16_32,PQ16x8,RFlat", k_factor=15), "index_pca_ivf": _built("PCA32,IVF8,Flat,RFlat", nprobe=8, k_factor=15), "index_itq": _built("ITQ,Flat"),
-    "index_ivf_sq8": _built("IVF8,SQ8", nprobe=8), "index_ivf_pq": _built("IVF8,PQ32x8", nprobe=8), "index_ivf_pq_refined": _built("IVF8,PQ16x8,RFlat", nprobe=8), "index_sq8": _built("SQ8"), "index_pad": _built("Pad80,Flat"), "index_refine_codes": _built("PQ8x4,Refine(SQ8)", k_factor=20),
+    "index_graph": _built("HNSW12,Flat"), "index_graph_sq8": _built("HNSW12,SQ8"), "index_graph_two_layers": _built("HNSW12,2x4+PQ32,RFlat"), "index_nsg": _built("NSG12,Flat"), "index_pq": _built("PQ32x8np,RFlat"), "index_pq_polysemous": _built("PQ32x3,RFlat", ht=47, k_factor=20), "index_rq_refine": _built("RQ8x6,RFlat", k_factor=10), "index_rq_norms": _built("RQ8x6_Nqint8,RFlat", k_factor=10), "index_lsq": _built("LSQ8x6_Ncqint8,RFlat", k_factor=10), "index_prq": _built("PRQ4x4x4,RFlat", k_factor=20),
+    "index_opq": _built("OPQ16,PQ16x8np,RFlat", k_factor=15), "index_pca_ivf": _built("PCA48,IVF32,Flat,RFlat", nprobe=24, k_factor=10), "index_itq": _built("ITQ,Flat"), "index_imi": _built("IMI2x4,Flat", nprobe=160), "index_residual_coarse": _built("IVF16(RCQ2x2),Flat", nprobe=10), "index_ivf_hnsw": _built("IVF32_HNSW8,SQ8", nprobe=24),
+    "index_ivf_sq8": _built("IVF32,SQ8", nprobe=24), "index_ivf_pq": _built("IVF32,PQ64x8np", nprobe=26), "index_ivf_pq_refined": _built("IVF32,PQ16x8np,RFlat", nprobe=24, k_factor=8), "index_ivf_pqr": _built("IVF32,PQ32+32", nprobe=24, k_factor=8), "index_ivf_rq": _built("IVF32,RQ8x6_Nqint8,RFlat", nprobe=24, k_factor=20), "index_sq8": _built("SQ8"), "index_minmax": _built("MinMax,SQ8"), "index_pad": _built("Pad80,Flat"), "index_refine_codes": _built("PQ16x4,Refine(SQ8)", k_factor=20),
 }
-NAMED = (binary_ivf, binary_counts, lsh_medians, ivf_spectral, ivf_reconstruct, id_map, knn_selectors, knn_columns, knn_filtered, range_l2, range_ip, assign, distance_subset, residuals, nearest_1d, binary_knn, binary_range, binary_hash, scalar_codes, row_minmax, ivf_search, ivf_max_codes, ivf_range, ivf_list_sizes, ivf_upkeep, ivf_dedup, find_duplicates, list_tools, sliding, sharded, split_vectors, kmeans_step, kmeans_arrow_step, imbalance, centered, normalized, matrix_stats, evaluation, operating_points, max_results, event_windows, nn_descent, nsg_neighbors, two_level)
+NAMED = (imi_cells, imi_search, two_level_graph, graph_layers, graph_removed, nsg_reachable, code_bytes, binary_ivf, binary_counts, lsh_medians, ivf_spectral, ivf_reconstruct, id_map, knn_selectors, knn_columns, knn_filtered, range_l2, range_ip, assign, distance_subset, residuals, nearest_1d, binary_knn, binary_range, binary_hash, scalar_codes, row_minmax, ivf_search, ivf_max_codes, ivf_range, ivf_list_sizes, ivf_upkeep, ivf_dedup, find_duplicates, list_tools, sliding, sharded, split_vectors, kmeans_step, kmeans_arrow_step, imbalance, centered, normalized, matrix_stats, evaluation, operating_points, max_results, event_windows, nn_descent, nsg_neighbors, two_level)
 
 
 def queries() -> dict:
@@ -415,5 +478,18 @@ CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, count(*) AS n FROM u GRO
 SELECT round(h / (q * {K}), 6) AS overlap, round((SELECT count(*) FROM f JOIN t USING (query_id, id) WHERE f.rank = 1 AND t.rank = 1) / q, 6) AS recall, round(h / (SELECT count(*) FROM f), 6) AS precision, round(h / nt, 6) AS pair_recall FROM h, s"""
     sql["operating_points"] = f"{_tables(True)}, m AS (SELECT round(avg(v[1]), 6) AS perf, count(*)::DOUBLE AS t, CAST(label AS VARCHAR) AS key FROM b GROUP BY label) SELECT * FROM m WHERE perf > 0 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.t <= m.t AND (o.perf > m.perf OR (o.perf = m.perf AND (o.t < m.t OR o.key < m.key))))"
     sql["max_results"] = f"{b}, d AS (SELECT query_id, id, {SQL['l2']} AS distance FROM b, q), e AS (SELECT * FROM d WHERE distance < 4.0 ORDER BY distance LIMIT 51) SELECT query_id, id, round(distance, 6) AS distance FROM d WHERE distance < (SELECT max(distance) FROM e)"
+    half = lambda part: _sum("(x - y) * (x - y)").replace("list_zip(w, v)", f"list_zip(w[{32 * part + 1}:{32 * part + 32}], v[{32 * part + 1}:{32 * part + 32}])")
+    books = f"""{b}, n AS (SELECT count(*) AS n FROM b), r AS (SELECT v, row_number() OVER (ORDER BY id) - 1 AS r FROM b), c AS (SELECT r // (n // 16) AS t, v AS w FROM r, n WHERE r % (n // 16) = 0 AND r < 16 * (n // 16)),
+o AS (SELECT id, v, min_by(t, {half(0)}) AS t0, min_by(t, {half(1)}) AS t1 FROM b, c GROUP BY id, v), l AS (SELECT id, v, CAST(t0 + 16 * t1 AS INT) AS list_no FROM o),
+h AS (SELECT query_id, t, {half(0).replace('(w[', '(q.w[').replace('v[', 'c.w[')} AS d0, {half(1).replace('(w[', '(q.w[').replace('v[', 'c.w[')} AS d1 FROM q, c),
+p AS (SELECT x.query_id, CAST(x.t + 16 * y.t AS INT) AS list_no, CAST(row_number() OVER (PARTITION BY x.query_id ORDER BY x.d0 + y.d1, x.t + 16 * y.t) AS INT) AS probe_rank FROM h x JOIN h y USING (query_id))"""
+    sql["imi_cells"] = f"{books} SELECT query_id, probe_rank, list_no FROM p WHERE probe_rank <= 24"
+    sql["imi_search"] = f"{books} {_top(SCAN + ' WHERE probe_rank <= 64')}"
+    sql["nsg_reachable"] = "SELECT count(*) AS nodes, count(*) AS reached FROM embeddings"
+    sql["code_bytes"] = " UNION ALL ".join(f"SELECT '{code}' AS code, CAST({size} AS BIGINT) AS bytes, count(*) AS n FROM embeddings" for code, size in CODES.items())
+    low, word = "18446744073709551616::UHUGEINT", lambda x: f"CAST({x} AS UBIGINT)"
+    mix = lambda h, shift, times: word(f"(xor({h}, {h} >> {shift})::UHUGEINT * {times}::UHUGEINT) % {low}")
+    sql["graph_layers"] = f"""WITH a AS (SELECT vec_id, {word(f'(vec_id::UHUGEINT + 11400714819323198485::UHUGEINT) % {low}')} AS h FROM embeddings), d AS (SELECT vec_id, {mix('h', 30, 13787848793156543929)} AS h FROM a), e AS (SELECT vec_id, {mix('h', 27, 10723151780598845931)} AS h FROM d),
+f AS (SELECT CAST(floor(-ln(greatest((xor(h, h >> 31) >> 11)::DOUBLE / 9007199254740992, 1e-300)) / ln(12)) AS INT) AS top FROM e) SELECT layer, count(*) AS n FROM (SELECT unnest(range(0, top + 1))::INT AS layer FROM f) GROUP BY layer"""
     sql["event_windows"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
     return sql

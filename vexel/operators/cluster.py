@@ -182,14 +182,17 @@ def kmeans_1d(values: np.ndarray, k: int) -> np.ndarray:
 
 
 def two_level(vectors: DataFrame, k1: int, k2: int, rounds: int = 10, seed: int = 1234) -> tuple[np.ndarray, DataFrame]:
-    """First-level centroids, and second-level ones (list_no, sub_no, vec, rep_id) in proportion to the sizes; each first-level cluster is fitted by one task over a bounded sample."""
+    """First-level centroids, and some k2 second-level ones (list_no, sub_no, vec, rep_id) in proportion to the sizes.
+
+    Second-level centroids are fitted on a bounded sample of each list; the representative is the nearest of all rows that belong to one,
+    and those without rows are dropped."""
     first = Kmeans(k1, rounds, seed=seed).fit(vectors)
-    placed = first.assign(vectors)
+    placed = materialize(first.assign(vectors).select("list_no", "id", "vec"), "placed")
     sizes = {r["list_no"]: r["count"] for r in placed.groupBy("list_no").count().collect()}
     n = sum(sizes.values())
     share = {c: max(1, round(k2 * m / n)) for c, m in sizes.items()}
     order = Window.partitionBy("list_no").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    bounded = placed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_CENTROID * max(share.values()))
+    bounded = placed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_CENTROID * max(share.values(), default=1))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("r")
@@ -201,16 +204,37 @@ def two_level(vectors: DataFrame, k1: int, k2: int, rounds: int = 10, seed: int
             total = np.zeros_like(m)
             np.add.at(total, at, x)
             m[size > 0] = total[size > 0] / size[size > 0, None]
-        at, _d = _near(x, m)
-        rows = []
-        for j in range(len(m)):
-            mine = np.flatnonzero(at == j)
-            if len(mine):  # empty clusters are dropped
-                rep = mine[((x[mine] - m[j]) ** 2).sum(1).argmin()]
-                rows.append((int(frame["list_no"].iloc[0]), j, m[j].tolist(), int(frame["id"].iloc[rep])))
-        return pd.DataFrame(rows, columns=["list_no", "sub_no", "vec", "rep_id"])
-
-    return first.centroids, bounded.select("list_no", "id", "vec", "r").groupBy("list_no").applyInPandas(fit, "list_no int, sub_no int, vec array<double>, rep_id long")
+        return pd.DataFrame({"list_no": frame["list_no"].iloc[0], "sub_no": range(len(m)), "vec": m.tolist()})
+
+    subs = materialize(bounded.groupBy("list_no").applyInPandas(fit, "list_no int, sub_no int, vec array<double>"), "second-level")
+    return first.centroids, subs.join(representatives(placed, subs), ["list_no", "sub_no"])
+
+
+def representatives(placed: DataFrame, subs: DataFrame) -> DataFrame:
+    """list_no, sub_no and rep_id: of the rows (list_no, id, vec) nearest to each second-level centroid of their list, the nearest."""
+    ship(placed.sparkSession)
+    books: dict[int, list] = {}
+    for r in subs.orderBy("list_no", "sub_no").collect():  # the model, which is as large as the caller asked for
+        books.setdefault(r["list_no"], []).append((r["sub_no"], r["vec"]))
+    books = {c: (np.array([n for n, _ in rows]), np.array([v for _, v in rows], float)) for c, rows in books.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))
+            found = []
+            for c in np.unique(lists):
+                mine = np.flatnonzero(lists == c)
+                at, d = _near(x[mine], books[int(c)][1])
+                order = np.lexsort((ids[mine], d, at))
+                first = order[np.r_[True, at[order][1:] != at[order][:-1]]]
+                found.append((np.full(len(first), c), books[int(c)][0][at[first]], d[first], ids[mine][first]))
+            c, sub, d, i = (np.concatenate(v) for v in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(sub, pa.int32()), pa.array(d), pa.array(i, pa.int64())], ["list_no", "sub_no", "d", "id"])
+
+    near = placed.where("vec IS NOT NULL").select("list_no", "id", "vec").mapInArrow(run, "list_no int, sub_no int, d double, id long")
+    return near.groupBy("list_no", "sub_no").agg(F.min(F.struct("d", "id"))["id"].alias("rep_id"))
 
 
 def balanced_assign(x: np.ndarray, c: np.ndarray, penalty: float, seed: int = 0) -> np.ndarray:

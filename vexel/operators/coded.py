@@ -1,156 +1,160 @@
-"""Inverted lists that hold codes: of the vectors' residuals to their centroid, or of the vectors themselves.
+"""Inverted lists that hold codes: of the vectors' residuals to their list's centre, or of the vectors themselves.
 
-Lists are a table (list_no, id, code). A search decodes the codes of the probed lists in Arrow batches, adds the centroid and
-measures distances as for whole vectors, so that filters, range search and limits on scanned codes are those of ``IvfIndex``.
-Indexes are stored as Parquet and one row of JSON, and opened without being built again.
+Lists are a table (list_no, id, code) as ``codes`` makes it. Indexes are stored as Parquet and one row of JSON, and opened without
+being built again.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields, is_dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from vexel.operators import codes as C
 from vexel.operators import quantizers
-from vexel.operators.cluster import Kmeans, assign
-from vexel.operators.flat import knn
-from vexel.operators.ivf import IvfIndex
+from vexel.operators.cluster import Kmeans
+from vexel.operators.coarse import Additive, Centroids, MultiIndex
+from vexel.operators.ivf import IvfIndex, within
 from vexel.operators.transforms import sample_matrix
 from vexel.plans.storage import materialize
 
 
-@dataclass
-class Scalar:
-    """Codes of so many bits a coordinate between its least and greatest value, in expressions."""
-
-    bits: int = 8
-    ranges: DataFrame | None = None
-
-    def learn(self, vectors: DataFrame) -> Scalar:
-        return Scalar(self.bits, materialize(quantizers.scalar_ranges(vectors), "ranges"))
-
-    def encode(self, vectors: DataFrame) -> DataFrame:
-        return quantizers.scalar_codes(vectors.where("vec IS NOT NULL"), self.ranges, self.bits)
-
-    def decode(self, codes: DataFrame) -> DataFrame:
-        return quantizers.scalar_decode(codes, self.ranges, self.bits)
-
-
-@dataclass
-class Learned:
-    """A codec of the quantizers module, fitted on a bounded sample."""
-
-    codec: object
-
-    def learn(self, vectors: DataFrame) -> Learned:
-        self.codec.fit(sample_matrix(vectors))
-        return self
-
-    def encode(self, vectors: DataFrame) -> DataFrame:
-        return quantizers.encode(vectors, self.codec)
-
-    def decode(self, codes: DataFrame) -> DataFrame:
-        return quantizers.decode(codes, self.codec)
+def learned(codec, vectors: DataFrame):
+    """A codec fitted on all rows where it can learn in expressions, else on a bounded sample."""
+    return codec.learn(vectors) if hasattr(codec, "learn") else codec.fit(sample_matrix(vectors))
 
 
 @dataclass
 class CodedIvf:
-    """centroids (k x d), codes (list_no, id, code) and what decodes them."""
+    """codes (list_no, id, code, and finer where there is a second codec), the quantizer of lists and what decodes them."""
 
-    centroids: np.ndarray
+    coarse: Centroids | MultiIndex | Additive
     codes: DataFrame
-    codec: Scalar | Learned
+    codec: object
     metric: str = "l2"
     residual: bool = True
+    finer: object = None
 
     @staticmethod
-    def build(base: DataFrame, nlist: int, codec: Scalar | Learned, metric: str = "l2", residual: bool = True, rounds: int = 10, init: np.ndarray | None = None) -> CodedIvf:
-        centroids = Kmeans(nlist, rounds, spherical=metric == "ip").fit(base, init).centroids
-        index = CodedIvf(centroids, base, codec, metric, residual)
-        placed = materialize(assign(base.where("vec IS NOT NULL"), centroids).select("list_no", "id", "vec"), "assigned")
-        index.codec = codec.learn(index._shifted(placed, -1).select("id", "vec"))
-        index.codes = materialize(index._encoded(placed), "codes")
-        return index
+    def build(base: DataFrame, nlist: int, codec, metric: str = "l2", residual: bool = True, rounds: int = 10, init: np.ndarray | None = None) -> CodedIvf:
+        return CodedIvf.around(Centroids(Kmeans(nlist, rounds, spherical=metric == "ip").fit(base, init).centroids, metric), base, codec, metric, residual)
 
-    def _centres(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(self.centroids)], "list_no int, centre array<double>")
+    @staticmethod
+    def around(coarse, base: DataFrame, codec, metric: str = "l2", residual: bool = True, finer=None) -> CodedIvf:
+        """Lists of a quantizer of the module ``coarse``; with finer, a second codec for what the first leaves."""
+        placed = materialize(coarse.assign(base), "assigned")
+        rest = C.residuals(placed, coarse) if residual else placed
+        learned(codec, rest)
+        if finer:
+            x = sample_matrix(rest)
+            finer.fit(x - codec.decode(codec.encode(x)))
+        index = CodedIvf(coarse, placed, codec, metric, residual, finer)
+        index.codes = C.store(index._encoded(placed))
+        return index
 
-    def _shifted(self, rows: DataFrame, sign: int) -> DataFrame:
-        """Vectors less their centroid, or with it added; there is a row a centroid, so Spark decides by size whether to broadcast them."""
-        if not self.residual:
-            return rows
-        both = rows.join(self._centres(rows.sparkSession), "list_no")
-        return both.select("list_no", "id", F.zip_with("vec", "centre", lambda x, c: x.cast("double") + sign * c).alias("vec"))
+    @property
+    def _centre(self):
+        return self.coarse if self.residual else None
 
     def _encoded(self, placed: DataFrame) -> DataFrame:
-        """An id may stand for one vector only, as codes are joined back by it."""
-        return self.codec.encode(self._shifted(placed, -1).select("id", "vec")).join(placed.select("id", "list_no"), "id").select("list_no", "id", "code")
+        return C.encode(placed, self.codec, self._centre, self.finer)
 
     def add(self, more: DataFrame) -> CodedIvf:
-        placed = assign(more.where("vec IS NOT NULL"), self.centroids).select("list_no", "id", "vec")
-        return CodedIvf(self.centroids, self.codes.unionByName(self._encoded(placed)), self.codec, self.metric, self.residual)
+        return replace(self, codes=self.codes.unionByName(self._encoded(self.coarse.assign(more))))
+
+    def remove(self, ids: DataFrame) -> CodedIvf:
+        return replace(self, codes=self.codes.join(ids.select("id"), "id", "left_anti").select(*self.codes.columns))
 
     def reconstruct(self, where: Column | None = None) -> DataFrame:
-        """list_no, id and vec, as the codes tell it, of the rows that a condition on list_no and id keeps."""
-        rows = self.codes if where is None else self.codes.where(where)
-        decoded = self.codec.decode(rows).join(rows.select("id", "list_no"), "id").select("list_no", "id", "vec")
-        return self._shifted(decoded, 1)
+        """list_no, id and vec, as the first code tells it, of the rows that a condition on list_no and id keeps."""
+        return C.decode(self.codes if where is None else self.codes.where(where), self.codec, self._centre)
 
-    def _probed(self, probes: DataFrame) -> IvfIndex:
-        """An index over the probed lists only, decoded."""
-        asked = probes.select("list_no").distinct()
-        here = CodedIvf(self.centroids, self.codes.join(asked, "list_no", "left_semi"), self.codec, self.metric, self.residual)
-        return IvfIndex(self.centroids, here.reconstruct(), self.metric)
+    def search(self, queries: DataFrame, k: int, nprobe: int = 1, where: Column | None = None, max_codes: int | None = None, ht: int = 0, **more) -> DataFrame:
+        return self.search_preassigned(queries, self.coarse.probes(queries, nprobe), k, where, max_codes, ht, **more)
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = 1, where: Column | None = None, max_codes: int | None = None) -> DataFrame:
-        probes = IvfIndex(self.centroids, self.codes, self.metric).probes(queries, nprobe)
-        return self._probed(probes).search_preassigned(queries, probes, k, where, max_codes)
+    def search_preassigned(self, queries: DataFrame, probes: DataFrame, k: int, where: Column | None = None, max_codes: int | None = None, ht: int = 0, **more) -> DataFrame:
+        probes = within(probes, self.codes, max_codes)
+        return C.search(self.codes, self.codec, queries, k, self.metric, probes, self._centre, ht, where, finer=self.finer, **more)
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, where: Column | None = None) -> DataFrame:
-        index = IvfIndex(self.centroids, self.codes, self.metric)
-        return self._probed(index.probes(queries, nprobe)).range_search(queries, radius, nprobe, where)
-
+        return C.search(self.codes, self.codec, queries, 0, self.metric, self.coarse.probes(queries, nprobe), self._centre, 0, where, radius)
 
-def flat_codes(base: DataFrame, codec: Scalar | Learned, metric: str):
-    """A search over the codes of all vectors, without lists: the codes are stored, and decoded as they are read."""
-    codec = codec.learn(base)
-    codes = materialize(codec.encode(base), "codes")
-    return lambda queries, k, **options: knn(codec.decode(codes), queries, k, metric, **options)
 
+@dataclass
+class FlatCodes:
+    """Codes of all vectors, without lists to probe; coarse gives the centres that they are residuals to, if they are."""
 
-CODECS = {c.__name__: c for c in (quantizers.Product, quantizers.Residual, quantizers.LocalSearch, quantizers.Half)}
-
+    codes: DataFrame
+    codec: object
+    metric: str = "l2"
+    coarse: object = None
 
-def save(index: IvfIndex | CodedIvf, path: str) -> None:
-    """Store an index in a new folder; the description is written last, so a folder without it is not an index."""
-    coded = isinstance(index, CodedIvf)
-    rows = index.codes if coded else index.lists
-    spark, told = rows.sparkSession, {"metric": index.metric, "coded": coded}
+    @staticmethod
+    def build(base: DataFrame, codec, metric: str = "l2", coarse=None) -> FlatCodes:
+        if coarse is None:
+            return FlatCodes(materialize(C.encode(base.select("id", "vec"), learned(codec, base)), "codes"), codec, metric)
+        made = CodedIvf.around(coarse, base, codec, metric)
+        return FlatCodes(made.codes, made.codec, metric, coarse)
+
+    def search(self, queries: DataFrame, k: int, ht: int = 0, where: Column | None = None) -> DataFrame:
+        return C.search(self.codes, self.codec, queries, k, self.metric, None, self.coarse, ht, where)
+
+    def reconstruct(self) -> DataFrame:
+        return C.decode(self.codes, self.codec, self.coarse)
+
+
+KINDS = {c.__name__: c for c in (quantizers.Product, quantizers.Residual, quantizers.LocalSearch, quantizers.ProductAdditive, quantizers.Half, quantizers.Scalar, quantizers.Normed, quantizers.RowScaled, Centroids, MultiIndex, Additive)}
+
+
+def to_plain(v, arrays: list):
+    """A codec or quantizer as JSON holds it; arrays go to a list and leave their place in it."""
+    if is_dataclass(v) and type(v).__name__ in KINDS:
+        return {"kind": type(v).__name__, "fields": {f.name: to_plain(getattr(v, f.name), arrays) for f in fields(v)}}
+    if isinstance(v, type) and v.__name__ in KINDS:
+        return {"type": v.__name__}
+    if isinstance(v, np.ndarray):
+        arrays.append(v)
+        return {"array": len(arrays) - 1, "shape": list(v.shape)}
+    if isinstance(v, (list, tuple)):
+        return [to_plain(x, arrays) for x in v]
+    if isinstance(v, dict):
+        return {"dict": {k: to_plain(x, arrays) for k, x in v.items()}}
+    if v is None or isinstance(v, (str, int, float, bool)):
+        return v
+    raise NotImplementedError(f"{type(v).__name__} can't be stored")
+
+
+def from_plain(v, arrays: dict):
+    if isinstance(v, list):
+        return [from_plain(x, arrays) for x in v]
+    if not isinstance(v, dict):
+        return v
+    if "kind" in v:
+        return KINDS[v["kind"]](**{k: from_plain(x, arrays) for k, x in v["fields"].items()})
+    if "type" in v:
+        return KINDS[v["type"]]
+    if "array" in v:
+        return np.array(arrays.get(v["array"], []), float).reshape(v["shape"])
+    return {k: from_plain(x, arrays) for k, x in v["dict"].items()}
+
+
+def save(index: IvfIndex | CodedIvf | FlatCodes, path: str) -> None:
+    """Store an index in a new folder: its rows, the arrays of codebooks and centroids, and a description, which is written last, so that a folder without it is not an index."""
+    rows, arrays = index.lists if isinstance(index, IvfIndex) else index.codes, []
+    told = {f.name: to_plain(getattr(index, f.name), arrays) for f in fields(index) if f.name not in ("lists", "codes")}
+    spark = rows.sparkSession
     rows.write.parquet(f"{path}/lists")
-    spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(index.centroids)], "list_no int, vec array<double>").write.parquet(f"{path}/centroids")
-    if coded and isinstance(index.codec, Scalar):
-        told |= {"codec": "Scalar", "bits": index.codec.bits, "residual": index.residual}
-        index.codec.ranges.write.parquet(f"{path}/ranges")
-    elif coded:
-        kind = type(index.codec.codec).__name__
-        if kind not in CODECS:
-            raise NotImplementedError(f"{kind} can't be stored")
-        fields = {k: [np.asarray(b).tolist() for b in v] if isinstance(v, list) else v for k, v in asdict(index.codec.codec).items()}
-        told |= {"codec": kind, "fields": fields, "residual": index.residual}
-    spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.parquet(f"{path}/about")
-
-
-def load(spark: SparkSession, path: str) -> IvfIndex | CodedIvf:
-    told = json.loads(spark.read.parquet(f"{path}/about").first()["told"])
-    centroids = np.array([r["vec"] for r in spark.read.parquet(f"{path}/centroids").orderBy("list_no").collect()])
-    rows = spark.read.parquet(f"{path}/lists")
-    if not told["coded"]:
-        return IvfIndex(centroids, rows, told["metric"])
-    if told["codec"] == "Scalar":
-        codec = Scalar(told["bits"], spark.read.parquet(f"{path}/ranges"))
-    else:
-        codec = Learned(CODECS[told["codec"]](**{k: [np.array(b) for b in v] if isinstance(v, list) else v for k, v in told["fields"].items()}))
-    return CodedIvf(centroids, rows, codec, told["metric"], told["residual"])
+    flat = [(n, i, [float(x) for x in np.ravel(r)]) for n, a in enumerate(arrays) for i, r in enumerate(a)]
+    spark.createDataFrame(flat, "no int, place int, row array<double>").write.parquet(f"{path}/arrays")
+    spark.createDataFrame([(json.dumps({"index": type(index).__name__, "fields": told}),)], "told string").coalesce(1).write.parquet(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> IvfIndex | CodedIvf | FlatCodes:
+    told, arrays = json.loads(spark.read.parquet(f"{path}/about").first()["told"]), {}
+    for r in spark.read.parquet(f"{path}/arrays").orderBy("no", "place").collect():  # codebooks, which the driver holds anyway
+        arrays.setdefault(r["no"], []).extend(r["row"])
+    kind = {c.__name__: c for c in (IvfIndex, CodedIvf, FlatCodes)}[told["index"]]
+    rows = {"lists" if kind is IvfIndex else "codes": spark.read.parquet(f"{path}/lists")}
+    return kind(**rows, **{k: from_plain(v, arrays) for k, v in told["fields"].items()})

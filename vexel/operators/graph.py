@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vexel.functions.distance import l2
 from vexel.operators.flat import FOUND, best, query_blocks
 from vexel.plans.storage import materialize, ship
 
@@ -27,105 +29,296 @@ def prune(x: np.ndarray, i: int, candidates: np.ndarray, most: int) -> list[int]
     return kept
 
 
-def beam(x: np.ndarray, links: list[list[int]], q: np.ndarray, seeds: list[int], ef: int, metric: str = "l2") -> list[tuple[float, int]]:
-    """The ef nearest nodes that greedy expansion from the seeds finds."""
-    far = (lambda n: -float(x[n] @ q)) if metric == "ip" else (lambda n: float(((x[n] - q) ** 2).sum()))
-    seen = set(seeds)
-    todo = [(far(s), s) for s in seen]
+def beam(x: np.ndarray, links, q: np.ndarray, seeds: list[int], ef: int, metric: str = "l2", seen: set[int] | None = None) -> list[tuple[float, int]]:
+    """The ef nearest nodes that greedy expansion from the seeds finds; links give the neighbours of a node. ``seen`` gathers the nodes whose distance was measured."""
+    seen = set() if seen is None else seen
+    far = (lambda ns: -(x[ns] @ q)) if metric == "ip" else (lambda ns: ((x[ns] - q) ** 2).sum(1))
+    starts = list(dict.fromkeys(seeds))
+    todo = list(zip(far(starts).tolist(), starts, strict=True))
+    mine = set(starts)
     heapq.heapify(todo)
     pool = [(-d, n) for d, n in todo]
     heapq.heapify(pool)
+    while len(pool) > ef:
+        heapq.heappop(pool)
     while todo:
         d, n = heapq.heappop(todo)
         if len(pool) >= ef and d > -pool[0][0]:
             break
-        for m in links[n]:
-            if m not in seen:
-                seen.add(m)
-                e = far(m)
-                if len(pool) < ef or e < -pool[0][0]:
-                    heapq.heappush(todo, (e, m))
-                    heapq.heappush(pool, (-e, m))
-                    if len(pool) > ef:
-                        heapq.heappop(pool)
+        fresh = [m for m in links[n] if m not in mine]
+        if not fresh:
+            continue
+        mine.update(fresh)
+        for e, m in zip(far(fresh).tolist(), fresh, strict=True):
+            if len(pool) < ef or e < -pool[0][0]:
+                heapq.heappush(todo, (e, m))
+                heapq.heappush(pool, (-e, m))
+                if len(pool) > ef:
+                    heapq.heappop(pool)
+    seen |= mine
     return sorted((-d, n) for d, n in pool)
 
 
-def build(x: np.ndarray, m: int, ef: int) -> list[list[int]]:
-    """Layer-0 graph: each point is linked both ways with a pruned choice of what a beam finds; degrees stay within 2 m."""
-    links: list[list[int]] = []
-    for i in range(len(x)):
-        near = np.array([n for _, n in beam(x, links, x[i], [0], ef)], int) if i else np.zeros(0, int)
-        links.append(prune(x, i, near, m) if len(near) else [])
-        for n in links[i]:
-            links[n].append(i)
-            if len(links[n]) > 2 * m:
-                links[n] = prune(x, n, np.array(links[n]), 2 * m)
-    return links
+def levels_of(ids: np.ndarray, m: int) -> np.ndarray:
+    """The highest layer of each row, from a hash of its id: a share of 1 / m of a layer's rows is also in the next."""
+    h = ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    share = ((h ^ h >> np.uint64(31)) >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.floor(-np.log(np.maximum(share, 1e-300)) / np.log(max(m, 2))).astype(int)
+
+
+def descend(x: np.ndarray, layers: list[dict[int, list[int]]], q: np.ndarray, start: int, metric: str = "l2", to: int = 0, seen: set[int] | None = None) -> int:
+    """From the top layer down to the one above ``to``: in each, step to the nearest neighbour until none is nearer."""
+    at = start
+    for links in layers[:to:-1]:
+        at = beam(x, links, q, [at], 1, metric, seen)[0][1]
+    return at
+
+
+def link(x: np.ndarray, ids: np.ndarray, m: int, ef: int, metric: str = "l2") -> list[dict[int, list[int]]]:
+    """Neighbours by layer: rows are linked one by one to a pruned choice of what a beam finds, both ways, within m links (2 m in layer 0)."""
+    levels, layers, top = levels_of(ids, m), [], 0
+    for i, level in enumerate(levels.tolist()):
+        high = len(layers) - 1
+        seeds = [descend(x, layers, x[i], top, metric, level)] if i and level < high else [top]
+        layers += [{} for _ in range(level - high)]
+        for k in range(level, -1, -1):
+            links, most = layers[k], 2 * m if k == 0 else m
+            links[i] = []
+            if k > high:
+                continue
+            near = [n for _, n in beam(x, links, x[i], seeds, ef, metric)]
+            links[i] = prune(x, i, np.array(near), m)
+            for n in links[i]:
+                links[n].append(i)
+                if len(links[n]) > most:
+                    links[n] = prune(x, n, np.array(links[n]), most)
+            seeds = near
+        if level > high:
+            top = i
+    return layers
+
+
+def relink(x: np.ndarray, layers: list[dict[int, list[int]]], gone: set[int], m: int) -> list[dict[int, list[int]]]:
+    """Without some rows: who was linked to one gets its other neighbours as candidates, and is pruned again."""
+    out = []
+    for k, links in enumerate(layers):
+        kept: dict[int, list[int]] = {}
+        for n, near in links.items():
+            if n in gone:
+                continue
+            lost = [o for o in near if o in gone]
+            if not lost:
+                kept[n] = near
+                continue
+            reached, todo = set(near) - gone, lost  # through deleted rows that are linked to each other as well
+            been = set(lost)
+            while todo:
+                found = {o for w in todo for o in links.get(w, ())} - been
+                been |= found
+                todo = [o for o in found if o in gone]
+                reached |= found - gone
+            reached.discard(n)
+            kept[n] = prune(x, n, np.array(sorted(reached), int), 2 * m if k == 0 else m) if reached else []
+        for n, near in list(kept.items()):
+            for o in near:  # both ways, so that no row is left without a way to it
+                if n not in kept[o]:
+                    kept[o] = kept[o] + [n]
+        out.append(kept)
+    return [links for links in out if links] or [{}]
 
 
 #: Vectors of a shard: a graph is built and searched in one task.
 PER_SHARD = 50_000
+NODES = "shard int, id long, vec array<double>, layers array<array<long>>, entry boolean"
+
+
+def _vectors(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack(frame["vec"]).astype(float), frame["id"].to_numpy()
+
+
+def _layers(frame: pd.DataFrame, ids: np.ndarray) -> list[dict[int, list[int]]]:
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    out = [{} for _ in range(max(len(r) for r in frame["layers"]))]
+    for i, row in enumerate(frame["layers"]):
+        for k, near in enumerate(row):
+            out[k][i] = [place[n] for n in near if n in place]
+    return out
+
+
+def _frame(shard: int, ids: np.ndarray, x: np.ndarray, layers: list[dict[int, list[int]]], entry: list[bool], rows: list[int]) -> pd.DataFrame:
+    told = [[[int(ids[n]) for n in links[i]] for links in layers if i in links] for i in rows]
+    return pd.DataFrame({"shard": shard, "id": ids[rows], "vec": [x[i] for i in rows], "layers": told, "entry": [entry[i] for i in rows]})
 
 
 @dataclass
 class GraphIndex:
-    """nodes: shard, id, vec, neighbors (ids within the shard) and entry (whether a search starts there)."""
+    """nodes: shard, id, vec, layers (ids of neighbours in layer 0 and in each higher one that the row is in) and entry (whether a search of layer 0 may start there).
+
+    With layers, a search goes down from the top one; without (as in NSG), it starts at entries."""
 
     nodes: DataFrame
     metric: str = "l2"
+    m: int = 12
 
     @staticmethod
-    def build(base: DataFrame, shards: int | None = None, m: int = 12, ef: int = 48, entries: int = 8, metric: str = "l2") -> GraphIndex:
-        """A graph for each shard; without a number of shards, one for each ``PER_SHARD`` vectors, four at least."""
+    def build(base: DataFrame, shards: int | None = None, m: int = 12, ef: int = 48, entries: int | DataFrame = 8, metric: str = "l2", kind: str = "hnsw") -> GraphIndex:
+        """A graph for each shard; without a number of shards, one for each ``PER_SHARD`` vectors, four at least.
+
+        entries: so many rows a shard, near the centres of groups, or a table of ids, such as the representatives of ``cluster.two_level``.
+        """
         ship(base.sparkSession)
         shards = shards or max(4, -(-base.count() // PER_SHARD))
+        rows = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+        if kind == "nsg":
+            return GraphIndex(nsg(rows, m), metric, m)
+        doors = entries if isinstance(entries, int) else 0
+        rows = rows.join(entries.select("id", F.lit(True).alias("entry")).distinct(), "id", "left").select("shard", "id", "vec", F.coalesce("entry", F.lit(False)).alias("entry")) if not doors else rows.withColumn("entry", F.lit(False))
 
         def make(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("id")
-            x, ids = np.stack(frame["vec"]).astype(float), frame["id"].to_numpy()
-            links = build(x, m, ef)
-            c = x[np.linspace(0, len(x) - 1, min(entries, len(x))).astype(int)]
-            for _ in range(5):
-                at = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
-                c = np.stack([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
-            starts = {int(((x - v) ** 2).sum(1).argmin()) for v in c} | {0}
-            return pd.DataFrame({"shard": frame["shard"], "id": ids, "vec": list(x), "neighbors": [[int(ids[n]) for n in row] for row in links], "entry": [i in starts for i in range(len(x))]})
-
-        rows = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL")
-        made = rows.groupBy("shard").applyInPandas(make, "shard int, id long, vec array<double>, neighbors array<long>, entry boolean")
-        return GraphIndex(materialize(made, "graph"), metric)
-
-    def search(self, queries: DataFrame, k: int, ef: int = 64) -> DataFrame:
+            x, ids = _vectors(frame)
+            entry = frame["entry"].tolist()
+            if doors:
+                c = x[np.linspace(0, len(x) - 1, min(doors, len(x))).astype(int)]
+                for _ in range(5):
+                    at = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
+                    c = np.stack([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
+                for v in c:
+                    entry[int(((x - v) ** 2).sum(1).argmin())] = True
+            entry[0] |= not any(entry)
+            return _frame(int(frame["shard"].iloc[0]), ids, x, link(x, ids, m, ef, metric), entry, list(range(len(x))))
+
+        return GraphIndex(materialize(rows.groupBy("shard").applyInPandas(make, NODES), "graph"), metric, m)
+
+    def _found(self, queries: DataFrame, k: int, ef: int, start: str, nprobe: int | None) -> DataFrame:
+        """query_id, id and distance of the k best of each shard, and how many distances it measured (in ``visited``)."""
         if ef < k:
             raise ValueError("ef must be at least k")
-        parts, metric = [], self.metric
+        ship(queries.sparkSession)
+        metric, kind = self.metric, FOUND + ", visited long"
 
         def searcher(names: np.ndarray, block: np.ndarray):
             def run(frame: pd.DataFrame) -> pd.DataFrame:
                 frame = frame.sort_values("id")
-                x, ids = np.stack(frame["vec"]).astype(float), frame["id"].to_numpy()
-                place = {v: i for i, v in enumerate(ids.tolist())}
-                links = [[place[n] for n in row if n in place] for row in frame["neighbors"]]
-                seeds = np.flatnonzero(frame["entry"].to_numpy()).tolist()
-                out = [(int(q), int(ids[n]), -d if metric == "ip" else d) for q, v in zip(names, block, strict=True) for d, n in beam(x, links, v, seeds, ef, metric)[:k]]
-                return pd.DataFrame(out, columns=["query_id", "id", "distance"])
+                x, ids = _vectors(frame)
+                layers, doors = _layers(frame, ids), np.flatnonzero(frame["entry"].to_numpy())
+                top = min(layers[-1])
+                out = []
+                for q, v in zip(names.tolist(), block, strict=True):
+                    seen: set[int] = set()
+                    if start == "top" and len(layers) > 1:
+                        seeds = [descend(x, layers, v, top, metric, 0, seen)]
+                    elif nprobe is None:
+                        seeds = doors.tolist()
+                    else:  # the entries nearest to the query
+                        far = -(x[doors] @ v) if metric == "ip" else ((x[doors] - v) ** 2).sum(1)
+                        seeds = doors[np.lexsort((doors, far))[:nprobe]].tolist()
+                        seen.update(doors.tolist())
+                    near = beam(x, layers[0], v, seeds, ef, metric, seen)
+                    out += [(q, int(ids[n]), -d if metric == "ip" else d, len(seen)) for d, n in near[:k]]
+                return pd.DataFrame(out, columns=["query_id", "id", "distance", "visited"])
 
             return run
 
-        for names, block in query_blocks(queries):
-            parts.append(self.nodes.groupBy("shard").applyInPandas(searcher(names, block), FOUND))
-        out = parts[0] if parts else queries.sparkSession.createDataFrame([], FOUND)
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return best(out, k, metric == "ip")
+        parts = [self.nodes.groupBy("shard").applyInPandas(searcher(names, block), kind) for names, block in query_blocks(queries)]
+        return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], kind)
 
-    def mark_deleted(self, ids: DataFrame) -> GraphIndex:
-        """Results without these rows; the graph is rebuilt on the next build."""
-        return GraphIndex(self.nodes.join(ids.select("id"), "id", "left_anti").select(*self.nodes.columns), self.metric)
+    def search(self, queries: DataFrame, k: int, ef: int = 64, start: str = "top", nprobe: int | None = None) -> DataFrame:
+        """start: "top" goes down the layers; "entries" starts a beam in layer 0 at all entries of a shard, or at the nprobe nearest to the query."""
+        return best(self._found(queries, k, ef, start, nprobe).drop("visited"), k, self.metric == "ip")
+
+    def visited(self, queries: DataFrame, k: int, ef: int = 64, start: str = "top", nprobe: int | None = None) -> DataFrame:
+        """query_id and how many rows a search measures over all shards."""
+        found = self._found(queries, k, ef, start, nprobe).withColumn("n", F.col("visited") / F.count("*").over(Window.partitionBy("query_id", "visited")))
+        return found.groupBy("query_id").agg(F.round(F.sum("n")).cast("long").alias("visited"))
+
+    def layers(self) -> DataFrame:
+        """shard, layer, src, ord and dst: the links of each layer."""
+        each = self.nodes.select("shard", F.col("id").alias("src"), F.posexplode("layers").alias("layer", "near"))
+        return each.select("shard", "layer", "src", F.posexplode_outer("near").alias("ord", "dst"))
+
+    def remove(self, ids: DataFrame) -> GraphIndex:
+        """Without these rows. Rows that were linked to them are linked again to what they reached through them, and a shard that lost its entries gets another."""
+        m, away = self.m, self.nodes.join(ids.select("id", F.lit(True).alias("marked")).distinct(), "id", "left").withColumn("away", F.coalesce("marked", F.lit(False))).drop("marked")
+
+        def repair(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("id")
+            x, all_ids = _vectors(frame)
+            gone = set(np.flatnonzero(frame["away"].to_numpy(bool)).tolist())
+            layers, kept = relink(x, _layers(frame, all_ids), gone, m), [i for i in range(len(x)) if i not in gone]
+            entry = frame["entry"].tolist()
+            if kept and not any(entry[i] for i in kept):
+                entry[kept[int(((x[kept] - x[kept].mean(0)) ** 2).sum(1).argmin())]] = True
+            return _frame(int(frame["shard"].iloc[0]), all_ids, x, layers, entry, kept)
+
+        return GraphIndex(materialize(away.groupBy("shard").applyInPandas(repair, NODES), "graph"), self.metric, m)
 
     def edges(self) -> DataFrame:
-        return self.nodes.select(F.col("id").alias("src"), F.posexplode("neighbors").alias("ord", "dst"))
+        return self.nodes.select(F.col("id").alias("src"), F.posexplode(F.get("layers", F.lit(0))).alias("ord", "dst"))
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Ids that links (src, dst) lead to from the roots (id), themselves included: a turn for each step."""
+    reached = materialize(roots.select("id").distinct(), "reached")
+    front = reached
+    while True:
+        new = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti")
+        front = materialize(new, "reached")
+        if not front.limit(1).count():
+            return reached
+        reached = reached.union(front)
+
+
+def nsg(rows: DataFrame, r: int, wide: int = 2) -> DataFrame:
+    """Nodes of a navigating graph for each shard, from rows (shard, id, vec).
+
+    Each row's wide * r nearest of its shard, and those that have it among theirs, are thinned by the occlusion rule to r links; so are the
+    links taken both ways. The navigating row is the one nearest to the mean. Rows that it doesn't reach are linked from their
+    nearest row that it does; rows that know none are taken in through the least id among them. So a tree from the
+    navigating row spans its shard.
+    """
+    rows = materialize(rows.select("shard", "id", "vec"), "shards")
+
+    def nearest(frame: pd.DataFrame) -> pd.DataFrame:
+        x, ids = _vectors(frame.sort_values("id"))
+        ids = np.sort(frame["id"].to_numpy())
+        k, out = min(wide * r, len(x) - 1), []
+        for a in range(0, len(x), 1024):
+            d = ((x[a : a + 1024] ** 2).sum(1)[:, None] - 2 * x[a : a + 1024] @ x.T + (x**2).sum(1)).clip(0)
+            d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+            at = np.argpartition(d, max(k - 1, 0), axis=1)[:, :k]
+            out.append(pd.DataFrame({"shard": frame["shard"].iloc[0], "src": np.repeat(ids[a : a + 1024], k), "dst": ids[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()}))
+        return pd.concat(out)
+
+    def both_ways(links: DataFrame, most: int) -> DataFrame:
+        all_ = links.union(links.select("shard", F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct()
+        ranked = Window.partitionBy("src").orderBy("distance", "dst")
+        return all_.withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= most).drop("k")  # a hub has as many candidates as others
+
+    def thinned(links: DataFrame) -> DataFrame:
+        kept = nsg_prune(links.select("src", "dst"), rows, r).select("src", F.explode("neighbors").alias("dst"))
+        return materialize(links.join(kept, ["src", "dst"]).select("shard", "src", "dst", "distance"), "thinned")
+
+    near = materialize(rows.groupBy("shard").applyInPandas(nearest, "shard int, src long, dst long, distance double"), "near")
+    links = thinned(both_ways(thinned(both_ways(near, 2 * wide * r)), 2 * r))
+    means = rows.select("shard", "id", "vec", F.posexplode("vec").alias("pos", "v")).groupBy("shard", "pos").agg(F.avg("v").alias("mean"))
+    centre = means.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("c")).select("shard", F.col("c.mean").alias("c"))  # a row a coordinate
+    roots = materialize(rows.join(centre, "shard").groupBy("shard").agg(F.min(F.struct(l2(F.col("vec"), F.col("c")), "id"))["id"].alias("id")), "roots")
+    known, reached = both_ways(near, 2 * wide * r), reachable(links, roots)
+    while True:
+        left = materialize(rows.join(reached, "id", "left_anti").select("shard", "id"), "unreached")
+        if not left.limit(1).count():
+            break
+        to = known.join(left.select(F.col("id").alias("dst")), "dst").join(reached.select(F.col("id").alias("src")), "src")
+        tree = materialize(to.groupBy("shard", "dst").agg(F.min(F.struct("distance", "src")).alias("n")).select("shard", F.col("n.src").alias("src"), "dst", "n.distance"), "tree")
+        lone = left.groupBy("shard").agg(F.min("id").alias("dst")).join(tree.select("shard").distinct(), "shard", "left_anti").join(roots.withColumnRenamed("id", "src"), "shard")
+        links = materialize(links.union(tree).union(lone.select("shard", "src", "dst", F.lit(0.0))), "links")
+        reached = reachable(links, roots)
+    listed = links.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("near"))
+    made = rows.join(listed, rows["id"] == listed["src"], "left").join(roots.select(F.col("id").alias("root")), rows["id"] == F.col("root"), "left")
+    return materialize(made.select("shard", "id", "vec", F.array(F.coalesce("near", F.array().cast("array<long>"))).alias("layers"), F.col("root").isNotNull().alias("entry")), "graph")
 
 
 def knn_graph(base: DataFrame, k: int) -> DataFrame:
@@ -149,26 +342,35 @@ def nsg_prune(graph: DataFrame, base: DataFrame, r: int) -> DataFrame:
     return own.groupBy("src").applyInPandas(thin, "src long, neighbors array<long>")
 
 
-def nn_descent(base: DataFrame, k: int, rounds: int = 4, seed: int = 2021) -> DataFrame:
-    """Approximate k-nearest-neighbour graph: neighbours of neighbours are tried, round after round."""
-    from vexel.functions.distance import l2
-
-    rows = base.select("id", "vec")
-    n = rows.count()
-    ranked = rows.select("id", F.row_number().over(_order("id")).alias("r"))
-    picks = ranked.select(F.col("id").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.pmod(F.xxhash64("r", i, F.lit(seed)), F.lit(n)) + 1)).alias("r"))
-    graph = picks.join(ranked.select("r", F.col("id").alias("dst")), "r").select("src", "dst")
-    out = None
-    for _ in range(rounds):
-        both = graph.union(graph.select("dst", "src")).distinct()
-        tried = both.union(both.select(F.col("src").alias("via"), F.col("dst").alias("b")).join(both.select(F.col("src").alias("a"), F.col("dst").alias("via")), "via").select("a", "b")).where("src <> dst").distinct()
+def nn_descent(base: DataFrame, k: int, rounds: int = 6, seed: int = 2021, pool: int = 12) -> DataFrame:
+    """Approximate k-nearest-neighbour graph: neighbours of neighbours are tried, round after round, until none is better.
+
+    First neighbours are the rows beside a row in some orders by a seeded hash of ids. A row keeps k + pool neighbours on the way and
+    tries as many of those that have it among theirs, chosen anew by hash each round, so a hub makes no more pairs than others.
+    """
+    wide = k + pool
+    rows = base.select("id", "vec").where("vec IS NOT NULL")
+    graph, out, state = None, None, None
+    for i in range(max(1, k // 2)):
+        spread = materialize(rows.select("id").repartitionByRange(F.xxhash64("id", F.lit(seed + i)), "id").sortWithinPartitions(F.xxhash64("id", F.lit(seed + i)), "id").withColumn("at", F.monotonically_increasing_id()), "orders")
+        ends = spread.groupBy(F.shiftright("at", 33).alias("part")).agg(F.max("at").alias("last"), F.min("at").alias("first")).orderBy("part").collect()  # a row a partition
+        follow = {r["last"]: ends[(n + 1) % len(ends)]["first"] for n, r in enumerate(ends)}
+        jump = F.create_map(*[F.lit(v) for e in follow.items() for v in e]) if follow else F.create_map().cast("map<long,long>")
+        beside = spread.select(F.col("id").alias("src"), F.coalesce(F.element_at(jump, F.col("at")), F.col("at") + 1).alias("at")).join(spread.select("at", F.col("id").alias("dst")), "at").select("src", "dst")
+        graph = beside if graph is None else graph.union(beside)
+    graph = materialize(graph.union(graph.select("dst", "src")).distinct(), "descent")
+    for turn in range(rounds):
+        lot = Window.partitionBy("src").orderBy(F.xxhash64("src", "dst", F.lit(seed + turn)))
+        back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("k", F.row_number().over(lot)).where(F.col("k") <= wide).drop("k")
+        both = materialize(graph.union(back).distinct(), "both")
+        few = both.withColumn("k", F.row_number().over(lot)).where(F.col("k") <= wide).drop("k")  # ways that are tried this round
+        ways = few.select(F.col("src").alias("a"), F.col("dst").alias("via")).join(few.select(F.col("src").alias("via"), F.col("dst").alias("b")), "via").select("a", "b")
+        tried = graph.union(ways).where("src <> dst").distinct()
         scored = tried.join(rows.select(F.col("id").alias("src"), F.col("vec").alias("x")), "src").join(rows.select(F.col("id").alias("dst"), F.col("vec").alias("y")), "dst")
-        out = materialize(best(scored.select(F.col("src").alias("query_id"), F.col("dst").alias("id"), l2(F.col("x"), F.col("y")).alias("distance")), k), "descent")
+        out = materialize(best(scored.select(F.col("src").alias("query_id"), F.col("dst").alias("id"), l2(F.col("x"), F.col("y")).alias("distance")), wide), "descent")
         graph = out.select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
-    return out.select(F.col("query_id").alias("src"), "rank", F.col("id").alias("dst"), "distance")
-
-
-def _order(col: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(col)
+        now = graph.agg(F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return out.where(F.col("rank") <= k).select(F.col("query_id").alias("src"), "rank", F.col("id").alias("dst"), "distance")

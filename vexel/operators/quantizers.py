@@ -1,4 +1,4 @@
-"""Codecs. Fitting is in numpy on a bounded sample; encoding a table goes in Arrow batches, and scalar codes in expressions."""
+"""Codecs: numpy classes that fit on a bounded sample, encode a matrix to small integers of ``widths`` bits and decode them; and scalar codes in expressions. Tables of codes are in ``codes``."""
 
 from __future__ import annotations
 
@@ -6,13 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexel.functions.kernels import matrix
-from vexel.operators.flat import FOUND, best, query_blocks
-from vexel.plans.storage import ship
+from vexel.operators.flat import best
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarray:
@@ -21,8 +18,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarray:
     for _ in range(rounds):
         at = _nearest(x, c)
         n = np.bincount(at, minlength=k)
-        s = np.zeros_like(c)
-        np.add.at(s, at, x)
+        s = np.stack([np.bincount(at, column, k) for column in x.T], axis=1)
         c[n > 0] = s[n > 0] / n[n > 0, None]
     return c
 
@@ -39,10 +35,15 @@ class Product:
     bits: int = 8
     rounds: int = 15
     books: list[np.ndarray] = field(default_factory=list)
+    polysemous: bool = False
+
+    @property
+    def widths(self) -> list[int]:
+        return [self.bits] * self.m
 
     def fit(self, x: np.ndarray) -> Product:
         self.books = [_kmeans(s, 1 << self.bits, self.rounds) for s in np.split(x, self.m, axis=1)]
-        return self
+        return self.order_codes() if self.polysemous else self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.stack([_nearest(s, b) for s, b in zip(np.split(x, self.m, axis=1), self.books, strict=True)], axis=1)
@@ -54,6 +55,9 @@ class Product:
         """For each slice and centroid its part of the distance to a query."""
         return np.stack([b @ s if metric == "ip" else ((b - s) ** 2).sum(1) for s, b in zip(np.split(q, self.m), self.books, strict=True)])
 
+    def distances(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
+        return self.tables(q, metric)[np.arange(self.m), codes].sum(1)
+
     def order_codes(self, rounds: int = 2000, seed: int = 7) -> Product:
         """Polysemous order: swap centroids while their Hamming distances come nearer to their own distances."""
         rng = np.random.default_rng(seed)
@@ -63,47 +67,57 @@ class Product:
             h = np.bitwise_count(np.arange(n)[:, None] ^ np.arange(n)[None]).astype(float)
             d = d / max(d.mean(), 1e-30) * h.mean()
             p = np.arange(n)
-            for _ in range(rounds):
-                a, c = rng.integers(n, size=2)
-                q = p.copy()
-                q[a], q[c] = p[c], p[a]
-                rows = [a, c]
-                if ((d[np.ix_(q[rows], q)] - h[rows]) ** 2).sum() < ((d[np.ix_(p[rows], p)] - h[rows]) ** 2).sum():
-                    p = q
+            for a, c in rng.integers(n, size=(rounds, 2)).tolist():
+                u, v = p[a], p[c]
+                if u == v:
+                    continue
+                # two rows and columns change; their entries with each other stay as they are
+                old, new = (d[u, p] - h[a]) ** 2 + (d[v, p] - h[c]) ** 2, (d[v, p] - h[a]) ** 2 + (d[u, p] - h[c]) ** 2
+                old[[a, c]] = new[[a, c]] = 0
+                if new.sum() < old.sum():
+                    p[a], p[c] = v, u
             self.books[j] = b[p]
         return self
 
 
 @dataclass
 class Residual:
-    """m codebooks on what is left, encoded with a beam."""
+    """m codebooks on what is left, encoded with a beam. bits is one number, or one for each book."""
 
     m: int
-    bits: int = 4
+    bits: int | tuple[int, ...] = 4
     beam: int = 5
     rounds: int = 15
     books: list[np.ndarray] = field(default_factory=list)
 
+    @property
+    def widths(self) -> list[int]:
+        return [self.bits] * self.m if isinstance(self.bits, int) else list(self.bits)
+
     def fit(self, x: np.ndarray) -> Residual:
         self.books, rest = [], x.copy()
-        for _ in range(self.m):
-            self.books.append(_kmeans(rest, 1 << self.bits, self.rounds))
+        for bits in self.widths:
+            self.books.append(_kmeans(rest, 1 << bits, self.rounds))
             rest = rest - self.books[-1][_nearest(rest, self.books[-1])]
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.m), int)
-        for i, v in enumerate(x):
-            beams = [((), v)]
-            for b in self.books:
-                grown = [(codes + (c,), r - b[c]) for codes, r in beams for c in np.argsort(((b - r) ** 2).sum(1))[: self.beam]]
-                beams = sorted(grown, key=lambda t: (float((t[1] ** 2).sum()), t[0]))[: self.beam]
-            out[i] = beams[0][0]
-        return out
+        """The codes that a beam finds, for all rows at once: of equal errors the first."""
+        rows, codes, rest = np.arange(len(x))[:, None], np.zeros((len(x), 1, 0), int), x[:, None, :]
+        for b in self.books:
+            error = (rest**2).sum(2)[:, :, None] - 2 * rest @ b.T + (b**2).sum(1)
+            keep = np.argsort(error.reshape(len(x), -1), axis=1, kind="stable")[:, : self.beam]
+            at, c = keep // len(b), keep % len(b)
+            codes, rest = np.concatenate([codes[rows, at], c[:, :, None]], axis=2), rest[rows, at] - b[c]
+        return codes[:, 0]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(b[codes[:, j]] for j, b in enumerate(self.books))
 
+    def dots(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Inner products of a query with what codes decode to, from a table a book."""
+        return sum((b @ q)[codes[:, j]] for j, b in enumerate(self.books))
+
 
 @dataclass
 class LocalSearch(Residual):
@@ -116,10 +130,10 @@ class LocalSearch(Residual):
         super().fit(x)
         for _ in range(self.refits):
             codes = self.encode(x)
-            k = len(self.books[0])
-            onehot = np.zeros((len(x), self.m * k))
-            onehot[np.arange(len(x))[:, None], codes + np.arange(self.m) * k] = 1
-            self.books = list(np.linalg.solve(onehot.T @ onehot + 1e-3 * np.eye(self.m * k), onehot.T @ x).reshape(self.m, k, -1))
+            ends = np.cumsum([len(b) for b in self.books])
+            onehot = np.zeros((len(x), ends[-1]))
+            onehot[np.arange(len(x))[:, None], codes + np.r_[0, ends[:-1]]] = 1
+            self.books = np.split(np.linalg.solve(onehot.T @ onehot + 1e-3 * np.eye(ends[-1]), onehot.T @ x), ends[:-1])
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
@@ -141,6 +155,10 @@ class ProductAdditive:
     bits: int = 4
     parts: list = field(default_factory=list)
 
+    @property
+    def widths(self) -> list[int]:
+        return [w for p in self.parts for w in p.widths]
+
     def fit(self, x: np.ndarray) -> ProductAdditive:
         self.parts = [self.codec(self.m, self.bits).fit(s) for s in np.split(x, self.slices, axis=1)]
         return self
@@ -151,12 +169,115 @@ class ProductAdditive:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([p.decode(c) for p, c in zip(self.parts, np.split(codes, self.slices, axis=1), strict=True)], axis=1)
 
+    def dots(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return sum(p.dots(s, c) for p, s, c in zip(self.parts, np.split(q, self.slices), np.split(codes, self.slices, axis=1), strict=True))
+
+
+@dataclass
+class Scalar:
+    """A code of so many bits a coordinate, between its least and greatest value."""
+
+    bits: int = 8
+    low: np.ndarray | None = None
+    span: np.ndarray | None = None
+
+    @property
+    def widths(self) -> list[int]:
+        return [self.bits] * len(self.low)
+
+    def learn(self, vectors: DataFrame) -> Scalar:
+        """From all rows; a row a coordinate comes to the driver."""
+        ranges = scalar_ranges(vectors.where("vec IS NOT NULL")).orderBy("pos").collect()
+        self.low, self.span = np.array([r["vmin"] for r in ranges]), np.array([r["vdiff"] for r in ranges])
+        return self
+
+    def fit(self, x: np.ndarray) -> Scalar:
+        self.low, self.span = x.min(0), x.max(0) - x.min(0)
+        return self
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        share = np.divide(x - self.low, self.span, out=np.zeros_like(x), where=self.span != 0)
+        return np.floor(np.clip(share, 0, 1) * ((1 << self.bits) - 1)).astype(int)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.low + (codes + 0.5) / ((1 << self.bits) - 1) * self.span
+
+
+@dataclass
+class Normed:
+    """An additive codec whose codes also hold the squared norm of what they decode to, so that distances come from tables of inner products.
+
+    kind: none (norms count as zero, for inner products and normalised vectors), float (32 bits), qint8 and qint4 (steps between the sample's extremes), cqint8 and cqint4 (1-d centroids), lsq2x4 and rq2x4 (an additive code of the norm)."""
+
+    codec: Residual | ProductAdditive
+    kind: str = "float"
+    low: float = 0.0
+    step: float = 1.0
+    book: np.ndarray | None = None
+    inner: Residual | None = None
+
+    @property
+    def widths(self) -> list[int]:
+        return self.codec.widths + {"none": [], "float": [32], "qint8": [8], "qint4": [4], "cqint8": [8], "cqint4": [4], "lsq2x4": [4, 4], "rq2x4": [4, 4]}[self.kind]
+
+    def fit(self, x: np.ndarray) -> Normed:
+        self.codec.fit(x)
+        norms = self._norms(self.codec.encode(x))
+        if self.kind.startswith("q"):
+            self.low, self.step = float(norms.min()), float(norms.max() - norms.min()) / ((1 << self.widths[-1]) - 1) or 1.0
+        elif self.kind.startswith("cq"):
+            self.book = np.sort(_kmeans(norms[:, None], 1 << self.widths[-1], 15)[:, 0])
+        elif self.kind not in ("float", "none"):
+            self.inner = (LocalSearch if self.kind == "lsq2x4" else Residual)(2, 4).fit(norms[:, None])
+        return self
+
+    def _norms(self, codes: np.ndarray) -> np.ndarray:
+        return (self.codec.decode(codes) ** 2).sum(1)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        codes = self.codec.encode(x)
+        norms = self._norms(codes)
+        if self.kind == "none":
+            return codes
+        if self.kind == "float":
+            own = norms.astype(np.float32).view(np.uint32).astype(np.int64)[:, None]
+        elif self.kind.startswith("q"):
+            own = np.clip(np.round((norms - self.low) / self.step), 0, (1 << self.widths[-1]) - 1).astype(int)[:, None]
+        else:
+            own = np.abs(norms[:, None] - self.book).argmin(1)[:, None] if self.inner is None else self.inner.encode(norms[:, None])
+        return np.concatenate([codes, own], axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.codec.decode(codes[:, : len(self.codec.widths)])
+
+    def distances(self, q: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
+        m = len(self.codec.widths)
+        dots, own = self.codec.dots(q, codes[:, :m]), codes[:, m:]
+        if metric == "ip":
+            return dots
+        if self.kind == "none":
+            norms = 0.0
+        elif self.kind == "float":
+            norms = own[:, 0].astype(np.uint32).view(np.float32).astype(float)
+        elif self.kind.startswith("q"):
+            norms = self.low + own[:, 0] * self.step
+        else:
+            norms = self.book[own[:, 0]] if self.inner is None else self.inner.decode(own)[:, 0]
+        return (q**2).sum() + norms - 2 * dots
+
 
 @dataclass
 class Half:
     """Coordinates as half-precision floats, a code the 16 bits of one; values out of range become the largest finite one."""
 
+    d: int = 0
+
+    @property
+    def widths(self) -> list[int]:
+        return [16] * self.d
+
     def fit(self, x: np.ndarray) -> Half:
+        self.d = x.shape[1]
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
@@ -167,63 +288,34 @@ class Half:
         return codes.astype(np.uint16).view(np.float16).astype(np.float64)
 
 
-def encode(vectors: DataFrame, codec) -> DataFrame:
-    """id and code, an array of sub-codes."""
-    ship(vectors.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = codec.encode(matrix(b.column(1))) if b.num_rows else np.zeros((0, 1), int)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))], ["id", "code"])
-
-    return vectors.select("id", "vec").where("vec IS NOT NULL").mapInArrow(run, "id long, code array<int>")
-
-
-def decode(codes: DataFrame, codec) -> DataFrame:
-    ship(codes.sparkSession)
+@dataclass
+class RowScaled:
+    """Each row scaled to [0, 1] by its own extremes, which go before the inner codec's code as floats of 32 or 16 bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = codec.decode(matrix(b.column(1)).astype(int)) if b.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["id", "vec"])
+    codec: object
+    half: bool = False
 
-    return codes.select("id", "code").mapInArrow(run, "id long, vec array<double>")
+    @property
+    def widths(self) -> list[int]:
+        return [16 if self.half else 32] * 2 + self.codec.widths
 
+    def _split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind = np.float16 if self.half else np.float32
+        ends = np.stack([x.min(1), x.max(1) - x.min(1)], axis=1).astype(kind)
+        span = ends[:, 1:].astype(float)
+        return ends, np.divide(x - ends[:, :1].astype(float), span, out=np.zeros_like(x), where=span > 0)
 
-def search_codes(codes: DataFrame, codec, queries: DataFrame, k: int, metric: str = "l2", ht: int = 0) -> DataFrame:
-    """Asymmetric search over codes. With ht, rows whose codes differ from the query's in that many bits or more are passed over."""
-    ship(codes.sparkSession)
-    parts = []
+    def fit(self, x: np.ndarray) -> RowScaled:
+        self.codec.fit(self._split(x)[1])
+        return self
 
-    def scan(names: np.ndarray, block: np.ndarray):
-        own = codec.encode(block) if ht else None
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        ends, scaled = self._split(x)
+        return np.concatenate([ends.view(np.uint16 if self.half else np.uint32).astype(np.int64), self.codec.encode(scaled)], axis=1)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                c, ids = matrix(b.column(1)).astype(int), b.column(0).to_numpy()
-                x = None if isinstance(codec, Product) else codec.decode(c)
-                for i, q in enumerate(block):
-                    if x is None:
-                        t = codec.tables(q, metric)
-                        d = t[np.arange(codec.m), c].sum(1)
-                    else:
-                        d = x @ q if metric == "ip" else ((x - q) ** 2).sum(1)
-                    near = np.arange(len(c))
-                    if ht:
-                        near = np.flatnonzero(np.bitwise_count(c ^ own[i]).sum(1) < ht)
-                    near = near[np.lexsort((ids[near], (-d if metric == "ip" else d)[near]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), names[i])), pa.array(ids[near]), pa.array(d[near].astype(float))], ["query_id", "id", "distance"])
-
-        return run
-
-    for names, block in query_blocks(queries):
-        parts.append(codes.select("id", "code").mapInArrow(scan(names, block), FOUND))
-    out = parts[0] if parts else codes.sparkSession.createDataFrame([], FOUND)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return best(out, k, metric == "ip")
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        ends = codes[:, :2].astype(np.uint16 if self.half else np.uint32).view(np.float16 if self.half else np.float32).astype(float)
+        return ends[:, :1] + self.codec.decode(codes[:, 2:]) * ends[:, 1:]
 
 
 def refine(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:

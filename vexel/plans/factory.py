@@ -18,7 +18,7 @@ class Node:
     children: tuple = field(default_factory=tuple)
 
 
-NORMS = "(?:_N(?:float|none|qint8|qint4|cqint8|cqint4|lsq2x4|rq2x4))?"
+NORMS = "(?:_N(float|none|qint8|qint4|cqint8|cqint4|lsq2x4|rq2x4))?"
 TRANSFORMS = [("PCA", r"PCA(W?)(R?)(\d+)"), ("L2norm", "L2norm"), ("RR", r"RR(\d*)"), ("ITQ", r"ITQ(\d*)"), ("OPQ", r"OPQ(\d+)(?:_(\d+))?"), ("Pad", r"Pad(\d+)")]
 CODECS = [
     ("Flat", "Flat"), ("FlatDedup", "FlatDedup"), ("LSH", "LSH(r?)(t?)"), ("Lattice", r"ZnLattice(\d+)x(\d+)_(\d+)"), ("SQ", "SQ(4|6|8|fp16)"),
@@ -106,6 +106,47 @@ def describe(node: Node) -> str:
     return own + (f"({', '.join(map(describe, node.children))})" if node.children else "")
 
 
+def codec_of(node: Node):
+    """An unfitted codec for a leaf that has one."""
+    from vexel.operators import quantizers as Q
+
+    name, args = node.name, node.args
+    if node.kind == "codec" and name in ("MinMax", "MinMaxFP16"):
+        return Q.RowScaled(codec_of(node.children[0]), name == "MinMaxFP16")
+    if name == "SQ":
+        return Q.Half() if args[0] == "fp16" else Q.Scalar(args[0])
+    if name == "PQ":
+        return Q.Product(args[0], args[1] or 8)
+    if name == "PQfs":
+        return Q.Product(args[0], 4)
+    if name == "RQ":
+        groups = [list(map(int, g.split("x"))) if "x" in g else [int(g), 8] for g in str(args[1]).split("_")]  # RQ8: eight books of 8 bits
+        bits = tuple(b for m, b in groups for _ in range(m))
+        plain = Q.Residual(len(bits), bits)
+    elif name == "LSQ":
+        plain = Q.LocalSearch(args[1], args[2])
+    elif name == "AQfs":
+        plain = (Q.Residual if args[0] == "RQ" else Q.LocalSearch)(args[1], 4)
+    elif name in ("PAQ", "PAQfs"):
+        plain = Q.ProductAdditive(args[1], Q.Residual if args[0] == "PRQ" else Q.LocalSearch, args[2], args[3] if name == "PAQ" else 4)
+    else:
+        raise NotImplementedError(f"{name} parses, but has no builder here")
+    return Q.Normed(plain, args[-1]) if args[-1] else plain
+
+
+def _bits(codec, d: int) -> int:
+    """Bits of a code of d dimensions, known before the codec is fitted."""
+    from vexel.operators import quantizers as Q
+
+    if isinstance(codec, Q.RowScaled):
+        return (32 if codec.half else 64) + _bits(codec.codec, d)
+    if isinstance(codec, Q.Normed):
+        return _bits(codec.codec, d) + {"none": 0, "float": 32, "qint8": 8, "cqint8": 8, "qint4": 4, "cqint4": 4}.get(codec.kind, 8)
+    if isinstance(codec, Q.ProductAdditive):
+        return codec.slices * codec.m * codec.bits
+    return 16 * d if isinstance(codec, Q.Half) else codec.bits * d if isinstance(codec, Q.Scalar) else sum(codec.widths)
+
+
 def code_size(node: Node, d: int) -> int:
     """Bytes of one stored vector."""
     if node.kind in ("idmap", "refine", "ivf", "graph"):
@@ -115,20 +156,17 @@ def code_size(node: Node, d: int) -> int:
         return code_size(node.children[0], out)
     if node.name in ("Flat", "FlatDedup"):
         return 4 * d
-    if node.name == "SQ":
-        return {4: (d + 1) // 2, 6: (d * 6 + 7) // 8, 8: d, "fp16": 2 * d}[node.args[0]]
-    if node.name == "PQ":
-        return (node.args[0] * (node.args[1] or 8) + 7) // 8
-    if node.name == "PQfs":
-        return (node.args[0] + 1) // 2
     if node.name == "LSH":
         return (d + 7) // 8
-    raise NotImplementedError(f"no code size for {node.name}")
+    if node.name == "PQR":
+        return node.args[0] + node.args[1]
+    return (_bits(codec_of(node), d) + 7) // 8
 
 
 def build(text: str, base, metric: str = "l2"):
     """An index over base (id, vec): an object with search(queries, k, ...). Rows have ids of their own, which IDMap keeps; what has no builder raises NotImplementedError."""
-    from vexel.operators import binary, coded, flat, graph, ivf, quantizers, transforms
+    from vexel.operators import binary, coarse, coded, flat, graph, ivf, quantizers, transforms
+    from vexel.operators.cluster import Kmeans
 
     node = parse(text)
 
@@ -136,23 +174,57 @@ def build(text: str, base, metric: str = "l2"):
         def __init__(self, f):
             self.search = f
 
-    def code_of(n: Node):
-        """What encodes and decodes for a leaf."""
-        if n.name == "SQ":
-            return coded.Learned(quantizers.Half()) if n.args[0] == "fp16" else coded.Scalar(n.args[0])
-        if n.name in ("PQ", "PQfs"):
-            return coded.Learned(quantizers.Product(n.args[0], 4 if n.name == "PQfs" else n.args[1] or 8))
-        if n.name in ("RQ", "LSQ"):
-            m, bits = (n.args[1], n.args[2]) if n.name == "LSQ" else map(int, str(n.args[1]).split("x"))
-            return coded.Learned((quantizers.LocalSearch if n.name == "LSQ" else quantizers.Residual)(m, bits))
-        raise NotImplementedError(f"{n.name} parses, but has no builder here")
-
     def bits_below(n: Node) -> int:
         """Bits of the product codes that a rotation is fitted for."""
         while n.children:
             n = n.children[-1]
         return (n.args[1] or 8) if n.name == "PQ" else 4
 
+    def only_l2(what: str) -> None:
+        if metric != "l2":
+            raise ValueError(f"{what} is for L2 only")
+
+    def coarse_of(n: Node, rows):
+        """The quantizer that gives lists."""
+        if n.name == "IMI":
+            only_l2("a multi-index")
+            return coarse.MultiIndex.fit(rows, n.args[0])
+        if n.name == "Residual" and n.args[1]:
+            only_l2("a multi-index")
+            return coarse.MultiIndex.fit(rows, n.args[1], n.args[0])
+        if n.name == "IVF" and len(n.children) > 1 and n.children[0].name in ("RQ", "LSQ") and n.children[0].args[0] in ("RCQ", "LSCQ"):
+            found = coarse.Additive.fit(rows, codec_of(n.children[0]))
+            if found.size != n.args[0]:
+                raise ValueError(f"{n.args[0]} lists, but {found.size} sums of codebooks")
+            return found
+        found = coarse.Centroids(Kmeans(n.args[0], spherical=metric == "ip").fit(rows).centroids, metric)
+        if n.name == "IVF" and n.args[1]:
+            centres = coarse._table(rows.sparkSession, found.centroids)
+            found.searcher, found.options = graph.GraphIndex.build(centres, 1, n.args[2] or 32, metric=metric, kind=n.args[1].lower()), {"ef": max(64, found.size // 4)}
+        elif n.name == "IVF" and len(n.children) > 1:
+            found.searcher = make(n.children[0], coarse._table(rows.sparkSession, found.centroids))
+        return found
+
+    def two_layers(leaf: Node, rows):
+        """Codes of what is left of a list's centre: "64+PQ8" or "2x5+PQ8"."""
+        lists, m = str(leaf.args[0]), leaf.args[1]
+        by = coarse.MultiIndex.fit(rows, int(lists[2:])) if "x" in lists else coarse.Centroids(Kmeans(int(lists)).fit(rows).centroids)
+        return coded.FlatCodes.build(rows, quantizers.Product(m), metric, by)
+
+    def lists_of(n: Node, rows):
+        leaf, by = n.children[-1], coarse_of(n, rows)
+        if n.name == "Residual":
+            return coded.FlatCodes.build(rows, codec_of(leaf), metric, by)
+        if leaf.name == "Flat":
+            return ivf.IvfIndex.around(by, rows, metric)
+        if leaf.name == "FlatDedup":
+            return ivf.DedupIndex.around(by, rows, metric)
+        if leaf.name == "PQR":
+            only_l2("a second residual code")
+            return coded.CodedIvf.around(by, rows, quantizers.Product(leaf.args[0]), metric, True, quantizers.Product(leaf.args[1]))
+        fast = leaf.name in ("PQfs", "AQfs", "PAQfs")  # these encode residuals only where the string says r
+        return coded.CodedIvf.around(by, rows, codec_of(leaf), metric, not fast or "r" in leaf.args)
+
     def make(n: Node, rows):
         if n.kind == "idmap":
             return make(n.children[0], rows)
@@ -182,19 +254,18 @@ def build(text: str, base, metric: str = "l2"):
             if by.kind == "flat":
                 finer = rows
             else:
-                codec = code_of(by).learn(rows)
-                finer = codec.decode(materialize(codec.encode(rows), "codes"))
+                finer = coded.FlatCodes.build(rows, codec_of(by), metric).reconstruct()
             return Searcher(lambda q, k, k_factor=4, **o: quantizers.refine(inner.search(q, k * k_factor, **o), finer, q, k, metric))
-        if n.kind == "ivf" and (n.name != "IVF" or len(n.children) > 1 or any(n.args[1:])):
-            raise NotImplementedError(f"the coarse quantizer of {describe(n)}")
-        if n.kind == "ivf" and n.children[-1].name == "Flat":
-            return ivf.IvfIndex.build(rows, n.args[0], metric)
         if n.kind == "ivf":
-            return coded.CodedIvf.build(rows, n.args[0], code_of(n.children[-1]), metric)
-        if n.kind == "graph" and n.children[0].name == "Flat":
-            return graph.GraphIndex.build(rows, m=n.args[0], metric=metric)
-        if n.kind == "codec" and n.name == "SQ":
-            return Searcher(coded.flat_codes(rows, code_of(n), metric))
+            return lists_of(n, rows)
+        if n.kind == "graph":
+            leaf = n.children[0]
+            if leaf.name not in ("Flat", "PQ", "SQ", "2Level") or leaf.name == "2Level" and n.name == "NSG":
+                raise NotImplementedError(f"a graph over {leaf.name}")
+            stored = None if leaf.name == "Flat" else two_layers(leaf, rows) if leaf.name == "2Level" else coded.FlatCodes.build(rows, codec_of(leaf), metric)
+            return graph.GraphIndex.build(rows if stored is None else stored.reconstruct().select("id", "vec"), m=n.args[0], metric=metric, kind=n.name.lower())
+        if n.name in ("RQ", "LSQ") and n.args[0] in ("RCQ", "LSCQ"):
+            return coarse.Additive.fit(rows, codec_of(n))
         if n.name == "LSH":
             turn, middle = n.args
             d = transforms.sample_matrix(rows).shape[1]
@@ -204,12 +275,11 @@ def build(text: str, base, metric: str = "l2"):
             asked = lambda q: turned(q.selectExpr("query_id AS id", "vec")).withColumnRenamed("id", "query_id")
             thresholds = materialize(binary.medians(kept), "medians") if middle else None
             return Searcher(lambda q, k, **o: binary.lsh_search(kept, d, asked(q), k, thresholds, **o))
-        if n.kind == "codec" and n.name in ("PQ", "PQfs", "RQ", "LSQ"):
-            codec = code_of(n).learn(rows).codec
+        if n.kind == "codec":
+            index = codec_of(n)
             if n.name == "PQ" and not (len(n.args) > 2 and n.args[2]):
-                codec.order_codes()  # so that Hamming distances of codes follow their own
-            codes = materialize(quantizers.encode(rows, codec), "codes")
-            return Searcher(lambda q, k, **o: quantizers.search_codes(codes, codec, q, k, metric, **o))
+                index.polysemous = True  # Hamming distances of codes follow their own
+            return coded.FlatCodes.build(rows, index, metric)
         raise NotImplementedError(f"{n.name} parses, but has no builder here")
 
     return make(node, base)
