@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.functions import distance as D
-from vexel.operators import binary, cluster, coarse, codes, evaluate, flat, graph, ivf, meta, quantizers, transforms
+from vexel.operators import binary, bulk, cluster, coarse, evaluate, flat, graph, ivf, meta, quantizers, transforms, tree
 from vexel.plans import factory
-from vexel.plans.storage import materialize
+from vexel.plans.storage import materialize, new_path
 from vexel.streaming.window import tumbling_counts
 
 K, NLIST, EVERY = 10, 8, 100
@@ -312,6 +312,25 @@ def imi_search(spark, sf_dir):
     return _round(index.search(asked(rows), K, nprobe=64))
 
 
+def bulk_search(spark, sf_dir):
+    """ivf_search, a range of some hundred rows' lists at a time, each kept in a folder."""
+    rows, index = _index(spark, sf_dir)
+    return _round(bulk.search(index, asked(rows), K, 3, new_path(spark, "bulk"), rows=300))
+
+
+def balanced_tree(spark, sf_dir):
+    """Search of the leaves of a balanced tree, three quarters of them probed."""
+    rows = base(spark, sf_dir).select("id", "vec")
+    index = tree.Tree.build(rows, 6, 80).index()
+    return _round(index.search(asked(rows), K, nprobe=-(-3 * index.coarse.size // 4)))
+
+
+def growing_kmeans(spark, sf_dir):
+    """Rows in each list of k-means in ever more dimensions."""
+    rows = base(spark, sf_dir).select("id", "vec")
+    return cluster.growing_dimensions(rows, NLIST).assign(rows).groupBy("list_no").agg(F.count("*").alias("n"))
+
+
 def foreign(rows: DataFrame) -> DataFrame:
     """Queries from another distribution than the rows: every hundredth vector backwards, longer and shifted."""
     return asked(rows).withColumn("vec", F.transform(F.reverse("vec"), lambda v: 1.5 * v + 0.05))
@@ -377,7 +396,7 @@ PLAIN = {
     "index_opq": _built("OPQ16,PQ16x8np,RFlat", k_factor=15), "index_pca_ivf": _built("PCA48,IVF32,Flat,RFlat", nprobe=24, k_factor=10), "index_itq": _built("ITQ,Flat"), "index_imi": _built("IMI2x4,Flat", nprobe=160), "index_residual_coarse": _built("IVF16(RCQ2x2),Flat", nprobe=10), "index_ivf_hnsw": _built("IVF32_HNSW8,SQ8", nprobe=24),
     "index_ivf_sq8": _built("IVF32,SQ8", nprobe=24), "index_ivf_pq": _built("IVF32,PQ64x8np", nprobe=26), "index_ivf_pq_refined": _built("IVF32,PQ16x8np,RFlat", nprobe=24, k_factor=8), "index_ivf_pqr": _built("IVF32,PQ32+32", nprobe=24, k_factor=8), "index_ivf_rq": _built("IVF32,RQ8x6_Nqint8,RFlat", nprobe=24, k_factor=20), "index_sq8": _built("SQ8"), "index_minmax": _built("MinMax,SQ8"), "index_pad": _built("Pad80,Flat"), "index_refine_codes": _built("PQ16x4,Refine(SQ8)", k_factor=20),
 }
-NAMED = (imi_cells, imi_search, two_level_graph, graph_layers, graph_removed, nsg_reachable, code_bytes, binary_ivf, binary_counts, lsh_medians, ivf_spectral, ivf_reconstruct, id_map, knn_selectors, knn_columns, knn_filtered, range_l2, range_ip, assign, distance_subset, residuals, nearest_1d, binary_knn, binary_range, binary_hash, scalar_codes, row_minmax, ivf_search, ivf_max_codes, ivf_range, ivf_list_sizes, ivf_upkeep, ivf_dedup, find_duplicates, list_tools, sliding, sharded, split_vectors, kmeans_step, kmeans_arrow_step, imbalance, centered, normalized, matrix_stats, evaluation, operating_points, max_results, event_windows, nn_descent, nsg_neighbors, two_level)
+NAMED = (bulk_search, balanced_tree, growing_kmeans, imi_cells, imi_search, two_level_graph, graph_layers, graph_removed, nsg_reachable, code_bytes, binary_ivf, binary_counts, lsh_medians, ivf_spectral, ivf_reconstruct, id_map, knn_selectors, knn_columns, knn_filtered, range_l2, range_ip, assign, distance_subset, residuals, nearest_1d, binary_knn, binary_range, binary_hash, scalar_codes, row_minmax, ivf_search, ivf_max_codes, ivf_range, ivf_list_sizes, ivf_upkeep, ivf_dedup, find_duplicates, list_tools, sliding, sharded, split_vectors, kmeans_step, kmeans_arrow_step, imbalance, centered, normalized, matrix_stats, evaluation, operating_points, max_results, event_windows, nn_descent, nsg_neighbors, two_level)
 
 
 def queries() -> dict:
@@ -454,6 +473,7 @@ SELECT id, CAST(sum(CASE WHEN z > a THEN floor(least(1.0, greatest(0.0, (e - a)
 SELECT id, round(z - a, 6) AS scale, round(a, 6) AS least, round(list_sum(list_transform(v, lambda e: CASE WHEN z > a THEN (e - a) / (z - a) ELSE 0 END)), 6) AS total FROM m"""
     sql["ivf_search"] = f"{bl} {_top(SCAN + ' WHERE probe <= 3')}"
     before = "(SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN (SELECT list_no, count(*) AS n FROM l GROUP BY list_no) USING (list_no) WHERE probe <= 4)"
+    sql["bulk_search"] = sql["ivf_search"]
     sql["ivf_max_codes"] = f"{bl} {_top(SCAN.replace('JOIN p', f'JOIN {before} p') + ' WHERE before < 100')}"
     sql["ivf_range"] = f"{bl} SELECT query_id, id, round(distance, 6) AS distance FROM ({SCAN} WHERE probe <= 3) WHERE distance < 1.6"
     sql["ivf_list_sizes"] = f"{bl} SELECT list_no, count(*) AS n FROM l GROUP BY list_no"

@@ -237,13 +237,22 @@ def representatives(placed: DataFrame, subs: DataFrame) -> DataFrame:
     return near.groupBy("list_no", "sub_no").agg(F.min(F.struct("d", "id"))["id"].alias("rep_id"))
 
 
-def balanced_assign(x: np.ndarray, c: np.ndarray, penalty: float, seed: int = 0) -> np.ndarray:
-    """Assignment by distance plus a penalty for each row that a centroid has so far."""
-    sizes, at = np.zeros(len(c)), np.zeros(len(x), int)
-    for i in np.random.default_rng(seed).permutation(len(x)):
-        at[i] = int((((c - x[i]) ** 2).sum(1) + penalty * sizes).argmin())
-        sizes[at[i]] += 1
-    return at
+def growing_dimensions(vectors: DataFrame, k: int, steps: int = 4, rounds: int = 10, seed: int = 1234) -> Kmeans:
+    """K-means in the first principal dimensions, then from its centroids in more and more of them, and last in all: the fitted model, with centroids in the vectors' own dimensions and the history of all steps."""
+    from vexel.operators.transforms import pca
+
+    d = len(vectors.where("vec IS NOT NULL").select("vec").first()["vec"])
+    turn = pca(vectors, d)
+    turned, model, c, history = materialize(turn.apply(vectors), "turned"), None, None, []
+    for step_no in range(steps):
+        wide = max(1, round(d ** ((step_no + 1) / steps)))
+        model = Kmeans(k, rounds, seed=seed)
+        rows = turned.select("id", F.slice("vec", 1, wide).alias("vec"))
+        model.fit(rows, None if c is None else np.pad(c, ((0, 0), (0, wide - c.shape[1]))))
+        c = model.centroids
+        history += [h | {"dimensions": wide} for h in model.history]
+    model.centroids, model.history = (c - turn.b) @ turn.a, history
+    return model
 
 
 def sparse_assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
