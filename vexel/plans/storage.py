@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -32,6 +33,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no DataFrame in use refers to: its cleaner acts when the driver collects garbage, which in a long run of steps may otherwise be after the last."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that materialize() or an archive made."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
