@@ -127,7 +127,9 @@ def _first_of(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> np
 
 
 def rows_of(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows of neighbouring windows: bucket, name, key (of the text), start and last (of windows), at (place of the string); bucket is null where a task knows that all of them start earlier in its own texts."""
+    """Rows of neighbouring windows: deal (the bucket), name, key (of the text) and spot: start of the first window, how many more there are and how far the string is from it, in one long.
+
+    Rows without a name are those that a task knows to start earlier in its own texts; they have nothing to meet and are dealt evenly."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), [t or b"" for t in batch.column(1).to_pylist()]
@@ -147,36 +149,72 @@ def rows_of(docs: DataFrame, span: int = SPAN) -> DataFrame:
         name = np.array([digest(raw[x:y]) for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64).view(np.int64)
         start = first + shift
         known = ~_first_of((start, key), (name, bucket))
-        return pa.RecordBatch.from_arrays([
-            pa.array(bucket, pa.int64(), mask=known), pa.array(name, pa.int64(), mask=known), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array((last - first).astype(np.int8)), pa.array((at - first).astype(np.int8)),
-        ], ["bucket", "name", "key", "start", "more", "at"])
+        deal = np.where(known, _scattered(key, start), bucket)
+        spot = start << 16 | (last - first) << 8 | at - first
+        return pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array(name, pa.int64(), mask=known), pa.array(key, pa.int64()), pa.array(spot, pa.int64())], ["deal", "name", "key", "spot"])
+
+    return shipped(docs).select("key", "text").mapInArrow(run, "deal long, name long, key long, spot long")
 
-    return shipped(docs).select("key", "text").mapInArrow(run, "bucket long, name long, key long, start long, more byte, at byte")
+
+def _scattered(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A number for each row, for dealing it out."""
+    h = (key.astype(np.int64).view(np.uint64) * np.uint64(BASE)) ^ start.astype(np.int64).view(np.uint64)
+    return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
 def sorted_in_buckets(rows: DataFrame) -> DataFrame:
-    """key, start, more, at, bucket: rows of which all windows start earlier (bucket null), and those at borders (with their bucket)."""
-    rows = rows.select(F.coalesce("bucket", F.xxhash64("key", "start")).alias("deal"), "*")  # what is told already is dealt evenly
-    order = Window.partitionBy("deal").orderBy("name", "key", "start")
-    again = F.col("bucket").isNull() | F.coalesce(F.lag("name").over(order) == F.col("name"), F.lit(False))
+    """key, spot and bucket: rows of which all windows start earlier (bucket null), and those at borders (with their bucket)."""
+    order = Window.partitionBy("deal").orderBy("name", "key", "spot")
+    again = F.col("name").isNull() | F.coalesce(F.lag("name").over(order) == F.col("name"), F.lit(False))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = rows.withColumns({"again": again, "several": F.max("name").over(whole) != F.min("name").over(whole)})
-    return found.where("again OR several").select("key", "start", "more", "at", F.when(~F.col("again"), F.col("bucket")).alias("bucket"))
+    return found.where("again OR several").select("key", "spot", F.when(~F.col("again"), F.col("deal")).alias("bucket"))
+
+
+def zipped(rows: DataFrame) -> DataFrame:
+    """key, doc_id, size and packed: texts as they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            made = [pa.compress(t, "zstd", asbytes=True) if t else b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(made, pa.binary())], ["key", "doc_id", "size", "packed"])
+
+    return shipped(rows).select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, size long, packed binary")
+
+
+def unzipped(size: int, packed: bytes) -> bytes:
+    return pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
 
 
 def with_text(border: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows at borders with the text that their windows cover."""
-    listed = border.groupBy("key").agg(F.collect_list(F.struct("bucket", "start", "more", "at")).alias("rows"))  # of one text
-    both = texts.join(listed, "key").select("key", "text", F.explode("rows").alias("r")).select("key", "text", "r.*")
-    return both.select("bucket", "key", "start", "more", "at", F.expr(f"substring(text, CAST(start + 1 AS INT), more + {LENGTH})").alias("covered"))
+    """Rows at borders with the text that their windows cover; texts as ``zipped`` makes them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part, covered = batch.slice(k, 500), []
+                buckets, spots = part.column(3).flatten(), part.column(4).flatten().to_numpy()
+                counts = part.column(3).value_lengths().to_numpy()
+                begin, more = (spots >> 16).tolist(), (spots >> 8 & 255).tolist()
+                done = 0
+                for size, packed, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), counts.tolist(), strict=True):
+                    text = unzipped(size, packed)
+                    covered += [text[begin[i] : begin[i] + more[i] + LENGTH] for i in range(done, done + n)]
+                    done += n
+                keys = np.repeat(part.column(0).to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays([buckets, pa.array(keys), pa.array(spots), pa.array(covered, pa.binary())], ["bucket", "key", "spot", "covered"])
+
+    listed = border.groupBy("key").agg(F.collect_list(F.struct("bucket", "spot")).alias("rows"))  # of one text
+    both = texts.join(listed, "key").select("key", "size", "packed", F.col("rows.bucket").alias("buckets"), F.col("rows.spot").alias("spots"))
+    return both.mapInArrow(run, "bucket long, key long, spot long, covered binary")
 
 
 def refined(rows: DataFrame) -> DataFrame:
     """key and start of the windows at borders that also start earlier, from rows with their text."""
+    rows = rows.select("bucket", "key", "spot", F.shiftright("spot", 8).bitwiseAND(255).cast("int").alias("more"), F.col("spot").bitwiseAND(255).cast("int").alias("at"), "covered")
     deeper = lambda side, place: F.xxhash64(F.lit(side), "bucket", F.expr(f"substring(covered, {place}, {GRAM + HALF})"))
     right = F.when(F.col("at") - F.col("more") < HALF, F.struct(F.lit(0).alias("side"), deeper(0, "at + 1").alias("deeper")))
     left = F.when(F.col("at") >= HALF, F.struct(F.lit(1).alias("side"), deeper(1, f"at + 1 - {HALF}").alias("deeper")))
-    sides = rows.select("*", F.explode(F.array(right, left)).alias("s")).where("s IS NOT NULL").select(*rows.columns, "s.side", "s.deeper")
+    sides = rows.select("bucket", "key", "spot", "covered", F.explode(F.array(right, left)).alias("s")).where("s IS NOT NULL").select("bucket", "key", "spot", "covered", "s.side", "s.deeper")
     shared = sides.groupBy("deeper").agg(F.count("*").alias("rows")).where("rows > 1").select("deeper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +223,24 @@ def refined(rows: DataFrame) -> DataFrame:
                 yield windows(batch.slice(k, ROWS))
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bucket, key, start, more, at, side = (batch.column(k).to_numpy().astype(np.int64) for k in range(6))
+        bucket, key, spot, side = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+        start, more, at = spot >> 16, spot >> 8 & 255, spot & 255
         low = np.where(side == 0, np.maximum(at - HALF + 1, 0), 0)  # windows with fewer than HALF bytes before the string go by its right side
         high = np.where(side == 0, more, np.minimum(more, at - HALF))
         n = np.maximum(high - low + 1, 0)
         which = np.repeat(np.arange(len(n)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
-        covered, digest = batch.column(6).to_pylist(), xxhash.xxh3_64_intdigest
+        covered, digest = batch.column(4).to_pylist(), xxhash.xxh3_64_intdigest
         name = np.array([digest(covered[w][o : o + LENGTH]) for w, o in zip(which.tolist(), offset.tolist(), strict=True)], np.uint64).view(np.int64)
-        bucket, key, start, before = bucket[which], key[which], start[which] + offset, at[which] - offset
-        known = ~_first_of((start, key), (name, before, bucket))
-        return pa.RecordBatch.from_arrays([pa.array(bucket, mask=known), pa.array(before.astype(np.int8), mask=known), pa.array(name, mask=known), pa.array(key), pa.array(start)], ["bucket", "before", "name", "key", "start"])
+        key, start = key[which], start[which] + offset
+        deal = (bucket[which].view(np.uint64) * np.uint64(BASE) + (at[which] - offset).view(np.uint64)).view(np.int64)  # bucket and offset
+        known = ~_first_of((start, key), (name, deal))
+        return pa.RecordBatch.from_arrays([pa.array(np.where(known, _scattered(key, start), deal)), pa.array(name, mask=known), pa.array(key), pa.array(start)], ["deal", "name", "key", "start"])
 
-    live = shipped(sides.join(shared, "deeper")).select("bucket", "key", "start", "more", "at", "side", "covered")
-    found = live.mapInArrow(run, "bucket long, before byte, name long, key long, start long")
-    found = found.withColumn("deal", F.coalesce(F.xxhash64("bucket", "before", "name"), F.lit(0))).withColumn("deal", F.when(F.col("bucket").isNull(), F.xxhash64("key", "start")).otherwise(F.col("deal")))
-    same = Window.partitionBy("deal", "bucket", "before", "name").orderBy("key", "start")
-    return found.withColumn("k", F.lag("start").over(same)).where("bucket IS NULL OR k IS NOT NULL").select("key", "start")
+    live = shipped(sides.join(shared, "deeper")).select("bucket", "key", "spot", "side", "covered")
+    found = live.mapInArrow(run, "deal long, name long, key long, start long")
+    same = Window.partitionBy("deal", "name").orderBy("key", "start")
+    return found.withColumn("k", F.lag("start").over(same)).where("name IS NULL OR k IS NOT NULL").select("key", "start")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -214,10 +253,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(rows: DataFrame, span: int = SPAN) -> DataFrame:
-    """key, start, more: windows from start to start + more all start earlier; from rows with key and text."""
+    """key, start, more: windows from start to start + more all start earlier; from rows with doc_id, key and text."""
     found = materialize(sorted_in_buckets(rows_of(rows, span)), "buckets")
-    border = materialize(with_text(found.where("bucket IS NOT NULL"), rows.select("key", "text")), "borders")
-    return found.where("bucket IS NULL").select("key", "start", F.col("more").cast("int").alias("more")).union(refined(border).select("key", "start", F.lit(0).alias("more")))
+    border = materialize(with_text(found.where("bucket IS NOT NULL"), zipped(rows)), "borders")
+    again = found.where("bucket IS NULL").select("key", F.shiftright("spot", 16).alias("start"), F.shiftright("spot", 8).bitwiseAND(255).cast("int").alias("more"))
+    return again.union(refined(border).select("key", "start", F.lit(0).alias("more")))
 
 
 def _removed(text: bytes, start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,16 +278,18 @@ def deduplicated(docs: DataFrame, span: int = SPAN, digest: bool = False) -> Dat
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                yield pa.RecordBatch.from_pylist([told(*x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)], schema=schema)
+                first, starts, mores = part.column(3).offsets.to_numpy(), part.column(3).values.to_numpy(), part.column(4).values.to_numpy()
+                told_of = zip(*(c.to_pylist() for c in part.columns[:3]), first[:-1].tolist(), first[1:].tolist(), strict=True)
+                yield pa.RecordBatch.from_pylist([told(doc_id, unzipped(size, packed), starts[a:b], mores[a:b]) for doc_id, size, packed, a, b in told_of], schema=schema)
 
-    def told(doc_id: int | None, text: bytes, windows: list | None) -> dict:
-        at = np.array([(w["start"], w["more"]) for w in windows or ()], np.int64).reshape(-1, 2)
-        begin, end = _removed(text, at[:, 0], at[:, 1])
+    def told(doc_id: int | None, text: bytes, start: np.ndarray, more: np.ndarray) -> dict:
+        begin, end = _removed(text, start, more)
         kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True)) if len(begin) else text
         return {"doc_id": doc_id, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(begin), last: hashlib.sha256(kept).hexdigest() if digest else kept}
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), (last, pa.string() if digest else pa.binary())])
     rows = keyed(docs)
     by_text = spans(rows, span).groupBy("key").agg(F.collect_list(F.struct("start", "more")).alias("windows"))  # of one text
-    both = shipped(rows).join(by_text, "key", "left").select("doc_id", "text", "windows")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    both = zipped(rows).join(by_text, "key", "left").select("doc_id", "size", "packed", F.coalesce("windows.start", none("long")).alias("starts"), F.coalesce("windows.more", none("int")).alias("mores"))
     return both.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
