@@ -284,6 +284,19 @@ def test_exceptions_are_learned(spark):
     assert sum(got[i] == t for i, _, t in texts) >= 590
 
 
+def test_windows_meet_only_their_items(spark):
+    """Rows after the join on blocks grow with windows, not with windows times items; items that share an id or have none are items of their own."""
+    words = [f"w{k}" for k in range(400)]
+    bench = spark.createDataFrame([((k % 37) or None, " ".join(words[k : k + 20])) for k in range(0, 380, 5)], "item_id long, text string")
+    docs_ = spark.createDataFrame([(k, " ".join(words[5 * k : 5 * k + 60])) for k in range(60)], "doc_id long, text string")
+    found = decontam.matches(docs_, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, (k % 37) or None) for d in range(60) for k in range(0, 380, 5) if 5 * d <= k and k + 20 <= min(5 * d + 60, 400)} | {(r["doc_id"], r["item_id"]) for r in found if r["similarity"] < 1}
+    items = decontam.items_of(bench)
+    print_of = items.select("item", "item_print")
+    pairs = print_of.select(F.explode(decontam.keys(F.col("item_print"))).alias("key"), "item").join(print_of.select("item", F.explode(decontam.keys(F.col("item_print"), decontam.FLIPS)).alias("key")), ["item", "key"])
+    assert pairs.count() <= 8 * items.count()
+
+
 def test_repeated_ids_in_decontamination(spark):
     items = [" ".join(f"{c}{i}" for i in range(20)) for c in "pq"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

@@ -4,8 +4,9 @@ Texts become lower-case words of letters and digits, and these shingles of five
 A benchmark item of n words is compared with windows of n words. A window that shares no shingle with the item has similarity
 zero, and as a window slides, its similarity can only stop growing where a run of equal shingles is wholly inside, or begin to
 fall where the window begins with a run; so the windows that are fingerprinted are those that begin with a run, end with one,
-or line up with the item at one. Their 64-bit SimHashes meet the items' in eight blocks of eight bits: a pair within radius 23 has a block that
-differs in two bits at most, so equal keys after all such flips of the item's blocks find every pair within the radius. What meets is
+or line up with the item at one, each for the item that it shares shingles with. Their 64-bit SimHashes meet the items' in eight blocks of eight bits: a pair within radius 23 has a block that
+differs in two bits at most, so equal keys after all such flips of the item's blocks find every pair within the radius. Blocks as wide as that radius asks for tell
+few pairs apart, so windows meet only the items that they were cut for, in eight rows a window at most. What meets is
 verified by the exact weighted Jaccard similarity of the shingles, weights being their counts.
 
 Only shingles that occur in an item leave a row's own task. The items' tables go by Spark's own size check: broadcast if small, else joined by a shuffle.
@@ -61,7 +62,7 @@ def keys(fingerprint: Column, flips: int = 0) -> Column:
 def items_of(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select("item_id", tokens(F.col("text")).alias("w"))
     rows = rows.select("item_id", F.size("w").alias("n"), shingles(F.col("w")).alias("item_hashes")).where("n > 0")
-    return materialize(rows.select("*", simhash(F.col("item_hashes")).alias("item_print")), "items")
+    return materialize(rows.select(F.monotonically_increasing_id().alias("item"), "*", simhash(F.col("item_hashes")).alias("item_print")), "items")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -71,22 +72,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items_of(benchmark)
-    spots = items.select("item_id", "n", "item_hashes", F.posexplode("item_hashes").alias("q", "h")).select(
-        "item_id", "n", "q", "h", F.size("item_hashes").alias("m"), F.get("item_hashes", F.col("q") - 1).alias("h_before"), F.get("item_hashes", F.col("q") + 1).alias("h_after"))
+    spots = items.select("item", "n", "item_hashes", F.posexplode("item_hashes").alias("q", "h")).select(
+        "item", "n", "q", "h", F.size("item_hashes").alias("m"), F.get("item_hashes", F.col("q") - 1).alias("h_before"), F.get("item_hashes", F.col("q") + 1).alias("h_after"))
     hashed = docs.select("row", tokens(F.col("text")).alias("w")).select("row", F.size("w").alias("doc_words"), shingles(F.col("w")).alias("hashes"))
     each = hashed.select("row", "doc_words", "hashes", F.posexplode_outer("hashes").alias("p", "h"))  # outer: no filter on the size of hashes, which would be pushed below and compute them twice
     begins = ~F.coalesce(F.get("hashes", F.col("p") - 1) == F.col("h_before"), F.lit(False))
     ends = ~F.coalesce(F.get("hashes", F.col("p") + 1) == F.col("h_after"), F.lit(False))
     fitted = lambda at: F.greatest(F.lit(0), F.least(at, F.col("doc_words") - F.col("n")))
     starts = F.array_distinct(F.array_compact(F.array(fitted(F.col("p") - F.col("q")), F.when(begins, fitted(F.col("p"))), F.when(ends, fitted(F.col("p") - F.col("m") + 1)))))
-    placed = each.join(spots, "h").where(begins | ends).select("row", F.col("n").alias("size"), "m", "hashes", F.explode(starts).alias("window_start"))
-    windows = placed.select("row", "size", "window_start", F.slice("hashes", F.col("window_start") + 1, F.col("m")).alias("window_hashes")).distinct()
+    placed = each.join(spots, "h").where(begins | ends).select("row", "item", F.col("n").alias("size"), "m", "hashes", F.explode(starts).alias("window_start"))
+    windows = placed.select("row", "item", "size", "window_start", F.slice("hashes", F.col("window_start") + 1, F.col("m")).alias("window_hashes")).distinct()
     printed = materialize(windows, "windows").select("*", simhash(F.col("window_hashes")).alias("window_print"))
     left = materialize(printed, "windows").select("*", F.explode_outer(keys(F.col("window_print"))).alias("key"))
-    right = items.select("item_id", F.col("n").alias("size"), "item_hashes", "item_print", F.explode_outer(keys(F.col("item_print"), FLIPS)).alias("key"))
+    right = items.select("item", "item_id", "item_hashes", "item_print", F.explode_outer(keys(F.col("item_print"), FLIPS)).alias("key"))
     hamming = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print")))
-    met = left.join(right, ["size", "key"]).where(hamming <= RADIUS)
-    pairs = met.groupBy("row", "item_id", "window_start").agg(F.any_value("size").alias("window_words"), F.any_value(hamming).alias("hamming"), F.any_value("window_hashes").alias("a"), F.any_value("item_hashes").alias("b"))
+    met = left.join(right, ["item", "key"]).where(hamming <= RADIUS)
+    pairs = met.groupBy("row", "item", "item_id", "window_start").agg(F.any_value("size").alias("window_words"), F.any_value(hamming).alias("hamming"), F.any_value("window_hashes").alias("a"), F.any_value("item_hashes").alias("b"))
     good = pairs.select("row", "item_id", "window_start", "window_words", "hamming", similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
     best = Window.partitionBy("row", "item_id").orderBy(F.desc("similarity"), "window_start")
     return good.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
