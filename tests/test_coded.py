@@ -28,7 +28,7 @@ def test_recall_of_codes(spark, truth, text, options, least):
     assert recall(factory.build(text, rows).search(catalog.asked(rows), 10, **options), truth) >= least
 
 
-@pytest.mark.parametrize("text", ["ZnLattice2x3_4", "IVF8,LSH", "ITQ16,Flat", "HNSW8,LSH", "BIVF8"])
+@pytest.mark.parametrize("text", ["ZnLattice2x3_4", "IVF8,LSH", "ITQ16,Flat", "HNSW8,LSH"])
 def test_what_has_no_builder_raises(spark, text):
     with pytest.raises(NotImplementedError):
         factory.build(text, catalog.base(spark, SF)).search(catalog.asked(catalog.base(spark, SF)), 3)

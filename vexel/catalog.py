@@ -331,6 +331,21 @@ def growing_kmeans(spark, sf_dir):
     return cluster.growing_dimensions(rows, NLIST).assign(rows).groupBy("list_no").agg(F.count("*").alias("n"))
 
 
+def _wide(rows: DataFrame) -> DataFrame:
+    """Codes of 128 bits: whether coordinates are at least 0, and at least 0.1."""
+    eight = lambda a, least: F.expr(f"aggregate(sequence(0, 7), 0, (s, i) -> s + IF(vec[{a} + i] >= {least}, shiftleft(1, i), 0))")
+    byte = lambda a, least: F.unhex(F.lpad(F.hex(eight(a, least)), 2, "0"))
+    return rows.select("id", F.concat(*[byte(a, least) for least in (0.0, 0.1) for a in range(0, 64, 8)]).alias("code"))
+
+
+def _binary(text: str, **options):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        codes = materialize(_wide(base(spark, sf_dir)), "codes")
+        return factory.build(text, codes).search(codes.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), K, **options)
+
+    return query
+
+
 def foreign(rows: DataFrame) -> DataFrame:
     """Queries from another distribution than the rows: every hundredth vector backwards, longer and shifted."""
     return asked(rows).withColumn("vec", F.transform(F.reverse("vec"), lambda v: 1.5 * v + 0.05))
@@ -392,6 +407,7 @@ def two_level(spark, sf_dir):
 PLAIN = {
     "knn_l2": _knn("l2"), "knn_ip": _knn("ip"), "knn_l1": _knn("l1"), "knn_linf": _knn("linf"), "knn_cosine": _knn("cosine"), "knn_lp": _knn("lp"), "knn_canberra": _knn("canberra"),
     "knn_braycurtis": _knn("braycurtis", True), "knn_jensenshannon": _knn("jensenshannon", True), "knn_jaccard": _knn("jaccard", True),
+    "binary_flat_128": _binary("BFlat"), "binary_hash_128": _binary("BHash4x8", nflip=1), "binary_lists_128": _binary("BIVF16", nprobe=13), "binary_lists_graph_128": _binary("BIVF16_HNSW4", nprobe=13), "binary_graph_128": _binary("BHNSW12"),
     "index_graph": _built("HNSW12,Flat"), "index_graph_sq8": _built("HNSW12,SQ8"), "index_graph_two_layers": _built("HNSW12,2x4+PQ32,RFlat"), "index_nsg": _built("NSG12,Flat"), "index_pq": _built("PQ32x8np,RFlat"), "index_pq_polysemous": _built("PQ32x3,RFlat", ht=47, k_factor=20), "index_rq_refine": _built("RQ8x6,RFlat", k_factor=10), "index_rq_norms": _built("RQ8x6_Nqint8,RFlat", k_factor=10), "index_lsq": _built("LSQ8x6_Ncqint8,RFlat", k_factor=10), "index_prq": _built("PRQ4x4x4,RFlat", k_factor=20),
     "index_opq": _built("OPQ16,PQ16x8np,RFlat", k_factor=15), "index_pca_ivf": _built("PCA48,IVF32,Flat,RFlat", nprobe=24, k_factor=10), "index_itq": _built("ITQ,Flat"), "index_imi": _built("IMI2x4,Flat", nprobe=160), "index_residual_coarse": _built("IVF16(RCQ2x2),Flat", nprobe=10), "index_ivf_hnsw": _built("IVF32_HNSW8,SQ8", nprobe=24),
     "index_ivf_sq8": _built("IVF32,SQ8", nprobe=24), "index_ivf_pq": _built("IVF32,PQ64x8np", nprobe=26), "index_ivf_pq_refined": _built("IVF32,PQ16x8np,RFlat", nprobe=24, k_factor=8), "index_ivf_pqr": _built("IVF32,PQ32+32", nprobe=24, k_factor=8), "index_ivf_rq": _built("IVF32,RQ8x6_Nqint8,RFlat", nprobe=24, k_factor=20), "index_sq8": _built("SQ8"), "index_minmax": _built("MinMax,SQ8"), "index_pad": _built("Pad80,Flat"), "index_refine_codes": _built("PQ16x4,Refine(SQ8)", k_factor=20),
@@ -455,6 +471,10 @@ def oracle_sql() -> dict[str, str]:
     sql["binary_range"] = f"{b} SELECT * FROM ({bits}) WHERE distance < 24"
     near = "list_sum(list_transform(list_zip(x.s[{0}:{1}], y.s[{0}:{1}]), lambda t: abs(t[1] - t[2]))) <= 1"
     sql["binary_hash"] = f"{b} {_top(bits + ' AND (' + near.format(1, 8) + ' OR ' + near.format(9, 16) + ')')}".replace("round(distance, 6)", "distance")
+    wide = "(SELECT id, list_concat(list_transform(v, lambda e: CASE WHEN e >= 0 THEN 1 ELSE 0 END), list_transform(v, lambda e: CASE WHEN e >= 0.1 THEN 1 ELSE 0 END)) AS s FROM b)"
+    sql["binary_flat_128"] = f"{b} {_top(bits.replace(BITS, wide))}".replace("round(distance, 6)", "distance")
+    keyed = " OR ".join(near.format(8 * t + 1, 8 * t + 8) for t in range(4))
+    sql["binary_hash_128"] = f"{b} {_top(f'{bits.replace(BITS, wide)} AND ({keyed})')}".replace("round(distance, 6)", "distance")
     sql["binary_counts"] = f"{b} SELECT query_id, count(*) AS n FROM ({bits}) WHERE distance < 28 GROUP BY query_id"
     words = f"{bl}, s AS {BITS}, cs AS (SELECT list_no, list_transform(w, lambda e: CASE WHEN e >= 0 THEN 1 ELSE 0 END) AS s FROM c), near AS (SELECT id, list_no, row_number() OVER (PARTITION BY id ORDER BY {HAMMING}, list_no) AS k FROM s x, cs y)"
     sql["binary_ivf"] = f"{words} {_top(bits + ' AND EXISTS (SELECT 1 FROM near m JOIN near o USING (list_no) WHERE m.id = x.id AND m.k = 1 AND o.id = y.id AND o.k <= 3)')}".replace("round(distance, 6)", "distance")

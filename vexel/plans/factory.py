@@ -164,11 +164,18 @@ def code_size(node: Node, d: int) -> int:
 
 
 def build(text: str, base, metric: str = "l2"):
-    """An index over base (id, vec): an object with search(queries, k, ...). Rows have ids of their own, which IDMap keeps; what has no builder raises NotImplementedError."""
+    """An index over base (id, vec; id, code for binary strings): an object with search(queries, k, ...). Rows have ids of their own, which IDMap keeps; what has no builder raises NotImplementedError."""
     from vexel.operators import binary, coarse, coded, flat, graph, ivf, quantizers, transforms
     from vexel.operators.cluster import Kmeans
 
     node = parse(text)
+    if node.kind == "binary":
+        from vexel.operators import bits
+
+        n, m = (*node.args, None, None)[:2]
+        if node.name == "BHash":
+            return bits.HashTables.build(base, m or n, n if m else 1)
+        return {"BFlat": lambda: bits.BinaryIndex.flat(base), "BIVF": lambda: bits.BinaryIndex.lists(base, n, graph=m or 0), "BHNSW": lambda: bits.BinaryIndex.graph(base, n)}[node.name]()
 
     class Searcher:
         def __init__(self, f):
