@@ -139,5 +139,35 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (
 """
 
 
+REPEAT_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+k AS (SELECT doc_id, t, CAST(octet_length(t) AS BIGINT) AS n FROM d),
+b AS (SELECT doc_id, 2000 * j AS base, t[2000 * j + 1 : 2000 * j + 2099] AS piece FROM (SELECT doc_id, t, unnest(range(0, n // 2000 + 1)) AS j FROM k)),
+w AS (SELECT doc_id, base + i AS start, piece[i + 1 : i + 100] AS s FROM (SELECT doc_id, base, piece, unnest(range(0, least(2000, octet_length(piece) - 99))) AS i FROM b)),
+r AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY s ORDER BY doc_id, start) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, start, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+s AS (SELECT doc_id, min(start) AS a, max(start) + 100 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM g) GROUP BY doc_id, run),
+o AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS removed FROM s GROUP BY doc_id),
+f AS (SELECT k.doc_id, hex(t) AS h, n, coalesce(a, []) AS a, coalesce(z, []) AS z, coalesce(removed, 0) AS removed FROM k LEFT JOIN o ON o.doc_id = k.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(len(a) AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, len(a) + 1), lambda i: h[2 * (CASE WHEN i = 0 THEN 0 ELSE z[i] END) + 1 : 2 * (CASE WHEN i = len(a) THEN n ELSE a[i + 1] END)]), ''))) AS kept_sha256 FROM f
+"""
+
+SPELLING_SQL = """
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS hex FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+b AS (SELECT doc_id, run, n, list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, len(hex) // 2), lambda i: [CAST('0x' || substr(hex, 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM u),
+h AS (SELECT run, n, xor(list_reduce(steps, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h FROM b),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+p AS (SELECT x.word, y.word AS near, y.n AS m FROM d x JOIN d y USING (i, rest) WHERE x.word <> y.word UNION SELECT w.word, d.word, d.n FROM w JOIN d ON d.rest = w.word UNION SELECT d.word, w.word, w.n FROM w JOIN d ON d.rest = w.word),
+t AS (SELECT word, count(*) AS n_near, max(m) AS m, first(near ORDER BY m DESC, near) AS near FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN near END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN t USING (word)),
+g AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON g.word = f.word AND g.next IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": WARC_SQL, "op5_chat_examples": CHAT_SQL, "op7_token_rollups": ROLLUP_SQL, "op11_collocations": PHRASE_SQL}
+    return {"op2_warc_archive": WARC_SQL, "op5_chat_examples": CHAT_SQL, "op7_token_rollups": ROLLUP_SQL, "op11_collocations": PHRASE_SQL, "op12_repeated_bytes": REPEAT_SQL, "op13_spelling_variants": SPELLING_SQL}
