@@ -14,8 +14,9 @@ Rules: texts are lower-cased in A-Z, split into pieces at ``[.,;:!?\\x0A-\\x0D]`
 products are exact decimals.
 
 Defined results: null and empty texts have no words; a null lang counts as ``und``; repeated rows count as often as they stand there;
-ties are broken by phrase in UTF-8 byte order, so ranks are the same in any partitioning; an empty table gives an empty result; a text longer than ``CHUNK`` is a
-chunk of its own.
+ties are broken by phrase in UTF-8 byte order, so ranks are the same in any partitioning; an empty table gives an empty result; a text
+longer than ``CHUNK`` is a chunk of its own; more than 2^20 partitions of documents, or 2^11 chunks in one (8 GB of text), raise
+ValueError, as a place is a chunk's number and a code in one long.
 """
 
 from __future__ import annotations
@@ -24,22 +25,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.llm.text import shipped
-from vexel.plans.storage import materialize
+from vexel.plans.storage import materialize, new_path, release, remove
 
 LEAST, LONGEST, SCALE, INSIDE, TOP, CHUNK = 30, 4, 2_000_000, (100, 80), 2000, 1 << 22
+#: Turns in which a level's pairs are shuffled, so that no more than a share of them is on disk at once.
+TURNS = 3
 #: Bytes that end a piece become a line feed, tabs a space, A-Z their lower case.
 RULES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A byte that UTF-8 doesn't have, to stand as a word between pieces.
 END = b"\xff"
-CHUNKS = "chunk long, codes binary, keys array<struct<code: int, {key}, n: long>>"
+CHUNKS = "chunk long, size long, codes binary, keys array<struct<place: long, {key}, n: long>>"
 WORDS, PAIRS = CHUNKS.format(key="lang: string, word: binary"), CHUNKS.format(key="left: long, right: long")
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    return pa.compress(codes.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, places: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * places, "zstd", asbytes=True), "<i4")
+
+
 def _cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text (the second column), a text at least."""
     sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)), np.int64, batch.num_rows)
@@ -52,34 +64,43 @@ def _cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
     """Chunks of words (``WORDS``); places with the code -1 stand between pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() << 11
+        last = chunk + (1 << 11)
+        if last > 1 << 31:
+            raise ValueError("more than 2^20 partitions of documents")
         for batch in batches:
             for part in _cut(batch, most):
+                if chunk == last:
+                    raise ValueError(f"more than {1 << 11} chunks in a partition of documents")
                 texts: dict[str, list[bytes]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     texts.setdefault(lang, []).append((text or b"").translate(RULES).replace(END, b"\n"))
-                codes, keys, done = [], [], 0
+                codes, keys, done = [], [], chunk << 32
                 for lang, found in texts.items():
                     coded = pa.array(b"\n".join(found).replace(b"\n", b" " + END + b" ").split() + [END], pa.binary()).dictionary_encode()
-                    code, words = coded.indices.to_numpy(), coded.dictionary
-                    end = words.index(END).as_py()
-                    codes.append(np.where(code == end, -1, code + done))
-                    listed = [pa.array(np.arange(done, done + len(words), dtype=np.int32)), pa.array([lang] * len(words), pa.string()), words, pa.array(np.bincount(code))]
-                    keys.append(pa.StructArray.from_arrays(listed, ["code", "lang", "word", "n"]).filter(pa.array(np.arange(len(words)) != end)))
-                    done += len(words)
-                keys = pa.concat_arrays(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.concatenate(codes).astype("<i4").tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], ["chunk", "codes", "keys"])
+                    order = pa.compute.sort_indices(coded.dictionary).to_numpy()  # neighbours begin alike; END comes last
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    code, n = rank[coded.indices.to_numpy()], len(order) - 1
+                    codes.append(np.where(code == n, -1, code + (done & 0xFFFFFFFF)))
+                    listed = [pa.array(np.arange(done, done + n)), pa.array([lang] * n, pa.string()), coded.dictionary.take(pa.array(order[:-1])), pa.array(np.bincount(code)[:-1].astype(np.int64))]
+                    keys.append(pa.StructArray.from_arrays(listed, ["place", "lang", "word", "n"]))
+                    done += n
+                codes, keys = np.concatenate(codes), pa.concat_arrays(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(codes)], pa.int64()), pa.array([_packed(codes)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], ["chunk", "size", "codes", "keys"])
                 chunk += 1
 
     return shipped(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, WORDS)
 
 
-def named(state: DataFrame, key: list[str], least: int) -> DataFrame:
-    """chunk, code, id, the key and f: the frequent keys of each chunk, an id and the count of the whole corpus with each."""
-    rows = state.select("chunk", F.explode("keys").alias("k")).select("chunk", "k.*")
+def named(state: DataFrame, key: list[str], least: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """place, id, the key and f: the frequent keys of each chunk, with an id (the first place that has the key) and the count of the whole corpus. With turns, of one share of the keys."""
+    rows = state.select(F.explode("keys").alias("k")).select("k.*")
+    if turns > 1:
+        rows = rows.where(F.pmod(F.xxhash64(*key, F.lit(turns)), F.lit(turns)) == turn)  # another hash than the one that deals rows out
     same = Window.partitionBy(*key)
-    found = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("f", F.sum("n").over(same)).where(F.col("f") >= least)
-    return materialize(found.select("chunk", "code", F.min("row").over(same).alias("id"), *key, "f"), "named")
+    found = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("place").over(same)}).where(F.col("f") >= least)
+    return found.select("place", "id", *key, "f")
 
 
 def paired(state: DataFrame, names: DataFrame) -> DataFrame:
@@ -87,22 +108,25 @@ def paired(state: DataFrame, names: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
-        codes = np.frombuffer(left["codes"][0].as_py(), "<i4")
-        ids = right["id"].to_numpy()
-        place = np.full(int(codes.max(initial=-1)) + 2, -1)  # the last for code -1
-        place[right["code"].to_numpy()] = np.arange(len(ids))
-        at = place[codes]
+        chunk, size = left["chunk"][0].as_py(), left["size"][0].as_py()
+        codes = _unpacked(left["codes"][0].as_py(), size)
+        ids, own = right["id"].to_numpy(), right["place"].to_numpy() & 0xFFFFFFFF
+        order = np.argsort(ids)
+        ids, own = ids[order], own[order]
+        at = np.full(int(codes.max(initial=-1)) + 2, -1)  # the last for code -1
+        at[own] = np.arange(len(ids))
+        at = at[codes]
         first = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
         distinct, code, n = np.unique(at[first] * len(ids) + at[first + 1], return_inverse=True, return_counts=True)
-        out = np.full(max(len(at) - 1, 0), -1, "<i4")
+        out = np.full(max(len(at) - 1, 0), -1)
         out[first] = code
-        pairs = pa.StructArray.from_arrays([pa.array(np.arange(len(distinct), dtype=np.int32)), pa.array(ids[distinct // max(len(ids), 1)]), pa.array(ids[distinct % max(len(ids), 1)]), pa.array(n.astype(np.int64))], ["code", "left", "right", "n"])
+        pairs = pa.StructArray.from_arrays([pa.array((chunk << 32) + np.arange(len(distinct))), pa.array(ids[distinct // max(len(ids), 1)]), pa.array(ids[distinct % max(len(ids), 1)]), pa.array(n.astype(np.int64))], ["place", "left", "right", "n"])
         keys = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pairs)
-        return pa.Table.from_arrays([left["chunk"], pa.array([out.tobytes()], pa.binary()), keys], schema=schema)
+        return pa.Table.from_arrays([left["chunk"], pa.array([len(out)], pa.int64()), pa.array([_packed(out)], pa.binary()), keys], schema=schema)
 
-    schema = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("keys", pa.list_(pa.struct([("code", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])))])
-    coded = state.select("chunk", "codes").groupBy("chunk").cogroup(names.select("chunk", "code", "id").groupBy("chunk"))
-    return materialize(coded.applyInArrow(run, PAIRS), "chunks")
+    schema = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("keys", pa.list_(pa.struct([("place", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])))])
+    coded = state.select("chunk", "size", "codes").groupBy("chunk").cogroup(names.select(F.shiftright("place", 32).alias("chunk"), "place", "id").groupBy("chunk"))
+    return coded.applyInArrow(run, PAIRS)
 
 
 def exact(c: Column) -> Column:
@@ -113,20 +137,37 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
     """All frequent phrases of 2 to so many words, with parent pointers, and each lang's count of words.
 
     id, lang, phrase, f, left, right (ids, null for words), starts and ends: the counts of the phrase's first and last 1, 2, ... words."""
-    state = materialize(chunks(docs, chunk), "chunks")
-    totals = state.select(F.explode("keys").alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n"))
-    names = named(state, ["lang", "word"], least)
+    spark, made = docs.sparkSession, []
+
+    def written(df: DataFrame) -> DataFrame:
+        made.append(new_path(spark, "phrases"))
+        df.write.option("compression", "zstd").parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    state = written(chunks(docs, chunk))
+    totals = materialize(state.select(F.explode("keys").alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n")), "totals")
+    names = written(named(state, ["lang", "word"], least))
+    release(spark)
     f = F.col("f")
     level = names.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").cast("string").alias("phrase"), F.first("f").alias("f")).select("id", "lang", "phrase", "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array(f).alias("starts"), F.array(f).alias("ends"))
-    every = None
+    level, every = materialize(level, "phrases"), None
     for _ in range(longest - 1):
-        state = paired(state, names)
-        names = named(state, ["left", "right"], least)
+        state = written(paired(state, names))
+        while len(made) > 1:  # the level before isn't needed any more
+            remove(spark, made.pop(0))
+        names = None
+        for turn in range(TURNS):
+            release(spark)
+            part = written(named(state, ["left", "right"], least, turn, TURNS))
+            names = part if names is None else names.union(part)
+        release(spark)
         pairs = names.groupBy("id").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("f").alias("f"))
         a = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("front"), F.col("starts").alias("before"))
         b = level.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"), F.col("ends").alias("after"))
         level = materialize(pairs.join(a, "left").join(b, "right").select("id", "lang", F.concat_ws(" ", "front", "last").alias("phrase"), "f", "left", "right", F.concat("before", F.array(f)).alias("starts"), F.concat("after", F.array(f)).alias("ends")), "phrases")
         every = level.withColumn("level", F.lit(0)) if every is None else every.union(level.withColumn("level", F.size("starts") - 2))
+    for path in made:
+        remove(spark, path)
     return every, totals
 
 
