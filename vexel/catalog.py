@@ -238,7 +238,7 @@ def operating_points(spark, sf_dir):
 
 def max_results(spark, sf_dir):
     rows = base(spark, sf_dir)
-    return _round(evaluate.radius_for(flat.range_search(rows, asked(rows), 4.0), 50))
+    return _round(evaluate.radius_for(flat.nearest_pairs(rows, asked(rows), 51, 4.0), 50))
 
 
 def binary_ivf(spark, sf_dir):

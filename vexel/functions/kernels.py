@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 from vexel.functions.distance import SIMILARITIES
 
-__all__ = ["SIMILARITIES", "matrix", "pairwise", "top"]
+__all__ = ["CELLS", "SIMILARITIES", "Nearest", "direct", "matrix", "pairwise", "tiles"]
+
+#: Distances that a task holds at once.
+CELLS = 1 << 21
 
 
 def matrix(column) -> np.ndarray:
@@ -16,6 +22,8 @@ def matrix(column) -> np.ndarray:
 
 
 def pairwise(metric: str, q: np.ndarray, x: np.ndarray, p: float = 3.0) -> np.ndarray:
+    if metric == "hamming":  # words, not vectors
+        return np.bitwise_count((q[:, None] ^ x[None]).view(np.uint64)).astype(np.float64)
     if metric in ("ip", "cosine"):
         if metric == "cosine":
             unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
@@ -47,13 +55,72 @@ def pairwise(metric: str, q: np.ndarray, x: np.ndarray, p: float = 3.0) -> np.nd
     return out
 
 
-def top(d: np.ndarray, ids: np.ndarray, k: int, descending: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and distances of the k best of each row, by (distance, id)."""
-    key = -d if descending else d
-    if key.shape[1] > 4 * k:
-        worst = np.partition(key, k - 1, axis=1)[:, k - 1]
-        rows = [np.flatnonzero(key[i] <= worst[i]) for i in range(len(key))]  # ties with the k-th stay
-    else:
-        rows = [np.arange(key.shape[1])] * len(key)
-    best = [r[np.lexsort((ids[r], key[i][r]))][:k] for i, r in enumerate(rows)]
-    return np.concatenate([np.full(len(b), i) for i, b in enumerate(best)]) if best else np.zeros(0, int), np.concatenate(best) if best else np.zeros(0, int)
+def direct(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray | None:
+    """Distances of paired rows without the cancellation of a matrix product: equal vectors have equal distances. None for metrics that pairwise computes so."""
+    if metric == "l2":
+        return ((q - x) ** 2).sum(1)
+    if metric == "ip":
+        return (q * x).sum(1)
+    if metric == "cosine":
+        both = np.sqrt((q**2).sum(1)) * np.sqrt((x**2).sum(1))
+        return np.divide((q * x).sum(1), both, out=np.zeros(len(q)), where=both > 0)
+    return None
+
+
+def tiles(n_queries: int, n_rows: int) -> Iterator[slice]:
+    """Queries in slices that have at most ``CELLS`` distances to so many rows."""
+    wide = max(1, CELLS // max(n_rows, 1))
+    for a in range(0, n_queries, wide):
+        yield slice(a, min(a + wide, n_queries))
+
+
+def within_reach(metric: str, block: np.ndarray, x: np.ndarray, mine: np.ndarray, p: float, limit_of) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries (their places in block), rows and keys of the pairs whose key (the distance, negative for similarities) is at most the limit that limit_of(keys, queries) gives each query; a tile of queries at a time."""
+    sign, slack = -1.0 if metric in SIMILARITIES else 1.0, 0.0
+    if metric in ("l2", "ip") and len(mine) and len(x):  # what a matrix product may be off by
+        slack = 1e-12 * float((block[mine] ** 2).sum(1).max() + (x**2).sum(1).max())
+    for s in tiles(len(mine), len(x)):
+        asked = mine[s]
+        key = sign * pairwise(metric, block[asked], x, p)
+        limit = limit_of(key, asked)
+        q, c = np.nonzero(~(key > (limit + slack + 1e-12 * (1 + np.abs(limit)))[:, None]))  # NaN goes on, and is sorted last
+        for a in range(0, len(q), CELLS // 64):
+            place, j = q[a : a + CELLS // 64], c[a : a + CELLS // 64]
+            exact = direct(metric, block[asked[place]], x[j])
+            yield asked[place], j, key[place, j] if exact is None else sign * exact
+
+
+class Nearest:
+    """The k nearest rows of each query of a block so far, by (distance, id), in memory of k rows a query and ``CELLS`` distances."""
+
+    def __init__(self, names: np.ndarray, block: np.ndarray, k: int, metric: str, p: float = 3.0):
+        self.names, self.block, self.k, self.metric, self.p = names, block, k, metric, p
+        self.held, self.new, self.waiting = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], [], 0
+        self.bound = np.full(len(names), np.inf)
+
+    def _limit(self, key: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        bound = self.bound[asked]
+        return np.fmin(bound, np.partition(key, self.k - 1, axis=1)[:, self.k - 1]) if key.shape[1] > self.k else bound
+
+    def see(self, x: np.ndarray, ids: np.ndarray, mine: np.ndarray | None = None) -> None:
+        """Rows that the queries at these places, or all, meet."""
+        mine = np.arange(len(self.names)) if mine is None else mine
+        for q, c, key in within_reach(self.metric, self.block, x, mine, self.p, self._limit):
+            self.new.append((q, ids[c], key))
+            self.waiting += len(q)
+            if self.waiting > max(CELLS // 32, len(self.held[0])):
+                self._merge()
+
+    def _merge(self) -> None:
+        held = [np.concatenate([h, *n]) for h, n in zip(self.held, zip(*self.new, strict=True), strict=True)] if self.new else self.held
+        order = np.lexsort((held[1], held[2], held[0]))
+        held = [h[order] for h in held]
+        place = np.arange(len(order)) - np.searchsorted(held[0], held[0])
+        full = place == self.k - 1
+        self.bound[held[0][full]] = np.where(np.isnan(held[2][full]), np.inf, held[2][full])
+        self.held, self.new, self.waiting = [h[place < self.k] for h in held], [], 0
+
+    def found(self) -> pa.RecordBatch:
+        self._merge()
+        q, ids, key = self.held
+        return pa.RecordBatch.from_arrays([pa.array(self.names[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(-key if self.metric in SIMILARITIES else key, pa.float64())], ["query_id", "id", "distance"])

@@ -17,12 +17,9 @@ from pyspark.sql import functions as F
 
 from vexel.functions.distance import SIMILARITIES
 from vexel.functions.kernels import matrix, pairwise
-from vexel.operators.flat import FOUND, QUERY_BYTES, best, query_blocks
+from vexel.operators.flat import FOUND, NAMED, best, probed_blocks
 from vexel.plans.storage import materialize, ship
 
-#: Lists that a scan names to the file reader.
-NAMED = 1000
-
 
 def size_of(widths: list[int]) -> int:
     """Bytes of a code."""
@@ -109,31 +106,6 @@ def decode(codes: DataFrame, codec, coarse=None) -> DataFrame:
     return codes.select(_lists(codes), "id", "code").mapInArrow(run, "list_no int, id long, vec array<double>")
 
 
-def _blocks(queries: DataFrame, probes: DataFrame | None) -> Iterator[tuple[np.ndarray, np.ndarray, dict[int, np.ndarray] | None]]:
-    """Queries in blocks of ``QUERY_BYTES`` with their probes, and for each list the queries that probe it."""
-    if probes is None:
-        yield from ((names, block, None) for names, block in query_blocks(queries))
-        return
-    asked = queries.where("vec IS NOT NULL").join(probes.where("list_no >= 0").groupBy("query_id").agg(F.collect_list("list_no").alias("lists")), "query_id")  # nprobe lists each
-    held, size = [], 0
-
-    def block():
-        who: dict[int, list[int]] = {}
-        for i, r in enumerate(held):
-            for n in r["lists"]:
-                who.setdefault(n, []).append(i)
-        return np.array([r["query_id"] for r in held]), np.array([r["vec"] for r in held], np.float64), {n: np.array(w) for n, w in who.items()}
-
-    for r in asked.select("query_id", "vec", "lists").toLocalIterator():
-        held.append(r)
-        size += 8 * (len(r["vec"]) + len(r["lists"]))
-        if size >= QUERY_BYTES:
-            yield block()
-            held, size = [], 0
-    if held:
-        yield block()
-
-
 def search(codes: DataFrame, codec, queries: DataFrame, k: int, metric: str = "l2", probes: DataFrame | None = None, coarse=None, ht: int = 0, where: Column | None = None, radius: float | None = None, finer=None, k_factor: int = 4) -> DataFrame:
     """query_id, id, distance and rank of the k best codes of the probed lists, or of all codes; with radius, all strictly within it, without rank.
 
@@ -182,7 +154,7 @@ def search(codes: DataFrame, codec, queries: DataFrame, k: int, metric: str = "l
         return run
 
     def parts() -> Iterator[DataFrame]:
-        for names, block, who in _blocks(queries, probes):
+        for names, block, who in probed_blocks(queries, probes):
             asked = rows if who is None or len(who) > NAMED else rows.where(F.col("list_no").isin(sorted(who)))
             yield asked.mapInArrow(scan(names, block, who), FOUND + (", list_no int, code binary, finer binary" if finer else ""))
 

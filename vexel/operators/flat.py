@@ -1,7 +1,7 @@
 """Exhaustive search. Tables of vectors have columns id and vec, tables of queries query_id and vec.
 
 ``knn`` scans the base once. Queries go to the workers in blocks of a checked number of bytes; each Arrow batch of base vectors
-meets a block in one matrix product, each task keeps the k best of each query, and a window picks the k best overall by (distance,
+meets a block tile by tile in matrix products of at most ``CELLS`` distances, each task keeps the k best of each query, and a window picks the k best overall by (distance,
 id). A selector filters the base before any of that. ``knn_columns`` is the same in Column expressions, for plans that must stay in the JVM.
 """
 
@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.functions import distance as D
-from vexel.functions.kernels import matrix, pairwise, top
+from vexel.functions.kernels import Nearest, matrix, pairwise, tiles, within_reach
 from vexel.plans.storage import ship
 
 #: Bytes of query vectors that a task holds at once.
 QUERY_BYTES = 32 << 20
+#: Lists that a scan names to the file reader.
+NAMED = 1000
 FOUND = "query_id long, id long, distance double"
 
 
@@ -39,6 +41,62 @@ def query_blocks(queries: DataFrame, limit: int = QUERY_BYTES) -> Iterator[tuple
         yield np.array(ids), np.array(rows, np.float64)
 
 
+def probed_blocks(queries: DataFrame, probes: DataFrame | None, column: str = "vec", kind: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray, dict[int, np.ndarray] | None]]:
+    """Queries in blocks of ``QUERY_BYTES`` with their probes, and for each list the queries that probe it."""
+    if probes is None:
+        yield from ((names, block, None) for names, block in query_blocks(queries))
+        return
+    asked = queries.where(F.col(column).isNotNull()).join(probes.where("list_no >= 0").groupBy("query_id").agg(F.collect_list("list_no").alias("lists")), "query_id")  # nprobe lists each
+    held, size = [], 0
+
+    def block():
+        who: dict[int, list[int]] = {}
+        for i, r in enumerate(held):
+            for n in r["lists"]:
+                who.setdefault(n, []).append(i)
+        return np.array([r["query_id"] for r in held]), np.array([r[column] for r in held], kind), {n: np.array(w) for n, w in who.items()}
+
+    for r in asked.select("query_id", column, "lists").toLocalIterator():
+        held.append(r)
+        size += 8 * (np.size(r[column]) + len(r["lists"]))
+        if size >= QUERY_BYTES:
+            yield block()
+            held, size = [], 0
+    if held:
+        yield block()
+
+
+def nearest_in_lists(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int, metric: str = "l2", column: str = "vec", kind: type = np.float64) -> DataFrame:
+    """query_id, id, distance and rank of the k nearest rows (list_no, id and vec or another column) of the lists that each query probes.
+
+    The lists are scanned where they are: each task keeps k rows a query, and nothing else is shuffled."""
+    ship(lists.sparkSession)
+    rows = lists.where(F.col(column).isNotNull()).select("list_no", "id", column)
+
+    def scan(names: np.ndarray, block: np.ndarray, who: dict[int, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = Nearest(names, block, k, metric)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                no, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2)) if column == "vec" else b.column(2).to_numpy()
+                order = np.argsort(no, kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(no[order])) + 1):
+                    asked = who.get(int(no[mine[0]]))
+                    if asked is not None:
+                        near.see(x[mine], ids[mine], asked)
+            yield near.found()
+
+        return run
+
+    def parts() -> Iterator[DataFrame]:
+        for names, block, who in probed_blocks(queries, probes, column, kind):
+            asked = rows if len(who) > NAMED else rows.where(F.col("list_no").isin(sorted(who)))
+            yield asked.mapInArrow(scan(names, block, who), FOUND)
+
+    return best(reduce(DataFrame.unionByName, parts(), lists.sparkSession.createDataFrame([], FOUND)), k, metric in D.SIMILARITIES)
+
+
 def best(found: DataFrame, k: int, descending: bool = False, by: str = "query_id") -> DataFrame:
     """The k best of each query with their ranks from 1; equal distances by id."""
     order = Window.partitionBy(by).orderBy(F.desc("distance") if descending else F.asc("distance"), "id")
@@ -53,19 +111,11 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where:
 
     def scan(names: np.ndarray, block: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            near = Nearest(names, block, k, metric, p)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
-                d = pairwise(metric, block, x, p)
-                q, c = top(d, ids, k, descending)
-                held = [np.r_[held[0], q], np.r_[held[1], ids[c]], np.r_[held[2], d[q, c]]]
-                order = np.lexsort((held[1], -held[2] if descending else held[2], held[0]))
-                held = [h[order] for h in held]
-                start = np.searchsorted(held[0], held[0])
-                held = [h[np.arange(len(held[0])) - start < k] for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array(names[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "id", "distance"])
+                if batch.num_rows:
+                    near.see(matrix(batch.column(1)), batch.column(0).to_numpy())
+            yield near.found()
 
         return run
 
@@ -91,10 +141,11 @@ def range_search(base: DataFrame, queries: DataFrame, radius: float, metric: str
     def scan(names: np.ndarray, block: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    d = pairwise(metric, block, matrix(batch.column(1)))
+                x = matrix(batch.column(1))
+                for s in tiles(len(block), len(x)) if len(x) else ():
+                    d = pairwise(metric, block[s], x)
                     q, c = np.nonzero(d > radius if descending else d < radius)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), batch.column(0).take(pa.array(c)), pa.array(d[q, c])], ["query_id", "id", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[s][q]), batch.column(0).take(pa.array(c)), pa.array(d[q, c])], ["query_id", "id", "distance"])
 
         return run
 
@@ -102,6 +153,40 @@ def range_search(base: DataFrame, queries: DataFrame, radius: float, metric: str
     return reduce(DataFrame.unionByName, parts) if parts else base.sparkSession.createDataFrame([], FOUND)
 
 
+def nearest_pairs(base: DataFrame, queries: DataFrame, n: int, radius: float = np.inf, metric: str = "l2") -> DataFrame:
+    """query_id, id and distance of pairs strictly within the radius, n of the nearest of each task: those that range_search needs for what asks for the n nearest pairs of all."""
+    if metric in D.SIMILARITIES:
+        raise ValueError("pairs are taken by distance")
+    ship(base.sparkSession)
+    rows = base.where("vec IS NOT NULL").select("id", "vec")
+
+    def scan(names: np.ndarray, block: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, edge = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], radius
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column(0).to_numpy()
+
+                def limit(key: np.ndarray, asked: np.ndarray) -> np.ndarray:
+                    return np.full(len(asked), np.fmin(edge, np.partition(key, n - 1, axis=None)[n - 1]) if key.size > n else edge)
+
+                for q, c, d in within_reach(metric, block, matrix(batch.column(1)), np.arange(len(block)), 3.0, limit):
+                    inside = d < edge if len(held[0]) < n else d <= edge
+                    if not inside.any():
+                        continue
+                    held = [np.r_[held[0], names[q[inside]]], np.r_[held[1], ids[c[inside]]], np.r_[held[2], d[inside]]]
+                    order = np.lexsort((held[1], held[0], held[2]))[:n]
+                    held = [h[order] for h in held]
+                    edge = held[2][-1] if len(order) == n else radius
+            yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], ["query_id", "id", "distance"])
+
+        return run
+
+    parts = [rows.mapInArrow(scan(m, b), FOUND) for m, b in query_blocks(queries)]
+    return reduce(DataFrame.unionByName, parts) if parts else base.sparkSession.createDataFrame([], FOUND)
+
+
 def assign(base: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
     return knn(base, queries, 1, metric).select("query_id", "id")
 
