@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vexel.functions import distance as D
 from vexel.operators.cluster import Kmeans, assign
-from vexel.operators.flat import best, knn
+from vexel.operators.flat import best, knn, nearest_in_lists
 from vexel.plans.storage import materialize
 
 
@@ -60,7 +60,7 @@ class IvfIndex:
     def search_preassigned(self, queries: DataFrame, probes: DataFrame, k: int, where: Column | None = None, max_codes: int | None = None) -> DataFrame:
         """Lists named by the caller; -1 is skipped. With max_codes, a list is scanned if fewer codes came before it."""
         probes = within(probes, self.lists, max_codes)
-        return best(self._scan(queries, probes, where), k, self.metric in D.SIMILARITIES)
+        return nearest_in_lists(self.lists if where is None else self.lists.where(where), queries, probes, k, self.metric)
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, where: Column | None = None) -> DataFrame:
         d = F.col("distance")
