@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.functions.distance import hamming, hamming_words, sign_bits, subtract
-from vexel.operators.flat import best
+from vexel.operators.flat import best, nearest_in_lists
+from vexel.plans.storage import materialize
 
 
 def _pairs(base: DataFrame, queries: DataFrame) -> DataFrame:
@@ -74,8 +76,8 @@ class WordLists:
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
         asked = queries.select("query_id", F.col("word").alias("query_word"), F.explode(F.slice(F.sort_array(_ranked(F.col("word"), self.centres)), 1, nprobe)["i"]).alias("list_no"))
-        met = self.lists.join(asked, "list_no").select("query_id", "id", hamming(F.col("word"), F.col("query_word")).alias("distance"))
-        return best(met, k)
+        found = nearest_in_lists(self.lists, queries.select("query_id", "word"), asked.select("query_id", "list_no"), k, "hamming", "word", np.int64)
+        return found.withColumn("distance", F.col("distance").cast("int"))
 
 
 def _ranked(word: Column, centres: list[int]) -> Column:
@@ -83,9 +85,20 @@ def _ranked(word: Column, centres: list[int]) -> Column:
 
 
 def medians(base: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """One row: thresholds, each coordinate's median (to one part in accuracy of the ranks), as an array."""
-    long = base.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.percentile_approx("x", 0.5, accuracy).alias("t"))
-    return long.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]).alias("thresholds"))  # one row a coordinate
+    """One row: thresholds, each coordinate's lower median (the value of rank ceil(n / 2)), as an array.
+
+    Approximate ranks, to one part in accuracy, bound a few values about the middle; those are counted and ranked exactly."""
+    long = base.select(F.posexplode("vec").alias("pos", "x")).where("x IS NOT NULL")
+    share = 2 / accuracy
+    about = long.groupBy("pos").agg(F.percentile_approx("x", F.array(F.lit(0.5 - share), F.lit(0.5 + share)), accuracy).alias("e"))
+    edges = materialize(about.select("pos", F.get("e", F.lit(0)).alias("low"), F.get("e", F.lit(1)).alias("high")), "edges")  # a row a coordinate
+    met = long.join(F.broadcast(edges), "pos")
+    sizes = met.groupBy("pos").agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("low")).alias("below"))
+    values = met.where(F.col("x").between(F.col("low"), F.col("high"))).groupBy("pos", "x").agg(F.count("*").alias("same"))
+    upto = F.sum("same").over(Window.partitionBy("pos").orderBy("x"))
+    ranked = values.withColumn("upto", upto).join(F.broadcast(sizes), "pos").where(F.col("below") + F.col("upto") >= F.ceil(F.col("n") / 2))
+    exact = ranked.groupBy("pos").agg(F.min("x").alias("t"))
+    return exact.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]).alias("thresholds"))  # one row a coordinate
 
 
 def lsh_words(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
