@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from vexel.llm import phrases
@@ -66,3 +67,18 @@ def test_empty_table_and_clashing_columns(spark):
     rows = [("go on", "en", 1, "x", 2)] * 40
     got = phrases.collocations(spark.createDataFrame(rows, "text string, lang string, code int, phrase string, n int")).collect()
     assert [tuple(r) for r in got] == [("en", 1, "go on", 40, 40, 40, 80, 1000000)]
+
+
+def test_a_chunk_is_stored_in_rows_of_bounded_size(spark):
+    """All keys of a chunk were one row, and a reader holds thousands of rows."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{n}" for n in range(3000)), "en") for k in range(2)], ROWS)
+    state = phrases.chunks(docs.coalesce(1)).collect()
+    assert max(len(r["keys"]) for r in state) <= phrases.KEYS
+    assert sum(len(r["keys"]) for r in state) == 6000 and sum(r["codes"] is not None for r in state) == len({r["chunk"] for r in state})
+
+
+def test_packed_places_are_read_back():
+    place = np.cumsum(np.random.default_rng(1).integers(1, 1 << 20, 1000))
+    ids = np.random.default_rng(2).integers(0, 1 << 62, 1000)
+    own, back = phrases._unpack(phrases._pack(place, ids))
+    assert (own == place).all() and (back == ids).all()

@@ -34,12 +34,15 @@ from vexel.llm.text import shipped
 from vexel.plans.storage import materialize, new_path, release, remove
 
 LEAST, LONGEST, SCALE, INSIDE, TOP, CHUNK = 30, 4, 2_000_000, (100, 80), 2000, 1 << 22
-#: Turns in which a level's pairs are shuffled, so that no more than a share of them is on disk at once.
-TURNS = 3
+#: Turns in which the words and a level's pairs are shuffled, so that no more than a share of them is on disk at once.
+WORD_TURNS, TURNS = 2, 4
+#: Keys of a chunk in one row, as a reader takes thousands of rows at once; names that a task packs at once.
+KEYS, PACKED = 256, 1 << 20
 #: Bytes that end a piece become a line feed, tabs a space, A-Z their lower case.
 RULES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A byte that UTF-8 doesn't have, to stand as a word between pieces.
 END = b"\xff"
+#: Rows of a chunk: one with its codes, and others with its keys (codes null).
 CHUNKS = "chunk long, size long, codes binary, keys array<struct<place: long, {key}, n: long>>"
 WORDS, PAIRS = CHUNKS.format(key="lang: string, word: binary"), CHUNKS.format(key="left: long, right: long")
 
@@ -52,6 +55,26 @@ def _unpacked(packed: bytes, places: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed, 4 * places, "zstd", asbytes=True), "<i4")
 
 
+def _rows(chunk: int, codes: np.ndarray, keys: pa.StructArray) -> list[pa.Array]:
+    """The columns of a chunk's rows."""
+    ends = np.r_[0, np.arange(0, len(keys), KEYS), len(keys)] if len(keys) else np.zeros(2, int)
+    n = len(ends) - 1
+    return [pa.array(np.full(n, chunk)), pa.array(np.full(n, len(codes))), pa.array([_packed(codes)] + [None] * (n - 1), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)]
+
+
+def _pack(place: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted places of a chunk and their ids: how many, and the bytes of steps and ids, first bytes first."""
+    planes = lambda x, kind: x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(place).to_bytes(4, "little") + pa.compress(planes(np.diff(place, prepend=0), "<u4") + planes(ids, "<i8"), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:4], "little")
+    raw = np.frombuffer(pa.decompress(packed[4:], 12 * n, "zstd", asbytes=True), np.uint8)
+    whole = lambda x, kind: np.ascontiguousarray(x.reshape(-1, n).T).view(kind).ravel()
+    return np.cumsum(whole(raw[: 4 * n], "<u4").astype(np.int64)), whole(raw[4 * n :], "<i8")
+
+
 def _cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text (the second column), a text at least."""
     sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)), np.int64, batch.num_rows)
@@ -87,20 +110,49 @@ def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
                     keys.append(pa.StructArray.from_arrays(listed, ["place", "lang", "word", "n"]))
                     done += n
                 codes, keys = np.concatenate(codes), pa.concat_arrays(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(codes)], pa.int64()), pa.array([_packed(codes)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], ["chunk", "size", "codes", "keys"])
+                yield pa.RecordBatch.from_arrays(_rows(chunk, codes, keys), ["chunk", "size", "codes", "keys"])
                 chunk += 1
 
     return shipped(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, WORDS)
 
 
 def named(state: DataFrame, key: list[str], least: int, turn: int = 0, turns: int = 1) -> DataFrame:
-    """place, id, the key and f: the frequent keys of each chunk, with an id (the first place that has the key) and the count of the whole corpus. With turns, of one share of the keys."""
+    """The frequent keys of the whole corpus: a row each with id (the first place that has the key), the key and its count f, and beside
+    them rows of a chunk with packed, the ids of some of its places. With turns, of one share of the keys."""
     rows = state.select(F.explode("keys").alias("k")).select("k.*")
     if turns > 1:
         rows = rows.where(F.pmod(F.xxhash64(*key, F.lit(turns)), F.lit(turns)) == turn)  # another hash than the one that deals rows out
     same = Window.partitionBy(*key)
-    found = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("place").over(same)}).where(F.col("f") >= least)
-    return found.select("place", "id", *key, "f")
+    found = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("place").over(same)}).where(F.col("f") >= least).select("place", "id", *key, "f")
+    names = ["chunk", "packed", "id", *key, "f"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            place, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(place)
+            place, ids = place[order], ids[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(place >> 32)) + 1, len(place)]
+            packed = [_pack(place[a:b] & 0xFFFFFFFF, ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(place[starts[:-1]] >> 32), pa.array(packed, pa.binary()), *[pa.nulls(len(packed), k) for k in kinds]], names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place, ids, kinds = b.column(0).to_numpy(), b.column(1).to_numpy(), [c.type for c in b.columns[1:]]
+            first = pa.array(np.flatnonzero(place == ids))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary()), *[c.take(first) for c in b.columns[1:]]], names)
+            held.append((place, ids))
+            n += len(place)
+            if n >= PACKED:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+    return found.mapInArrow(run, "chunk long, packed binary, " + ", ".join(f"{c} {kinds[c]}" for c in names[2:]))
 
 
 def paired(state: DataFrame, names: DataFrame) -> DataFrame:
@@ -110,7 +162,8 @@ def paired(state: DataFrame, names: DataFrame) -> DataFrame:
             return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
         chunk, size = left["chunk"][0].as_py(), left["size"][0].as_py()
         codes = _unpacked(left["codes"][0].as_py(), size)
-        ids, own = right["id"].to_numpy(), right["place"].to_numpy() & 0xFFFFFFFF
+        pairs = [_unpack(p) for p in right["packed"].to_pylist()]
+        own, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(ids)
         ids, own = ids[order], own[order]
         at = np.full(int(codes.max(initial=-1)) + 2, -1)  # the last for code -1
@@ -121,11 +174,10 @@ def paired(state: DataFrame, names: DataFrame) -> DataFrame:
         out = np.full(max(len(at) - 1, 0), -1)
         out[first] = code
         pairs = pa.StructArray.from_arrays([pa.array((chunk << 32) + np.arange(len(distinct))), pa.array(ids[distinct // max(len(ids), 1)]), pa.array(ids[distinct % max(len(ids), 1)]), pa.array(n.astype(np.int64))], ["place", "left", "right", "n"])
-        keys = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pairs)
-        return pa.Table.from_arrays([left["chunk"], pa.array([len(out)], pa.int64()), pa.array([_packed(out)], pa.binary()), keys], schema=schema)
+        return pa.Table.from_arrays(_rows(chunk, out, pairs), schema=schema)
 
     schema = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("keys", pa.list_(pa.struct([("place", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])))])
-    coded = state.select("chunk", "size", "codes").groupBy("chunk").cogroup(names.select(F.shiftright("place", 32).alias("chunk"), "place", "id").groupBy("chunk"))
+    coded = state.where("codes IS NOT NULL").select("chunk", "size", "codes").groupBy("chunk").cogroup(names.where("packed IS NOT NULL").select("chunk", "packed").groupBy("chunk"))
     return coded.applyInArrow(run, PAIRS)
 
 
@@ -144,24 +196,27 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
         df.write.option("compression", "zstd").parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
 
+    def in_turns(key: list[str], turns: int) -> DataFrame:
+        names = None
+        for turn in range(turns):
+            release(spark)
+            part = written(named(state, key, least, turn, turns))
+            names = part if names is None else names.union(part)
+        release(spark)
+        return names
+
     state = written(chunks(docs, chunk))
     totals = materialize(state.select(F.explode("keys").alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n")), "totals")
-    names = written(named(state, ["lang", "word"], least))
-    release(spark)
+    names = in_turns(["lang", "word"], WORD_TURNS)
     f = F.col("f")
-    level = names.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").cast("string").alias("phrase"), F.first("f").alias("f")).select("id", "lang", "phrase", "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array(f).alias("starts"), F.array(f).alias("ends"))
+    level = names.where("packed IS NULL").select("id", "lang", F.col("word").cast("string").alias("phrase"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array(f).alias("starts"), F.array(f).alias("ends"))
     level, every = materialize(level, "phrases"), None
     for _ in range(longest - 1):
         state = written(paired(state, names))
         while len(made) > 1:  # the level before isn't needed any more
             remove(spark, made.pop(0))
-        names = None
-        for turn in range(TURNS):
-            release(spark)
-            part = written(named(state, ["left", "right"], least, turn, TURNS))
-            names = part if names is None else names.union(part)
-        release(spark)
-        pairs = names.groupBy("id").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("f").alias("f"))
+        names = in_turns(["left", "right"], TURNS)
+        pairs = names.where("packed IS NULL").select("id", "left", "right", "f")
         a = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("front"), F.col("starts").alias("before"))
         b = level.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"), F.col("ends").alias("after"))
         level = materialize(pairs.join(a, "left").join(b, "right").select("id", "lang", F.concat_ws(" ", "front", "last").alias("phrase"), "f", "left", "right", F.concat("before", F.array(f)).alias("starts"), F.concat("after", F.array(f)).alias("ends")), "phrases")
