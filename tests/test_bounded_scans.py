@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vexel.functions import kernels
-from vexel.operators import binary, evaluate, flat, ivf
+from vexel.operators import binary, evaluate, flat, graph, ivf
 
 
 def vectors(spark, x, name="id"):
@@ -86,3 +86,19 @@ def test_words_with_the_highest_bit(spark):
     words = spark.createDataFrame([(0, -1), (1, 0), (2, -(1 << 63)), (3, None)], "id long, word long")
     found = binary.WordLists.build(words, [0]).search(words.withColumnRenamed("id", "query_id"), 3)
     assert {(r["query_id"], r["id"]): r["distance"] for r in found.collect()} == {(0, 0): 0, (0, 2): 63, (0, 1): 64, (1, 1): 0, (1, 2): 1, (1, 0): 64, (2, 2): 0, (2, 1): 1, (2, 0): 63}
+
+
+def test_relinking_does_not_walk_through_all_deleted_rows(monkeypatch):
+    """A deleted third hangs together, so each row had the whole shard for candidates."""
+    x = np.random.default_rng(6).normal(size=(500, 16))
+    layers, gone = graph.link(x, np.arange(500), 6, 24), {n for n in range(500) if n % 3 == 1}
+    met, prune = [], graph.prune
+    monkeypatch.setattr(graph, "prune", lambda x, i, c, most: met.append(len(c)) or prune(x, i, c, most))
+    kept = graph.relink(x, layers, gone, 6)
+    assert np.mean(met) < 150
+    asked, alive = x[::25] + 0.01, np.array([n for n in range(500) if n not in gone])
+    hits = 0
+    for q in asked:
+        found = {n for _, n in graph.beam(x, kept[0], q, [0], 64)[:10]}
+        hits += len(found & set(alive[((x[alive] - q) ** 2).sum(1).argsort()[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(asked)

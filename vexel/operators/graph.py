@@ -19,13 +19,16 @@ from vexel.plans.storage import materialize, ship
 
 def prune(x: np.ndarray, i: int, candidates: np.ndarray, most: int) -> list[int]:
     """Candidates nearest first, each kept unless one that is kept is nearer to it than i is."""
-    d = ((x[candidates] - x[i]) ** 2).sum(1)
+    near = x[candidates]
+    d = ((near - x[i]) ** 2).sum(1)
     kept: list[int] = []
-    for c, far in sorted(zip(candidates.tolist(), d.tolist(), strict=True), key=lambda t: (t[1], t[0])):
-        if c != i and all(((x[c] - x[o]) ** 2).sum() >= far for o in kept):
-            kept.append(c)
+    open_ = candidates != i
+    for c in np.lexsort((candidates, d)).tolist():
+        if open_[c]:
+            kept.append(int(candidates[c]))
             if len(kept) == most:
                 break
+            open_ &= ((near - near[c]) ** 2).sum(1) >= d
     return kept
 
 
@@ -114,7 +117,7 @@ def relink(x: np.ndarray, layers: list[dict[int, list[int]]], gone: set[int], m:
                 continue
             reached, todo = set(near) - gone, lost  # through deleted rows that are linked to each other as well
             been = set(lost)
-            while todo:
+            while todo and (len(been) == len(lost) or len(reached) < 8 * m):  # one step at least; deleted rows may all hang together, and lead to the whole shard
                 found = {o for w in todo for o in links.get(w, ())} - been
                 been |= found
                 todo = [o for o in found if o in gone]
@@ -129,8 +132,8 @@ def relink(x: np.ndarray, layers: list[dict[int, list[int]]], gone: set[int], m:
     return [links for links in out if links] or [{}]
 
 
-#: Vectors of a shard: a graph is built and searched in one task.
-PER_SHARD = 50_000
+#: Vectors of a shard: a graph is built and searched in one task, so shards are small enough for a task's time, and grow in number with the base.
+PER_SHARD = 5_000
 NODES = "shard int, id long, vec array<double>, layers array<array<long>>, entry boolean"
 
 
