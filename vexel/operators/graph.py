@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.functions.distance import l2
+from vexel.functions.kernels import direct
 from vexel.operators.flat import FOUND, best, query_blocks
 from vexel.plans.storage import materialize, ship
 
@@ -134,6 +135,7 @@ def relink(x: np.ndarray, layers: list[dict[int, list[int]]], gone: set[int], m:
 
 #: Vectors of a shard: a graph is built and searched in one task, so shards are small enough for a task's time, and grow in number with the base.
 PER_SHARD = 5_000
+LINKS = "shard int, src long, dst long, distance double"
 NODES = "shard int, id long, vec array<double>, layers array<array<long>>, entry boolean"
 
 
@@ -280,8 +282,9 @@ def nsg(rows: DataFrame, r: int, wide: int = 2) -> DataFrame:
     Each row's wide * r nearest of its shard, and those that have it among theirs, are thinned by the occlusion rule to r links; so are the
     links taken both ways. The navigating row is the one nearest to the mean. Rows that it doesn't reach are linked from their
     nearest row that it does; rows that know none are taken in through the least id among them. So a tree from the
-    navigating row spans its shard.
+    navigating row spans its shard. Vectors are shuffled by shard only, a few times each, and not by link.
     """
+    ship(rows.sparkSession)
     rows = materialize(rows.select("shard", "id", "vec"), "shards")
 
     def nearest(frame: pd.DataFrame) -> pd.DataFrame:
@@ -292,7 +295,8 @@ def nsg(rows: DataFrame, r: int, wide: int = 2) -> DataFrame:
             d = ((x[a : a + 1024] ** 2).sum(1)[:, None] - 2 * x[a : a + 1024] @ x.T + (x**2).sum(1)).clip(0)
             d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
             at = np.argpartition(d, max(k - 1, 0), axis=1)[:, :k]
-            out.append(pd.DataFrame({"shard": frame["shard"].iloc[0], "src": np.repeat(ids[a : a + 1024], k), "dst": ids[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()}))
+            i, j = np.repeat(np.arange(a, a + len(d)), k), at.ravel()
+            out.append(pd.DataFrame({"shard": frame["shard"].iloc[0], "src": ids[i], "dst": ids[j], "distance": direct("l2", x[i], x[j])}))  # the same both ways, to the bit
         return pd.concat(out)
 
     def both_ways(links: DataFrame, most: int) -> DataFrame:
@@ -300,28 +304,60 @@ def nsg(rows: DataFrame, r: int, wide: int = 2) -> DataFrame:
         ranked = Window.partitionBy("src").orderBy("distance", "dst")
         return all_.withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= most).drop("k")  # a hub has as many candidates as others
 
+    def thin(frame: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        x, ids = _vectors(frame)
+        links = links.sort_values(["src", "dst"], ignore_index=True)
+        src, dst = (np.searchsorted(ids, links[c].to_numpy(np.int64)) for c in ("src", "dst"))
+        kept = []
+        for mine in np.split(np.arange(len(src)), np.flatnonzero(np.diff(src)) + 1) if len(src) else ():
+            chosen = prune(x, src[mine[0]], dst[mine], r)
+            kept.append(mine[np.searchsorted(dst[mine], np.sort(chosen))])
+        return links.iloc[np.concatenate(kept)] if kept else links
+
+    def span(frame: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        x, ids = _vectors(frame)
+        src, dst = (np.searchsorted(ids, links[c].to_numpy(np.int64)) for c in ("src", "dst"))
+        kept, d = links["kept"].to_numpy(bool), links["distance"].to_numpy(float)
+        root = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+        near = spanned(len(ids), root, (src[kept], dst[kept]), (src[~kept], dst[~kept], d[~kept]))
+        return _frame(int(frame["shard"].iloc[0]), ids, x, [dict(enumerate(near))], [i == root for i in range(len(ids))], list(range(len(ids))))
+
+    def beside(links: DataFrame):
+        """Links meet the vectors of their shard; no vector is sent along with a link."""
+        return rows.groupBy("shard").cogroup(links.groupBy("shard"))
+
     def thinned(links: DataFrame) -> DataFrame:
-        kept = nsg_prune(links.select("src", "dst"), rows, r).select("src", F.explode("neighbors").alias("dst"))
-        return materialize(links.join(kept, ["src", "dst"]).select("shard", "src", "dst", "distance"), "thinned")
-
-    near = materialize(rows.groupBy("shard").applyInPandas(nearest, "shard int, src long, dst long, distance double"), "near")
-    links = thinned(both_ways(thinned(both_ways(near, 2 * wide * r)), 2 * r))
-    means = rows.select("shard", "id", "vec", F.posexplode("vec").alias("pos", "v")).groupBy("shard", "pos").agg(F.avg("v").alias("mean"))
-    centre = means.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("pos", "mean"))).alias("c")).select("shard", F.col("c.mean").alias("c"))  # a row a coordinate
-    roots = materialize(rows.join(centre, "shard").groupBy("shard").agg(F.min(F.struct(l2(F.col("vec"), F.col("c")), "id"))["id"].alias("id")), "roots")
-    known, reached = both_ways(near, 2 * wide * r), reachable(links, roots)
+        return materialize(beside(links).applyInPandas(thin, LINKS), "thinned")
+
+    near = materialize(rows.groupBy("shard").applyInPandas(nearest, LINKS), "near")
+    known = both_ways(near, 2 * wide * r)
+    links = thinned(both_ways(thinned(known), 2 * r))
+    both = links.withColumn("kept", F.lit(True)).unionByName(known.withColumn("kept", F.lit(False)))
+    return materialize(beside(both).applyInPandas(span, NODES), "graph")
+
+
+def spanned(n: int, root: int, links: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[list[int]]:
+    """Neighbours of n nodes by links (from, to) and by what a tree adds, so that all are reached from the root: known has candidates (from, to, distance)."""
+    near: list[set[int]] = [set() for _ in range(n)]
+    for i, j in zip(*(e.tolist() for e in links), strict=True):
+        near[i].add(j)
+    reached, front = np.zeros(n, bool), [root]
+    a, b, d = known
     while True:
-        left = materialize(rows.join(reached, "id", "left_anti").select("shard", "id"), "unreached")
-        if not left.limit(1).count():
-            break
-        to = known.join(left.select(F.col("id").alias("dst")), "dst").join(reached.select(F.col("id").alias("src")), "src")
-        tree = materialize(to.groupBy("shard", "dst").agg(F.min(F.struct("distance", "src")).alias("n")).select("shard", F.col("n.src").alias("src"), "dst", "n.distance"), "tree")
-        lone = left.groupBy("shard").agg(F.min("id").alias("dst")).join(tree.select("shard").distinct(), "shard", "left_anti").join(roots.withColumnRenamed("id", "src"), "shard")
-        links = materialize(links.union(tree).union(lone.select("shard", "src", "dst", F.lit(0.0))), "links")
-        reached = reachable(links, roots)
-    listed = links.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("near"))
-    made = rows.join(listed, rows["id"] == listed["src"], "left").join(roots.select(F.col("id").alias("root")), rows["id"] == F.col("root"), "left")
-    return materialize(made.select("shard", "id", "vec", F.array(F.coalesce("near", F.array().cast("array<long>"))).alias("layers"), F.col("root").isNotNull().alias("entry")), "graph")
+        while front:
+            reached[front] = True
+            front = list({j for i in front for j in near[i] if not reached[j]})
+        if reached.all():
+            return [sorted(o) for o in near]
+        open_ = np.flatnonzero(reached[a] & ~reached[b])
+        open_ = open_[np.lexsort((a[open_], d[open_], b[open_]))]
+        first = open_[np.flatnonzero(np.r_[True, np.diff(b[open_]) > 0][: len(open_)])]
+        new = list(zip(a[first].tolist(), b[first].tolist(), strict=True)) or [(root, int(np.flatnonzero(~reached)[0]))]
+        for i, j in new:
+            near[i].add(j)
+        front = [j for _, j in new]
 
 
 def knn_graph(base: DataFrame, k: int) -> DataFrame:
