@@ -19,6 +19,35 @@ def spied(monkeypatch):
     return plans
 
 
+def test_descent_takes_distances_where_vectors_meet(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    x[::3] = np.float32(x[::3])  # some are floats exactly, some are not
+    x[7] = x[5]
+    plans = spied(monkeypatch)
+    found = graph.nn_descent(table(spark, x), 5).toPandas()
+    assert not any("zip_with" in p for _, p in plans)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.testing.assert_allclose(found["distance"], d[found["src"], found["dst"]], rtol=1e-12)
+    np.fill_diagonal(d, np.inf)
+    exact = {(i, j) for i in range(300) for j in np.lexsort((np.arange(300), d[i]))[:5].tolist()}
+    assert len(found) == 1500 and len(exact & set(zip(found["src"], found["dst"]))) >= 0.95 * 1500
+
+
+@pytest.mark.parametrize("cells", [64, 1 << 21])
+def test_pairs_within_the_bound_whatever_the_batches(spark, monkeypatch, cells):
+    monkeypatch.setattr(graph, "CELLS", cells)  # one pair at a time, or all
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        x = np.arange(12.0)[:, None] * [1.0, 0.1]
+        meet = spark.createDataFrame([(v, i, i % 2 == 0, i % 3 == 0) for v in (1, 2) for i in range(12)], "via long, id long, a boolean, b boolean")
+        rows = graph._narrow(table(spark, x)).withColumn("bound", F.when(F.col("id") == 4, 2.0).otherwise(float("inf")))
+        got = sorted(map(tuple, graph._pairs_met(meet, rows).select("src", "dst").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(i, j) for _ in (1, 2) for i in range(0, 12, 2) for j in range(0, 12, 3) if i != j and (i != 4 or j == 3)]
+    assert got == sorted(want)
+
+
 def test_navigating_graph_joins_no_vectors_to_links(spark, monkeypatch):
     x = np.random.default_rng(4).normal(size=(400, 5))
     plans = spied(monkeypatch)
@@ -34,3 +63,16 @@ def test_a_tree_takes_in_rows_that_links_do_not_reach():
     far = np.array([2, 1, 0]), np.array([3, 3, 4]), np.array([0.5, 0.7, 0.1])
     assert graph.spanned(6, 0, (np.array([0, 1]), np.array([1, 2])), far) == [[1, 4, 5], [2], [3], [], [], []]  # 5 knows none, and is taken in from the root
     assert graph.spanned(1, 0, (empty, empty), (empty, empty, np.zeros(0))) == [[]]
+
+
+def test_pruned_links_whatever_the_batches(spark):
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    links = [(i, j) for i in range(0, 40, 2) for j in range(40) if i != j]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = graph.nsg_prune(spark.createDataFrame(links, "src long, dst long"), table(spark, x), 4)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Join") == 1  # with the candidates' vectors only
+        got = {r["src"]: r["neighbors"] for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: graph.prune(x, i, np.delete(np.arange(40), i), 4) for i in range(0, 40, 2)}

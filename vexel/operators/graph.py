@@ -4,16 +4,17 @@ over shards are the result. A shard's size is bounded by the number of shards, w
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vexel.functions.distance import l2
-from vexel.functions.kernels import direct
+from vexel.functions.kernels import CELLS, direct, matrix
 from vexel.operators.flat import FOUND, best, query_blocks
 from vexel.plans.storage import materialize, ship
 
@@ -368,17 +369,90 @@ def knn_graph(base: DataFrame, k: int) -> DataFrame:
     return best(found.select("query_id", "id", "distance"), k).select(F.col("query_id").alias("src"), "rank", F.col("id").alias("dst"), "distance")
 
 
-def nsg_prune(graph: DataFrame, base: DataFrame, r: int) -> DataFrame:
-    """src and neighbors: each row's candidates thinned by the occlusion rule."""
-    ship(base.sparkSession)
-    own = graph.join(base.select(F.col("id").alias("src"), F.col("vec").alias("x")), "src").join(base.select(F.col("id").alias("dst"), F.col("vec").alias("y")), "dst")
+def _narrow(rows: DataFrame) -> DataFrame:
+    """id with the vector as floats (f) where they hold it exactly, and else as doubles (d)."""
+    floats = F.col("vec").cast("array<float>")
+    exact = floats.cast("array<double>") == F.col("vec")
+    return rows.select("id", F.when(exact, floats).alias("f"), F.when(~exact, F.col("vec")).alias("d"))
+
 
-    def thin(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.array(frame["x"].iloc[0], float), *[np.array(v, float) for v in frame["y"]]])
-        kept = prune(x, 0, np.arange(1, len(x)), r)
-        return pd.DataFrame({"src": [frame["src"].iloc[0]], "neighbors": [[int(frame["dst"].iloc[n - 1]) for n in kept]]})
+def _wide(t: pa.Table) -> np.ndarray:
+    f, d = t["f"].combine_chunks(), t["d"].combine_chunks()
+    short = f.is_valid().to_numpy(zero_copy_only=False)
+    if short.all() or not short.any():
+        return matrix(f if short.any() else d)
+    x = np.empty((len(t), len(f.drop_null()[0])))
+    x[short], x[~short] = matrix(f.drop_null()), matrix(d.drop_null())
+    return x
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, so cut that all of a value are together."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+        keys = t.column(0).to_numpy()
+        end = int(np.searchsorted(keys, keys[-1]))
+        if end:
+            yield t.slice(0, end)
+        held = t.slice(end)
+    if held is not None:
+        yield held
 
-    return own.groupBy("src").applyInPandas(thin, "src long, neighbors array<long>")
+
+def _gathered(meet: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of meet (via, id and more) with the vectors of their ids (from rows as _narrow makes them), those of a via together."""
+    return meet.join(rows, "id").select(*meet.columns, *[c for c in rows.columns if c != "id"]).repartition("via").sortWithinPartitions("via", "id")
+
+
+def nsg_prune(graph: DataFrame, base: DataFrame, r: int) -> DataFrame:
+    """src and neighbors: each row's candidates thinned by the occlusion rule. A row meets its candidates' vectors, once each."""
+    ship(base.sparkSession)
+    rows = _narrow(base)
+    meet = graph.select(F.col("src").alias("via"), F.col("dst").alias("id"), F.lit(False).alias("own"))
+    meet = meet.union(graph.select("src").distinct().select("src", "src", F.lit(True)))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            via, ids, own, x = t["via"].to_numpy(), t["id"].to_numpy(), t["own"].to_numpy(), _wide(t)
+            src, near = [], []
+            for mine in np.split(np.arange(len(via)), np.flatnonzero(np.diff(via)) + 1):
+                if own[mine].any() and not own[mine].all():
+                    src.append(via[mine[0]])
+                    near.append(ids[prune(x, int(mine[own[mine]][0]), mine[~own[mine]], r)])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(near, pa.list_(pa.int64()))], ["src", "neighbors"])
+
+    return _gathered(meet, rows).mapInArrow(thin, "src long, neighbors array<long>")
+
+
+def _pairs_met(meet: DataFrame, rows: DataFrame) -> DataFrame:
+    """src, dst and distance of the pairs of different ids of a via (meet: via, id, a, b), the first marked a and the second b, that
+    lie within the bound of the first (rows: id, f, d, bound). Distances are taken where the vectors have met, at most ``CELLS`` / 64 at once."""
+    ship(meet.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            via, ids, bound = t["via"].to_numpy(), t["id"].to_numpy(), t["bound"].to_numpy()
+            one, two = np.flatnonzero(t["a"].to_numpy()), np.flatnonzero(t["b"].to_numpy())
+            low = np.searchsorted(via[two], via[one])
+            n = np.searchsorted(via[two], via[one], side="right") - low
+            x, ends = np.ascontiguousarray(_wide(t).T), np.cumsum(n)
+            for s in range(0, int(ends[-1]) if len(ends) else 0, CELLS // 64):
+                p = np.arange(s, min(s + CELLS // 64, ends[-1]))
+                at = np.searchsorted(ends, p, side="right")
+                i, j = one[at], two[low[at] + p - (ends - n)[at]]
+                other = ids[i] != ids[j]
+                i, j = i[other], j[other]
+                d = np.zeros(len(i))
+                for v in x:  # a coordinate at a time, as the expression adds them
+                    gap = v[i] - v[j]
+                    d += gap * gap
+                near = ~(d > bound[i])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i[near]]), pa.array(ids[j[near]]), pa.array(d[near])], ["src", "dst", "distance"])
+
+    return _gathered(meet, rows).mapInArrow(run, "src long, dst long, distance double")
 
 
 def nn_descent(base: DataFrame, k: int, rounds: int = 6, seed: int = 2021, pool: int = 12) -> DataFrame:
@@ -386,10 +460,12 @@ def nn_descent(base: DataFrame, k: int, rounds: int = 6, seed: int = 2021, pool:
 
     First neighbours are the rows beside a row in some orders by a seeded hash of ids. A row keeps k + pool neighbours on the way and
     tries as many of those that have it among theirs, chosen anew by hash each round, so a hub makes no more pairs than others.
+    Vectors are sent to the rows that are tried as ways, and of the pairs that meet there only those go on that are no farther than the
+    last of the first one's k + pool neighbours so far.
     """
     wide = k + pool
     rows = base.select("id", "vec").where("vec IS NOT NULL")
-    graph, out, state = None, None, None
+    graph, state = None, None
     for i in range(max(1, k // 2)):
         spread = materialize(rows.select("id").repartitionByRange(F.xxhash64("id", F.lit(seed + i)), "id").sortWithinPartitions(F.xxhash64("id", F.lit(seed + i)), "id").withColumn("at", F.monotonically_increasing_id()), "orders")
         ends = spread.groupBy(F.shiftright("at", 33).alias("part")).agg(F.max("at").alias("last"), F.min("at").alias("first")).orderBy("part").collect()  # a row a partition
@@ -397,19 +473,24 @@ def nn_descent(base: DataFrame, k: int, rounds: int = 6, seed: int = 2021, pool:
         jump = F.create_map(*[F.lit(v) for e in follow.items() for v in e]) if follow else F.create_map().cast("map<long,long>")
         beside = spread.select(F.col("id").alias("src"), F.coalesce(F.element_at(jump, F.col("at")), F.col("at") + 1).alias("at")).join(spread.select("at", F.col("id").alias("dst")), "at").select("src", "dst")
         graph = beside if graph is None else graph.union(beside)
-    graph = materialize(graph.union(graph.select("dst", "src")).distinct(), "descent")
+    graph = graph.union(graph.select("dst", "src")).distinct()
+    mark = lambda links, via, of, a: links.select(F.col(via).alias("via"), F.col(of).alias("id"), F.lit(a).alias("a"), F.lit(not a).alias("b"))
+    narrow = materialize(_narrow(rows), "vectors")
+    first = mark(graph, "src", "dst", False).union(mark(rows, "id", "id", True))
+    out = materialize(_pairs_met(first, narrow.withColumn("bound", F.lit(float("inf")))).withColumn("rank", F.lit(0)), "descent")
     for turn in range(rounds):
+        graph = out.select("src", "dst")
         lot = Window.partitionBy("src").orderBy(F.xxhash64("src", "dst", F.lit(seed + turn)))
         back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("k", F.row_number().over(lot)).where(F.col("k") <= wide).drop("k")
-        both = materialize(graph.union(back).distinct(), "both")
-        few = both.withColumn("k", F.row_number().over(lot)).where(F.col("k") <= wide).drop("k")  # ways that are tried this round
-        ways = few.select(F.col("src").alias("a"), F.col("dst").alias("via")).join(few.select(F.col("src").alias("via"), F.col("dst").alias("b")), "via").select("a", "b")
-        tried = graph.union(ways).where("src <> dst").distinct()
-        scored = tried.join(rows.select(F.col("id").alias("src"), F.col("vec").alias("x")), "src").join(rows.select(F.col("id").alias("dst"), F.col("vec").alias("y")), "dst")
-        out = materialize(best(scored.select(F.col("src").alias("query_id"), F.col("dst").alias("id"), l2(F.col("x"), F.col("y")).alias("distance")), wide), "descent")
-        graph = out.select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
-        now = graph.agg(F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
+        both = graph.union(back).distinct()
+        few = materialize(both.withColumn("k", F.row_number().over(lot)).where(F.col("k") <= wide).drop("k"), "ways")  # ways that are tried this round
+        meet = mark(few, "dst", "src", True).union(mark(few, "src", "dst", False)).groupBy("via", "id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+        last = out.where(F.col("rank") == wide).select(F.col("src").alias("id"), F.col("distance").alias("bound"))
+        bounded = narrow.join(last, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        tried = out.select("src", "dst", "distance").union(_pairs_met(meet, bounded)).repartition("src").distinct()
+        out = materialize(best(tried.withColumnRenamed("dst", "id"), wide, by="src").withColumnRenamed("id", "dst"), "descent")
+        now = out.agg(F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
         if now == state:
             break
         state = now
-    return out.where(F.col("rank") <= k).select(F.col("query_id").alias("src"), "rank", F.col("id").alias("dst"), "distance")
+    return out.where(F.col("rank") <= k).select("src", "rank", "dst", "distance")
