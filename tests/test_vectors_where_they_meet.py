@@ -76,3 +76,14 @@ def test_pruned_links_whatever_the_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: graph.prune(x, i, np.delete(np.arange(40), i), 4) for i in range(0, 40, 2)}
+
+
+def test_a_sample_brings_no_other_vectors_to_the_driver(spark, monkeypatch):
+    x, plans, collect = np.arange(600.0).reshape(300, 2), [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    rows = table(spark, x, 6)
+    got = transforms.sample_matrix(rows, 20)
+    assert plans and not any("vec" in line for p in plans for line in p.splitlines() if "TakeOrdered" in line)  # that sends so many rows of each task
+    order = [r["id"] for r in collect(rows.orderBy(F.xxhash64("id"), "id"))]
+    np.testing.assert_array_equal(got, x[order[:20]])
+    assert len(transforms.sample_matrix(rows, 1000)) == 300 and len(transforms.sample_matrix(rows.where("false"))) == 0

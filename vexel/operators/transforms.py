@@ -19,8 +19,10 @@ SAMPLE = 65_536
 
 def sample_matrix(vectors: DataFrame, most: int = SAMPLE) -> np.ndarray:
     """At most so many vectors, those of least hash of id."""
-    rows = vectors.where("vec IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(most).select("vec").collect()
-    return np.array([r["vec"] for r in rows], np.float64)
+    rows = vectors.where("vec IS NOT NULL").select(F.struct(F.xxhash64("id"), "id").alias("key"), "vec")
+    last = rows.orderBy("key").limit(most).agg(F.max("key").alias("last"))  # a table of one row; a limit on the vectors themselves brings so many of each task to the driver
+    found = rows.join(F.broadcast(last), F.col("key") <= F.col("last")).select("key", "vec").collect()
+    return np.array([r["vec"] for r in sorted(found, key=lambda r: r["key"])[:most]], np.float64)
 
 
 @dataclass
