@@ -87,3 +87,28 @@ def test_a_sample_brings_no_other_vectors_to_the_driver(spark, monkeypatch):
     order = [r["id"] for r in collect(rows.orderBy(F.xxhash64("id"), "id"))]
     np.testing.assert_array_equal(got, x[order[:20]])
     assert len(transforms.sample_matrix(rows, 1000)) == 300 and len(transforms.sample_matrix(rows.where("false"))) == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "l1", "linf", "cosine"])
+def test_columns_rank_only_pairs_within_a_bound(spark, monkeypatch, metric):
+    x = np.random.default_rng(6).integers(-3, 4, (500, 4)) + 0.5  # ties
+    rows = table(spark, x)
+    queries = rows.where("id % 25 = 0").select(F.col("id").alias("query_id"), "vec")
+    ranked, rank = [], flat.best
+    monkeypatch.setattr(flat, "best", lambda found, *a: (ranked.append(found.count()), rank(found, *a))[1])
+    monkeypatch.setattr(flat, "SHARE", 10, raising=False)
+    monkeypatch.setattr(flat, "QUERY_BYTES", 400)  # blocks of queries
+    rows = rows.union(spark.createDataFrame([(999, None)], "id long, vec array<double>"))
+    got = sorted(map(tuple, flat.knn_columns(rows, queries, 3, metric).select("query_id", "rank", "id", "distance").collect()))
+    assert sum(ranked) < 500 * 20 * 2 / 3
+    want = sorted(map(tuple, flat.knn(rows, queries, 3, metric).select("query_id", "rank", "id", "distance").collect()))
+    if metric != "cosine":  # quotients that are equal may differ in the last bit
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+    np.testing.assert_allclose([g[3] for g in got], [w[3] for w in want], atol=1e-9)
+
+
+def test_columns_with_few_rows_or_none(spark):
+    rows = table(spark, np.eye(3))
+    queries = rows.select(F.col("id").alias("query_id"), "vec")
+    assert flat.knn_columns(rows, queries, 10).count() == 9
+    assert flat.knn_columns(rows.where("false"), queries.where("false"), 10).count() == 0

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SIMILARITIES = {"ip", "jaccard", "cosine"}
+#: Metrics that are sums over coordinates, and the summand.
+SUMS = {"ip": lambda x, y: x * y, "l2": lambda x, y: (x - y) * (x - y), "l1": lambda x, y: F.abs(x - y)}
 
 
 def total(values: Column) -> Column:
@@ -17,15 +19,15 @@ def _sum(a: Column, b: Column, f) -> Column:
 
 
 def ip(a: Column, b: Column) -> Column:
-    return _sum(a, b, lambda x, y: x * y)
+    return _sum(a, b, SUMS["ip"])
 
 
 def l2(a: Column, b: Column) -> Column:
-    return _sum(a, b, lambda x, y: (x - y) * (x - y))
+    return _sum(a, b, SUMS["l2"])
 
 
 def l1(a: Column, b: Column) -> Column:
-    return _sum(a, b, lambda x, y: F.abs(x - y))
+    return _sum(a, b, SUMS["l1"])
 
 
 def linf(a: Column, b: Column) -> Column:

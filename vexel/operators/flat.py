@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from vexel.functions import distance as D
 from vexel.functions.kernels import Nearest, matrix, pairwise, tiles, within_reach
-from vexel.plans.storage import ship
+from vexel.plans.storage import materialize, ship
 
 #: Bytes of query vectors that a task holds at once.
 QUERY_BYTES = 32 << 20
 #: Lists that a scan names to the file reader.
 NAMED = 1000
+#: knn_columns: one row in so many gives the bounds; most coordinates that are written out.
+SHARE, SPREAD = 128, 100
 FOUND = "query_id long, id long, distance double"
 
 
@@ -126,10 +128,32 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where:
 
 
 def knn_columns(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
-    """knn in Column expressions over a nested-loop join; the window keeps k rows a task before it shuffles."""
-    rows = (base if where is None else base.where(where)).select("id", "vec")
-    pairs = rows.crossJoin(queries.select("query_id", F.col("vec").alias("query_vec")))
-    return best(pairs.select("query_id", "id", D.METRICS[metric](F.col("query_vec"), F.col("vec")).alias("distance")), k, metric in D.SIMILARITIES)
+    """knn in Column expressions, over nested-loop joins with blocks of queries of at most ``QUERY_BYTES``.
+
+    The k nearest of one row in ``SHARE`` give each query a bound; of all pairs only those within it are ranked. Sums over up to
+    ``SPREAD`` coordinates are written out, with a column for each."""
+    rows = (base if where is None else base.where(where)).where("vec IS NOT NULL").select("id", "vec")
+    queries = queries.where("vec IS NOT NULL").select("query_id", "vec")
+    sizes = F.min(F.size("vec")), F.max(F.size("vec"))
+    least, most = rows.agg(*sizes).union(queries.agg(*sizes)).agg(F.min(F.col("min(size(vec))")), F.max(F.col("max(size(vec))"))).first()
+    if most is None:
+        return base.sparkSession.createDataFrame([], FOUND + ", rank int")
+    descending, each = metric in D.SIMILARITIES, range(most)
+    wide = metric in D.SUMS and least == most and 0 < most <= SPREAD
+    told = lambda name: [F.coalesce(F.get("vec", F.lit(i)).cast("double"), F.lit(float("nan"))).alias(f"{name}{i}") for i in each] if wide else [F.col("vec").alias(f"{name}vec")]
+    distance = reduce(lambda s, i: s + D.SUMS[metric](F.col(f"q{i}"), F.col(f"x{i}")), each, F.lit(0.0)) if wide else D.METRICS[metric](F.col("qvec"), F.col("xvec"))
+    asked, rows = materialize(queries.select("query_id", *told("q")), "queries"), rows.select("id", *told("x"))
+    blocks = max(1, -(-asked.count() * 8 * (most + 2) // QUERY_BYTES))
+
+    def pairs(rows: DataFrame, asked: DataFrame, inside: Column) -> DataFrame:
+        dealt = rows.repartition("id")  # a row takes as long as there are queries
+        parts = [dealt.join(F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)), inside) for b in range(blocks)]  # QUERY_BYTES at most
+        return reduce(DataFrame.unionByName, [p.select("query_id", "id", distance.alias("distance")) for p in parts])
+
+    some = best(pairs(rows.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0), asked, F.lit(True)), k, descending)
+    asked = materialize(asked.join(some.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound")), "query_id", "left"), "queries")
+    bound = F.coalesce("bound", F.lit(float("-inf" if descending else "nan")))  # NaN is beyond all numbers
+    return best(pairs(rows, asked, ~(distance < bound) if descending else ~(distance > bound)), k, descending)
 
 
 def range_search(base: DataFrame, queries: DataFrame, radius: float, metric: str = "l2", where: Column | None = None) -> DataFrame:
