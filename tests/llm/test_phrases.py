@@ -82,3 +82,12 @@ def test_packed_places_are_read_back():
     ids = np.random.default_rng(2).integers(0, 1 << 62, 1000)
     own, back = phrases._unpack(phrases._pack(place, ids))
     assert (own == place).all() and (back == ids).all()
+
+
+def test_keys_are_gone_when_the_next_level_is_made(spark, monkeypatch):
+    removed, states, remove, paired = [], [], phrases.remove, phrases.paired
+    monkeypatch.setattr(phrases, "remove", lambda s, path: (removed.append(path), remove(s, path)))
+    monkeypatch.setattr(phrases, "paired", lambda state, names: (states.append((len(removed), state.where("codes IS NULL").count())), paired(state, names))[1])
+    every, _ = phrases.phrases(spark.createDataFrame(corpus(5), ROWS), 10)
+    assert every.count() and len(states) == 3
+    assert all(n and not rows for n, rows in states)

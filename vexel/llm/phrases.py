@@ -196,23 +196,31 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
         df.write.option("compression", "zstd").parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
 
+    def parted(state: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+        """The rows with codes and those with keys, and the folder of the keys, which can go as soon as they are named."""
+        made.append(path := new_path(spark, "phrases"))
+        state.withColumn("coded", F.col("codes").isNotNull()).write.option("compression", "zstd").partitionBy("coded").parquet(path)
+        read = spark.read.schema(state.schema.add("coded", "boolean")).option("basePath", path).parquet(path)
+        return read.where("coded").drop("coded"), read.where("NOT coded").drop("coded"), f"{path}/coded=false"
+
     def in_turns(key: list[str], turns: int) -> DataFrame:
         names = None
         for turn in range(turns):
             release(spark)
-            part = written(named(state, key, least, turn, turns))
+            part = written(named(keys, key, least, turn, turns))
             names = part if names is None else names.union(part)
         release(spark)
+        remove(spark, folder)
         return names
 
-    state = written(chunks(docs, chunk))
-    totals = materialize(state.select(F.explode("keys").alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n")), "totals")
+    state, keys, folder = parted(chunks(docs, chunk))
+    totals = materialize(keys.select(F.explode("keys").alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n")), "totals")
     names = in_turns(["lang", "word"], WORD_TURNS)
     f = F.col("f")
     level = names.where("packed IS NULL").select("id", "lang", F.col("word").cast("string").alias("phrase"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array(f).alias("starts"), F.array(f).alias("ends"))
     level, every = materialize(level, "phrases"), None
     for _ in range(longest - 1):
-        state = written(paired(state, names))
+        state, keys, folder = parted(paired(state, names))
         while len(made) > 1:  # the level before isn't needed any more
             remove(spark, made.pop(0))
         names = in_turns(["left", "right"], TURNS)
