@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.operators import flat, graph, transforms
@@ -79,8 +78,9 @@ def test_pruned_links_whatever_the_batches(spark):
 
 
 def test_a_sample_brings_no_other_vectors_to_the_driver(spark, monkeypatch):
-    x, plans, collect = np.arange(600.0).reshape(300, 2), [], DataFrame.collect
-    monkeypatch.setattr(DataFrame, "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    kind = type(spark.range(1))
+    x, plans, collect = np.arange(600.0).reshape(300, 2), [], kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
     rows = table(spark, x, 6)
     got = transforms.sample_matrix(rows, 20)
     assert plans and not any("vec" in line for p in plans for line in p.splitlines() if "TakeOrdered" in line)  # that sends so many rows of each task
