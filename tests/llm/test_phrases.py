@@ -91,3 +91,20 @@ def test_keys_are_gone_when_the_next_level_is_made(spark, monkeypatch):
     every, _ = phrases.phrases(spark.createDataFrame(corpus(5), ROWS), 10)
     assert every.count() and len(states) == 3
     assert all(n and not rows for n, rows in states)
+
+
+def test_a_turns_keys_are_gone_once_they_are_named(spark, monkeypatch):
+    """All turns' keys stood on disk until the last was named, and all chunks' codes until the last of the next level were written."""
+    gone, remove = [], phrases.remove
+    monkeypatch.setattr(phrases, "remove", lambda s, path: (gone.append(path.rsplit("/", 1)[-1] if "coded=" in path else ""), remove(s, path)))
+    every, _ = phrases.phrases(spark.createDataFrame(corpus(5), ROWS), 10, chunk=200)
+    turns = [f"turn={k}" for k in range(phrases.TURNS)]
+    parts = [f"turn={k}" for k in range(phrases.PARTS)]
+    assert every.count() and [x for x in gone if x][: phrases.WORD_TURNS + len(parts) + len(turns)] == [*turns[: phrases.WORD_TURNS], *parts, *turns]
+
+
+def test_equal_keys_of_all_chunks_are_in_one_turn(spark):
+    state = phrases.chunks(spark.createDataFrame(corpus(3), ROWS).repartition(3), 200).where("codes IS NULL").selectExpr("turn", "place", "posexplode(keys) AS (at, k)")
+    rows = state.selectExpr("turn", "place + at AS place", "k.lang", "k.word").collect()
+    assert len({(r["turn"], r["lang"], r["word"]) for r in rows}) == len({(r["lang"], r["word"]) for r in rows}) < len(rows) == len({r["place"] for r in rows})
+    assert len({r["turn"] for r in rows}) == phrases.WORD_TURNS

@@ -34,16 +34,16 @@ from vexel.llm.text import shipped
 from vexel.plans.storage import materialize, new_path, release, remove
 
 LEAST, LONGEST, SCALE, INSIDE, TOP, CHUNK = 30, 4, 2_000_000, (100, 80), 2000, 1 << 22
-#: Turns in which the words and a level's pairs are shuffled, so that no more than a share of them is on disk at once.
-WORD_TURNS, TURNS = 2, 4
+#: Turns in which the words and a level's pairs are shuffled, and parts in which chunks meet their names, so that no more than a share of them is on disk at once.
+WORD_TURNS, TURNS, PARTS = 2, 6, 3
 #: Keys of a chunk in one row, as a reader takes thousands of rows at once; names that a task packs at once.
 KEYS, PACKED = 256, 1 << 20
 #: Bytes that end a piece become a line feed, tabs a space, A-Z their lower case.
 RULES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A byte that UTF-8 doesn't have, to stand as a word between pieces.
 END = b"\xff"
-#: Rows of a chunk: one with its codes, and others with its keys (codes null).
-CHUNKS = "chunk long, size long, codes binary, keys array<struct<place: long, {key}, n: long>>"
+#: Rows of a chunk: one with its codes (turn is the part that the chunk is in), and others with its keys of a turn (codes null), which stand at place and the following ones.
+CHUNKS = "chunk long, size long, codes binary, turn int, place long, keys array<struct<{key}, n: long>>"
 WORDS, PAIRS = CHUNKS.format(key="lang: string, word: binary"), CHUNKS.format(key="left: long, right: long")
 
 
@@ -55,11 +55,27 @@ def _unpacked(packed: bytes, places: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed, 4 * places, "zstd", asbytes=True), "<i4")
 
 
-def _rows(chunk: int, codes: np.ndarray, keys: pa.StructArray) -> list[pa.Array]:
-    """The columns of a chunk's rows."""
-    ends = np.r_[0, np.arange(0, len(keys), KEYS), len(keys)] if len(keys) else np.zeros(2, int)
-    n = len(ends) - 1
-    return [pa.array(np.full(n, chunk)), pa.array(np.full(n, len(codes))), pa.array([_packed(codes)] + [None] * (n - 1), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)]
+def _rows(chunk: int, codes: np.ndarray, turn: np.ndarray, keys: pa.StructArray) -> list[pa.Array]:
+    """The columns of a chunk's rows; a row's keys are of one turn."""
+    edges = np.r_[0, np.flatnonzero(np.diff(turn)) + 1, len(turn)]
+    starts = np.concatenate([np.arange(a, b, KEYS) for a, b in zip(edges[:-1], edges[1:], strict=True)]).astype(np.int64)
+    ends = np.r_[0, starts, len(keys)]
+    n = 1 + len(starts)
+    first = np.r_[0, starts]
+    return [pa.array(np.full(n, chunk)), pa.array(np.full(n, len(codes))), pa.array([_packed(codes)] + [None] * (n - 1), pa.binary()), pa.array(np.r_[chunk % PARTS, turn[starts]].astype(np.int32)), pa.array((chunk << 32) + first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)]
+
+
+def _word_turns(words: pa.Array) -> np.ndarray:
+    """The turn of each word, from the sum of its bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.add.reduceat(np.frombuffer(words.buffers()[2], np.uint8)[: ends[-1]], ends[:-1], dtype=np.int64) % WORD_TURNS
+
+
+def _pair_turns(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) % np.uint64(TURNS)).astype(np.int64)
 
 
 def _pack(place: np.ndarray, ids: np.ndarray) -> bytes:
@@ -98,30 +114,32 @@ def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
                 texts: dict[str, list[bytes]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     texts.setdefault(lang, []).append((text or b"").translate(RULES).replace(END, b"\n"))
-                codes, keys, done = [], [], chunk << 32
+                codes, turns, keys, done = [], [], [], 0
                 for lang, found in texts.items():
                     coded = pa.array(b"\n".join(found).replace(b"\n", b" " + END + b" ").split() + [END], pa.binary()).dictionary_encode()
                     order = pa.compute.sort_indices(coded.dictionary).to_numpy()  # neighbours begin alike; END comes last
+                    turn = _word_turns(coded.dictionary)[order[:-1]]
+                    dealt = np.argsort(turn, kind="stable")
+                    order = np.r_[order[dealt], order[-1]]
                     rank = np.empty(len(order), np.int64)
                     rank[order] = np.arange(len(order))
                     code, n = rank[coded.indices.to_numpy()], len(order) - 1
-                    codes.append(np.where(code == n, -1, code + (done & 0xFFFFFFFF)))
-                    listed = [pa.array(np.arange(done, done + n)), pa.array([lang] * n, pa.string()), coded.dictionary.take(pa.array(order[:-1])), pa.array(np.bincount(code)[:-1].astype(np.int64))]
-                    keys.append(pa.StructArray.from_arrays(listed, ["place", "lang", "word", "n"]))
+                    codes.append(np.where(code == n, -1, code + done))
+                    turns.append(turn[dealt])
+                    listed = [pa.array([lang] * n, pa.string()), coded.dictionary.take(pa.array(order[:-1])), pa.array(np.bincount(code)[:-1].astype(np.int64))]
+                    keys.append(pa.StructArray.from_arrays(listed, ["lang", "word", "n"]))
                     done += n
-                codes, keys = np.concatenate(codes), pa.concat_arrays(keys)
-                yield pa.RecordBatch.from_arrays(_rows(chunk, codes, keys), ["chunk", "size", "codes", "keys"])
+                codes, turns, keys = np.concatenate(codes), np.concatenate(turns), pa.concat_arrays(keys)
+                yield pa.RecordBatch.from_arrays(_rows(chunk, codes, turns, keys), ["chunk", "size", "codes", "turn", "place", "keys"])
                 chunk += 1
 
     return shipped(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, WORDS)
 
 
-def named(state: DataFrame, key: list[str], least: int, turn: int = 0, turns: int = 1) -> DataFrame:
+def named(state: DataFrame, key: list[str], least: int) -> DataFrame:
     """The frequent keys of the whole corpus: a row each with id (the first place that has the key), the key and its count f, and beside
-    them rows of a chunk with packed, the ids of some of its places. With turns, of one share of the keys."""
-    rows = state.select(F.explode("keys").alias("k")).select("k.*")
-    if turns > 1:
-        rows = rows.where(F.pmod(F.xxhash64(*key, F.lit(turns)), F.lit(turns)) == turn)  # another hash than the one that deals rows out
+    them rows of a chunk with packed, the ids of some of its places. Given the rows of some turns, of the keys of these."""
+    rows = state.select("place", F.posexplode("keys").alias("at", "k")).select((F.col("place") + F.col("at")).alias("place"), "k.*")
     same = Window.partitionBy(*key)
     found = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("place").over(same)}).where(F.col("f") >= least).select("place", "id", *key, "f")
     names = ["chunk", "packed", "id", *key, "f"]
@@ -155,8 +173,8 @@ def named(state: DataFrame, key: list[str], least: int, turn: int = 0, turns: in
     return found.mapInArrow(run, "chunk long, packed binary, " + ", ".join(f"{c} {kinds[c]}" for c in names[2:]))
 
 
-def paired(state: DataFrame, names: DataFrame) -> DataFrame:
-    """The chunks of the next level (``PAIRS``): pairs of ids at neighbouring places."""
+def paired(state: DataFrame, names: DataFrame) -> list[DataFrame]:
+    """The chunks of the next level (``PAIRS``), a DataFrame for each part of the chunks: pairs of ids at neighbouring places."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
@@ -171,14 +189,24 @@ def paired(state: DataFrame, names: DataFrame) -> DataFrame:
         at = at[codes]
         first = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
         distinct, code, n = np.unique(at[first] * len(ids) + at[first + 1], return_inverse=True, return_counts=True)
+        one, two = ids[distinct // max(len(ids), 1)], ids[distinct % max(len(ids), 1)]
+        turn = _pair_turns(one, two)
+        dealt = np.argsort(turn.astype(np.uint8), kind="stable")
+        rank = np.empty(len(dealt), np.int64)
+        rank[dealt] = np.arange(len(dealt))
         out = np.full(max(len(at) - 1, 0), -1)
-        out[first] = code
-        pairs = pa.StructArray.from_arrays([pa.array((chunk << 32) + np.arange(len(distinct))), pa.array(ids[distinct // max(len(ids), 1)]), pa.array(ids[distinct % max(len(ids), 1)]), pa.array(n.astype(np.int64))], ["place", "left", "right", "n"])
-        return pa.Table.from_arrays(_rows(chunk, out, pairs), schema=schema)
+        out[first] = rank[code]
+        keys = pa.StructArray.from_arrays([pa.array(one[dealt]), pa.array(two[dealt]), pa.array(n[dealt].astype(np.int64))], ["left", "right", "n"])
+        return pa.Table.from_arrays(_rows(chunk, out, turn[dealt], keys), schema=schema)
+
+    schema = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("turn", pa.int32()), ("place", pa.int64()), ("keys", pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])))])
 
-    schema = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("codes", pa.binary()), ("keys", pa.list_(pa.struct([("place", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])))])
-    coded = state.where("codes IS NOT NULL").select("chunk", "size", "codes").groupBy("chunk").cogroup(names.where("packed IS NOT NULL").select("chunk", "packed").groupBy("chunk"))
-    return coded.applyInArrow(run, PAIRS)
+    def part(k: int) -> DataFrame:
+        codes = state.where((F.col("turn") == k) & F.col("codes").isNotNull()).select("chunk", "size", "codes")
+        packed = names.where((F.pmod("chunk", F.lit(PARTS)) == k) & F.col("packed").isNotNull()).select("chunk", "packed")
+        return codes.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInArrow(run, PAIRS)
+
+    return [part(k) for k in range(PARTS)]
 
 
 def exact(c: Column) -> Column:
@@ -196,31 +224,36 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
         df.write.option("compression", "zstd").parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
 
-    def parted(state: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-        """The rows with codes and those with keys, and the folder of the keys, which can go as soon as they are named."""
+    def parted(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """The rows with codes and those with keys, of parts written one after another; what a part of the chunks before was made from goes with it."""
+        before = made[0] if made else None
         made.append(path := new_path(spark, "phrases"))
-        state.withColumn("coded", F.col("codes").isNotNull()).write.option("compression", "zstd").partitionBy("coded").parquet(path)
-        read = spark.read.schema(state.schema.add("coded", "boolean")).option("basePath", path).parquet(path)
-        return read.where("coded").drop("coded"), read.where("NOT coded").drop("coded"), f"{path}/coded=false"
+        for k, part in enumerate(parts):
+            part.withColumn("coded", F.col("codes").isNotNull()).write.mode("append").option("compression", "zstd").partitionBy("coded", "turn").parquet(path)
+            release(spark)
+            if before:
+                remove(spark, f"{before}/coded=true/turn={k}")
+        read = spark.read.schema(parts[0].schema.add("coded", "boolean")).option("basePath", path).parquet(path)
+        return read.where("coded").drop("coded"), read.where("NOT coded").drop("coded")
 
     def in_turns(key: list[str], turns: int) -> DataFrame:
-        names = None
+        """The names of all keys; a turn's keys go as soon as they are named."""
+        names, folder = None, made[-1]
         for turn in range(turns):
-            release(spark)
-            part = written(named(keys, key, least, turn, turns))
+            part = written(named(keys.where(F.col("turn") == turn), key, least))
             names = part if names is None else names.union(part)
-        release(spark)
-        remove(spark, folder)
+            release(spark)
+            remove(spark, f"{folder}/coded=false/turn={turn}")
         return names
 
-    state, keys, folder = parted(chunks(docs, chunk))
+    state, keys = parted([chunks(docs, chunk)])
     totals = materialize(keys.select(F.explode("keys").alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n")), "totals")
     names = in_turns(["lang", "word"], WORD_TURNS)
     f = F.col("f")
     level = names.where("packed IS NULL").select("id", "lang", F.col("word").cast("string").alias("phrase"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array(f).alias("starts"), F.array(f).alias("ends"))
     level, every = materialize(level, "phrases"), None
     for _ in range(longest - 1):
-        state, keys, folder = parted(paired(state, names))
+        state, keys = parted(paired(state, names))
         while len(made) > 1:  # the level before isn't needed any more
             remove(spark, made.pop(0))
         names = in_turns(["left", "right"], TURNS)
