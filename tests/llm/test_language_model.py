@@ -6,6 +6,7 @@ from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,24 @@ def test_classes_are_learned(chain):
     kind = lm.kinds(lm.encode(chain, words), words)
     of = {v: {int(kind[n]) for w, n in words.hot.items() if w.startswith(v) and not w.endswith(b".")} for v in (b"a", b"b")}
     assert not of[b"a"] & of[b"b"]
+
+
+def test_strips_and_blocks(monkeypatch):
+    """Branches are computed a strip at a time, whatever the block, and no sum or score depends on where strips and blocks end."""
+    rng = np.random.default_rng(5)
+    size = 1 + lm.TAILS + 500
+    m = lm.start(lm.Words({}, np.arange(size)[::-1].copy(), np.ones(size, np.int64), size * size // 2, size), np.zeros(size, np.int64))
+    m.tables = [rng.normal(0, 2, (m.rows, m.width)).astype(np.float32) for _ in range(lm.LEVELS)]
+    numbers = np.where(rng.random(9000) < 0.1, lm.RARE | rng.integers(0, 1 << 31, 9000, np.uint32), rng.integers(0, size, 9000, np.uint32)).astype(np.uint32)
+    starts = np.array([0, 1, 3, 40, 6000])
+    texts = pa.array([x.tobytes() for x in np.split(numbers, starts[1:])], pa.binary())
+    rows, shares = [], lm.Model.shares
+    monkeypatch.setattr(lm.Model, "shares", lambda self, level, node, *rest: rows.append(len(node)) or shares(self, level, node, *rest))
+    scores, (seen, due) = lm.token_scores(m, numbers, starts), lm.gather(m, [texts])
+    assert max(rows) == lm.STRIP < len(numbers) <= lm.BLOCK and sum(rows) == 2 * lm.LEVELS * len(numbers)
+    for level in range(lm.LEVELS):
+        assert seen[level].sum() == 3 * len(numbers) and due[level].sum() / lm.FINE == pytest.approx(3 * len(numbers), rel=1e-5)
+    monkeypatch.setattr(lm, "STRIP", 7)
+    monkeypatch.setattr(lm, "BLOCK", 50)
+    again, (seen_again, due_again) = lm.token_scores(m, numbers, starts), lm.gather(m, [texts])
+    assert np.array_equal(scores, again) and all(np.array_equal(x, y) for x, y in zip([*seen, *due], [*seen_again, *due_again], strict=True))

@@ -42,8 +42,8 @@ from vexel.plans.storage import materialize
 
 END, TAILS = 0, 64
 HOT = (1 << 18) - 1 - TAILS
-#: Softmaxes to a token; different tokens that a counting task holds; shards of training; tokens in a block; tokens of a training task and round.
-LEVELS, HELD, ROUNDS, BLOCK, TASK = 4, 300_000, 6, 1 << 14, 1 << 22
+#: Softmaxes to a token; different tokens that a counting task holds; shards of training; tokens in a block, and in the strips of it whose branches stay in a core's cache; tokens of a training task and round.
+LEVELS, HELD, ROUNDS, BLOCK, STRIP, TASK = 4, 300_000, 6, 1 << 15, 1 << 12, 1 << 22
 #: Frequent words that tell kinds of text apart, and the number of kinds.
 MARKERS, KINDS = 128, 8
 #: Fixed-point steps to a probability; rows to a message; strength of the pull towards zero; the most a weight moves in a step, and its bound.
@@ -260,26 +260,35 @@ class Model:
         """Rows of the three features."""
         salt = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)
 
-        def mixed(x: np.ndarray, size: int) -> np.ndarray:
-            h = (x.astype(np.uint64) + salt) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-            return (h >> np.uint64(40)).astype(np.int64) & (size - 1)
+        def mixed(x: np.ndarray, low: int, size: int) -> np.ndarray:
+            h = x + salt
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x94D049BB133111EB)
+            h >>= np.uint64(40)
+            h &= np.uint64(size - 1)
+            h += np.uint64(low)
+            return h.view(np.int64)
 
-        pair = one.astype(np.uint64) << np.uint64(32) | two
-        return [mixed(x, size) + low for x, (low, size) in zip((one, two, pair), self.ranges(), strict=True)]
+        one = one.astype(np.uint64, copy=False)
+        return [mixed(x, *range_) for x, range_ in zip((one, two, one << np.uint64(32) | two), self.ranges(), strict=True)]
 
     def ranges(self) -> list[tuple[int, int]]:
         """First row and number of rows of each feature: a quarter of the table for the previous token and for the one before, half of it for pairs."""
         return [(0, self.rows // 4), (self.rows // 4, self.rows // 4), (self.rows // 2, self.rows // 2)]
 
-    def shares(self, level: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Unnormalised probabilities of the branches; weights are bounded, so that no exponent overflows."""
-        table = self.tables[level]
-        x = self.bias[level].take(node, axis=0)
+    def shares(self, level: int, node: np.ndarray, rows: list[np.ndarray], x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+        """Unnormalised probabilities of the branches, in x; weights are bounded, so that no exponent overflows. x and spare are reused from strip to strip and have a row for each token at least."""
+        x, spare = x[: len(node)], spare[: len(node)]
+        np.take(self.bias[level], node, axis=0, out=x, mode="clip")  # all rows are there; other modes copy
         for r in rows:
-            x += table.take(r, axis=0)
+            x += np.take(self.tables[level], r, axis=0, out=spare, mode="clip")
         return np.exp(x, out=x)
 
+    def buffers(self) -> tuple[np.ndarray, np.ndarray]:
+        """For shares() of a strip."""
+        return np.empty((STRIP, self.width), np.float32), np.empty((STRIP, self.width), np.float32)
+
 
 def start(words: Words, kind: np.ndarray) -> Model:
     """The tree over events by kind and frequency, with unigram shares and no weights."""
@@ -300,44 +309,50 @@ def start(words: Words, kind: np.ndarray) -> Model:
     return Model(place, width, rows, bias, [np.zeros((rows, width), np.float32) for _ in range(LEVELS)])
 
 
-def _blocks(numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of the tokens with their numbers, the number before and the one before that; END stands before a text."""
+def _blocks(numbers: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of so many tokens with their numbers, the number before and the one before that; END stands before a text."""
     one, two = np.r_[np.uint32(END), numbers[:-1]], np.r_[np.uint32(END), np.uint32(END), numbers[:-2]][: len(numbers)]
     one[starts], two[starts] = END, END
     second = starts[np.diff(np.r_[starts, len(numbers)]) > 1] + 1
     two[second] = END
-    for k in range(0, len(numbers), BLOCK):
-        s = slice(k, k + BLOCK)
-        yield s, numbers[s], one[s], two[s]
+    for k in range(0, len(numbers), size):
+        s = slice(k, k + size)
+        yield s, numbers[s], one[s].astype(np.uint64), two[s].astype(np.uint64)
 
 
 def token_scores(m: Model, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Natural log probability of each token's event."""
-    out = np.zeros(len(numbers))
-    for s, now, one, two in _blocks(numbers, starts):
+    out = np.ones(len(numbers))
+    buffers, first = m.buffers(), np.arange(STRIP) * m.width
+    for s, now, one, two in _blocks(numbers, starts, STRIP):
         for level, (node, branch) in enumerate(m.digits(m.place[event(now)])):
-            x = m.shares(level, node, m.contexts(level, node, one, two))
-            out[s] += np.log(x[np.arange(len(now)), branch].astype(np.float64)) - np.log(x.sum(axis=1, dtype=np.float64))
-    return out
+            x = m.shares(level, node, m.contexts(level, node, one, two), *buffers)
+            share = x.reshape(-1).take(first[: len(now)] + branch).astype(np.float64)
+            share /= np.einsum("ij->i", x)
+            out[s] *= share  # bounded weights and LEVELS factors stay far above the least double
+    return np.log(out, out=out)
 
 
 def gather(m: Model, columns: Iterator[pa.Array]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each level, observed counts and expected ones (fixed-point, whole numbers that a double holds exactly) of each row and branch."""
     seen = [np.zeros((m.rows, m.width), np.int64) for _ in range(LEVELS)]
     due = [np.zeros((m.width, m.rows)) for _ in range(LEVELS)]
+    buffers, fixed = m.buffers(), np.empty((m.width, BLOCK))
     for column in columns:
-        for _, now, one, two in _blocks(*_numbers(column)):
+        for _, now, one, two in _blocks(*_numbers(column), BLOCK):
+            n = len(now)
             for level, (node, branch) in enumerate(m.digits(m.place[event(now)])):
                 rows = m.contexts(level, node, one, two)
-                x = m.shares(level, node, rows)
-                fixed = x.T.astype(np.float64, order="C")
-                fixed *= FINE / x.sum(axis=1, dtype=np.float64)
-                np.rint(fixed, out=fixed)
+                for k in range(0, n, STRIP):
+                    s = slice(k, min(k + STRIP, n))
+                    x = np.ascontiguousarray(m.shares(level, node[s], [r[s] for r in rows], *buffers).T)
+                    x *= np.float32(FINE) / np.add.reduce(x, axis=0)
+                    fixed[:, s] = np.rint(x, out=x)
                 for r, (low, size) in zip(rows, m.ranges(), strict=True):
                     np.add.at(seen[level].reshape(-1), r * m.width + branch, 1)
                     within = r - low
                     for k in range(m.width):
-                        due[level][k, low : low + size] += np.bincount(within, fixed[k], size)
+                        due[level][k, low : low + size] += np.bincount(within, fixed[k, :n], size)
     return seen, [x.T for x in due]
 
 
