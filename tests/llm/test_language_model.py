@@ -147,3 +147,29 @@ def test_strips_and_blocks(monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", 50)
     again, (seen_again, due_again) = lm.token_scores(m, numbers, starts), lm.gather(m, [texts])
     assert np.array_equal(scores, again) and all(np.array_equal(x, y) for x, y in zip([*seen, *due], [*seen_again, *due_again], strict=True))
+
+
+def test_words_of_slices():
+    """Arrow's words of any slice of a column are those of bytes.split()."""
+    texts = [None, "", "  ", " a\x0bB\x1cc \x85 d e\x00 ", "Ünï É zz zz  x", "\n\tOne"] * 40 + ["ÀA " * 500, "b"]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string())):
+        for k in (0, 1, 5, 77, 241):
+            part = column.slice(k, 100)
+            want = list(lm._tokens(part))
+            found, sizes = lm._split(part)
+            assert found.cast(pa.large_binary()).to_pylist() == [w for t in want for w in t] and sizes.tolist() == list(map(len, want))
+
+
+def test_encoded_rows(chain, monkeypatch):
+    """Numbers, rare words and their counts by plain loops, where words are looked up for a few texts at a time."""
+    monkeypatch.setattr(lm, "HOT", 40)
+    monkeypatch.setattr(lm, "LOOKUP", 100)
+    words = lm.words_of(lm.count_tokens(chain))
+    rows = lm.encode(chain, words).collect()
+    texts = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "").encode().lower().split()) for r in chain.collect())
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, np.frombuffer(r["ids"], np.uint32).tolist(), sorted(map(tuple, r["rare"])), r["n_tokens"], r["n_known"]) for r in rows)
+    want = []
+    for null, doc_id, w in texts:
+        rest = [x for x in w if x not in words.hot]
+        want.append((null, doc_id, [words.hot.get(x) or lm._rare(x) for x in w] + [lm.END], sorted((x.decode(), rest.count(x)) for x in set(rest)), len(w) + 1, len(w) + 1 - len(rest)))
+    assert got == sorted(want) and len({r["row"] for r in rows}) == len(rows)

@@ -26,12 +26,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import compress, repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,8 @@ FINE, BLOCK_ROWS, PULL, STRIDE, BOUND = 1 << 20, 1024, 4.0, 1.5, 8.0
 #: Steps to a unit of log10, so that joined sums are exact.
 UNIT = 10**12
 RARE = np.uint32(1 << 31)
+#: Words that are looked up in one call of Arrow, which builds its table of the listed words anew for each.
+LOOKUP = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,6 +65,16 @@ def _tokens(column: pa.Array) -> Iterator[list[bytes]]:
         yield (x.as_py() or b"").lower().split()
 
 
+def _split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The same words on end, as an Arrow column, and how many each text has."""
+    whole = pc.fill_null(column.cast(pa.large_string()), "").take(pa.array(np.arange(len(column))))  # a copy: ascii_lower() misreads large strings whose first doesn't begin at 0, as in slices
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    flat = lists.flatten()
+    there = pc.not_equal(pc.binary_length(flat), 0)  # spaces at either end of a text leave an empty string
+    before = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False))]
+    return flat.filter(there), np.diff(before[lists.offsets.to_numpy()])
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token (empty for the end) and c, over all training rows."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,34 +148,42 @@ def encode(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> DataFrame:
     """A row per document: row, doc_id, part (its training shard, -1 if held out), n_tokens, n_known and base (both without rare words), ids (a number a token, end last) and rare (words that aren't listed, and how often)."""
     logs = np.log10(words.seen + 1) - words.log_size
     known = (words.seen > 0).astype(np.int64)
-    listed = words.hot
+    listed = pa.array(list(words.hot), pa.large_binary()).cast(pa.large_string())
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 40
+        task, held, n = TaskContext.get().partitionId() << 40, [], 0
         for frame in cut(frames):
-            ids, sizes, knowns, bases, rare_words, rare_times, ends = [], [], [], [], [], [], [0]
-            for words_ in _tokens(frame.column(2)):
-                numbers = np.fromiter(map(listed.get, words_, repeat(0)), np.uint32, len(words_))
-                missing = numbers == 0
-                own = numbers[~missing]
-                knowns.append(int(known[own].sum()) + int(known[END]))
-                bases.append(float(logs[own].sum()) + float(logs[END]))
-                rest = Counter(compress(words_, missing.tolist()))
-                if rest:
-                    code = {w: _rare(w) for w in rest}
-                    numbers[missing] = [code[w] for w in compress(words_, missing.tolist())]
-                rare_words += rest.keys()
-                rare_times += rest.values()
-                ends.append(len(rare_words))
-                sizes.append(len(words_) + 1)
-                ids.append(numbers.tobytes() + bytes(4))
-            n = frame.num_rows
-            flat = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_times, pa.int64())], ["token", "tf"])
+            held.append((frame, *_split(frame.column(2))))
+            n += len(held[-1][1])
+            if n >= LOOKUP:
+                yield from told(held, task)
+                task, held, n = task + sum(frame.num_rows for frame, *_ in held), [], 0
+        if held:
+            yield from told(held, task)
+
+    def told(held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]], task: int) -> Iterator[pa.RecordBatch]:
+        places = pc.fill_null(pc.index_in(pa.chunked_array([w for _, w, _ in held]), value_set=listed), -1).to_numpy()
+        done = 0
+        for frame, found, sizes in held:
+            place = places[done : done + len(found)]
+            numbers, missing = (place + (1 + TAILS)).astype(np.uint32), np.flatnonzero(place < 0)
+            n, text = frame.num_rows, np.repeat(np.arange(len(sizes)), sizes)
+            rest = found.take(pa.array(missing)).dictionary_encode()
+            code, which = rest.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False), rest.indices.to_numpy()
+            numbers[missing] = np.fromiter(map(_rare, code), np.uint32, len(code))[which]
+            pairs, times = np.unique(text[missing] * max(len(code), 1) + which, return_counts=True)
+            of, which = np.divmod(pairs, max(len(code), 1))
+            flat = pa.StructArray.from_arrays([rest.dictionary.take(pa.array(which)).cast(pa.string()), pa.array(times.astype(np.int64))], ["token", "tf"])
+            ids = np.zeros(len(numbers) + n, np.uint32)  # END stays behind each text
+            ids[np.arange(len(numbers)) + text] = numbers
+            starts = np.cumsum(sizes + 1) - (sizes + 1)
+            own = ids < RARE
+            at = np.where(own, ids, END)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(n) + task), frame.column(0), frame.column(1), pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases, pa.float64()), pa.array(ids, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                pa.array(np.arange(n) + task), frame.column(0), frame.column(1), pa.array(sizes + 1), pa.array(np.add.reduceat(known[at] * own, starts)), pa.array(np.add.reduceat(logs[at] * own, starts)),
+                pa.array([x.tobytes() for x in np.split(ids, starts[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), flat),
             ], ["row", "doc_id", "part", "n_tokens", "n_known", "base", "ids", "rare"])
-            task += n
+            task, done = task + n, done + len(found)
 
     part = F.when(held_out(F.col("doc_id")), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(rounds))).cast("int")
     schema = "row long, doc_id long, part int, n_tokens long, n_known long, base double, ids binary, rare array<struct<token:string,tf:long>>"
