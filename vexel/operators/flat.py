@@ -72,31 +72,61 @@ def nearest_in_lists(lists: DataFrame, queries: DataFrame, probes: DataFrame, k:
     """query_id, id, distance and rank of the k nearest rows (list_no, id and vec or another column) of the lists that each query probes.
 
     The lists are scanned where they are: each task keeps k rows a query, and nothing else is shuffled."""
-    ship(lists.sparkSession)
-    rows = lists.where(F.col(column).isNotNull()).select("list_no", "id", column)
-
     def scan(names: np.ndarray, block: np.ndarray, who: dict[int, np.ndarray]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = Nearest(names, block, k, metric)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                no, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2)) if column == "vec" else b.column(2).to_numpy()
-                order = np.argsort(no, kind="stable")
-                for mine in np.split(order, np.flatnonzero(np.diff(no[order])) + 1):
-                    asked = who.get(int(no[mine[0]]))
-                    if asked is not None:
-                        near.see(x[mine], ids[mine], asked)
+            for x, ids, asked in _met(batches, who, column):
+                near.see(x, ids, asked)
             yield near.found()
 
         return run
 
+    return best(_scanned(lists, queries, probes, column, kind, scan), k, metric in D.SIMILARITIES)
+
+
+def within_lists(lists: DataFrame, queries: DataFrame, probes: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
+    """query_id, id and distance of all rows strictly within the radius (strictly above it for similarities) of the lists that each query probes.
+
+    The lists are scanned where they are: no vector is shuffled, and only pairs within the radius leave a task."""
+    sign = -1.0 if metric in D.SIMILARITIES else 1.0
+    edge = sign * radius
+
+    def scan(names: np.ndarray, block: np.ndarray, who: dict[int, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, ids, asked in _met(batches, who, "vec"):
+                for q, c, key in within_reach(metric, block, x, asked, 3.0, lambda key, asked: np.full(len(asked), edge)):
+                    inside = key < edge
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q[inside]], pa.int64()), pa.array(ids[c[inside]], pa.int64()), pa.array(sign * key[inside], pa.float64())], ["query_id", "id", "distance"])
+
+        return run
+
+    return _scanned(lists, queries, probes, "vec", np.float64, scan)
+
+
+def _met(batches: Iterator[pa.RecordBatch], who: dict[int, np.ndarray], column: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of each batch by list: vectors, ids and the places of the queries that probe the list, if any do."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        no, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2)) if column == "vec" else b.column(2).to_numpy()
+        order = np.argsort(no, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(no[order])) + 1):
+            asked = who.get(int(no[mine[0]]))
+            if asked is not None:
+                yield x[mine], ids[mine], asked
+
+
+def _scanned(lists: DataFrame, queries: DataFrame, probes: DataFrame, column: str, kind: type, scan) -> DataFrame:
+    """What scan(names, block, who) finds in the lists for each block of queries."""
+    ship(lists.sparkSession)
+    rows = lists.where(F.col(column).isNotNull()).select("list_no", "id", column)
+
     def parts() -> Iterator[DataFrame]:
         for names, block, who in probed_blocks(queries, probes, column, kind):
             asked = rows if len(who) > NAMED else rows.where(F.col("list_no").isin(sorted(who)))
             yield asked.mapInArrow(scan(names, block, who), FOUND)
 
-    return best(reduce(DataFrame.unionByName, parts(), lists.sparkSession.createDataFrame([], FOUND)), k, metric in D.SIMILARITIES)
+    return reduce(DataFrame.unionByName, parts(), lists.sparkSession.createDataFrame([], FOUND))
 
 
 def best(found: DataFrame, k: int, descending: bool = False, by: str = "query_id") -> DataFrame:

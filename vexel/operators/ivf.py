@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vexel.functions import distance as D
 from vexel.operators.cluster import Kmeans, assign
-from vexel.operators.flat import best, knn, nearest_in_lists
+from vexel.operators.flat import best, knn, nearest_in_lists, within_lists
 from vexel.plans.storage import materialize
 
 
@@ -52,19 +52,13 @@ class IvfIndex:
     def search(self, queries: DataFrame, k: int, nprobe: int = 1, where: Column | None = None, max_codes: int | None = None) -> DataFrame:
         return self.search_preassigned(queries, self.probes(queries, nprobe), k, where, max_codes)
 
-    def _scan(self, queries: DataFrame, probes: DataFrame, where: Column | None) -> DataFrame:
-        rows = self.lists if where is None else self.lists.where(where)
-        asked = probes.where("list_no >= 0").join(queries.select("query_id", F.col("vec").alias("query_vec")), "query_id")
-        return rows.join(asked, "list_no").select("query_id", "id", D.METRICS[self.metric](F.col("query_vec"), F.col("vec")).alias("distance"))
-
     def search_preassigned(self, queries: DataFrame, probes: DataFrame, k: int, where: Column | None = None, max_codes: int | None = None) -> DataFrame:
         """Lists named by the caller; -1 is skipped. With max_codes, a list is scanned if fewer codes came before it."""
         probes = within(probes, self.lists, max_codes)
         return nearest_in_lists(self.lists if where is None else self.lists.where(where), queries, probes, k, self.metric)
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, where: Column | None = None) -> DataFrame:
-        d = F.col("distance")
-        return self._scan(queries, self.probes(queries, nprobe), where).where(d > radius if self.metric in D.SIMILARITIES else d < radius)
+        return within_lists(self.lists if where is None else self.lists.where(where), queries, self.probes(queries, nprobe), radius, self.metric)
 
     def add(self, more: DataFrame) -> IvfIndex:
         return self._with(self.lists.unionByName(self._placed(more)))
