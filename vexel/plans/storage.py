@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Row groups of tables with whole texts. Parquet's 128 MB, one for each core, can fill a worker's heap.
+TEXT_GROUP = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; without one, a local folder in local mode and the warehouse elsewhere."""
@@ -25,11 +28,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: the new plan holds no lineage, so a lost executor costs one read."""
+def materialize(df: DataFrame, label: str, group: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: the new plan holds no lineage, so a lost executor costs one read.
+
+    With group, row groups of about so many bytes: each task holds one until it is written."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer if group is None else writer.option("parquet.block.size", group)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
